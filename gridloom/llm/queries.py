@@ -26,5 +26,37 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secret_scan import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents"))
+
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: The split and extract lists are zipped; each match's end is a running sum of gap and match lengths.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+rules(kind, rank, least, grp) AS (VALUES ('assign', 0, 6, 2), ('access', 1, 20, 0), ('hex', 2, 24, 0)),
+m AS (
+  SELECT rn, 'assign' AS kind, regexp_extract_all(text, '{_ASSIGN}') AS found, string_split_regex(text, '{_ASSIGN}') AS gaps FROM d
+  UNION ALL SELECT rn, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT rn, 'hex', regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM d),
+x AS (SELECT rn, kind, unnest(found) AS hit, unnest(gaps[1:len(found)]) AS gap, unnest(range(len(found))) AS nth FROM m),
+p AS (SELECT rn, kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY rn, kind ORDER BY nth) AS e FROM x),
+f AS (
+  SELECT rn, kind, rank, CAST(e - length(hit) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM p JOIN rules USING (kind)
+  WHERE CASE WHEN grp = 2 THEN length(regexp_extract(hit, '{_ASSIGN}', 2)) ELSE length(hit) END >= least),
+a AS (
+  SELECT rn, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM f GROUP BY rn)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rn)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op5_secret_scan": op5_secret_scan}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL}
