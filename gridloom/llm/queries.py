@@ -58,5 +58,47 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (rn)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op5_secret_scan": op5_secret_scan}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL}
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op10_sql() -> str:
+    from gridloom.llm.decontaminate import LITERALS, SHORTEST, TOKEN, UNITS, WINDOW
+
+    token = TOKEN.replace("\\n", "\n")
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    canon = f"""
+      CASE WHEN bare >= '0' AND bare < ':' THEN '<num>' WHEN started THEN lower(bare)
+           WHEN lower(tok) IN ({units}) AND prev >= '0' AND prev < ':' THEN '<unit>'
+           WHEN length(tok) > 1 AND tok[1:1] <> lower(tok[1:1]) AND tok[2:] = lower(tok[2:]) AND (i > 1 OR NOT first_start) THEN '<name>'
+           ELSE lower(tok) END"""
+    side = lambda name, key, table, starts: f"""
+    {name}_t AS (SELECT row_number() OVER () AS rn, {key} AS id, regexp_extract_all(coalesce(text, ''), '{token}') AS toks FROM {table}),
+    {name}_u AS (SELECT rn, id, len(toks) AS n, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM {name}_t),
+    {name}_b AS (SELECT *, regexp_matches(tok, '^[.!?\n]') AS started, CASE WHEN regexp_matches(tok, '^[.!?\n]') THEN regexp_replace(tok, '^[^\\p{{L}}0-9]+', '') ELSE tok END AS bare FROM {name}_u),
+    {name}_p AS (SELECT *, lag(bare) OVER (PARTITION BY rn ORDER BY i) AS prev FROM {name}_b),
+    {name}_c AS (SELECT rn, id, n, i, bare, first_start, {canon} AS w FROM {name}_p, (SELECT unnest({starts}) AS first_start)),
+    {name}_l AS (SELECT rn, id, n, first_start, list(w ORDER BY i) AS ws, list(lower(bare) ORDER BY i) AS vs FROM {name}_c GROUP BY ALL)"""
+    slots = "list_filter(list_transform(range(1, len(words) + 1), lambda k: CASE WHEN words[k][1:1] = '<' THEN words[k] || vals[k] END), lambda v: v IS NOT NULL)"
+    window = lambda name: f"""
+    SELECT DISTINCT id, pos, words, list_transform(pairs, lambda v: list_position(pairs, v)) AS slots FROM (
+      SELECT id, pos, words, {slots} AS pairs FROM (
+        SELECT id, pos, ws[pos:pos + length - 1] AS words, vs[pos:pos + length - 1] AS vals
+        FROM (SELECT id, ws, vs, length, unnest(range(1, n - length + 2)) AS pos FROM {name})))"""
+    return f"""
+    WITH {side("d", "doc_id", "documents", "[true]")}, {side("b", "item_id", "(SELECT * FROM benchmark)", "[true, false]")},
+    bl AS (SELECT *, least(n, {WINDOW}) AS length FROM b_l WHERE n >= {SHORTEST}),
+    bw AS (SELECT * FROM ({window("bl")}) WHERE len(list_filter(words, lambda w: w[1:1] <> '<')) >= least(len(words), {LITERALS})),
+    dl AS (SELECT d.*, length FROM d_l d, (SELECT DISTINCT length FROM bl) WHERE n >= length),
+    dw AS ({window("dl")}),
+    f AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.pos FROM dw JOIN bw ON dw.words = bw.words AND dw.slots = bw.slots),
+    t AS (SELECT id AS item_id, count(DISTINCT pos) AS total FROM bw GROUP BY 1)
+    SELECT doc_id, item_id, count(*) AS n_windows, count(*) / max(total) AS coverage FROM f JOIN t USING (item_id) GROUP BY doc_id, item_id
+    """
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op5_secret_scan": op5_secret_scan, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL, "op10_decontaminate": _op10_sql()}
