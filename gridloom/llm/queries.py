@@ -100,5 +100,32 @@ def _op10_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op5_secret_scan": op5_secret_scan, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL, "op10_decontaminate": _op10_sql()}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+_QUINT = "CAST('0x' || hexed[g * 5 + 1:g * 5 + 5] AS INTEGER)"
+_LETTERS = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(({_QUINT} >> {s}) & 31) + 1]" for s in (15, 10, 5, 0))
+OP7_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexed FROM pages),
+w AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, hexed, max(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda g: {_LETTERS}), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM w
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_warc": op7_warc,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+    "op5_secret_scan": OP5_SQL,
+    "op7_warc": OP7_SQL,
+    "op10_decontaminate": _op10_sql(),
+}
