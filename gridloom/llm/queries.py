@@ -117,10 +117,17 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda g:
 FROM w
 """
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
