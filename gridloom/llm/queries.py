@@ -27,6 +27,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secret_scan import secret_scan
 
@@ -125,6 +131,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
