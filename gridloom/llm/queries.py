@@ -27,6 +27,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import near_duplicates
 
@@ -131,6 +137,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
