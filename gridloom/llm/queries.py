@@ -33,6 +33,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.licences import licence_scan
+
+    return licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.simhash import near_duplicates
 
@@ -112,6 +118,12 @@ def _op10_sql() -> str:
     """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.language import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.warc import warc_round_trip
 
@@ -138,8 +150,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
+    "op3_licence_scan": op3_licence_scan,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_decontaminate": op10_decontaminate,
