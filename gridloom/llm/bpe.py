@@ -11,9 +11,11 @@ are all compatible is the one that the merges by rank give.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -188,25 +190,36 @@ def decode(docs: DataFrame, rank_file: str | None = None, ids_col: str = "token_
     return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every text and decode the ids: id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256.
+def encoded_and_checked(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Encode every text and decode the ids: id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256, and token_ids if kept.
 
     Null and empty texts have no tokens; repeated rows and null ids are carried; an empty table gives an empty result;
-    columns other than the two named are not looked at. Both digests are taken where the ids are, so ids and bytes don't leave the worker.
+    columns other than the two named are not looked at. Both digests are taken where the ids are.
     """
     rank_file, pattern = _tokenizer(rank_file, pattern)
-    kind = docs.schema[id_col].dataType
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType(fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(rank_file, pattern)
         for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py())
                 counts.append(len(ids))
                 ids_sha.append(sha256(",".join(map(bpe.said.__getitem__, ids)).encode()).hexdigest())
                 decoded_sha.append(sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    kept.append(array("i", ids))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            if keep_ids:
+                ends = list(accumulate(counts, initial=0))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(kept))])))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select(F.col(id_col).alias(id_col), filled(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encoded_and_checked`` without the ids themselves, which then don't leave the worker."""
+    return encoded_and_checked(docs, rank_file, pattern, id_col, text_col, keep_ids=False)
