@@ -27,7 +27,7 @@ from gridloom.llm.suffix_sort import REPEAT, smallest_owner
 
 GRAM = 20
 #: Text of a block and of a bucket, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Places whose anchors are sought in one go; bounds the memory that a very long text takes.
 SLAB = 1 << 22
 #: Stands for a null id, which is larger than all others.

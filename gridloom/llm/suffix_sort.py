@@ -15,10 +15,9 @@ REPEAT = 50
 
 def _keys(text: np.ndarray) -> np.ndarray:
     """For each place the eight bytes from there as one big-endian number; the text is taken to end in eight zero bytes or more."""
-    wide = text.astype("u8")
-    two = wide[:-1] << np.uint64(8) | wide[1:]
-    four = two[:-2] << np.uint64(16) | two[2:]
-    return four[:-4] << np.uint64(32) | four[4:]
+    two = text[:-1].astype("u2") << np.uint16(8) | text[1:]
+    four = two[:-2].astype("u4") << np.uint32(16) | two[2:]
+    return four[:-4].astype("u8") << np.uint64(32) | four[4:]
 
 
 def rising(text: np.ndarray) -> np.ndarray:
@@ -26,7 +25,7 @@ def rising(text: np.ndarray) -> np.ndarray:
     step = np.zeros(len(text), "i2")
     step[:-1] = text[1:].astype("i2") - text[:-1]
     step[-1] = -1
-    place = np.where(step != 0, np.arange(len(text)), len(text) - 1)
+    place = np.where(step != 0, np.arange(len(text), dtype="i4"), np.int32(len(text) - 1))
     follow = np.minimum.accumulate(place[::-1])[::-1]
     return step[follow] > 0
 
@@ -70,26 +69,28 @@ def direct_sort(at: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int = REPEAT, keys: np.ndarray | None = None) -> np.ndarray:
     """The places of ``wanted`` (a mask) in the order of their suffixes' first ``depth`` bytes.
 
-    ``text`` ends in at least ``depth`` + 16 zero bytes that are not wanted.
+    ``text`` has under 2^31 bytes and ends in at least ``depth`` + 16 zero bytes that are not wanted.
     """
     keys = _keys(text) if keys is None else keys
     up = rising(text)
     # The chain from a wanted suffix to the next rising one is sorted too, as the order of each rests on its successor.
     n = len(text)
-    place = np.where(up, np.arange(n), n - 1)
+    place = np.where(up, np.arange(n, dtype="i4"), np.int32(n - 1))
     until = np.minimum.accumulate(place[::-1])[::-1]
+    del place
     cover = np.zeros(n + 1, "i4")
     at = np.flatnonzero(wanted)
     np.add.at(cover, at, 1)
     np.add.at(cover, until[at] + 1, -1)
-    chosen = np.cumsum(cover[:-1]) > 0
-    seeds = direct_sort(np.flatnonzero(chosen & up), keys, depth)
+    chosen = np.cumsum(cover[:-1], dtype="i4") > 0
+    del cover, until, at
+    seeds = direct_sort(np.flatnonzero(chosen & up).astype("i4"), keys, depth)
     # The text's end stands for all falling suffixes at it: none of them are wanted, and the zeros there sort first.
     bounds = np.searchsorted(text[seeds], np.arange(257))
     falling = chosen & ~up
     queues: list[list[np.ndarray]] = [[] for _ in range(256)]
     if falling[n - 1]:
-        queues[int(text[n - 1])].append(np.array([n - 1]))
+        queues[int(text[n - 1])].append(np.array([n - 1], "i4"))
     out: list[np.ndarray] = []
 
     def induce(found: np.ndarray, byte: int) -> np.ndarray:
@@ -133,27 +134,24 @@ def common(order: np.ndarray, keys: np.ndarray, depth: int = REPEAT) -> np.ndarr
     return out
 
 
-def smallest_owner(strings: list[bytes] | bytes, lengths: np.ndarray, owners: np.ndarray, repeat: int = REPEAT) -> np.ndarray:
+def smallest_owner(joined: bytes, lengths: np.ndarray, owners: np.ndarray, repeat: int = REPEAT) -> np.ndarray:
     """Of strings end to end, for each place at which ``repeat`` bytes start within a string, the smallest owner of these bytes; -1 elsewhere."""
-    joined = strings if isinstance(strings, bytes) else b"".join(strings)
     ends = np.cumsum(lengths)
     size = int(ends[-1]) if len(ends) else 0
     text = np.zeros(size + len(lengths) + repeat + 16, "u1")
-    shift = np.repeat(np.arange(len(lengths)), lengths)  # a zero byte after each string
-    spots = np.arange(size) + shift
+    shift = np.repeat(np.arange(len(lengths), dtype="i4"), lengths)  # a zero byte after each string
+    spots = np.arange(size, dtype="i4") + shift
     text[spots] = np.frombuffer(joined, "u1")
-    valid = np.zeros(size, bool)
-    left = np.repeat(ends, lengths) - np.arange(size)
-    valid = left >= repeat
     wanted = np.zeros(len(text), bool)
-    wanted[spots[valid]] = True
+    wanted[spots[np.repeat(ends, lengths) - np.arange(size) >= repeat]] = True
     keys = _keys(np.r_[text, np.zeros(8, "u1")])
     order = suffix_order(text, wanted, repeat, keys)
     out = np.full(size, -1, "i8")
     if len(order):
         same = common(order, keys, repeat)
-        back = np.zeros(len(text), "i8")
-        back[spots] = np.arange(size)
+        del keys
+        back = np.zeros(len(text), "i4")
+        back[spots] = np.arange(size, dtype="i4")
         place = back[order]
         owner = owners[shift[place]]
         starts = np.flatnonzero(~same)
