@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from gridloom.llm.common import filled
 
-FIT_ROWS = 16_000
-POOL_ROWS = 8_000
+FIT_ROWS = 12_000
+POOL_ROWS = 6_000
 ROUNDS = 3
 #: A view hands on labels of which it is at least this sure, each round at most SHARE of the pool, and of each label in proportion.
 SURE, SHARE = 0.97, 0.2
@@ -85,21 +85,22 @@ def fit(rows: list, labels, size: int, sample_weight=None, rounds: int = 120, l2
 
     full, counts = size, np.bincount(np.concatenate(rows), minlength=size)
     kept = np.flatnonzero(counts >= max(3, int(RARE * len(rows))))
-    to = np.full(size, -1)
+    to = np.full(size, -1, "i4")
     to[kept] = np.arange(len(kept))
     rows = [x[x >= 0] for x in (to[r] for r in rows)]
     size = len(kept)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    of = np.repeat(np.arange(len(rows)), lengths)
+    starts = np.cumsum(lengths) - lengths
+    of = np.repeat(np.arange(len(rows), dtype="i4"), lengths)
+    del rows
     y = np.asarray(labels, "f8")
     sw = np.ones(len(y)) if sample_weight is None else np.asarray(sample_weight, "f8")
     sw = sw / sw.sum()
     base = float(np.clip((sw * y).sum(), 1e-3, 1 - 1e-3))
     w, b, gw, gb = np.zeros(size), math.log(base / (1 - base)), np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.add.reduceat(np.r_[w[flat], 0.0], np.minimum(starts, len(flat))) * (lengths > 0) + b
+        z = np.add.reduceat(np.append(w[flat], 0.0), starts) * (lengths > 0) + b  # a row without places gets the next one's, times 0
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * sw
         g = np.bincount(flat, weights=e[of], minlength=size) + l2 * w
         gw += g * g
@@ -139,7 +140,7 @@ class Model:
         import numpy as np
 
         bins = [WORDS + k * BINS + int(np.searchsorted(self.edges[k], shape[k])) for k in range(SHAPE)]
-        return np.r_[words.astype("i8"), np.array(bins)]
+        return np.r_[words.astype("i4"), np.array(bins, "i4")]
 
     def score(self, words, shape, meta: list[int]) -> tuple[float, float, float]:  # noqa: ANN001
         """Combined, text and metadata probability of fitness."""
@@ -222,10 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.select(F.col(id_col).alias("_id"))
     chosen = known.orderBy(*order).limit(fit_rows).unionByName(ids.join(known, "_id", "left_anti").where("_id is not null").withColumn("_label", F.lit(-1)).orderBy(*order).limit(pool_rows))
     sample = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(chosen), "_id")  # fit_rows + pool_rows rows of 12 bytes at most
-    rows = _featured(sample, filled(text_col), *_meta_columns(docs)).collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["words"])))
-    texts = [(np.frombuffer(r["words"], "u4"), np.frombuffer(r["shape"], "f4")) for r in rows]
-    return co_train(texts, [r["meta"] for r in rows], [r["label"] for r in rows]) if rows else None
+    table = _featured(sample, filled(text_col), *_meta_columns(docs)).toArrow()
+    if not table.num_rows:
+        return None
+    rows = sorted(zip(*[table[c].to_pylist() for c in ("id", "words", "shape", "meta", "label")]), key=lambda r: r[:2])
+    del table
+    texts = [(np.frombuffer(r[1], "u4"), np.frombuffer(r[2], "f4")) for r in rows]
+    return co_train(texts, [r[3] for r in rows], [r[4] for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
