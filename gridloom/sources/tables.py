@@ -19,12 +19,21 @@ def rasterised(rows: DataFrame, x: Column | str, y: Column | str, width: int, he
     return Grid(cells.select("x", "y", (F.coalesce("n", F.lit(0)) % len(states.ordinals)).cast("int").alias("s")), width, height, states)
 
 
+BAND = 4096
+
+
 def read_cells(spark: SparkSession, path: str, width: int, height: int, states: States) -> Grid:
     """Cells written by ``write_cells``, or by others as x, y, s."""
-    return Grid(spark.read.schema("x int, y int, s int").parquet(path), width, height, states)
+    return Grid(spark.read.schema("x int, y int, s int").parquet(path).select("x", "y", "s"), width, height, states)
+
+
+def read_rows(spark: SparkSession, path: str, first: int, last: int, rows_per_band: int = BAND) -> DataFrame:
+    """The cells of rows ``first`` to ``last`` of a grid written by ``write_cells``; other bands are not read."""
+    bands = F.col("band").between(first // rows_per_band, last // rows_per_band)
+    return spark.read.schema("x int, y int, s int, band int").parquet(path).where(bands & F.col("y").between(first, last)).select("x", "y", "s")
 
 
-def write_cells(grid: Grid, path: str, rows_per_band: int = 4096) -> None:
-    """Cells as Parquet in bands of rows, which readers of a region can prune."""
+def write_cells(grid: Grid, path: str, rows_per_band: int = BAND) -> None:
+    """Cells as Parquet in bands of rows."""
     banded = grid.cells.withColumn("band", F.expr(f"int(y div {rows_per_band})"))
     banded.repartition("band").sortWithinPartitions("y", "x").write.partitionBy("band").mode("errorifexists").parquet(path)
