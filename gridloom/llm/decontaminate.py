@@ -65,8 +65,11 @@ def _windows(words: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item, pos, length, key, words, slots for each distinct window; a first word that may be a name is taken both ways."""
-    items = benchmark.select(F.col(id_col).alias("item"), tokens(filled(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
+    """item, pos, length, key, words, slots for each distinct window; a first word that may be a name is taken both ways.
+
+    ``item`` is a structure of the id, as a null id too is to be joined by.
+    """
+    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), tokens(filled(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
     both = items.select("item", "toks", F.explode(F.array_distinct(F.array(canonical(F.col("toks")), canonical(F.col("toks"), False)))).alias("canon"))
     length = F.least(F.size("canon"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("canon") - length + 1)
@@ -108,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     totals = bench.groupBy("item").agg(F.countDistinct("pos").alias("_of"))
     per = sure.groupBy("id", "item").agg(F.countDistinct("ipos").alias("n_windows"))
     return per.join(F.broadcast(totals) if few else totals, "item").select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", (F.col("n_windows") / F.col("_of")).alias("coverage")
+        F.col("id").alias(id_col), F.col("item.id").alias(item_col), "n_windows", (F.col("n_windows") / F.col("_of")).alias("coverage")
     )
 
 

@@ -29,6 +29,8 @@ GRAMS = 1 << 16
 TEMPER, ENOUGH = 0.25, 400
 #: Rows that the level above counts as, for hosts towards domains, domains towards the corpus, and for evidence that was hardly seen.
 STRENGTH = 8.0
+#: How often declarations and addresses are taken to be right before any are seen.
+AGREE = 0.9
 
 _NO_TEXT = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 
@@ -151,7 +153,8 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         """log P(code | language): a matrix of languages by languages, from all rows that have such a code."""
         met = {r[0]: r for r in seen.where(F.col(column).isNotNull()).groupBy(column).agg(*_sums(n)).collect()}
         per = [sum((r[k + 1] or 0.0) for r in met.values()) for k in range(n)]
-        of = [[((met[code][k + 1] if code in met else 0.0) + STRENGTH / n) / (per[k] + STRENGTH) for k in range(n)] for code in model.languages]
+        first = lambda code, k: AGREE if code == model.languages[k] else (1 - AGREE) / max(1, n - 1)
+        of = [[((met[code][k + 1] if code in met else 0.0) + STRENGTH * first(code, k)) / (per[k] + STRENGTH) for k in range(n)] for code in model.languages]
         known = F.create_map(*[x for code, row in zip(model.languages, of) for x in (F.lit(code), F.array(*[F.log(F.lit(v)) for v in row]))])
         return F.coalesce(known[F.col(column)], F.array_repeat(F.lit(0.0), n))
 

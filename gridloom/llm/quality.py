@@ -209,7 +209,7 @@ def _featured(docs: DataFrame, text: Column, source: Column, lang: Column, n_cha
 def _meta_columns(docs: DataFrame) -> tuple[Column, Column, Column]:
     """Source, language and length, null where the table lacks the column."""
     has = {c.lower() for c in docs.columns}
-    pick = lambda name, kind: F.col(name).cast(kind) if name in has else F.lit(None).cast(kind)
+    pick = lambda name, kind: (F.col(name).cast(kind) if name in has else F.lit(None).cast(kind)).alias(f"_{name}")
     return pick("source", "string"), pick("lang", "string"), pick("n_chars", "long")
 
 

@@ -2,7 +2,7 @@
 
 Every version of every path is content-addressed by SHA-256, and each distinct content (a *blob*) is scanned once
 for each rule version that the ledger does not yet name for it. The ledger is a Parquet table in a shared folder, one row a
-scan: ``blob``, the ``rules`` scanned, and the ``matches`` as gaps and lengths. Findings are cumulated to code-point
+scan: ``blob``, the ``rules`` scanned, and the ``matches`` of each rule as gaps and lengths. Findings are cumulated to code-point
 spans and joined back to all paths that ever held the blob.
 
 Positions come without a Python function: splitting a text by a pattern gives the gaps between its leftmost
@@ -50,20 +50,23 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 
-MATCH = "array<struct<rule:string,nth:int,gap:int,len:int,keep:boolean>>"
+HITS = "array<struct<gap:int,len:int,keep:boolean>>"
+MATCHES = f"array<struct<rule:string,hits:{HITS}>>"
 
 
 def _matches(text: Column, rule: Rule) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(found)), lambda g: F.char_length(g))
+    """The rule's leftmost non-overlapping matches in order: the characters since the last one, its length, and whether it is kept.
 
-    def match(x: Column, nth: Column) -> Column:
+    Pieces between matches and matches are zipped, each found in one pass over the text.
+    """
+
+    def hit(gap: Column, x: Column) -> Column:
         held = x if rule.group == 0 else F.regexp_extract(x, rule.pattern, rule.group)
-        return F.struct(
-            F.lit(rule.key).alias("rule"), nth.alias("nth"), F.get(gaps, nth).alias("gap"), F.char_length(x).alias("len"), (F.char_length(held) >= rule.least).alias("keep")
-        )
+        return F.when(x.isNotNull(), F.struct(F.char_length(gap).alias("gap"), F.char_length(x).alias("len"), (F.char_length(held) >= rule.least).alias("keep")))
 
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.transform(found, match)).otherwise(F.array().cast(MATCH))
+    hits = F.filter(F.zip_with(F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), hit), lambda h: h.isNotNull())
+    found = F.when(F.regexp_like(text, F.lit(rule.pattern)), hits).otherwise(F.array().cast(HITS))
+    return F.struct(F.lit(rule.key).alias("rule"), found.alias("hits"))
 
 
 def scan_blobs(versions: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
@@ -76,13 +79,14 @@ def scan_blobs(versions: DataFrame, text_col: str, rules: tuple[Rule, ...] = RUL
     else:
         seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("rules") > 0)
-    each = [_matches(F.col("text"), r) if ledger is None else F.when(F.array_contains("rules", r.key), _matches(F.col("text"), r)).otherwise(F.array().cast(MATCH)) for r in rules]
-    return blobs.select("blob", "rules", F.concat(*each).alias("matches"))
+    each = F.array(*[_matches(F.col("text"), r) if ledger is None else F.when(F.array_contains("rules", r.key), _matches(F.col("text"), r)) for r in rules])
+    return blobs.select("blob", "rules", F.filter(each, lambda m: m.isNotNull() & (F.size(m["hits"]) > 0)).cast(MATCHES).alias("matches"))
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans of the rule versions given: blob, kind, start, end in code points, end exclusive."""
     rows = ledger.select("blob", F.inline("matches")).where(F.col("rule").isin([r.key for r in rules]))
+    rows = rows.select("blob", "rule", F.posexplode("hits").alias("nth", "hit")).select("blob", "rule", "nth", "hit.*")
     so_far = Window.partitionBy("blob", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).where("keep")
     return rows.select("blob", F.split_part("rule", F.lit("@"), F.lit(1)).alias("kind"), (F.col("end") - F.col("len")).alias("start"), "end")
@@ -97,7 +101,7 @@ class Ledger:
     def rows(self) -> DataFrame | None:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path)
-        return self.spark.read.schema(f"blob string, rules array<string>, matches {MATCH}").parquet(self.path) if there else None
+        return self.spark.read.schema(f"blob string, rules array<string>, matches {MATCHES}").parquet(self.path) if there else None
 
     def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per row of ``versions``: id, n_assign, n_access, n_hex, base_sha256, spans.
