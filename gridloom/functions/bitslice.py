@@ -6,7 +6,9 @@ operations are bitwise expressions that stay in generated code, so one machine o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,12 +28,53 @@ def pattern(width: int, run: int) -> int:
     return _signed(sum(1 << i for i in range(width) if i // run % 2 == 0))
 
 
+class Word:
+    """Many 64-bit words in a NumPy array, with a column's names for bitwise operations, so that both compile alike."""
+
+    __slots__ = ("v",)
+
+    def __init__(self, v: Any):
+        self.v = v
+
+    def bitwiseAND(self, other: Word) -> Word:  # noqa: N802
+        return Word(self.v & other.v)
+
+    def bitwiseOR(self, other: Word) -> Word:  # noqa: N802
+        return Word(self.v | other.v)
+
+    def bitwiseXOR(self, other: Word) -> Word:  # noqa: N802
+        return Word(self.v ^ other.v)
+
+
+def column_word(word: int) -> Column:
+    return F.lit(word).cast("long")
+
+
+def array_word(word: int) -> Word:
+    import numpy as np
+
+    return Word(np.uint64(word & (1 << 64) - 1))
+
+
+def _flip(w: Any) -> Any:
+    return Word(~w.v) if isinstance(w, Word) else F.bitwise_not(w)
+
+
+def _right(w: Any, n: int) -> Any:
+    return Word(w.v >> w.v.dtype.type(n)) if isinstance(w, Word) else F.shiftrightunsigned(w, n)
+
+
+def _left(w: Any, n: int) -> Any:
+    return Word(w.v << w.v.dtype.type(n)) if isinstance(w, Word) else F.shiftleft(w, n)
+
+
 @dataclass(frozen=True)
 class Lanes:
-    """``planes[i]`` holds bit i of every lane; no plane stands for zeros above the last."""
+    """``planes[i]`` holds bit i of every lane; no plane stands for zeros above the last. ``lit`` makes a constant word of the planes' kind."""
 
-    planes: tuple[Column, ...]
+    planes: tuple[Any, ...]
     width: int = 32
+    lit: Callable[[int], Any] = column_word
 
     @property
     def bits(self) -> int:
@@ -40,13 +83,13 @@ class Lanes:
     # -- building blocks
 
     def _ones(self) -> Column:
-        return F.lit(full(self.width)).cast("long")
+        return self.lit(full(self.width))
 
     def _zero(self) -> Column:
-        return F.lit(0).cast("long")
+        return self.lit(0)
 
     def _not(self, word: Column) -> Column:
-        flipped = F.bitwise_not(word)
+        flipped = _flip(word)
         return flipped if self.width == 64 else flipped.bitwiseAND(self._ones())
 
     def plane(self, i: int) -> Column:
@@ -54,19 +97,19 @@ class Lanes:
         return self.planes[i] if i < self.bits else self._zero()
 
     def _with(self, planes: list[Column]) -> Lanes:
-        return Lanes(tuple(planes), self.width)
+        return Lanes(tuple(planes), self.width, self.lit)
 
     # -- conversions
 
     @classmethod
-    def constant(cls, value: int, width: int = 32) -> Lanes:
+    def constant(cls, value: int, width: int = 32, lit: Callable[[int], Any] = column_word) -> Lanes:
         """The same number in every lane: bits up to the highest set and one more, a single one for 0."""
         n = value.bit_length() + 1 if value else 1
-        return cls(tuple(F.lit(full(width) if value >> i & 1 else 0).cast("long") for i in range(n)), width)
+        return cls(tuple(lit(full(width) if value >> i & 1 else 0) for i in range(n)), width, lit)
 
     @classmethod
-    def of_mask(cls, mask: Column, width: int = 32) -> Lanes:
-        return cls((mask,), width)
+    def of_mask(cls, mask: Any, width: int = 32, lit: Callable[[int], Any] = column_word) -> Lanes:
+        return cls((mask,), width, lit)
 
     def resized(self, bits: int) -> Lanes:
         """Cut off above, or filled up with zeros."""
@@ -77,13 +120,13 @@ class Lanes:
         self._check(lane)
         out = self._zero()
         for i, p in enumerate(self.planes):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(p, lane).bitwiseAND(F.lit(1).cast("long")), i))
+            out = out.bitwiseOR(_left(_right(p, lane).bitwiseAND(self.lit(1)), i))
         return out
 
     def set_at(self, lane: int, value: int) -> Lanes:
         self._check(lane)
         one = _signed(1 << lane)
-        return self._with([p.bitwiseOR(F.lit(one).cast("long")) if value >> i & 1 else p.bitwiseAND(F.lit(~one).cast("long")) for i, p in enumerate(self.planes)])
+        return self._with([p.bitwiseOR(self.lit(one)) if value >> i & 1 else p.bitwiseAND(self.lit(~one)) for i, p in enumerate(self.planes)])
 
     def _check(self, lane: int) -> None:
         if not 0 <= lane < self.width:
@@ -146,15 +189,15 @@ class Lanes:
 
     def shifted_right(self, n: int) -> Lanes:
         """Lane i takes what lane i + n held."""
-        return self._with([F.shiftrightunsigned(p, n) for p in self.planes])
+        return self._with([_right(p, n) for p in self.planes])
 
     def shifted_left(self, n: int) -> Lanes:
         """Lane i takes what lane i - n held."""
-        return self._with([F.shiftleft(p, n).bitwiseAND(self._ones()) for p in self.planes])
+        return self._with([_left(p, n).bitwiseAND(self._ones()) for p in self.planes])
 
     def _swapped(self, run: int) -> Lanes:
-        low = F.lit(pattern(self.width, run)).cast("long")
-        return self._with([F.shiftrightunsigned(p, run).bitwiseAND(low).bitwiseOR(F.shiftleft(p.bitwiseAND(low), run)) for p in self.planes])
+        low = self.lit(pattern(self.width, run))
+        return self._with([_right(p, run).bitwiseAND(low).bitwiseOR(_left(p.bitwiseAND(low), run)) for p in self.planes])
 
     def swapped_pairs(self) -> Lanes:
         """Lanes 2i and 2i + 1 change places."""

@@ -1,7 +1,7 @@
 """Temporal blocking: blocks of cells with halos that advance several generations between shuffles.
 
 A grid becomes rows (by, bx, cells) of one binary block each. In a round every block sends its edges, T cells deep, to the blocks
-around it; a block with its halo advances T generations by itself, its halo shrinking by one ring each, and sends its new edges in the same
+around it; a block with its halo advances T generations by itself, on bit planes where the rule allows it, its halo shrinking by one ring each, and sends its new edges in the same
 task. So a round of T generations is one shuffle of whole blocks, where one of cells would be nine rows a cell a generation.
 """
 
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import rules as R
 from gridloom.functions.arrays import advance
+from gridloom.functions.planes import advance_planes, compiles
 from gridloom.operators.grid import Grid
 from gridloom.plans.lineage import cut
 
 #: Edge of a block at most: 1 MB of one-byte states.
 EDGE = 1024
-DEPTH = 16
+#: Generations between exchanges at most, and at most this share of a block's edge unless told otherwise.
+DEPTH, SHARE = 32, 8
 #: Rounds between lineage cuts.
 CUT_EVERY = 8
 PIECE = "by int, bx int, dy int, dx int, rows int, cells binary"
@@ -41,11 +43,12 @@ def plan(grid: Grid, block: int, depth: int, steps: int) -> tuple[list[int], lis
     if block <= 0:
         # Enough blocks to keep a cluster's cores busy while they are large against their halos.
         block = EDGE
-        while block > 128 and -(-grid.width // block) * -(-grid.height // block) < 64:
+        cores = grid.cells.sparkSession.sparkContext.defaultParallelism
+        while block > 128 and -(-grid.width // block) * -(-grid.height // block) < 2 * cores:
             block //= 2
     ys, xs = edges(grid.height, block), edges(grid.width, block)
     least = min(b - a for e in (ys, xs) for a, b in zip(e, e[1:]))
-    depth = min(depth or DEPTH, max(1, steps))
+    depth = min(depth or min(DEPTH, max(1, least // SHARE)), max(1, steps))
     if depth > least:
         depth = least
     return ys, xs, depth
@@ -114,7 +117,8 @@ def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, block: int = 0, de
         return grid
     ys, xs, depth = plan(grid, block, depth, steps)
     ny, nx, dtype = len(ys) - 1, len(xs) - 1, _dtype(grid.states.ordinals)
-    width, height = grid.width, grid.height
+    width, height, states = grid.width, grid.height, grid.states
+    planes = compiles(rule, states)
     lengths = [depth] * (steps // depth) + [steps % depth] * bool(steps % depth)
 
     def begin(batches):  # noqa: ANN001, ANN202
@@ -132,7 +136,8 @@ def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, block: int = 0, de
             by, bx = table["by"][0].as_py(), table["bx"][0].as_py()
             part = {(dy, dx): np.frombuffer(raw, dtype).reshape(n, -1) for dy, dx, n, raw in zip(*[table[c].to_pylist() for c in ("dy", "dx", "rows", "cells")])}
             whole = np.block([[part[dy, dx] for dx in (-1, 0, 1)] for dy in (-1, 0, 1)])
-            cells = advance(rule, whole, t, long, xs[bx], ys[by], width, height)
+            at = (t, long, xs[bx], ys[by], width, height)
+            cells = advance_planes(rule, states, whole, *at) if planes else advance(rule, whole, *at)
             if not onward:
                 return pa.table({"by": pa.array([by], pa.int32()), "bx": pa.array([bx], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
             return _pieces(_split(cells, by, bx, ny, nx, onward))

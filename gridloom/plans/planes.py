@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import rules as R
-from gridloom.functions.bitslice import Lanes, full, pattern
+from gridloom.functions.bitslice import Lanes, column_word, full, pattern
+from gridloom.functions.planes import Compiler
 from gridloom.operators.grid import Grid
 from gridloom.operators.layouts import Packed, to_bit_planes
 from gridloom.plans.lineage import cut
@@ -32,133 +31,52 @@ def exchanged(p: Packed) -> DataFrame:
     return rows.groupBy("y", "wx").agg(*aggs)
 
 
-class Compiler:
-    """Compiles a rule to planes in stages: each shared part of it becomes columns of its own, so that no expression is repeated within another."""
+class ColumnPlanes(Compiler):
+    """Each part that is kept becomes columns of its own, so that no expression is repeated within another."""
 
     def __init__(self, frame: DataFrame, p: Packed, t: int):
-        self.frame, self.p, self.t, self.w = frame, p, t, p.word
-        self.known: dict[object, tuple[Lanes, bool]] = {}
-        self.made = 0
+        super().__init__(p.states, t, p.word, column_word)
+        self.frame, self.made = frame, 0
 
     def keep(self, key: object, value: Lanes, flag: bool) -> tuple[Lanes, bool]:
-        """Materialise planes as columns."""
         names = [f"k{self.made}_{i}" for i in range(value.bits)]
         self.made += 1
         self.frame = self.frame.select("*", *[c.alias(n) for n, c in zip(names, value.planes)])
-        self.known[key] = (Lanes(tuple(F.col(n) for n in names), self.w), flag)
-        return self.known[key]
+        return super().keep(key, Lanes(tuple(F.col(n) for n in names), self.w), flag)
 
     def neighbor(self, dx: int, dy: int) -> Lanes:
-        key = ("n", dx, dy)
-        if key not in self.known:
+        if ("n", dx, dy) not in self.known:
+            if max(abs(dx), abs(dy)) > 1:
+                raise ValueError("planes hold neighbours at a distance of 1")
             planes = []
-            for i in range(self.p.states.bits):
+            for i in range(self.states.bits):
                 here = F.col(_col(0, dy, i))
                 if dx == 1:
-                    here = F.shiftrightunsigned(here, 1).bitwiseOR(F.shiftleft(F.col(_col(1, dy, i)).bitwiseAND(F.lit(1).cast("long")), self.w - 1))
+                    here = F.shiftrightunsigned(here, 1).bitwiseOR(F.shiftleft(F.col(_col(1, dy, i)).bitwiseAND(self.lit(1)), self.w - 1))
                 elif dx == -1:
-                    here = F.shiftleft(here, 1).bitwiseAND(F.lit(full(self.w)).cast("long")).bitwiseOR(F.shiftrightunsigned(F.col(_col(-1, dy, i)), self.w - 1))
+                    here = F.shiftleft(here, 1).bitwiseAND(self.lit(full(self.w))).bitwiseOR(F.shiftrightunsigned(F.col(_col(-1, dy, i)), self.w - 1))
                 planes.append(here)
-            self.keep(key, Lanes(tuple(planes), self.w), False)
-        return self.known[key][0]
+            self.keep(("n", dx, dy), Lanes(tuple(planes), self.w), False)
+        return self.known["n", dx, dy][0]
 
     def toward(self, axis: str) -> Column:
-        """Lanes whose block lies towards +1: those with even x + t, by lane, as words are of even width; whole rows for y."""
+        """Lanes with even x + t, as words are of even width; whole rows for y."""
         if axis == "x":
             even = pattern(self.w, 1)
-            return F.lit(even if self.t % 2 == 0 else even ^ full(self.w)).cast("long")
-        return F.when((F.col("y") + self.t) % 2 == 0, F.lit(full(self.w)).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    def block(self, dx: int, dy: int) -> Lanes:
-        key = ("b", dx, dy)
-        if key not in self.known:
-            n = self.neighbor
-            if not dx and not dy:
-                return n(0, 0)
-            if not dy:
-                out = n(1, 0).chosen(self.toward("x"), n(-1, 0))
-            elif not dx:
-                out = n(0, 1).chosen(self.toward("y"), n(0, -1))
-            else:
-                out = n(1, 1).chosen(self.toward("y"), n(1, -1)).chosen(self.toward("x"), n(-1, 1).chosen(self.toward("y"), n(-1, -1)))
-            self.keep(key, out, False)
-        return self.known[key][0]
-
-    def hood(self, name: str) -> list[Lanes]:
-        if name == R.MARGOLUS:
-            return [self.block(dx, dy) for dx in (0, 1) for dy in (0, 1)]
-        return [self.neighbor(dx, dy) for dx, dy in R.OFFSETS[name]]
-
-    def lanes(self, node: R.Node) -> tuple[Lanes, bool]:
-        """Planes of a node, and whether they are a mask."""
-        key = R.key(node)
-        if key in self.known:
-            return self.known[key]
-        value, flag = self._lanes(node)
-        if isinstance(node, (R.Const, R.State, R.Neighbor)):
-            return value, flag
-        return self.keep(key, value, flag)
-
-    def mask(self, node: R.Node) -> Column:
-        value, flag = self.lanes(node)
-        return value.plane(0) if flag else value.differs(Lanes.constant(0, self.w))
-
-    def _lanes(self, node: R.Node) -> tuple[Lanes, bool]:  # noqa: PLR0911
-        w = self.w
-        of_mask = lambda m: (Lanes.of_mask(m, w), True)
-        flipped = lambda m: Lanes.of_mask(m, w).inverted().plane(0)
-        match node:
-            case R.Const(v):
-                return Lanes.constant(v, w), False
-            case R.State(v):
-                return Lanes.constant(self.p.states.index(v), w), False
-            case R.Neighbor(dx, dy):
-                return self.neighbor(dx, dy), False
-            case R.Opposite():
-                return self.block(1, 1), False
-            case R.Count(v, name):
-                want = self.lanes(v)[0]
-                ones = [Lanes.of_mask(n.equals(want), w) for n in self.hood(name)]
-                ones = [self.keep((R.key(node), i), o, True)[0] for i, o in enumerate(ones)]
-                while len(ones) > 1:  # in pairs, so widths grow with the logarithm
-                    ones = [self.keep((R.key(node), len(ones), i), ones[i].widened_plus(ones[i + 1]), False)[0] for i in range(0, len(ones) - 1, 2)] + ones[len(ones) // 2 * 2 :]
-                return ones[0], False
-            case R.Exists(v, name):
-                want = self.lanes(v)[0]
-                return of_mask(reduce(lambda a, b: a.bitwiseOR(b), [n.equals(want) for n in self.hood(name)]))
-            case R.HasBit(v, bit):
-                return of_mask(self.lanes(v)[0].plane(bit))
-            case R.Compare(op, left, right):
-                a, b = self.lanes(left)[0], self.lanes(right)[0]
-                return of_mask({"eq": a.equals, "ne": a.differs, "gt": a.greater, "lt": a.less}[op](b))
-            case R.Logic(op, args):
-                masks = [self.mask(a) for a in args]
-                return of_mask(flipped(masks[0]) if op == "not" else masks[0].bitwiseAND(masks[1]) if op == "and" else masks[0].bitwiseOR(masks[1]))
-            case R.Arith(op, left, right):
-                (a, fa), (b, fb) = self.lanes(left), self.lanes(right)
-                if op == "modulo":
-                    if not isinstance(right, R.Const):
-                        raise ValueError("planes divide by constant powers of two only")
-                    return a.modulo(right.value), False
-                # The sum of cells has no width; planes make room for the carry.
-                return {"plus": a.widened_plus, "bit_and": a.anded, "bit_or": a.ored}[op](b), fa and fb and op != "plus"
-            case R.If(cond, then, other):
-                m, (a, fa), (b, fb) = self.mask(cond), self.lanes(then), self.lanes(other)
-                return a.chosen(m, b), fa and fb
-        raise TypeError(f"{type(node).__name__} must be resolved before it is compiled")
+            return self.lit(even if self.t % 2 == 0 else even ^ full(self.w))
+        return F.when((F.col("y") + self.t) % 2 == 0, self.lit(full(self.w))).otherwise(self.lit(0))
 
 
 def step(p: Packed, rule: R.Node, t: int) -> Packed:
-    """One generation of a grid in bit planes. A grid of one word a row, or of odd height with Margolus rules, is exchanged like any other."""
-    c = Compiler(exchanged(p), p, t)
+    """One generation of a grid in bit planes."""
+    c = ColumnPlanes(exchanged(p), p, t)
     value, _ = c.lanes(optimised(rule, t))
-    value = value.resized(p.states.bits)
-    words = c.frame.select("y", "wx", *[x.alias(n) for n, x in zip(p.planes, value.planes)])
+    words = c.frame.select("y", "wx", *[x.alias(n) for n, x in zip(p.planes, value.resized(p.states.bits).planes)])
     return Packed(words, p.kind, p.width, p.height, p.states, p.word)
 
 
 def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, word: int = 32) -> Grid:
-    """``steps`` generations; the grid's width must be a multiple of ``word``."""
+    """``steps`` generations; the grid's width must be a multiple of ``word``, and the rule must give states only."""
     p = to_bit_planes(grid, word)
     for k in range(steps):
         p = step(p, rule, first + k)
