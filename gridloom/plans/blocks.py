@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridloom.functions import rules as R
 from gridloom.functions.arrays import advance
@@ -54,24 +53,61 @@ def plan(grid: Grid, block: int, depth: int, steps: int) -> tuple[list[int], lis
     return ys, xs, depth
 
 
+#: Cells that a task gathers before it deals them to blocks.
+GATHERED = 1 << 20
+
+
 def to_blocks(grid: Grid, ys: list[int], xs: list[int], dtype: str) -> DataFrame:
-    """(by, bx, cells): each block's cells row after row."""
+    """(by, bx, cells): each block's cells row after row.
 
-    def block_of(c: str, e: list[int]):  # noqa: ANN202
-        """Block i begins at size * i div n, so cell c is in block ((c + 1) * n - 1) div size."""
-        return F.expr(f"int((({c} + 1L) * {len(e) - 1} - 1) div {e[-1]})")
+    Tasks first pack their own cells by block, so that what is shuffled and sorted is a few binary rows instead of a row a cell.
+    """
+    ny, nx = len(ys) - 1, len(xs) - 1
 
-    rows = grid.cells.select(block_of("y", ys).alias("by"), block_of("x", xs).alias("bx"), "y", "x", "s")
+    def parts(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        low, left = np.array(ys), np.array(xs)
+
+        def dealt(held: list) -> pa.RecordBatch:
+            x, y, s = (np.concatenate(c).astype("i8") for c in zip(*held))
+            by, bx = ((y + 1) * ny - 1) // ys[-1], ((x + 1) * nx - 1) // xs[-1]  # block i begins at size * i div n
+            place = ((y - low[by]) * (left[bx + 1] - left[bx]) + x - left[bx]).astype("i4")
+            block = by * nx + bx
+            order = np.argsort(block, kind="stable")
+            block, place, s = block[order], place[order], s[order].astype(dtype)
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            each = list(zip(cuts, cuts[1:]))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(block[i]) // nx for i, _ in each], pa.int32()),
+                    pa.array([int(block[i]) % nx for i, _ in each], pa.int32()),
+                    pa.array([place[i:j].tobytes() for i, j in each], pa.binary()),
+                    pa.array([s[i:j].tobytes() for i, j in each], pa.binary()),
+                ],
+                names=["by", "bx", "places", "states"],
+            )
+
+        held, n = [], 0
+        for batch in batches:
+            held.append([np.asarray(batch.column(i)) for i in range(3)])
+            n += batch.num_rows
+            if n >= GATHERED:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
 
     def pack(table: pa.Table) -> pa.Table:
         import numpy as np
 
         by, bx = table["by"][0].as_py(), table["bx"][0].as_py()
-        h, w = ys[by + 1] - ys[by], xs[bx + 1] - xs[bx]
-        out = np.zeros((h, w), dtype)
-        out[table["y"].to_numpy() - ys[by], table["x"].to_numpy() - xs[bx]] = table["s"].to_numpy()
+        out = np.zeros((ys[by + 1] - ys[by]) * (xs[bx + 1] - xs[bx]), dtype)
+        for places, states in zip(table["places"].to_pylist(), table["states"].to_pylist()):
+            out[np.frombuffer(places, "i4")] = np.frombuffer(states, dtype)
         return pa.table({"by": pa.array([by], pa.int32()), "bx": pa.array([bx], pa.int32()), "cells": pa.array([out.tobytes()], pa.binary())})
 
+    rows = grid.cells.select("x", "y", "s").mapInArrow(parts, "by int, bx int, places binary, states binary")
     return rows.groupBy("by", "bx").applyInArrow(pack, "by int, bx int, cells binary")
 
 
