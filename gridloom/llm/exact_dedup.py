@@ -38,6 +38,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     return single.select(F.col("_sha").alias("text_sha256"), "keep_id", sure.alias("group_size"))
 
 
+def _apart(winners: DataFrame, sha: str) -> DataFrame:
+    """The classes with their digest turned round as ``_key``, to be joined by.
+
+    As it isn't what the classes were grouped by, both sides of the join are shuffled for it alone, and so a digest
+    that a third of all rows have can be split over tasks as the job runs; the other side has one row for it.
+    """
+    return winners.withColumn("_key", F.reverse(sha)).drop(sha)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """Every row of ``docs`` as (id, keep_id, group_size, kept, text_sha256).
 
@@ -48,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     included, are not looked at.
     """
     members = docs.select(F.col(id_col).alias(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256"))
-    return members.join(classes(docs, id_col, text_col, salts), "text_sha256").select(
+    return members.join(_apart(classes(docs, id_col, text_col, salts), "text_sha256"), F.reverse("text_sha256") == F.col("_key")).select(
         id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -56,6 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each distinct text, columns unchanged."""
     sha = F.sha2(normalised(F.col(text_col)), 256)
-    winners = classes(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    kept = docs.withColumn("_sha", sha).join(winners, "_sha").where(F.col(id_col).eqNullSafe(F.col("_keep")))
+    winners = _apart(classes(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")), "_sha")
+    rows = docs.withColumn("_sha", sha)
+    kept = rows.join(winners, F.reverse("_sha") == F.col("_key")).where(F.col(id_col).eqNullSafe(F.col("_keep")))
     return kept.dropDuplicates(["_sha"]).select(*[kept[f"`{c}`"] for c in docs.columns])
