@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut
 
 
+def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their first node's m. Joined by a turned node, for which alone both sides are shuffled, so that a node of very many edges can be split over tasks."""
+    turned = least.select(F.col("a").bitwiseXOR(F.lit(1).cast("long")).alias("_a"), "m")
+    return edges.join(turned, F.col("a").bitwiseXOR(F.lit(1).cast("long")) == F.col("_a"))
+
+
 def _pull(edges: DataFrame) -> DataFrame:
     """Large star: of (a, b) with a > b, every node's larger neighbours move to its smallest neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _least_of(both.where(F.col("b") > F.col("a")), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _fold(edges: DataFrame) -> DataFrame:
     """Small star: every node and its smaller neighbours move to the smallest of these."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _least_of(edges, least).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
