@@ -119,7 +119,8 @@ class Ledger:
             .agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in at], F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda s: s["said"]), ",").alias("spans"))
         )
         paths = versions.select(F.col(id_col).alias(id_col), F.sha2(filled(text_col), 256).alias("blob"))
-        joined = paths.join(per_blob, "blob", "left")
+        # Turned round, so that the join's shuffles are its own and a blob that very many paths have can be split over tasks.
+        joined = paths.join(per_blob.withColumn("_blob", F.reverse("blob")).drop("blob"), F.reverse("blob") == F.col("_blob"), "left")
         spans = F.coalesce("spans", F.lit(""))
         return joined.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in at], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
