@@ -26,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 X = Y = 64
-BENCH = 1024
 
 
 def _grid(spark: SparkSession, sf_dir: str, states: States, x: int = X, y: int = Y, table: str = "lineitem", keys: tuple[str, str] = ("l_orderkey", "l_partkey")) -> Grid:
@@ -63,7 +62,7 @@ def _b(v: object) -> str:
 def _around_sql(source: str, t: str = "t", where: str = "") -> str:
     """(t, x, y, nw .. se) from (t, x, y, s)."""
     picks = ", ".join(f"max(CASE WHEN dx = {dx} AND dy = {dy} THEN s END) AS {n}" for n, (dx, dy) in _AROUND.items())
-    return f"SELECT {t} AS t, CAST((x - dx + {{X}}) % {{X}} AS INT) AS x, CAST((y - dy + {{Y}}) % {{Y}} AS INT) AS y, {picks} FROM {source}, (VALUES {_OFFS}) AS o(dx, dy) {where} GROUP BY ALL".replace(f"SELECT {t} AS t, ", f"SELECT {t} AS t, ")
+    return f"SELECT {t} AS t, CAST((x - dx + {{X}}) % {{X}} AS INT) AS x, CAST((y - dy + {{Y}}) % {{Y}} AS INT) AS y, {picks} FROM {source}, (VALUES {_OFFS}) AS o(dx, dy) {where} GROUP BY ALL"
 
 
 def _sized(sql: str, x: int = X, y: int = Y) -> str:
@@ -129,7 +128,7 @@ _add(
     lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 96, 48, "orders", ("o_orderkey", "o_custkey")), AUTOMATA["game-of-life"].rule, 4).cells,
     _run_sql(_RULES["game-of-life"][1], 2, 4, 96, 48, table="orders", keys=("o_orderkey", "o_custkey")),
 )
-_add("ca_gol_tiny_t5", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 2, 1), AUTOMATA["game-of-life"].rule, 5, "cells").cells, None)
+_add("ca_gol_tiny_t5", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 2, 1), AUTOMATA["game-of-life"].rule, 5, "cells").cells, _run_sql(_RULES["game-of-life"][1], 2, 5, 2, 1))
 _add("ca_gol_strips_t64_512", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 512, 512), AUTOMATA["game-of-life"].rule, 64, "strips").cells, None)
 
 
