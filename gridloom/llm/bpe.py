@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import filled
+from gridloom.llm.common import filled, short_batches
 
-#: Pieces and token pairs remembered by one worker; when full, the memory is begun anew.
+#: Pieces, and token pairs, that one worker remembers at most.
 MEMO = 400_000
 
 
@@ -59,7 +59,8 @@ class Bpe:
             self.tokens.add_word(token.decode("latin-1"), rank)
         self.tokens.make_automaton()
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.last: dict[int, tuple[int, int] | None] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -77,7 +78,8 @@ class Bpe:
         ``right``; the later a half was made the longer it stands. Walking back in time, each pair that stood there
         together must not have had a rank lower than the union that ended it. Of equal ranks the leftmost union is made.
         """
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         if len(self.pairs) >= self.memo:
@@ -94,7 +96,7 @@ class Bpe:
                 before, a = a, x[1]
             else:
                 before, b = b + 1, y[0]
-        self.pairs[left, right] = known
+        self.pairs[pair] = known
         return known
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -134,9 +136,12 @@ class Bpe:
         for piece in self.split(text):
             ids = get(piece)
             if ids is None:
-                if len(pieces) >= self.memo:
-                    pieces.clear()
-                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                # Half of the memory is for what was met lately; when it is full it becomes the older half, which is forgotten next.
+                if len(pieces) >= self.memo // 2:
+                    self.older, self.pieces = pieces, {}
+                    pieces = self.pieces
+                    get = pieces.get
+                ids = self.older.get(piece) or self.encode_piece(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= 64:
                     pieces[piece] = ids
             extend(ids)
@@ -162,6 +167,7 @@ def _tokenizer(rank_file: str | None, pattern: str | None) -> tuple[str, str]:
 
 def encode(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with an array of token ids added; a column of that name is replaced. Null texts have no tokens."""
+    short_batches(docs.sparkSession)
     rank_file, pattern = _tokenizer(rank_file, pattern)
     names = [c for c in docs.columns if c.lower() != ids_col.lower()]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
@@ -196,6 +202,7 @@ def encoded_and_checked(docs: DataFrame, rank_file: str | None = None, pattern:
     Null and empty texts have no tokens; repeated rows and null ids are carried; an empty table gives an empty result;
     columns other than the two named are not looked at. Both digests are taken where the ids are.
     """
+    short_batches(docs.sparkSession)
     rank_file, pattern = _tokenizer(rank_file, pattern)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))] * keep_ids)

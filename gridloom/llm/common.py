@@ -43,6 +43,13 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long, so Python workers are to get them in batches of at most ``rows``; applies to what the session runs from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; texts of ASCII alone take the quick way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, filled
+from gridloom.llm.common import cut, filled, short_batches
 
 FIT_ROWS = 8_000
 GRAMS = 1 << 16
@@ -180,6 +180,7 @@ def language_id(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
     Without any labelled document there is no language to tell: every ``lang`` is null.
     """
+    short_batches(docs.sparkSession)
     rows = document_rows(docs).unionByName(page_rows(pages))
     model = train(docs)
     if model is None:

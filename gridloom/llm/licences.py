@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import filled
+from gridloom.llm.common import filled, short_batches
 
 THRESHOLD = 0.8
 
@@ -160,6 +160,7 @@ def licence_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     Texts that are null or empty or have no match have 0 hits, a null licence and a ``best_dice`` of 0. Repeated rows and null ids
     are carried; an empty table gives an empty result; columns other than the two named are not looked at.
     """
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     hit = T.StructType([T.StructField("licence", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("dice", T.DoubleType())])
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_hits", T.LongType()), T.StructField("licence", T.StringType()), T.StructField("best_dice", T.DoubleType()), T.StructField("hits", T.ArrayType(hit))])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import filled
+from gridloom.llm.common import filled, short_batches
 
 FIT_ROWS = 12_000
 POOL_ROWS = 6_000
@@ -224,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled documents; a document is fit if its quality is 1 and it isn't toxic. Of conflicting labels of an id the majority counts."""
     import numpy as np
 
+    short_batches(docs.sparkSession)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(good) >= 0.5).cast("int").alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import cut, filled
+from gridloom.llm.common import cut, filled, short_batches
 from gridloom.llm.components import components
 
 RADIUS = 2
@@ -199,6 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are each reported. Null ids are carried, and a component of null ids alone has a null ``component_id``. An empty table gives an
     empty result. Columns other than the two named are not looked at.
     """
+    short_batches(docs.sparkSession)
     each = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(each.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(fingerprint_links(distinct.select("fp"), hot))
