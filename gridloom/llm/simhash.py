@@ -31,26 +31,37 @@ HOT = 8192
 LANES = 1 << 20
 
 
-def fingerprint(text: str) -> int:
-    """64 bits, each 1 if set in over half the hashes of the text's word shingles."""
+def shingle_hashes(text: str, shingle: int = SHINGLE):  # noqa: ANN201
+    """The hashes of the text's word shingles as uint64; of fewer words than a shingle that of the whole, and of none nothing."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone splits
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     whole = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxh64_intdigest(whole, SEED)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(whole, SEED)], "<u8")
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: len(words) - SHINGLE]]
-    hashes = np.array([xxh64_intdigest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])], "<u8")
+    starts = [0, *ends[: len(words) - shingle]]
+    return np.array([xxh64_intdigest(whole[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :])], "<u8")
+
+
+def majority(hashes) -> int:  # noqa: ANN001
+    """64 bits, each 1 if set in over half the hashes."""
+    import numpy as np
+
     counts = np.zeros(64, "int64")
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """64 bits, each 1 if set in over half the hashes of the text's word shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
 
