@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, everything else lower-cased words; punctuation is not looked at.
 Windows of the canonical words are hash-joined between documents and benchmark items. Every hit is then verified on the words themselves,
 and its slots are checked for consistency: the slots of the item's window that hold one value hold one value in the document too,
-and different ones differ, so ``Anna gave Ben 3 km`` meets ``Eva gave Tom 7 miles`` and not ``Eva gave Eva 7 miles``.
+and different ones differ, so ``Anna gave Ben 3 km of rope and left`` meets ``Eva gave Tom 7 miles of rope and left`` and not ``Eva gave Eva 7 miles of rope and left``.
+Windows with few literal words are found by their very values, and with other values by a longer window that has enough literal words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from gridloom.llm.common import cut, filled
 WINDOW = 8
 #: Words that must be literal in a window of WINDOW words; shorter windows need min(LITERALS, words).
 LITERALS = 5
-#: Items of fewer words than this have no window.
+#: Items of fewer words than this are found only where their very words are a whole sentence or line, or anywhere if of a script without spaces.
 SHORTEST = 5
 #: Benchmark windows of at most so many rows are broadcast; beyond that both sides are shuffled by the window's hash.
 BROADCAST_ROWS = 1_000_000
@@ -25,6 +26,9 @@ BROADCAST_ROWS = 1_000_000
 TOKEN = r"(?:[.!?\n][^\p{L}0-9]*)?(?:[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+)"
 #: What may stand before the word itself in a token is all that is neither letter nor digit.
 LEAD = r"^[^\p{L}0-9]+"
+START = r"^[.!?\n]"
+#: Scripts that don't part words, whose tokens are clauses.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Unit words that count as units straight after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz pound pounds ounce ounces ton tons "
@@ -59,25 +63,50 @@ def canonical(toks: Column, first_is_start: bool = True) -> Column:
     return F.transform(toks, one)
 
 
-def _windows(words: Column, length: int) -> Column:
+def _windows(words: Column, length: int, toks: Column | None = None) -> Column:
+    """Of the words as they are (``exact``) if ``toks`` are given; ``whole`` then says that they are a sentence or line."""
     starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+    opens = lambda i: F.regexp_like(F.get(toks, i), F.lit(START))
+    whole = lambda i: F.lit(False) if toks is None or length >= SHORTEST else ((i == 1) | opens(i - 1)) & ((i + length > F.size(toks)) | opens(i + (length - 1)))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(toks is not None).alias("exact"), whole(i).alias("is_whole"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+
+
+def _values(toks: Column) -> Column:
+    return F.transform(toks, lambda x: F.lower(_bare(x)))
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item, pos, length, key, words, slots for each distinct window; a first word that may be a name is taken both ways.
+    """item, pos, length, exact, whole, key, words, slots for each distinct window; a first word that may be a name is taken both ways.
 
-    ``item`` is a structure of the id, as a null id too is to be joined by.
+    ``item`` is a structure of the id, as a null id too is to be joined by. Windows of too few literal words have their
+    very values (``exact``), and besides the first longer window about them that has enough literal words, if there is one.
     """
-    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), tokens(filled(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
-    both = items.select("item", "toks", F.explode(F.array_distinct(F.array(canonical(F.col("toks")), canonical(F.col("toks"), False)))).alias("canon"))
+    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), tokens(filled(text_col)).alias("toks")).where(F.size("toks") > 0)
+    both = items.where(F.size("toks") >= SHORTEST).select("item", "toks", F.explode(F.array_distinct(F.array(canonical(F.col("toks")), canonical(F.col("toks"), False)))).alias("canon"))
     length = F.least(F.size("canon"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("canon") - length + 1)
     rows = both.select("item", "toks", "canon", length.alias("length"), F.explode(starts).alias("pos"))
-    rows = rows.select("item", "pos", "length", F.slice("canon", F.col("pos"), F.col("length")).alias("words"), F.slice("toks", F.col("pos"), F.col("length")).alias("raw"))
-    literal = F.size(F.filter("words", lambda w: ~w.startswith("<")))
-    rows = rows.where(literal >= F.least(F.col("length"), F.lit(LITERALS))).withColumn("slots", _slots(F.col("words"), F.col("raw")))
-    return rows.withColumn("key", F.xxhash64("words")).drop("raw").dropDuplicates(["item", "pos", "words"])
+    literal = lambda start, size: F.size(F.filter(F.slice("canon", start, size), lambda w: ~w.startswith("<")))
+    enough = literal(F.col("pos"), F.col("length")) >= F.least(F.col("length"), F.lit(LITERALS))
+    shape = lambda start, size, exact: F.struct(start.cast("int").alias("start"), size.alias("length"), F.lit(exact).alias("exact"))
+    longer = F.lit(None)
+    for times in (4, 2):
+        size = F.least(F.size("canon"), F.lit(times * window))
+        start = F.least(F.col("pos"), F.size("canon") - size + 1)
+        longer = F.when((size > F.col("length")) & (literal(start, size) >= LITERALS), shape(start, size, False)).otherwise(longer)
+    own = lambda exact: shape(F.col("pos"), F.col("length"), exact)
+    shapes = F.when(enough, F.array(own(False))).otherwise(F.filter(F.array(own(True), longer), lambda x: x.isNotNull()))
+    rows = rows.select("item", "toks", "canon", "pos", F.inline(shapes)).withColumn("whole", F.lit(False))
+    short = items.where(F.size("toks") < SHORTEST).select("item", "toks", F.col("toks").alias("canon"), F.lit(1).alias("pos"), F.lit(1).alias("start"), F.size("toks").alias("length"), F.lit(True).alias("exact"), (~F.exists("toks", lambda x: F.regexp_like(x, F.lit(UNSPACED)))).alias("whole"))
+    rows = _taken(rows.unionByName(short), "start")
+    return rows.withColumn("key", F.xxhash64("words")).select("item", "pos", "length", "exact", "whole", "key", "words", "slots").dropDuplicates(["item", "pos", "exact", "words"])
+
+
+def _taken(rows: DataFrame, start: str) -> DataFrame:
+    """``rows`` with the words and slots of the window at ``start`` instead of their tokens: canonical ones, or the values if exact."""
+    part = lambda c: F.slice(c, F.col(start), F.col("length"))
+    rows = rows.withColumn("raw", part(F.col("toks"))).withColumn("words", F.when(F.col("exact"), _values(F.col("raw"))).otherwise(part(F.col("canon"))))
+    return rows.withColumn("slots", F.when(~F.col("exact"), _slots(F.col("words"), F.col("raw"))).otherwise(F.array().cast("array<bigint>"))).drop("toks", "canon", "raw")
 
 
 def _slots(words: Column, raw: Column) -> Column:
@@ -89,25 +118,27 @@ def _slots(words: Column, raw: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document id and item that share a window: id, item_id, n_windows (the item's windows found), coverage (of the item's windows).
 
-    Null texts are empty; documents shorter than every window and items of fewer than SHORTEST words match nothing; null
+    Null texts are empty; texts without words match nothing; null
     ids are carried; rows that repeat an id are one document with several texts. Empty tables give an empty result. Other
     columns are not looked at.
     """
     bench = cut(item_windows(benchmark, item_col, item_text, window))
-    lengths = sorted(r[0] for r in bench.select("length").distinct().collect())  # at most window - SHORTEST + 1 of them
+    kinds = sorted((r[0], r[1]) for r in bench.select("exact", "length").distinct().collect())  # exact ones of at most window lengths, others of at most 4 * window
     few = bench.count() <= BROADCAST_ROWS
     rows = docs.select(F.col(id_col).alias("id"), tokens(filled(text_col)).alias("toks"))
-    words = rows.select("id", canonical(F.col("toks")).alias("words"))
-    side = bench.select("item", F.col("pos").alias("ipos"), "length", "key")
-    made = words.select("id", F.inline(F.concat(*[_windows(F.col("words"), n) for n in lengths] or [F.array().cast("array<struct<pos:int,length:int,key:bigint>>")])))
-    hits = cut(made.join(F.broadcast(side) if few else side, ["length", "key"]).select("id", "pos", "item", "ipos", "length"))
+    exact = any(k for k, _ in kinds)
+    words = rows.select("id", canonical(F.col("toks")).alias("words"), *([F.col("toks"), _values(F.col("toks")).alias("said")] if exact else []))
+    side = bench.select("item", F.col("pos").alias("ipos"), "length", "exact", "whole", "key")
+    each = [_windows(F.col("said"), n, F.col("toks")) if k else _windows(F.col("words"), n) for k, n in kinds]
+    made = words.select("id", F.inline(F.concat(*each or [F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")])))
+    hits = made.join(F.broadcast(side) if few else side, ["length", "exact", "key"]).where(~F.col("whole") | F.col("is_whole"))
+    hits = cut(hits.select("id", "pos", "item", "ipos", "length", "exact"))
     suspects = docs.select(F.col(id_col).alias("id"), filled(text_col).alias("text")).join(hits.select("id").distinct().withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     suspects = suspects.select("id", tokens(F.col("text")).alias("toks")).select("id", "toks", canonical(F.col("toks")).alias("canon"))
     found = suspects.join(hits.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")))
-    found = found.select("id", "item", "ipos", F.slice("canon", F.col("pos"), F.col("length")).alias("words"), F.slice("toks", F.col("pos"), F.col("length")).alias("raw"))
-    found = found.select("id", "item", "ipos", "words", _slots(F.col("words"), F.col("raw")).alias("slots"))
-    right = bench.select("item", F.col("pos").alias("ipos"), "words", "slots")
-    sure = found.join(F.broadcast(right) if few else right, ["item", "ipos", "words", "slots"])
+    found = _taken(found.select("id", "item", "ipos", "pos", "length", "exact", "toks", "canon"), "pos").select("id", "item", "ipos", "exact", "words", "slots")
+    right = bench.select("item", F.col("pos").alias("ipos"), "exact", "words", "slots")
+    sure = found.join(F.broadcast(right) if few else right, ["item", "ipos", "exact", "words", "slots"])
     totals = bench.groupBy("item").agg(F.countDistinct("pos").alias("_of"))
     per = sure.groupBy("id", "item").agg(F.countDistinct("ipos").alias("n_windows"))
     return per.join(F.broadcast(totals) if few else totals, "item").select(
