@@ -1,13 +1,15 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Whole texts, their paragraphs, lines and sentences are compared. For a threshold t a unit can reach a template of n
+Whole texts, their paragraphs, lines and sentences are compared, and then, where none of them matches, all windows of the text's words, so that notices
+that are wrapped, commented or in the midst of prose are found. For a threshold t a unit can reach a template of n
 bigrams only if it has between n*t/(2-t) and n*(2-t)/t of them, which prunes templates by size, and only if it has one of any
 n - ceil(n*t/(2-t)) + 1 bigrams of the template, which prunes units: an automaton over these few *anchors* reads each text
-once, and units without an anchor are not looked at again.
+once, and units without an anchor are not looked at again. The best windows begin and end with bigrams of the template, and have n*t/(2-t) of them.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -135,8 +137,53 @@ class Scanner:
         for score, _, a, b, name in sorted(hits):
             if all(b <= x[1] or a >= x[2] for x in out):
                 out.append((name, a, b, -score))
+        spots = [(w, m.start(), m.end()) for m in _WORD.finditer(text) for w in words(m[0])]
+        while more := self.windows(spots, out):
+            out += more
         return sorted(out, key=lambda x: x[1])
 
+    def windows(self, spots: list[tuple[str, int, int]], taken: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """Hits like those of ``scan`` among all runs of words that don't overlap ``taken``: for each first word the best, and of these that overlap the best."""
+        spans, at = sorted((a, b) for _, a, b, _ in taken), 0
+        places: dict[tuple[str, str], list[int]] = {}
+        stretch, part = [], 0  # bigrams of one part have no hit between them
+        for k, ((v, a, _), (w, _, b)) in enumerate(zip(spots, spots[1:])):
+            while at < len(spans) and spans[at][1] <= a:
+                at, part = at + 1, part + 1
+            free = at == len(spans) or b <= spans[at][0]
+            stretch.append(part)
+            if free:
+                places.setdefault((v, w), []).append(k)
+        hits = []
+        for least, most, name, template in self.templates:
+            n = template.total()
+            of = sorted((k, g) for g in template for k in places.get(g, ()))
+            need = max(1, math.ceil(least - 1e-9))
+            for i in range(len(of) - need + 1):
+                first = of[i][0]
+                if of[i + need - 1][0] - first + 1 > most + 1e-9:
+                    continue
+                seen, common, best = Counter(), 0, None
+                for k, g in (of[m] for m in range(i, len(of))):
+                    size = k - first + 1
+                    if size > most + 1e-9 or stretch[k] != stretch[first]:
+                        break
+                    seen[g] += 1
+                    common += seen[g] <= template[g]
+                    d = 2 * common / (n + size)
+                    if d >= self.threshold and (best is None or d >= best[0]):
+                        best = (d, k)
+                if best:
+                    hits.append((-best[0], first - best[1], spots[first][1], spots[best[1] + 1][2], name))
+        out: list[tuple[str, int, int, float]] = []
+        kept: list[tuple[int, int]] = []
+        for score, _, a, b, name in sorted(hits, key=lambda h: h[:2]):  # of equals the first template
+            spot = bisect.bisect(kept, (a, b))
+            if (spot == 0 or kept[spot - 1][1] <= a) and (spot == len(kept) or kept[spot][0] >= b):
+                kept.insert(spot, (a, b))
+                out.append((name, a, b, -score))
+        return out
+
 
 def _cut(text: str, start: int, end: int, at: re.Pattern) -> Iterator[tuple[int, int]]:
     here = start
