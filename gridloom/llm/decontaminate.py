@@ -99,7 +99,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     rows = rows.select("item", "toks", "canon", "pos", F.inline(shapes)).withColumn("whole", F.lit(False))
     short = items.where(F.size("toks") < SHORTEST).select("item", "toks", F.col("toks").alias("canon"), F.lit(1).alias("pos"), F.lit(1).alias("start"), F.size("toks").alias("length"), F.lit(True).alias("exact"), (~F.exists("toks", lambda x: F.regexp_like(x, F.lit(UNSPACED)))).alias("whole"))
     rows = _taken(rows.unionByName(short), "start")
-    return rows.withColumn("key", F.xxhash64("words")).select("item", "pos", "length", "exact", "whole", "key", "words", "slots").dropDuplicates(["item", "pos", "exact", "words"])
+    return rows.withColumn("key", F.xxhash64("words")).select("item", "pos", "length", "exact", "whole", "key", "words", "slots").dropDuplicates(["item", "pos", "exact", "words", "slots"])
 
 
 def _taken(rows: DataFrame, start: str) -> DataFrame:

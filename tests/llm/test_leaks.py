@@ -35,3 +35,15 @@ def test_short_and_slot_heavy_items(spark, monkeypatch):
         got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contamination(docs, bench).collect()}
         assert set(got) == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5), (10, 6)}
         assert got[1, 1] == got[3, 2] == 1 and got[10, 6] == 0.5
+
+
+def test_items_that_share_an_id_keep_each_slot_pattern(spark):
+    ends = ["gave the old red boat to", "before they all went home again"]
+    texts = [f"so {a} {ends[0]} {b} {ends[1]}" for a, b in (("Anna", "Ben"), ("Eva", "Eva"))]
+    docs = spark.createDataFrame([(1, f"x so Tom {ends[0]} Lars {ends[1]}"), (2, f"x so Tom {ends[0]} Tom {ends[1]}")], "doc_id long, text string")
+    for item in (1, None):
+        bench = spark.createDataFrame([(item, t) for t in texts], "item_id long, text string")
+        wide = {r.doc_id: r.n_windows for r in decontaminate.contamination(docs, bench).collect()}
+        assert set(wide) == {1, 2} and wide[1] == wide[2]
+        assert bench.count() == 2 and decontaminate.item_windows(bench, "item_id", "text", 8).where("size(array_distinct(slots)) <> size(slots)").count() > 0
+        assert decontaminate.item_windows(bench, "item_id", "text", 8).where("size(slots) = 2 and size(array_distinct(slots)) = 2").count() > 0
