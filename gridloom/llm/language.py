@@ -8,7 +8,7 @@ Four kinds of evidence about a text are added as log probabilities:
 * the *host*: how the other texts of the host are distributed, smoothed towards the host's domain, and that towards the whole corpus.
 
 The weights of declarations and addresses, and the host and domain priors, are grouped aggregations over all rows. Only
-the trigram model is fitted on a sample, of at most FIT_ROWS labelled texts, those with the smallest hashed ids.
+the trigram model is fitted on a sample, of about FIT_ROWS labelled texts: of every language those with the smallest hashed ids, up to a number that is the same for all.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, filled, short_batches
@@ -79,8 +79,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     import numpy as np
 
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = labelled.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), F.col("_id")).limit(fit_rows)
-    sample = labelled.withColumn("_id", F.col(id_col)).join(F.broadcast(ids.distinct()), "_id").select(F.lower(label_col).alias("label"), filled(text_col).alias("text"))
+    labelled = labelled.withColumn("_label", F.lower(label_col)).withColumn("_id", F.col(id_col))
+    of = {r[0]: r[1] for r in labelled.groupBy("_label").count().collect()}
+    counts = sorted(of.values())
+    most, left = 1, fit_rows
+    for k, n in enumerate(counts):  # the languages with few rows leave their places to the others
+        most = max(most, min(n, left // (len(counts) - k)))
+        left -= min(n, most)
+    if of:  # no task is to sort all rows of a language: over twice the rows wanted are left, by hash
+        share = F.create_map(*[x for label, n in of.items() for x in (F.lit(label), F.lit(min(1.0, (2 * most + 50) / n)))])
+        thinned = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share[F.col("_label")] * F.lit(float(1 << 40)))
+    else:
+        thinned = labelled
+    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), F.col("_id"))
+    ids = thinned.select("_label", "_id", F.row_number().over(order).alias("_nth")).where(F.col("_nth") <= most).select("_label", "_id").distinct()
+    sample = labelled.join(F.broadcast(ids), ["_label", "_id"]).select(F.col("_label").alias("label"), filled(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, object] = {}
