@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import remove, written
 
 
 def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -32,12 +32,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b), root being the smallest node that can be reached.
 
     Links may be repeated, in either direction or from a node to itself; nodes with no link to another are not in the
-    result. Rounds grow with the logarithm of the number of nodes; each is written to the shared folder.
+    result. Rounds grow with the logarithm of the number of nodes; each is written to the shared folder, and the one before removed.
     """
     one_way = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges, before = cut(one_way.distinct()), None
+    (edges, path), before = written(one_way.distinct(), "links"), None
     while True:
-        edges = cut(_fold(_pull(edges)).distinct())
+        old, (edges, path) = path, written(_fold(_pull(edges)).distinct(), "links")
+        remove(links.sparkSession, old)
         # At the end each node has one edge, to its root: as many edges as nodes, and no root has an edge.
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

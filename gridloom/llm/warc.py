@@ -8,12 +8,10 @@ that of the largest id; the others are ``revisit`` records that refer to it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, shared_dir
+from gridloom.llm.common import filled, scratch
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -89,7 +87,7 @@ def parsed(records: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to an archive, read it back, and report each record: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/gridloom-warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "warc")
     write_archive(pages, path, min_bytes=min_bytes)
     return parsed(read_archive(spark, path)).select(
         F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"
