@@ -11,13 +11,12 @@ non-overlapping matches, extracting gives the matches, and a running sum over bo
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, shared_dir
+from gridloom.llm.common import filled, scratch
 
 
 @dataclass(frozen=True)
@@ -50,6 +49,9 @@ RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 
+#: Batches in which ``secret_scan`` takes a table in; the ledger spares later batches what earlier ones have scanned.
+BATCHES = 2
+
 HITS = "array<struct<gap:int,len:int,keep:boolean>>"
 MATCHES = f"array<struct<rule:string,hits:{HITS}>>"
 
@@ -84,8 +86,12 @@ def scan_blobs(versions: DataFrame, text_col: str, rules: tuple[Rule, ...] = RUL
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Spans of the rule versions given: blob, kind, start, end in code points, end exclusive."""
+    """Spans of the rule versions given: blob, kind, start, end in code points, end exclusive.
+
+    A blob that was scanned more than once for a rule version (by two writers, or in a retried append) counts once, as its scans are the same.
+    """
     rows = ledger.select("blob", F.inline("matches")).where(F.col("rule").isin([r.key for r in rules]))
+    rows = rows.groupBy("blob", "rule").agg(F.first("hits").alias("hits"))
     rows = rows.select("blob", "rule", F.posexplode("hits").alias("nth", "hit")).select("blob", "rule", "nth", "hit.*")
     so_far = Window.partitionBy("blob", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far)).where("keep")
@@ -93,7 +99,7 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class Ledger:
-    """A ledger kept at ``path``; ``scan`` adds what is new and returns the findings of the versions given."""
+    """A ledger kept at ``path``. ``add`` scans what is new, ``report`` joins findings to paths, ``scan`` does both."""
 
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path, rules
@@ -103,13 +109,12 @@ class Ledger:
         there = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path)
         return self.spark.read.schema(f"blob string, rules array<string>, matches {MATCHES}").parquet(self.path) if there else None
 
-    def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per row of ``versions``: id, n_assign, n_access, n_hex, base_sha256, spans.
-
-        Null texts are empty and have no findings; repeated rows each get the blob's findings; null ids are carried;
-        an empty table gives an empty result; columns other than the two named are not looked at.
-        """
+    def add(self, versions: DataFrame, text_col: str = "text") -> None:
+        """Scan the contents of ``versions`` for the rule versions that the ledger has not yet for them."""
         scan_blobs(versions, text_col, self.rules, self.rows()).write.mode("append").parquet(self.path)
+
+    def report(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The findings of all rows of ``versions``, whose contents have been added."""
         at = {r.kind: i for i, r in enumerate(self.rules)}
         rank = F.create_map(*[F.lit(v) for pair in at.items() for v in pair])
         span = F.struct("start", rank[F.col("kind")].alias("rank"), F.concat_ws(":", "kind", "start", "end").alias("said"))
@@ -124,8 +129,19 @@ class Ledger:
         spans = F.coalesce("spans", F.lit(""))
         return joined.select(id_col, *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in at], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
+    def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row per row of ``versions``: id, n_assign, n_access, n_hex, base_sha256, spans.
+
+        Null texts are empty and have no findings; repeated rows each get the blob's findings; null ids are carried;
+        an empty table gives an empty result; columns other than the two named are not looked at.
+        """
+        self.add(versions, text_col)
+        return self.report(versions, id_col, text_col)
+
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``Ledger.scan`` with the ledger at ``path``, or a new one in the shared folder."""
-    spark = docs.sparkSession
-    return Ledger(spark, path or f"{shared_dir(spark)}/gridloom-secrets-{uuid.uuid4().hex}").scan(docs, id_col, text_col)
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, batches: int = BATCHES) -> DataFrame:
+    """``Ledger.scan`` with the ledger at ``path``, or a new one in the shared folder, the table being added in ``batches`` dealt by id."""
+    ledger = Ledger(docs.sparkSession, path or scratch(docs.sparkSession, "secrets"))
+    for k in range(batches):
+        ledger.add(docs.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k), text_col)
+    return ledger.report(docs, id_col, text_col)

@@ -71,6 +71,21 @@ def test_ledger_scans_each_blob_once_a_rule_version(spark, secrets, tmp_path):
     assert sorted(r.rules for r in again.rows().collect())[-len(blobs) :] == [["hex@2"]] * len(blobs)
 
 
+def test_a_scan_that_two_writers_added_counts_once(spark, secrets, tmp_path):
+    one, two = (secret_scan.Ledger(spark, str(tmp_path / name)) for name in "ab")
+    one.add(secrets)
+    two.add(secrets)
+    two.rows().write.mode("append").parquet(one.path)
+    assert sorted(map(tuple, one.report(secrets).collect()), key=repr) == secrets_brute(SECRETS)
+
+
+def test_later_batches_scan_only_what_is_new(spark, tmp_path):
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('token=', repeat(cast(id % 4 as string), 9)) as text")
+    got = secret_scan.secret_scan(docs, path=str(tmp_path / "l")).collect()
+    assert len(got) == 40 and {r.spans for r in got} == {"assign:0:15"}
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 4
+
+
 @pytest.mark.parametrize("name", ["op5_secret_scan", "op10_decontaminate"])
 def test_scan_sql(spark, sf_dir, duck, collected, name):
     assert collected(QUERIES[name](spark, sf_dir)) == duck(ORACLES[name])
