@@ -69,6 +69,18 @@ def test_exact_drop(odd):
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6, 8, 9, 10]
 
 
+def test_digest_check_stays_in_plans(spark, odd):
+    for df in (exact_dedup.exact_dedup(odd), exact_dedup.drop_copies(odd), exact_dedup.exact_dedup(odd).select("doc_id")):
+        assert "raise_error" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_go_by_id_and_text(spark):
+    rows = [(1, "a"), (5, "A"), (5, "b"), (5, "b"), (None, "b"), (None, "c"), (None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect()), key=repr) == sorted([(5, "A"), (5, "b"), (None, "c")], key=repr)
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs.limit(2)).collect())) == [(5, "A")]
+
+
 def test_exact_sql(spark, sf_dir, duck, collected):
     from gridloom.llm.queries import ORACLES, QUERIES
 
