@@ -5,8 +5,9 @@ metadata: source, language, length. Each is a logistic model. Over some rounds e
 it is sure, and the other learns from these. On labelled rows that neither has learnt from, both views' outputs are
 calibrated and combined; the combination scores every document.
 
-Only the fit uses samples, of at most FIT_ROWS labelled and POOL_ROWS unlabelled documents, those with the smallest hashed ids; every
-document is scored, over its whole text.
+Only the fit uses samples, of at most FIT_ROWS labelled and POOL_ROWS unlabelled documents of the table, one row for each id, those with the
+smallest hashed ids; every document is scored, over its whole text. Co-training as published draws its unlabelled examples from a small random pool too,
+as the views' surest labels of any large pool teach the other view alike; README has figures for several sizes.
 """
 
 from __future__ import annotations
@@ -195,8 +196,11 @@ def co_train(texts: list, metas: list, labels, rounds: int = ROUNDS) -> Model |
     return model
 
 
-def _featured(docs: DataFrame, text: Column, source: Column, lang: Column, n_chars: Column) -> DataFrame:
-    """label, words, shape, meta: the features of labelled and pool rows, to be fitted on the driver."""
+FEATURED = "id string, label int, words binary, shape binary, meta array<int>"
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """From (id, label, text, source, lang, n): the features of labelled and pool rows, to be fitted on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_class()
@@ -209,29 +213,40 @@ def _featured(docs: DataFrame, text: Column, source: Column, lang: Column, n_cha
                 metas.append(meta_features(s, lg, n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(shapes, pa.binary()), pa.array(metas, pa.list_(pa.int32()))], names=["id", "label", "words", "shape", "meta"])
 
-    rows = docs.select(F.col("_id").alias("id"), F.col("_label").alias("label"), text.alias("text"), source.alias("source"), lang.alias("lang"), n_chars.alias("n"))
-    return rows.mapInArrow(run, "id long, label int, words binary, shape binary, meta array<int>")
+    return rows.mapInArrow(run, FEATURED)
 
 
 def _meta_columns(docs: DataFrame) -> tuple[Column, Column, Column]:
-    """Source, language and length, null where the table lacks the column."""
-    has = {c.lower() for c in docs.columns}
-    pick = lambda name, kind: (F.col(name).cast(kind) if name in has else F.lit(None).cast(kind)).alias(f"_{name}")
+    """Source, language and length, null where the table lacks the column or the length is no number."""
+    at = {c.lower(): c for c in docs.columns}
+    pick = lambda name, kind: (F.col(f"`{at[name]}`").try_cast(kind) if name in at else F.lit(None).cast(kind)).alias(f"_{name}")
     return pick("source", "string"), pick("lang", "string"), pick("n_chars", "long")
 
 
+def chosen_ids(docs: DataFrame, labels: DataFrame, id_col: str, fit_rows: int, pool_rows: int) -> DataFrame:
+    """(_id, _label) of the rows to fit on: distinct ids of ``docs`` alone, at most ``fit_rows`` labelled ones and ``pool_rows`` others, whose label is -1."""
+    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(good) >= 0.5).cast("int").alias("_label"))
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    ids = ids.join(known, "_id", "left").select("_id", F.coalesce("_label", F.lit(-1)).alias("_label"))
+    order = [F.xxhash64("_id"), F.col("_id")]
+    return ids.where("_label >= 0").orderBy(*order).limit(fit_rows).unionByName(ids.where("_label < 0").orderBy(*order).limit(pool_rows))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> Model | None:
-    """Fit on labelled documents; a document is fit if its quality is 1 and it isn't toxic. Of conflicting labels of an id the majority counts."""
+    """Fit on labelled documents; a document is fit if its quality is 1 and it isn't toxic. Of conflicting labels of an id the majority counts.
+
+    Labels of ids that ``docs`` lacks, null ids and null qualities teach nothing and take no places of the sample. Of rows that repeat an id one is
+    fitted on, that with the smallest hash. Without labelled rows of both kinds there is no model.
+    """
     import numpy as np
 
     short_batches(docs.sparkSession)
-    good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(good) >= 0.5).cast("int").alias("_label"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    ids = docs.select(F.col(id_col).alias("_id"))
-    chosen = known.orderBy(*order).limit(fit_rows).unionByName(ids.join(known, "_id", "left_anti").where("_id is not null").withColumn("_label", F.lit(-1)).orderBy(*order).limit(pool_rows))
-    sample = docs.withColumn("_id", F.col(id_col)).join(F.broadcast(chosen), "_id")  # fit_rows + pool_rows rows of 12 bytes at most
-    table = _featured(sample, filled(text_col), *_meta_columns(docs)).toArrow()
+    chosen = chosen_ids(docs, labels, id_col, fit_rows, pool_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), filled(text_col).alias("text"), *_meta_columns(docs)).join(F.broadcast(chosen), "_id")  # fit_rows + pool_rows rows of 12 bytes at most
+    rows = rows.select("_id", "_label", F.struct(F.xxhash64("text", "_source", "_lang", "_n_chars").alias("h"), "text", "_source", "_lang", "_n_chars").alias("row"))
+    rows = rows.groupBy("_id", "_label").agg(F.min("row").alias("row")).select(F.col("_id").cast("string").alias("id"), F.col("_label").alias("label"), "row.text", "row._source", "row._lang", "row._n_chars")
+    table = _featured(rows).toArrow()
     if not table.num_rows:
         return None
     rows = sorted(zip(*[table[c].to_pylist() for c in ("id", "words", "shape", "meta", "label")]), key=lambda r: r[:2])
@@ -271,21 +286,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_unfit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, columns unchanged."""
+    """The rows of ``docs`` that score at least ``threshold``, columns unchanged.
+
+    Each row is scored by itself, so rows that repeat an id or a text each stay or go by their own content; null ids and texts, metadata of other types and
+    further columns are dealt with as ``score`` does. Without a model every row stays.
+    """
     model = train(docs, labels, id_col, text_col)
-    names = docs.columns
-    at = {c.lower(): i for i, c in enumerate(names)}
     if model is None:
         return docs
+    names, at = docs.columns, [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_class()
         for batch in batches:
-            pick = lambda name, i: batch.column(at[name])[i].as_py() if name in at else None  # noqa: B023, E731
-            keep = [
-                model.score(*text_features(pick(text_col.lower(), i) or "", table), meta_features(pick("source", i), pick("lang", i), pick("n_chars", i)))[0] >= threshold
-                for i in range(batch.num_rows)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            n = len(names)
+            rows = zip(batch.column(at), *[batch.column(k).to_pylist() for k in (n, n + 1, n + 2)])
+            keep = [model.score(*text_features(t.as_py() or "", table), meta_features(s, lg, size))[0] >= threshold for t, s, lg, size in rows]
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.select(*[F.col(f"`{c}`") for c in names], *_meta_columns(docs)).mapInArrow(run, docs.schema)

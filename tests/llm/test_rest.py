@@ -6,7 +6,9 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, quality, warc
 from gridloom.llm.queries import ORACLES, QUERIES
@@ -196,3 +198,42 @@ def test_pipeline(spark, sf_dir, codec):
     want = sorted((i, codec[1].encode_ordinary(t)) for i, t, *_ in kept)
     got = pipe.run(spark, sf_dir).collect()
     assert sorted((r.doc_id, list(r.token_ids)) for r in got) == want and 0 < len(got) < 200
+
+
+def test_labels_of_other_tables_take_no_places(spark):
+    rows = [(i, ("fine words in a row " * 9 if i % 2 else "!!! ### $$$ " * 9), "src", "en", "90 chars") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars string")
+    own = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    foreign = spark.range(1000, 201_000).selectExpr("id as doc_id", "int(id % 2) as quality", "0 as toxic")
+    kept = {r.doc_id for r in quality.drop_unfit(docs, own).collect()}
+    assert len(kept) == 30 and kept == {r.doc_id for r in quality.drop_unfit(docs, own.union(foreign)).collect()}
+    assert kept == {r.doc_id for r in quality.classify(docs, own.union(foreign)).collect() if r.kept}
+
+
+def test_an_id_repeated_is_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(7, f"words {i} " * 5, "s", "en", 1) for i in range(10_000)] + [(i, "fine words " * (1 + i % 2), "s", "en", 9) for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100, 110)], "doc_id long, quality int, toxic int")
+    assert quality.chosen_ids(docs, labels, "doc_id", 12, 6).count() == 10 + 6
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda texts, metas, labels: seen.append((len(texts), len(labels))))
+    quality.train(docs, labels)
+    assert seen == [(21, 21)]
+    assert [r.n for r in quality.chosen_ids(docs, labels, "doc_id", 5, 3).groupBy((F.col("_label") >= 0).alias("l")).agg(F.count("*").alias("n")).orderBy("l").collect()] == [3, 5]
+
+
+def test_scores_are_the_models_own(spark, sf_dir):
+    """Scores by brute force: the logistic models' sums in NumPy, row by row."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels)
+    table = quality._byte_class()
+    sure = lambda z: 1 / (1 + np.exp(-z))
+    want = {}
+    for r in docs.collect():
+        words, shape = quality.text_features(r.text or "", table)
+        bins = [quality.WORDS + k * quality.BINS + sum(e < shape[k] for e in model.edges[k]) for k in range(quality.SHAPE)]
+        t = sum(float(model.text.weights[i]) for i in [*words, *bins]) + model.text.bias
+        m = sum(float(model.meta.weights[i]) for i in quality.meta_features(r.source, r.lang, r.n_chars)) + model.meta.bias
+        want[r.doc_id] = (sure(model.mix[0] * t + model.mix[1] * m + model.mix[2]), sure(t), sure(m))
+    for r in quality.score(docs, model).collect():
+        assert np.allclose((r.score, r.text_score, r.meta_score), want[r.doc_id], atol=1e-4) and r.kept == (r.score >= 0.5)
