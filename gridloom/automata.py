@@ -89,7 +89,7 @@ def _traffic() -> Node:
 
 _EVEN = lambda n: tuple((i, 1 / n) for i in range(n))
 _SHADES = {i: chr(ord("A") + i) if i < 26 else chr(ord("a") + i - 26) for i in range(32)}
-_GAS = {0: " ", 1: "·", 2: "·", 4: "·", 8: "·", 3: "○", 5: "○", 6: "○", 9: "○", 10: "○", 12: "○", 7: "◉", 11: "◉", 13: "◉", 14: "◉", 15: "█"}
+_GAS = {i: "0123456789abcdef"[i] if i else "." for i in range(16)}
 
 AUTOMATA: dict[str, Automaton] = {
     a.name: a

@@ -181,6 +181,10 @@ class Lanes:
         """Lanes that the mask lacks become 0."""
         return self._with([p.bitwiseAND(mask) for p in self.planes])
 
+    def masked_constant(self, word: int) -> Lanes:
+        """Lanes whose bit of the constant word is clear become 0."""
+        return self.masked(self.lit(_signed(word & (1 << self.width) - 1)))
+
     def chosen(self, mask: Column, other: Lanes) -> Lanes:
         """These lanes where the mask is set, the other's elsewhere."""
         return self.masked(mask).ored(other.masked(self._not(mask)))

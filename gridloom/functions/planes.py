@@ -175,18 +175,14 @@ def _packed(flags: np.ndarray) -> np.ndarray:
     return np.packbits(wide, axis=-1, bitorder="little").view("<u8")
 
 
-def advance_planes(rule: R.Node, states, block: np.ndarray, t: int, steps: int, x0: int, y0: int, width: int, height: int) -> np.ndarray:  # noqa: ANN001
-    """As ``arrays.advance``, 64 cells a word. A rule that gives something that is no state is an error."""
-    h, w = block.shape
-    ordinals = np.array(states.ordinals)
-    if states.plain:
-        index = block
-    else:
-        table = np.zeros(ordinals.max() + 1, "u1")
-        table[ordinals] = np.arange(len(ordinals))
-        index = table[block]
-    planes = [_packed((index >> i & 1).astype(bool)) for i in range(states.bits)]
-    x = (x0 - steps + np.arange(w)) % width
+def advance_words(rule: R.Node, states, planes: list[np.ndarray], t: int, steps: int, lane0: int, lanes: int, y0: int, width: int, height: int) -> list[np.ndarray]:  # noqa: ANN001
+    """``steps`` generations from step ``t`` of planes of words, 64 cells each, with ``steps`` rows of halo above and below, and as many lanes at least on both sides.
+
+    Lane 0 is column ``lane0`` of the whole grid, and ``lanes`` are meaningful; row ``steps`` is row ``y0``. The rows of the halo go; in x the outermost
+    lanes lose their meaning instead. A rule that gives something that is no state is an error.
+    """
+    across = planes[0].shape[1]
+    x = (lane0 + np.arange(across * 64)) % width
     trees: dict[int, tuple[R.Node, dict[int, object]]] = {}
     even_x = {p: _packed(((x + p) % 2 == 0)[None, :]) for p in (0, 1)}
     for k in range(steps):
@@ -202,19 +198,42 @@ def advance_planes(rule: R.Node, states, block: np.ndarray, t: int, steps: int,
             trees[step] = (tree, keys)
         c = ArrayPlanes(planes, states, t + k, even_x[(t + k) % 2], even_y, keys)
         value, _ = c.lanes(tree)
-        shape = (rows - 2, planes[0].shape[1])
+        shape = (rows - 2, across)
         if value.bits > states.bits:
-            side = np.zeros(shape[1] * 64, bool)
-            side[k + 1 : w - k - 1] = True
+            side = np.zeros(across * 64, bool)
+            side[k + 1 : lanes - k - 1] = True
             over = reduce(np.bitwise_or, [np.broadcast_to(p.v, shape) for p in value.planes[states.bits :]])
             if (over & _packed(side[None, :])).any():
                 raise ValueError("the rule gives numbers that are no states")
         planes = [np.broadcast_to(p.v, shape) for p in value.resized(states.bits).planes]
         planes = [p if p.flags.c_contiguous and p.flags.writeable else np.ascontiguousarray(p).copy() for p in planes]
-    out = np.zeros((len(planes[0]), w), "u1")
+    return planes
+
+
+def packed_planes(states, cells: np.ndarray) -> list[np.ndarray]:  # noqa: ANN001
+    """Planes of the dictionary indices of an array of ordinals."""
+    if states.plain:
+        index = cells
+    else:
+        table = np.zeros(max(states.ordinals) + 1, "u1")
+        table[list(states.ordinals)] = np.arange(len(states.ordinals))
+        index = table[cells]
+    return [_packed((index >> i & 1).astype(bool)) for i in range(states.bits)]
+
+
+def unpacked_planes(states, planes: list[np.ndarray], left: int, width: int) -> np.ndarray:  # noqa: ANN001
+    """The ordinals of ``width`` lanes from lane ``left`` on, as bytes where states allow it; an index of no state is an error."""
+    out = np.zeros((len(planes[0]), planes[0].shape[1] * 64), "u1")
     for i, p in enumerate(planes):
-        out |= np.unpackbits(np.ascontiguousarray(p).view("u1"), axis=1, bitorder="little")[:, :w] << np.uint8(i)
-    out = out[:, steps : w - steps]
-    if len(ordinals) < 1 << states.bits and out.size and out.max() >= len(ordinals):
+        out |= np.unpackbits(np.ascontiguousarray(p).view("u1"), axis=1, bitorder="little") << np.uint8(i)
+    out = out[:, left : left + width]
+    if len(states.ordinals) < 1 << states.bits and out.size and out.max() >= len(states.ordinals):
         raise ValueError("the rule gives numbers that are no states")
-    return np.ascontiguousarray((out if states.plain else ordinals[out]).astype(block.dtype))
+    return out if states.plain else np.array(states.ordinals)[out]
+
+
+def advance_planes(rule: R.Node, states, block: np.ndarray, t: int, steps: int, x0: int, y0: int, width: int, height: int) -> np.ndarray:  # noqa: ANN001
+    """As ``arrays.advance``, 64 cells a word. A rule that gives something that is no state is an error."""
+    w = block.shape[1]
+    planes = advance_words(rule, states, packed_planes(states, block), t, steps, x0 - steps, w, y0, width, height)
+    return np.ascontiguousarray(unpacked_planes(states, planes, steps, w - 2 * steps).astype(block.dtype))

@@ -120,23 +120,32 @@ class Grid:
 
     def checksum(self) -> DataFrame:
         """One row: the tile sums joined by hyphens."""
-        pairs = F.array_sort(F.collect_list(F.struct("tile", "sum")))
-        return self.tile_sums().agg(F.array_join(F.transform(pairs, lambda p: p["sum"].cast("string")), "-").alias("checksum"))
+        return checksum_of(self.tile_sums())
 
     def histogram(self) -> DataFrame:
         return self.cells.groupBy("s").agg(F.count(F.lit(1)).alias("cells"))
 
+    def lines(self) -> DataFrame:
+        """(y, line): each row's glyphs with a gap after every eight columns."""
+        glyph = F.create_map(*[x for o in self.states.ordinals for x in (F.lit(o), F.lit(self.states.glyph(o)))])[F.col("s")]
+        pairs = F.array_sort(F.collect_list(F.struct("x", glyph.alias("g"))))
+        groups = F.transform(F.sequence(F.lit(0), F.lit((self.width - 1) // 8)), lambda k: F.array_join(F.transform(F.slice(pairs, k * 8 + 1, F.lit(8)), lambda p: p["g"]), ""))
+        return self.cells.groupBy("y").agg(F.array_join(groups, " ").alias("line"))
+
     def rendered(self) -> str:
-        """Rows of glyphs with a gap after every eight columns and rows; collects the grid."""
-        rows = [[""] * self.width for _ in range(self.height)]
-        for r in self.cells.toLocalIterator():
-            rows[r.y][r.x] = self.states.glyph(r.s)
+        """All lines with a gap after every eight; the driver holds the text alone."""
         out = []
-        for y, row in enumerate(rows):
-            out += [""] * bool(y and y % 8 == 0) + [" ".join("".join(row[i : i + 8]) for i in range(0, self.width, 8))]
+        for r in self.lines().orderBy("y").toLocalIterator():
+            out += [""] * bool(r.y and r.y % 8 == 0) + [r.line]
         return "\n".join(out)
 
 
+def checksum_of(tile_sums: DataFrame) -> DataFrame:
+    """One row: the sums of (tile, sum) joined by hyphens."""
+    pairs = F.array_sort(F.collect_list(F.struct("tile", "sum")))
+    return tile_sums.agg(F.array_join(F.transform(pairs, lambda p: p["sum"].cast("string")), "-").alias("checksum"))
+
+
 def skeleton(spark: SparkSession, width: int, height: int) -> DataFrame:
     """Every (x, y) of a grid, made without a shuffle."""
     cell = F.col("id")

@@ -42,8 +42,13 @@ STEPS = (1024, 256, 128, 64)
 Y_BLOCKS = (2, 4, 8, 16, 32)
 WORDS = (32, 64)
 TEMPORAL_STEPS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 17, 18, 20, 22, 24)
-#: Highest temporal tiles that fit the shared memory, by word size and then by the bits of a state; 3 bits count as 2.
-BIGGEST_TILE = {32: {1: 128, 2: 64, 3: 64, 4: 32, 5: 32}, 64: {1: 64, 2: 32, 3: 32, 4: 16, 5: 16}}
+#: Bytes of the fast memory that a temporal tile's two buffers share, and words of a tile in x.
+TILE_BYTES, TILE_WORDS = 48 << 10, 32
+
+
+def biggest_tile(bits: int, word: int) -> int:
+    """The highest temporal tile, a power of two, whose two buffers of bit planes fit."""
+    return 1 << (TILE_BYTES // (2 * bits * word // 8 * TILE_WORDS)).bit_length() - 1
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -179,7 +184,7 @@ def sweep(spark: SparkSession, bits: dict[str, int], edges: tuple[int, ...] = (1
     words = base.crossJoin(F.broadcast(listed("word_size", WORDS)))
     named = lambda prefix: F.concat(F.lit(prefix + " ("), F.col("word_size").cast("string"), F.lit("-bit)"))
     packed = words.select("automaton", F.explode(F.array(*[named(p) for p in ("Bit Array", "Bit Planes", "Tiled BP")])).alias("impl"), "cells", "steps", "y_block", "word_size", none.alias("temporal_steps"), none.alias("temporal_tile_size_y"))
-    tile = F.create_map(*[x for w, per in BIGGEST_TILE.items() for b, t in per.items() for x in (F.lit(f"{w}/{b}"), F.lit(t))])[F.concat_ws("/", "word_size", "bits")]
+    tile = F.create_map(*[x for w in WORDS for b in sorted(set(bits.values())) for x in (F.lit(f"{w}/{b}"), F.lit(biggest_tile(b, w)))])[F.concat_ws("/", "word_size", "bits")]
     timed = words.crossJoin(F.broadcast(listed("temporal_steps", TEMPORAL_STEPS))).withColumn("temporal_tile_size_y", tile)
     timed = timed.where((F.col("temporal_tile_size_y") >= F.col("y_block")) & (F.col("temporal_tile_size_y") % F.col("y_block") == 0))
     halo = F.ceil(F.col("temporal_steps") * 0.999)
@@ -190,6 +195,16 @@ def sweep(spark: SparkSession, bits: dict[str, int], edges: tuple[int, ...] = (1
     return plain.unionByName(packed).unionByName(temporal)
 
 
+def checksums_differ(rows: DataFrame) -> DataFrame:
+    """Of results rows (automaton, x_size, y_size, steps, seed, checksum, ..) those whose checksum isn't that of the baseline with the same size, steps and seed.
+
+    A configuration without a baseline is not reported; where baselines differ among themselves all rows are.
+    """
+    keys = ["automaton", "x_size", "y_size", "steps", "seed"]
+    base = rows.where(F.col("reference_impl") == "baseline").groupBy(*keys).agg(F.min("checksum").alias("_least"), F.max("checksum").alias("_most"))
+    return rows.join(base, keys).where((F.col("checksum") != F.col("_least")) | (F.col("_least") != F.col("_most"))).drop("_least", "_most")
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cells (x, y, left, right) in which two grids differ; a verification that, unlike tile sums, misses nothing."""
     both = left.select("x", "y", F.col("s").alias("left")).join(right.select("x", "y", F.col("s").alias("right")), ["x", "y"], "full")

@@ -103,8 +103,13 @@ def to_blocks(grid: Grid, ys: list[int], xs: list[int], dtype: str) -> DataFrame
 
         by, bx = table["by"][0].as_py(), table["bx"][0].as_py()
         out = np.zeros((ys[by + 1] - ys[by]) * (xs[bx + 1] - xs[bx]), dtype)
+        given = np.zeros(len(out), "i4")
         for places, states in zip(table["places"].to_pylist(), table["states"].to_pylist()):
-            out[np.frombuffer(places, "i4")] = np.frombuffer(states, dtype)
+            at = np.frombuffer(places, "i4")
+            out[at] = np.frombuffer(states, dtype)
+            np.add.at(given, at, 1)
+        if (given != 1).any():
+            raise ValueError(f"block ({by}, {bx}) lacks {int((given == 0).sum())} cells, and {int((given > 1).sum())} are given more than once")
         return pa.table({"by": pa.array([by], pa.int32()), "bx": pa.array([bx], pa.int32()), "cells": pa.array([out.tobytes()], pa.binary())})
 
     rows = grid.cells.select("x", "y", "s").mapInArrow(parts, "by int, bx int, places binary, states binary")

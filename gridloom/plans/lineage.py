@@ -11,5 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed now and kept in ``spark.checkpoint.dir``, or where that is unset (tests) in a folder of our own."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint(eager=True)

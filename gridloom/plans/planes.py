@@ -1,34 +1,44 @@
-"""Generations on bit planes: a rule becomes bitwise expressions over the words around a word, 32 or 64 cells at a time."""
+"""Generations on packed words in bitwise column expressions: bit planes in rows or in tiles, 32 or 64 cells at a time, and arrays of cells in a word."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import columns
 from gridloom.functions import rules as R
 from gridloom.functions.bitslice import Lanes, column_word, full, pattern
 from gridloom.functions.planes import Compiler
 from gridloom.operators.grid import Grid
-from gridloom.operators.layouts import Packed, to_bit_planes
+from gridloom.operators.layouts import TILE_X, Packed, to_bit_array, to_bit_planes, to_tiled_planes
 from gridloom.plans.lineage import cut
 from gridloom.plans.rewrite import optimised
 
-CUT_EVERY = 2
+CUT_EVERY = 4
+PACK = {"bit_array": to_bit_array, "bit_planes": to_bit_planes, "tiled": to_tiled_planes}
 
 
 def _col(dx: int, dy: int, i: int) -> str:
     return f"w{dx + 1}{dy + 1}_{i}"
 
 
+def _keys(p: Packed) -> tuple[str, str]:
+    return ("ty", "tx") if p.kind == "tiled" else ("y", "wx")
+
+
+def _columns(p: Packed) -> list[str]:
+    return ["w"] if p.kind == "bit_array" else p.planes
+
+
 def exchanged(p: Packed) -> DataFrame:
-    """(y, wx, w.._.): the planes of the nine words around each word, in one shuffle."""
+    """The keys and w.._.: the words of the nine places around each word, in one shuffle."""
     nx, ny = p.physical_size
-    names = p.planes
+    (ky, kx), names = _keys(p), _columns(p)
     at = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    rows = p.words.select(F.col("y").alias("_y"), F.col("wx").alias("_x"), *names, F.inline(at))
-    rows = rows.select(F.pmod(F.col("_y") - F.col("dy"), F.lit(ny)).alias("y"), F.pmod(F.col("_x") - F.col("dx"), F.lit(nx)).alias("wx"), "dx", "dy", *names)
+    rows = p.words.select(F.col(ky).alias("_y"), F.col(kx).alias("_x"), *names, F.inline(at))
+    rows = rows.select(F.pmod(F.col("_y") - F.col("dy"), F.lit(ny)).alias(ky), F.pmod(F.col("_x") - F.col("dx"), F.lit(nx)).alias(kx), "dx", "dy", *names)
     aggs = [F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col(n))).alias(_col(dx, dy, i)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) for i, n in enumerate(names)]
-    return rows.groupBy("y", "wx").agg(*aggs)
+    return rows.groupBy(ky, kx).agg(*aggs)
 
 
 class ColumnPlanes(Compiler):
@@ -67,19 +77,91 @@ class ColumnPlanes(Compiler):
         return F.when((F.col("y") + self.t) % 2 == 0, self.lit(full(self.w))).otherwise(self.lit(0))
 
 
+class TiledPlanes(ColumnPlanes):
+    """Words are tiles of 8 by word/8 cells: a step in y moves by eight lanes, one in x within rows of eight."""
+
+    def neighbor(self, dx: int, dy: int) -> Lanes:
+        if ("n", dx, dy) not in self.known:
+            if max(abs(dx), abs(dy)) > 1:
+                raise ValueError("planes hold neighbours at a distance of 1")
+            rows = self.w - TILE_X
+            first, last = (sum(1 << i for i in range(lane, self.w, TILE_X)) for lane in (0, TILE_X - 1))
+            mask = lambda m: self.lit(m - (m >> 63 << 64))
+            left = lambda c, n: F.shiftleft(c, n).bitwiseAND(self.lit(full(self.w)))
+            right = F.shiftrightunsigned
+
+            def column(x: int, i: int) -> Column:
+                """The tile's column of tiles, moved by dy."""
+                here, there = F.col(_col(x, 0, i)), F.col(_col(x, dy, i))
+                if dy == 1:
+                    return right(here, TILE_X).bitwiseOR(left(there, rows)) if rows else there
+                if dy == -1:
+                    return left(here, TILE_X).bitwiseOR(right(there, rows)) if rows else there
+                return here
+
+            planes = []
+            for i in range(self.states.bits):
+                word = column(0, i)
+                if dx == 1:
+                    word = right(word, 1).bitwiseAND(mask(~last & (1 << self.w) - 1)).bitwiseOR(left(column(1, i).bitwiseAND(mask(first)), TILE_X - 1))
+                elif dx == -1:
+                    word = left(word, 1).bitwiseAND(mask(~first & (1 << self.w) - 1)).bitwiseOR(right(column(-1, i), TILE_X - 1).bitwiseAND(mask(first)))
+                planes.append(word)
+            self.keep(("n", dx, dy), Lanes(tuple(planes), self.w), False)
+        return self.known["n", dx, dy][0]
+
+    def toward(self, axis: str) -> Column:
+        if axis == "x":
+            return super().toward("x")
+        rows = pattern(self.w, TILE_X)
+        even = (F.col("ty") * (self.w // TILE_X) + self.t) % 2 == 0
+        return F.when(even, self.lit(rows)).otherwise(self.lit(rows ^ full(self.w)))
+
+
+def _array_step(p: Packed, rule: R.Node, t: int) -> Packed:
+    """Each cell of a word by itself, by the rule for cells; all of a word's cells are at hand where its neighbours are, so they are packed without a shuffle."""
+    bits, k = p.states.bits, p.word // p.states.bits
+    tree = optimised(rule, t)
+    if any(max(abs(n.dx), abs(n.dy)) > 1 for n in tree.walk() if isinstance(n, R.Neighbor)):
+        raise ValueError("words hold neighbours at a distance of 1")
+    lane = F.col("lane")
+
+    def cell(dx: int, dy: int) -> Column:
+        word = F.col(_col(0, dy, 0))
+        if dx == 1:
+            word = F.when(lane == k - 1, F.col(_col(1, dy, 0))).otherwise(word)
+        elif dx == -1:
+            word = F.when(lane == 0, F.col(_col(-1, dy, 0))).otherwise(word)
+        moved = F.call_function("shiftrightunsigned", word, (F.pmod(lane + dx, F.lit(k)) * bits).cast("int"))
+        return p.states.to_ordinal(moved.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")).alias(columns.name(dx, dy))
+
+    frame = exchanged(p).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("lane"))
+    frame = frame.select("y", "wx", "lane", (F.col("wx") * k + lane).alias("x"), *[cell(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    new = p.states.to_index(columns.to_column(tree, t)).cast("long")
+    frame = frame.select("y", "wx", F.call_function("shiftleft", new, (lane * bits).cast("int")).alias("_v"))
+    words = frame.groupBy("y", "wx").agg(F.bit_or("_v").alias("w"))
+    return Packed(words, p.kind, p.width, p.height, p.states, p.word)
+
+
 def step(p: Packed, rule: R.Node, t: int) -> Packed:
-    """One generation of a grid in bit planes."""
-    c = ColumnPlanes(exchanged(p), p, t)
+    """One generation of a packed grid."""
+    if p.kind == "bit_array":
+        return _array_step(p, rule, t)
+    c = (TiledPlanes if p.kind == "tiled" else ColumnPlanes)(exchanged(p), p, t)
     value, _ = c.lanes(optimised(rule, t))
-    words = c.frame.select("y", "wx", *[x.alias(n) for n, x in zip(p.planes, value.resized(p.states.bits).planes)])
+    words = c.frame.select(*_keys(p), *[x.alias(n) for n, x in zip(p.planes, value.resized(p.states.bits).planes)])
     return Packed(words, p.kind, p.width, p.height, p.states, p.word)
 
 
-def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, word: int = 32) -> Grid:
-    """``steps`` generations; the grid's width must be a multiple of ``word``, and the rule must give states only."""
-    p = to_bit_planes(grid, word)
+def run_packed(p: Packed, rule: R.Node, steps: int, first: int = 0) -> Packed:
+    """``steps`` generations of a packed grid, packed."""
     for k in range(steps):
         p = step(p, rule, first + k)
         if (k + 1) % CUT_EVERY == 0 and k + 1 < steps:
             p = Packed(cut(p.words), p.kind, p.width, p.height, p.states, p.word)
-    return p.unpacked()
+    return p
+
+
+def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, word: int = 32, kind: str = "bit_planes") -> Grid:
+    """``steps`` generations; the grid must divide into words of the layout, and for planes the rule must give states only."""
+    return run_packed(PACK[kind](grid, word), rule, steps, first).unpacked()

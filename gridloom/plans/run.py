@@ -1,8 +1,11 @@
-"""Running an automaton for some generations by one of four strategies, all with the same results.
+"""Running an automaton for some generations by one of several strategies, all with the same results.
 
 * ``cells``: one neighbour exchange a generation, all of it in Catalyst;
+* ``bit_array``: the same on words that hold several cells, each cell by itself;
 * ``planes``: the same on bit planes, 32 or 64 cells a word, in bitwise column expressions;
-* ``strips``: blocks of cells with halos that advance several generations between shuffles (temporal blocking), in NumPy;
+* ``tiled``: the same on planes of 8-wide tiles;
+* ``strips``: blocks of cells with halos that advance several generations between shuffles (temporal blocking), in NumPy. On a ``WordGrid``, and
+  where a grid's width and the rule allow it, blocks are bit planes from beginning to end;
 * ``auto``: strips where the rule allows it, else cells.
 """
 
@@ -14,15 +17,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from gridloom.functions import rules as R
+from gridloom.functions.planes import compiles
 from gridloom.operators.grid import Grid
 from gridloom.operators.neighbors import evaluated
-from gridloom.plans import blocks, planes
+from gridloom.plans import blocks, planes, words
 from gridloom.plans.lineage import cut
 from gridloom.plans.rewrite import optimised
 
 #: Generations between lineage cuts of plans that shuffle once a generation.
 CUT_EVERY = 4
-STRATEGIES = ("cells", "planes", "strips")
+STRATEGIES = ("cells", "bit_array", "planes", "tiled", "strips")
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,10 @@ def step(grid: Grid, rule: R.Node, t: int = 0) -> Grid:
     return grid.with_cells(evaluated(grid, optimised(rule, t), t))
 
 
-def run(grid: Grid, rule: R.Node, steps: int, strategy: str = "auto", first: int = 0, block: int = 0, temporal_steps: int = 0, word: int = 32, on_step: Callable[[int, DataFrame], None] | None = None) -> Grid:
+def run(
+    grid: Grid | words.WordGrid, rule: R.Node, steps: int, strategy: str = "auto", first: int = 0, block: int = 0, temporal_steps: int = 0, word: int = 32,
+    on_step: Callable[[int, DataFrame], None] | None = None,
+) -> Grid | words.WordGrid:
     """The grid after ``steps`` generations, the first being step ``first``.
 
     ``on_step`` is called once with each generation's cells and makes every strategy stop at each of them. ``block`` is the edge of
@@ -55,6 +62,10 @@ def run(grid: Grid, rule: R.Node, steps: int, strategy: str = "auto", first: int
         raise ValueError(f"unknown strategy {strategy}")
     if far and strategy != "cells":
         raise ValueError(f"{strategy} reads neighbours at a distance of 1 only")
+    if isinstance(grid, words.WordGrid):
+        if strategy != "strips" or on_step or not compiles(rule, grid.states):
+            raise ValueError("grids of words run as strips, by rules that planes can hold, without a callback")
+        return words.run(grid, rule, steps, first, temporal_steps)
     if on_step:
         for t in range(first, first + steps):
             grid = run(grid, rule, 1, strategy, t, block, temporal_steps, word)
@@ -62,9 +73,11 @@ def run(grid: Grid, rule: R.Node, steps: int, strategy: str = "auto", first: int
             on_step(t, grid.cells)
         return grid
     if strategy == "strips":
+        if steps and grid.width % words.LANES == 0 and block % words.LANES == 0 and temporal_steps <= words.DEPTH and compiles(rule, grid.states):
+            return words.run(words.from_grid(grid, block), rule, steps, first, temporal_steps).grid()
         return blocks.run(grid, rule, steps, first, block, temporal_steps)
-    if strategy == "planes":
-        return planes.run(grid, rule, steps, first, word)
+    if strategy in ("bit_array", "planes", "tiled"):
+        return planes.run(grid, rule, steps, first, word, "bit_planes" if strategy == "planes" else strategy)
     for k in range(steps):
         grid = step(grid, rule, first + k)
         if (k + 1) % CUT_EVERY == 0 and k + 1 < steps:

@@ -16,10 +16,11 @@ from gridloom.functions import rules as R
 from gridloom.functions.bitslice import Lanes
 from gridloom.functions.rules import HERE, MARGOLUS, MOORE, VON_NEUMANN, Const, Neighbor, Node, Opposite, State, count, when
 from gridloom.operators import layouts, results
-from gridloom.operators.grid import Grid, States
+from gridloom.operators.grid import Grid, States, from_values
 from gridloom.operators.neighbors import evaluated, gather
 from gridloom.plans.rewrite import optimised
-from gridloom.plans.run import run
+from gridloom.plans.run import STRATEGIES, run
+from gridloom.sources.seeded import two_states
 from gridloom.sources.tables import rasterised
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +120,10 @@ for _name, (_k, _rule) in _RULES.items():
     _add(f"{_short}_t8", _automaton(_name, 8, "auto"), _run_sql(_rule, _k, 8))
     _add(f"{_short}_cells_t3", _automaton(_name, 3, "cells"), _run_sql(_rule, _k, 3))
     _add(f"{_short}_planes_t2", _automaton(_name, 2, "planes"), _run_sql(_rule, _k, 2))
+    _add(f"{_short}_tiled_t2", _automaton(_name, 2, "tiled"), _run_sql(_rule, _k, 2))
+    # 60 columns divide into words of any number of cells that 32 bits hold of 1 to 5 bits each but 32 and 16
+    _wide = 64 if AUTOMATA[_name].states.bits in (1, 2, 4) else 60
+    _add(f"{_short}_bit_array_t2", _automaton(_name, 2, "bit_array", _wide), _run_sql(_rule, _k, 2, _wide))
 
 # -- other grids: odd sizes, other tables
 
@@ -129,7 +134,7 @@ _add(
     _run_sql(_RULES["game-of-life"][1], 2, 4, 96, 48, table="orders", keys=("o_orderkey", "o_custkey")),
 )
 _add("ca_gol_tiny_t5", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 2, 1), AUTOMATA["game-of-life"].rule, 5, "cells").cells, _run_sql(_RULES["game-of-life"][1], 2, 5, 2, 1))
-_add("ca_gol_strips_t64_512", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 512, 512), AUTOMATA["game-of-life"].rule, 64, "strips").cells, None)
+_add("ca_gol_strips_t64_512", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 512, 512), AUTOMATA["game-of-life"].rule, 64, "strips").cells, _run_sql(_RULES["game-of-life"][1], 2, 64, 512, 512))
 
 
 # -- one query for each operator of the rule language, on a grid of eight states
@@ -285,6 +290,7 @@ for _n, _f, _e, _bits in (
     ("vint_xor_const", lambda a, b: a.xored_constant(5), "xor(p, 5)", 3),
     ("vint_not", lambda a, b: a.inverted(), "7 - p", 3),
     ("vint_mask", lambda a, b: a.masked(b.plane(0)), "CASE WHEN q % 2 = 1 THEN p ELSE 0 END", 3),
+    ("vint_mask_const", lambda a, b: a.masked_constant(0xF0F0F0F5), "CASE WHEN (4042322165 >> (x % 32)) & 1 = 1 THEN p ELSE 0 END", 3),
     ("vint_resize", lambda a, b: a.resized(2), "p % 4", 2),
     ("vint_modulo", lambda a, b: a.modulo(4), "p % 4", 2),
     ("vint_eq", lambda a, b: _mask(a.equals(b)), "(p = q)::INT", 1),
@@ -434,9 +440,8 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sweep_sql() -> str:
     bits = ", ".join(f"('{n}', {a.states.bits})" for n, a in AUTOMATA.items())
-    tiles = ", ".join(f"({w}, {b}, {t})" for w, per in results.BIGGEST_TILE.items() for b, t in per.items())
     listed = lambda v: ", ".join(map(str, v))
-    return f"""WITH a(automaton, bits) AS (VALUES {bits}), tiles(word, bits, tile) AS (VALUES {tiles}),
+    return f"""WITH a(automaton, bits) AS (VALUES {bits}), tiles AS (SELECT word, bits, CAST(2 ** floor(log2(49152 / (2 * bits * word / 8 * 32))) AS INT) AS tile FROM (SELECT unnest([{listed(results.WORDS)}]) AS word), (SELECT unnest(range(1, 6)) AS bits)),
     y AS (SELECT unnest([{listed(results.Y_BLOCKS)}]) AS yb), w AS (SELECT unnest([{listed(results.WORDS)}]) AS word), s AS (SELECT unnest([{listed(results.TEMPORAL_STEPS)}]) AS ts),
     timed AS (SELECT automaton, word, yb, ts, tile, CAST(ceil(ts * 0.999) AS INT) AS halo FROM (SELECT * FROM a, y, w, s) JOIN tiles USING (word, bits) WHERE tile >= yb AND tile % yb = 0),
     r AS (SELECT automaton, unnest(['Baseline', 'Standard']) AS impl FROM a, y
@@ -450,10 +455,116 @@ _add("res_sweep", _sweep, _sweep_sql())
 
 
 def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells in which strategies differ: none."""
+    """The checksum of the same run by each strategy."""
     a = AUTOMATA["wire"]
-    grid = _grid(spark, sf_dir, a.states)
-    return results.differences(run(grid, a.rule, 4, "cells").cells, run(grid, a.rule, 4, "strips").cells)
+    grid, out = _grid(spark, sf_dir, a.states), None
+    for strategy in STRATEGIES:
+        one = run(grid, a.rule, 4, strategy).checksum().select(F.lit(strategy).alias("strategy"), "checksum")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-_add("verify_strategies", _verify, f"SELECT x, y, s AS \"left\", s AS \"right\" FROM ({_grid_sql(4)}) WHERE false")
+def _checksum_sql(cells: str, x: int = X, y: int = Y) -> str:
+    return f"""SELECT string_agg(CAST(total AS VARCHAR), '-' ORDER BY tile) AS checksum FROM (
+      SELECT tile, coalesce(sum(s), 0) AS total FROM range(16) AS k(tile) LEFT JOIN ({cells}) ON tile = y // {-(-y // 4)} * 4 + x // {-(-x // 4)} GROUP BY tile)"""
+
+
+_add("verify_strategies", _verify, f"SELECT strategy, checksum FROM (SELECT unnest({list(STRATEGIES)}) AS strategy), ({_checksum_sql(_run_sql(_RULES['wire'][1], 4, 4))})")
+
+# -- grids of words from end to end
+
+
+def _words(name: str, steps: int, x: int = 192, y: int = 70) -> Query:
+    from gridloom.plans import words
+
+    a = AUTOMATA[name]
+    return lambda s, d: run(words.from_grid(_grid(s, d, a.states, x, y), 64), a.rule, steps).checksum()
+
+
+for _name in ("game-of-life", "forest-fire", "critters", "traffic"):
+    _k, _rule = _RULES[_name]
+    _add(f"words_{_name.replace('-', '_')}_t9", _words(_name, 9), _checksum_sql(_run_sql(_rule, _k, 9, 192, 70), 192, 70))
+
+
+def _words_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.plans import words
+
+    return words.from_grid(_grid(spark, sf_dir, States.integers(3), 192, 70), 64).histogram()
+
+
+_add("words_histogram", _words_histogram, f"SELECT s, count(*) AS cells FROM ({_grid_sql(8, 192, 70)}) GROUP BY s")
+
+# -- what is left of the engine that SQL can say: rendering, sizes, explicit cells, sweeps' arithmetic, files
+
+_add(
+    "grid_lines",
+    lambda s, d: _grid(s, d, AUTOMATA["game-of-life"].states).lines(),
+    f"SELECT y, string_agg(line, ' ' ORDER BY k) AS line FROM (SELECT y, x // 8 AS k, string_agg(CASE s WHEN 1 THEN '#' ELSE '.' END, '' ORDER BY x) AS line FROM ({_grid_sql(2)}) GROUP BY 1, 2) GROUP BY y",
+)
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _grid(spark, sf_dir, States.integers(3), 96, 64)
+    packed = [layouts.to_bit_planes(grid, 32), layouts.to_tiled_planes(grid, 32), layouts.to_tiled_planes(grid, 64)]
+    rows = [(p.kind, p.word, *p.logical_size, *p.physical_size, p.bytes) for p in packed]
+    return spark.createDataFrame(rows, "kind string, word int, width int, height int, words_x int, words_y int, bytes long")
+
+
+_add(
+    "layout_sizes",
+    _sizes,
+    """SELECT kind, CAST(word AS INT) AS word, CAST(96 AS INT) AS width, CAST(64 AS INT) AS height, CAST(96 // tx AS INT) AS words_x, CAST(64 // ty AS INT) AS words_y, CAST((96 // tx) * (64 // ty) * word // 8 * 3 AS BIGINT) AS bytes
+    FROM (VALUES ('bit_planes', 32, 32, 1), ('tiled', 32, 8, 4), ('tiled', 64, 8, 8)) AS v(kind, word, tx, ty)""",
+)
+
+
+def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' regions as literal rows of a grid."""
+    held = sorted((r.n_nationkey, r.n_regionkey) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect())
+    return from_values(spark, [[r for _, r in held[i : i + 5]] for i in range(0, len(held), 5)], States.integers(3)).checked().cells
+
+
+_add("source_explicit", _explicit, "SELECT CAST(i % 5 AS INT) AS x, CAST(i // 5 AS INT) AS y, CAST(n_regionkey AS INT) AS s FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_regionkey FROM nation)")
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(t, s, c, results.effective_tile(t, s, c)) for t in (8, 16, 32, 64, 128) for s in results.TEMPORAL_STEPS for c in (1, 4, 8)]
+    return spark.createDataFrame(rows, "tile int, steps int, cells int, rest int")
+
+
+_add(
+    "res_effective_tile",
+    _tiles,
+    f"SELECT CAST(t AS INT) AS tile, CAST(s AS INT) AS steps, CAST(c AS INT) AS cells, CAST(t - 2 * ((CAST(ceil(s * 0.999) AS INT) + c - 1) // c) AS INT) AS rest FROM (SELECT unnest([8, 16, 32, 64, 128]) AS t), (SELECT unnest({list(results.TEMPORAL_STEPS)}) AS s), (SELECT unnest([1, 4, 8]) AS c)",
+)
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect()]
+    return spark.createDataFrame([(k, *results.fitted_size(10_000 + 977 * k, 32, 8)) for k in keys], "s_suppkey long, x int, y int")
+
+
+_add(
+    "res_fitted_size",
+    _fitted,
+    "SELECT s_suppkey, CAST(x AS INT) AS x, CAST(n // x - (n // x) % 8 AS INT) AS y FROM (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) // 32 * 32 AS x FROM (SELECT s_suppkey, 10000 + 977 * s_suppkey AS n FROM supplier))",
+)
+_add("source_two_states", lambda s, d: s.createDataFrame([(i, float(p)) for i, p in two_states(1, 0.25, 0)], "state int, probability double"), "SELECT CAST(i AS INT) AS state, CAST(p AS DOUBLE) AS probability FROM (VALUES (1, 0.25), (0, 0.75)) AS v(i, p)")
+
+
+def _checked_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as results whose checksum is the ship priority's and status' text; every third is a baseline."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.select(
+        F.col("o_orderkey").alias("run"), F.lit("maze").alias("automaton"), F.pmod("o_custkey", F.lit(7)).cast("int").alias("x_size"), F.lit(8).alias("y_size"), F.lit(4).alias("steps"), F.lit(1).alias("seed"),
+        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "baseline").otherwise("").alias("reference_impl"), F.pmod(F.floor(F.col("o_custkey") / 7), F.lit(2)).cast("string").alias("checksum"),
+    )
+    return results.checksums_differ(rows).select("run", "x_size", "checksum")
+
+
+_add(
+    "res_checksums_differ",
+    _checked_sums,
+    """WITH r AS (SELECT o_orderkey AS run, CAST(o_custkey % 7 AS INT) AS x_size, o_orderkey % 3 = 0 AS base, CAST(o_custkey // 7 % 2 AS VARCHAR) AS checksum FROM orders)
+    SELECT run, r.x_size, checksum FROM r JOIN (SELECT x_size, min(checksum) AS a, max(checksum) AS b FROM r WHERE base GROUP BY 1) m ON r.x_size = m.x_size WHERE checksum <> a OR a <> b""",
+)

@@ -1,9 +1,10 @@
-"""Initial grids from a seed."""
+"""Initial grids from a seed, of any size, made by the executors."""
 
 from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 
 from gridloom.automata import Automaton
 from gridloom.operators.grid import Grid, States, skeleton
+from gridloom.plans import words
+from gridloom.sources import twister
 
 DEFAULT_SEED = 12345
-#: Cells that the exact generator makes at most, as its sequence can't be split.
-EXACT_CELLS = 1 << 26
+#: Cells that a task draws in one go.
+CHUNK = 1 << 20
+Start = tuple[tuple[int, float], ...]
 
 
-def thresholds(start: tuple[tuple[int, float], ...]) -> list[tuple[int, float]]:
+def thresholds(start: Start) -> list[tuple[int, float]]:
     """(state, cumulated probability); a state is taken where a random number is at most its threshold and over the one before."""
     total = sum(p for _, p in start)
     if abs(total - 1) > 0.001:
@@ -27,18 +31,40 @@ def thresholds(start: tuple[tuple[int, float], ...]) -> list[tuple[int, float]]:
     return list(zip([s for s, _ in start], accumulate(p for _, p in start)))
 
 
-def random_values(start: tuple[tuple[int, float], ...], width: int, height: int, seed: int = DEFAULT_SEED) -> np.ndarray:
-    """Row-major states drawn with the 32-bit Mersenne Twister, two outputs to a double: low word first, both over 2^64."""
-    raw = np.random.RandomState(seed).randint(0, 1 << 32, 2 * width * height, dtype="u4").astype("f8")
-    r = (raw[0::2] + raw[1::2] * 4294967296.0) / 18446744073709551616.0
-    r[r >= 1] = math.nextafter(1.0, 0.0)
-    out = np.zeros(width * height, "i4")
-    open_ = np.ones(width * height, bool)
-    for state, limit in thresholds(start):
+def two_states(primary: int, probability: float, secondary: int) -> Start:
+    """The distribution of a grid of two states, the first of which has the given probability."""
+    return (primary, probability), (secondary, 1 - probability)
+
+
+def _states_of(r: np.ndarray, limits: list[tuple[int, float]]) -> np.ndarray:
+    out = np.zeros(len(r), "i4")
+    open_ = np.ones(len(r), bool)
+    for state, limit in limits:
         hit = open_ & (r <= limit)
         out[hit] = state
         open_ &= ~hit
-    return out.reshape(height, width)
+    return out
+
+
+def _drawn(generator: np.random.RandomState, n: int, limits: list[tuple[int, float]]) -> np.ndarray:
+    """``n`` states from the 32-bit Mersenne Twister, two outputs to a double: low word first, both over 2^64."""
+    raw = generator.randint(0, 1 << 32, 2 * n, dtype="u4").astype("f8")
+    r = (raw[0::2] + raw[1::2] * 4294967296.0) / 18446744073709551616.0
+    r[r >= 1] = math.nextafter(1.0, 0.0)
+    return _states_of(r, limits)
+
+
+def random_values(start: Start, width: int, height: int, seed: int = DEFAULT_SEED) -> np.ndarray:
+    """Row-major states as an array of this process."""
+    return _drawn(np.random.RandomState(seed), width * height, thresholds(start)).reshape(height, width)
+
+
+def _from(seed: int, cell: int) -> np.random.RandomState:
+    """The generator as it is when so many cells have been drawn."""
+    out = np.random.RandomState(seed)
+    if cell:
+        out.set_state(("MT19937", twister.moved(twister.first_state(seed), twister.jump(2 * cell)), twister.WORDS))
+    return out
 
 
 def from_array(spark: SparkSession, values: np.ndarray, states: States) -> Grid:
@@ -49,71 +75,139 @@ def from_array(spark: SparkSession, values: np.ndarray, states: States) -> Grid:
 
 
 def random_grid(spark: SparkSession, automaton: Automaton, width: int, height: int, seed: int = DEFAULT_SEED) -> Grid:
-    """The automaton's initial grid for a seed, made by one sequence of numbers on the driver; for wire its procedural circuit."""
-    if width * height > EXACT_CELLS:
-        raise ValueError("one sequence of numbers is made for small grids only; hashed_grid makes large ones")
-    values = random_values(automaton.start, width, height, seed) if automaton.start else circuit(width, height, seed)
-    return from_array(spark, values, automaton.states)
+    """The automaton's initial grid for a seed, from one sequence of random numbers into which each task jumps; for wire its circuit."""
+    if not automaton.start:
+        return circuit(spark, automaton, width, height, seed)
+    limits, total = thresholds(automaton.start), width * height
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                first, n = k * CHUNK, min(CHUNK, total - k * CHUNK)
+                at = first + np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array((at % width).astype("i4")), pa.array((at // width).astype("i4")), pa.array(_drawn(_from(seed, first), n, limits))], names=["x", "y", "s"])
+
+    chunks = -(-total // CHUNK)
+    return Grid(spark.range(0, chunks, 1, chunks).mapInArrow(run, "x int, y int, s int"), width, height, automaton.states)
+
+
+def random_words(spark: SparkSession, automaton: Automaton, width: int, height: int, seed: int = DEFAULT_SEED, block: int = 0) -> words.WordGrid:
+    """``random_grid`` as blocks of bit planes, a band of blocks a task."""
+    if not automaton.start:
+        return words.generated(spark, width, height, automaton.states, _circuit_of(width, height, seed), block)
+    limits, states = thresholds(automaton.start), automaton.states
+    ys, xs = words.layout(spark, width, height, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for by in batch.column(0).to_pylist():
+                generator, parts = _from(seed, ys[by] * width), []
+                step = max(1, CHUNK // width)
+                for y in range(ys[by], ys[by + 1], step):
+                    n = min(step, ys[by + 1] - y)
+                    parts.append(np.stack(words.packed_planes(states, _drawn(generator, n * width, limits).reshape(n, width))))
+                band = np.concatenate(parts, axis=1)
+                for bx, (a, b) in enumerate(zip(xs, xs[1:])):
+                    raw = band[:, :, a // words.LANES : b // words.LANES].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([by], pa.int32()), pa.array([bx], pa.int32()), pa.array([raw], pa.binary())], names=["by", "bx", "words"])
+
+    bands = len(ys) - 1
+    return words.WordGrid(spark.range(0, bands, 1, bands).mapInArrow(run, words.BLOCK), ys, xs, states)
+
+
+def _limits(automaton: Automaton) -> list[tuple[int, float]]:
+    return thresholds(automaton.start or ((3, 0.95), (1, 0.025), (2, 0.025)))
 
 
 def hashed_grid(spark: SparkSession, automaton: Automaton, width: int, height: int, seed: int = DEFAULT_SEED) -> Grid:
-    """A grid of any size with the same distribution, each cell drawn by a hash of its place and the seed; other data than ``random_grid``'s."""
-    r = (F.xxhash64("x", "y", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1).cast("long")) / float(1 << 53)).alias("r")
+    """A grid with the same distribution, each cell drawn by a hash of its place and the seed; other data than ``random_grid``'s."""
+    r = (F.xxhash64("x", "y", F.lit(seed).cast("int")).bitwiseAND(F.lit((1 << 53) - 1).cast("long")) / float(1 << 53)).alias("r")
     rows = skeleton(spark, width, height).select("x", "y", r)
     chain = None
-    for state, limit in thresholds(automaton.start or ((3, 0.95), (1, 0.025), (2, 0.025))):
+    for state, limit in _limits(automaton):
         chain = F.when(F.col("r") <= limit, state) if chain is None else chain.when(F.col("r") <= limit, state)
     return Grid(rows.select("x", "y", chain.otherwise(0).cast("int").alias("s")), width, height, automaton.states)
 
 
-def circuit(width: int, height: int, seed: int) -> np.ndarray:
-    """A wire world: nested rectangles twice as wide as high, ten segments, five circles, eight crossings, and electrons on every 20th piece.
-
-    Draws come from NumPy's generator, so circuits differ from those that other libraries' shuffles give for a seed.
-    """
-    rng = np.random.RandomState(seed)
-    grid = np.zeros((height, width), "i4")
-    wires: list[tuple[int, int]] = []
-
-    def lay(x: int, y: int) -> None:
-        if 0 <= x < width and 0 <= y < height:
-            grid[y, x] = 3
-            wires.append((x, y))
-
-    cx, cy = width // 2, height // 2
-    for size in range(4, max(cx, cy) + 1, 4):
-        a, b = size, size // 2
-        if cx - a < 0 or cx + a >= width or cy - b < 0 or cy + b >= height:
-            break
-        for x in range(cx - a, cx + a + 1):
-            lay(x, cy - b)
-            lay(x, cy + b)
-        for y in range(cy - b + 1, cy + b):
-            lay(cx - a, y)
-            lay(cx + a, y)
-    for _ in range(10):
-        x, y, dx, dy, n = rng.randint(width), rng.randint(height), rng.randint(3) - 1, rng.randint(3) - 1, rng.randint(10, 31)
-        for k in range(n):
-            lay(x + k * (dx if dx or dy else 1), y + k * dy)
-    for _ in range(5):
-        x, y, radius = rng.randint(width), rng.randint(height), rng.randint(5, 16)
-        for degree in range(0, 360, 5):
-            lay(x + int(radius * math.cos(math.radians(degree))), y + int(radius * math.sin(math.radians(degree))))
-    for _ in range(8):
-        x, y = rng.randint(width), rng.randint(height)
-        if 5 < x < width - 5 and 5 < y < height - 5:
-            for k in range(-4, 5):
-                lay(x + k, y)
-                if k:
-                    lay(x, y + k)
-    for i in rng.permutation(len(wires))[::20] if wires else []:
-        x, y = wires[i]
-        grid[y, x] = 1
-        for k in rng.permutation(4):
-            nx, ny = x + (0, 1, 0, -1)[k], y + (1, 0, -1, 0)[k]
-            if 0 <= nx < width and 0 <= ny < height and grid[ny, nx] == 3:
-                grid[ny, nx] = 2
-                break
-        else:
-            grid[y, x] = 3
-    return grid
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def hash_ints(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of 32-bit integers as ``xxhash64`` has it, ``seed`` being the hash so far (42 at first)."""
+    with np.errstate(over="ignore"):
+        h = seed + _P5 + np.uint64(4) ^ (value.astype("i8").astype("u8") & np.uint64(0xFFFFFFFF)) * _P1
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * _P2 + _P3
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        return h ^ h >> np.uint64(32)
+
+
+def _placed(y0: int, y1: int, x0: int, x1: int, seed: int) -> np.ndarray:
+    """The hash of each place of a block."""
+    x = hash_ints(np.arange(x0, x1), np.uint64(42))[None, :]
+    xy = hash_ints(np.arange(y0, y1)[:, None], np.broadcast_to(x, (y1 - y0, x1 - x0)))
+    return hash_ints(np.asarray(seed), xy)
+
+
+def hashed_words(spark: SparkSession, automaton: Automaton, width: int, height: int, seed: int = DEFAULT_SEED, block: int = 0) -> words.WordGrid:
+    """``hashed_grid`` as blocks of bit planes, cell for cell the same."""
+    limits = _limits(automaton)
+
+    def fill(y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
+        parts = []
+        for y in range(y0, y1, 128):
+            h = _placed(y, min(y + 128, y1), x0, x1, seed)
+            r = (h & np.uint64((1 << 53) - 1)).astype("f8") / float(1 << 53)
+            parts.append(_states_of(r.reshape(-1), limits).reshape(r.shape))
+        return np.concatenate(parts)
+
+    return words.generated(spark, width, height, automaton.states, fill, block)
+
+
+#: Edge of the tiles of a circuit, and the share of tiles that each kind of wire crosses.
+TILE, ACROSS = 16, 0.7
+
+
+def _circuit_of(width: int, height: int, seed: int) -> Callable:
+    """A wire world of tiles: a hash of each tile says whether a wire crosses it from side to side, another whether one crosses it from top to
+    bottom, and where on it an electron is on its way, a head before its tail; so any block can be made by itself."""
+
+    def fill(y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
+        x, y = np.arange(x0, x1)[None, :], np.arange(y0, y1)[:, None]
+        ix, iy = x % TILE, y % TILE
+        out = np.zeros((y1 - y0, x1 - x0), "i4")
+        whole = (x // TILE * TILE + TILE <= width) & (y // TILE * TILE + TILE <= height)  # no electron is cut off at the edge
+        share = lambda h: (h >> np.uint64(40)).astype("f8") / float(1 << 24)
+        for kind, along, across in ((0, ix, iy), (1, iy, ix)):
+            h = _placed_tiles(x // TILE, y // TILE, seed * 2 + kind)
+            wire = (share(h) < ACROSS) & (across == TILE // 2)
+            out[wire] = 3
+            # Electrons keep clear of the crossing in the middle of a tile.
+            head = 3 + (h % np.uint64(TILE // 2 - 4)).astype("i8")
+            runs = wire & whole & (h >> np.uint64(8) & np.uint64(3) == 0)
+            out[runs & (along == head)] = 1
+            out[runs & (along == head - 1)] = 2
+        return out
+
+    return fill
+
+
+def _placed_tiles(tx: np.ndarray, ty: np.ndarray, salt: int) -> np.ndarray:
+    shape = np.broadcast_shapes(tx.shape, ty.shape)
+    return hash_ints(np.asarray(salt), hash_ints(ty, np.broadcast_to(hash_ints(tx, np.uint64(42)), shape)))
+
+
+def circuit(spark: SparkSession, automaton: Automaton, width: int, height: int, seed: int = DEFAULT_SEED) -> Grid:
+    """The circuit's cells, made in bands of rows."""
+    fill = _circuit_of(width, height, seed)
+    step = max(1, CHUNK // width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                y0, y1 = k * step, min(height, (k + 1) * step)
+                s = fill(y0, y1, 0, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(width, dtype="i4"), y1 - y0)), pa.array(np.repeat(np.arange(y0, y1, dtype="i4"), width)), pa.array(s.reshape(-1))], names=["x", "y", "s"])
+
+    bands = -(-height // step)
+    return Grid(spark.range(0, bands, 1, bands).mapInArrow(run, "x int, y int, s int"), width, height, automaton.states)

@@ -12,7 +12,7 @@ from gridloom.functions.columns import to_column
 from gridloom.operators.grid import Grid, States, from_values
 from gridloom.plans.rewrite import optimised, period
 from gridloom.plans.run import run, step
-from gridloom.sources.seeded import circuit, from_array, hashed_grid, random_grid, random_values, thresholds
+from gridloom.sources.seeded import circuit, from_array, hashed_grid, hashed_words, random_grid, random_values, random_words, thresholds, two_states
 
 X, Y = 96, 64
 #: Tile sums after nine steps from the arithmetic seed below, worked out by an independent model.
@@ -66,11 +66,11 @@ def test_golden_checksums(spark, name):
 @pytest.mark.parametrize("name", list(AUTOMATA))
 def test_strategies_agree(spark, name):
     a = AUTOMATA[name]
-    values = seed_values(len(a.states.ordinals))[:12, :64] if a.states.plain else np.array([a.states.ordinals])[0][seed_values(4)[:12, :64]]
-    want = evolve(a.rule, values, 2)
-    grid = from_array(spark, values, a.states)
-    for strategy in ("cells", "planes", "strips"):
-        assert (array(run(grid, a.rule, 2, strategy, word=64)) == want).all(), strategy
+    values = seed_values(len(a.states.ordinals))[:16, :64] if a.states.plain else np.array([a.states.ordinals])[0][seed_values(4)[:16, :64]]
+    for strategy, word in (("cells", 0), ("bit_array", 64), ("bit_array", 32), ("planes", 64), ("tiled", 64), ("tiled", 16), ("strips", 0)):
+        cells = word // a.states.bits if strategy == "bit_array" else 1
+        part = values[:, : 64 // cells * cells]
+        assert (array(run(from_array(spark, part, a.states), a.rule, 2, strategy, word=word)) == evolve(a.rule, part, 2)).all(), (strategy, word)
 
 
 @pytest.mark.parametrize("key", list(SEEDED), ids=str)
@@ -166,9 +166,80 @@ def test_sources(spark):
     assert random_values(((1, 1.0),), 3, 2).tolist() == [[1, 1, 1], [1, 1, 1]]
     shares = hashed_grid(spark, AUTOMATA["excitable"], 200, 100).histogram().collect()
     assert abs(dict(map(tuple, shares))[0] / 20000 - 0.70) < 0.02
-    c = circuit(64, 48, 42)
-    assert set(np.unique(c)) == {0, 1, 2, 3} and (c == circuit(64, 48, 42)).all() and (c != circuit(64, 48, 43)).any()
-    assert (c == 1).sum() == (c == 2).sum()
+    assert two_states(1, 0.25, 0) == ((1, 0.25), (0, 0.75))
+
+
+def test_circuits(spark):
+    a = AUTOMATA["wire"]
+    c, other = (array(circuit(spark, a, 128, 70, seed)) for seed in (42, 43))
+    assert set(np.unique(c)) == {0, 1, 2, 3} and (c != other).any() and (c == array(random_grid(spark, a, 128, 70, 42))).all()
+    assert (array(random_words(spark, a, 128, 70, 42).grid()) == c).all()
+    heads = np.argwhere(c == 1)
+    assert len(heads) == (c == 2).sum() and all(c[y, x - 1] == 2 or c[y - 1, x] == 2 for y, x in heads)
+    after = evolve(a.rule, c, 5)
+    assert ((after == 0) == (c == 0)).all() and (after == 1).any()  # electrons run on
+
+
+@pytest.mark.parametrize("name", ["game-of-life", "forest-fire", "excitable"])
+def test_one_sequence_in_many_tasks(spark, monkeypatch, name):
+    from gridloom.sources import seeded
+
+    a = AUTOMATA[name]
+    want = random_values(a.start, 192, 50, 7)
+    monkeypatch.setattr(seeded, "CHUNK", 1000)
+    assert (array(random_grid(spark, a, 192, 50, 7)) == want).all()
+    assert (array(random_words(spark, a, 192, 50, 7, block=64).grid()) == want).all()
+
+
+def test_jumps_ahead():
+    from gridloom.sources import twister
+
+    state = twister.first_state(5)
+    for n in (0, 1, 623, 624, 625, 100_000):
+        assert (twister.words(twister.moved(state, twister.jump(n)), 9) == twister.words(state, n + 9)[n:]).all()
+    assert twister.combined(twister.jump(1000), twister.jump(234_567)) == twister.jump(235_567)
+
+
+@pytest.mark.parametrize("name", list(AUTOMATA))
+def test_word_grids(spark, tmp_path, name):
+    from gridloom.plans import words
+
+    a = AUTOMATA[name]
+    values = np.array(a.states.ordinals)[seed_values(len(a.states.ordinals))[:45, :64].repeat(3, axis=1)]
+    grid = words.from_grid(from_array(spark, values, a.states), block=64)
+    assert grid.blocks == 3 and (array(grid.grid()) == values).all()
+    for steps, depth, first in ((1, 0, 1), (7, 3, 0), (33, 0, 2)):
+        got = run(grid, a.rule, steps, first=first, temporal_steps=depth)
+        want = evolve(a.rule, values, steps, first)
+        assert (array(got.grid()) == want).all(), (steps, depth)
+    cells = from_array(spark, want, a.states)
+    assert got.checksum().first() == cells.checksum().first() and sorted(got.histogram().collect()) == sorted(cells.histogram().collect())
+    got.write(str(tmp_path / "w"))
+    assert (array(words.read(spark, str(tmp_path / "w"), 192, 45, a.states, 64).grid()) == want).all()
+
+
+def test_word_grids_are_made_by_hash_like_cells(spark):
+    for name in ("brian", "cyclic", "wire"):
+        a = AUTOMATA[name]
+        assert (array(hashed_words(spark, a, 128, 37, 9, block=64).grid()) == array(hashed_grid(spark, a, 128, 37, 9))).all()
+
+
+def test_word_grids_of_bad_shape(spark):
+    from gridloom.plans import words
+
+    a = AUTOMATA["game-of-life"]
+    with pytest.raises(ValueError):
+        hashed_words(spark, a, 100, 10)
+    grid = hashed_words(spark, a, 64, 10)
+    for kw in ({"strategy": "cells"}, {"on_step": print}):
+        with pytest.raises(ValueError):
+            run(grid, a.rule, 1, **kw)
+    grid = hashed_words(spark, a, 192, 10, block=64)
+    with pytest.raises(Exception, match="lacks"):
+        run(words.WordGrid(grid.rows.where("bx > 0"), grid.ys, grid.xs, grid.states), a.rule, 1).checksum().collect()
+    short = from_array(spark, seed_values(2), a.states)
+    with pytest.raises(Exception, match="lacks 1 cells"):
+        run(short.with_cells(short.cells.where("x + y > 0")), a.rule, 1, "strips").checksum().collect()
 
 
 def test_written_cells_are_read_back(spark, tmp_path):

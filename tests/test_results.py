@@ -86,3 +86,41 @@ def test_command_line(spark, capsys):
             cli.checked(cli.parser().parse_args(bad.split()))
     base = cli.checked(cli.parser().parse_args("--automaton fire --reference_impl baseline --x_size 8 --y_size 8 --steps 2".split()))
     assert cli.measure(spark, base)["reference_impl"] == "baseline"
+
+
+@pytest.mark.parametrize("plan", ["standard simple", "bit_array simple", "bit_planes simple", "tiled_bit_planes simple", "bit_planes temporal"])
+def test_each_plan_is_run_and_verified(spark, capsys, monkeypatch, plan):
+    layout, traverser = plan.split()
+    ran = []
+    for module, name in ((cli.planes, "run_packed"), (cli.words, "run"), (cli, "run")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda grid, *a, _real=real, _name=name, **kw: (ran.append((_name, getattr(grid, "kind", type(grid).__name__))), _real(grid, *a, **kw))[1])
+    args = cli.checked(cli.parser().parse_args(f"--automaton brian --traverser {traverser} --layout {layout} --x_size 64 --y_size 16 --steps 4 --word_size 64 --temporal_steps 2 --report".split()))
+    line = cli.measure(spark, args)
+    want = {"standard": ("run", "Grid"), "bit_array": ("run_packed", "bit_array"), "tiled_bit_planes": ("run_packed", "tiled")}.get(layout, ("run_packed", "bit_planes") if traverser == "simple" else ("run", "WordGrid"))
+    assert ran == [want]
+    assert cli.verified(spark, args, line) and not cli.verified(spark, args, line | {"checksum": "0"})
+    said = capsys.readouterr().err
+    assert "the same in every round" in said and "differs from the baseline" in said
+
+
+def test_plans_that_do_not_exist_are_refused():
+    with pytest.raises(SystemExit):
+        cli.checked(cli.parser().parse_args("--automaton maze --traverser temporal --layout tiled_bit_planes --x_size 64 --y_size 16 --steps 2 --word_size 64 --temporal_steps 2".split()))
+
+
+def test_tables(spark):
+    from gridloom.operators import tables
+
+    df = spark.createDataFrame([("a<b", 1.5, 3), ("c", 12.25, None)], "name string, speed double, n int")
+    text = tables.text_table(df, "Title", digits=2).split("\n")
+    assert text[0] == "Title" and text[1].split() == ["name", "speed", "n"] and text[3].split() == ["a<b", "1.50", "3"] and text[4].split() == ["c", "12.25", "-"]
+    assert len({len(x) for x in text[2:]}) == 1 and tables.text_table(df, most=1).endswith("(1 rows of more)")
+    html = tables.html_page([tables.html_table(df, "T", best="speed", digits=2)], "Page")
+    assert "<td>a&lt;b</td>" in html and '<tr class="best"><td>c</td><td>12.25</td>' in html and html.count("<tr") == 3
+    assert tables.parameters({"x_size": 3, "seed": 0}) == "x size  3"
+
+
+def test_checksums_against_baselines(spark):
+    rows = frame(spark, [row(checksum="1"), row(checksum="2", layout="odd"), row(checksum="1", reference_impl="baseline"), row(checksum="3", seed=1)])
+    assert [r.layout for r in results.checksums_differ(rows).collect()] == ["odd"]
