@@ -10,8 +10,8 @@ from gridloom.llm.common import remove, written
 
 def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Edges with their first node's m. Joined by a turned node, for which alone both sides are shuffled, so that a node of very many edges can be split over tasks."""
-    turned = least.select(F.col("a").bitwiseXOR(F.lit(1).cast("long")).alias("_a"), "m")
-    return edges.join(turned, F.col("a").bitwiseXOR(F.lit(1).cast("long")) == F.col("_a"))
+    turned = F.reverse("a") if dict(edges.dtypes)["a"] == "string" else F.col("a").bitwiseXOR(F.lit(1).cast("long"))
+    return edges.join(least.select(turned.alias("_a"), "m"), turned == F.col("_a"))
 
 
 def _pull(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _fold(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b), root being the smallest node that can be reached.
+    """(node, root) for every node of ``links`` (a, b), numbers or strings, root being the smallest node that can be reached.
 
     Links may be repeated, in either direction or from a node to itself; nodes with no link to another are not in the
     result. Rounds grow with the logarithm of the number of nodes; each is written to the shared folder, and the one before removed.

@@ -6,12 +6,12 @@ again by the same rule on its other 32 bits, after which it can't hold more than
 
 Within a task the fingerprints of many buckets lie side by side as *bit planes*: plane k holds bit k of 64 fingerprints a word. All
 fingerprints are compared with those d places on, for all of them at once: each plane's differing bits are added to
-two bitwise carry-save counters, and words in which every distance has passed the radius are abandoned.
+bitwise carry-save counters (two for a radius of 2), and words in which every distance has passed the radius are abandoned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import pyarrow as pa
@@ -75,20 +75,23 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_in_buckets(fps, sizes, radius: int = RADIUS):  # noqa: ANN001, ANN201
-    """Yield (i, j) arrays of the places of fingerprints of one bucket within ``radius`` (at most 2) of each other.
+    """Yield (i, j) arrays of the places of fingerprints of one bucket within ``radius`` of each other.
 
-    ``fps`` is uint64, bucket after bucket, larger buckets first; ``sizes`` has the buckets' sizes.
+    ``fps`` is uint64, one or several words a fingerprint, bucket after bucket, larger buckets first; ``sizes`` has the buckets' sizes. The counters
+    start so far below their end that one more than ``radius`` differing bits makes them overflow.
     """
     import numpy as np
 
     n = len(fps)
     words = -(-n // 64) + 1
-    bits = np.zeros((64, words * 64), "u1")
-    bits[:, :n] = np.unpackbits(fps.view("u1").reshape(-1, 8), axis=1, bitorder="little").T
+    many = fps.size // n * 64 if n else 0
+    bits = np.zeros((many, words * 64), "u1")
+    bits[:, :n] = np.unpackbits(fps.view("u1").reshape(n, -1), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     del bits
     left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)) - 1  # how many follow in the bucket
     reach = np.cumsum(sizes)
+    slack = (1 << radius.bit_length()) - 1 - radius
     for d in range(1, int(sizes[0]) if len(sizes) else 0):
         active = int(reach[np.searchsorted(-sizes, -d, side="left") - 1])  # buckets of over d fingerprints
         valid = np.zeros(-(-active // 64) * 64, "u1")
@@ -96,23 +99,22 @@ def near_in_buckets(fps, sizes, radius: int = RADIUS):  # noqa: ANN001, ANN201
         alive = np.packbits(valid, bitorder="little").view("<u8")
         at = np.flatnonzero(alive)
         alive = alive[at]
-        ones, twos = np.zeros(len(at), "u8"), np.zeros(len(at), "u8")
+        counters = [np.full(len(at), (1 << 64) - 1 if slack >> c & 1 else 0, "u8") for c in range(radius.bit_length())]
         jump, shift = divmod(d, 64)
-        for k in range(64):
+        for k in range(many):
             plane = planes[k]
             here = np.minimum(at + jump, words - 1)
             other = plane[here] >> np.uint64(shift)
             if shift:
                 other |= plane[np.minimum(here + 1, words - 1)] << np.uint64(64 - shift)
-            differ = plane[at] ^ other
-            carry = ones & differ
-            ones ^= differ
-            twos ^= carry
-            alive &= ~(ones & twos) if radius == 2 else ~twos if radius == 1 else ~(ones | twos)
+            carry = plane[at] ^ other
+            for c, counter in enumerate(counters):
+                counters[c], carry = counter ^ carry, counter & carry
+            alive &= ~carry
             if k % 4 == 3:
                 some = np.flatnonzero(alive)
                 if len(some) < len(at):
-                    at, alive, ones, twos = at[some], alive[some], ones[some], twos[some]
+                    at, alive, counters = at[some], alive[some], [c[some] for c in counters]
                 if not len(at):
                     break
         if len(at):
@@ -121,12 +123,15 @@ def near_in_buckets(fps, sizes, radius: int = RADIUS):  # noqa: ANN001, ANN201
             yield i, i + d
 
 
-def linked(fps, sizes, radius: int = RADIUS):  # noqa: ANN001, ANN201
-    """For each fingerprint the first place of those that it is linked to within these buckets, over any number of links."""
+def linked(fps, sizes, radius: int = RADIUS, allowed: Callable | None = None):  # noqa: ANN001, ANN201
+    """For each fingerprint the first place of those that it is linked to within these buckets, over any number of links that are ``allowed``."""
     import numpy as np
 
     root = np.arange(len(fps))
     for i, j in near_in_buckets(fps, sizes, radius):
+        if allowed is not None:
+            fit = allowed(i, j)
+            i, j = i[fit], j[fit]
         a, b = root[i], root[j]
         new = np.flatnonzero(a != b)
         if not len(new):
@@ -149,36 +154,43 @@ def linked(fps, sizes, radius: int = RADIUS):  # noqa: ANN001, ANN201
     return root
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], keys: int = 1, most: int = LANES):  # noqa: ANN201
+    """Columns of sorted rows as arrays, about ``most`` rows at a time, with all rows that agree in the first ``keys`` columns together."""
+    import numpy as np
+
+    held, rows, wait = [], 0, most
+    for batch in batches:
+        held.append([np.asarray(batch.column(i)) for i in range(batch.num_columns)])
+        rows += batch.num_rows
+        if rows >= wait:
+            all_ = [np.concatenate(x) for x in zip(*held)]
+            last = np.flatnonzero(np.any([c != c[-1] for c in all_[:keys]], axis=0))
+            done = int(last[-1]) + 1 if len(last) else 0
+            if done:
+                yield [x[:done] for x in all_]
+            held, rows = [[x[done:] for x in all_]], rows - done
+            wait = max(most, 2 * rows)  # a bucket that goes on is not copied at every batch
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (t, key, fp) sorted by bucket, links (a, b) of fingerprints to the first of their set in the bucket."""
     import numpy as np
 
-    def solve(t, key, fp):  # noqa: ANN001, ANN202
+    for t, key, fp in whole_buckets(batches, 2):
         first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[first, len(fp)])
         order = np.argsort(-sizes, kind="stable")
         first, sizes = first[order], sizes[order]
         first, sizes = first[sizes > 1], sizes[sizes > 1]
         if not len(sizes):
-            return None
+            continue
         place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         some = np.ascontiguousarray(fp[place])
         root = linked(some.view("u8"), sizes)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(some[moved]), pa.array(some[root[moved]])], names=["a", "b"])
-
-    held = None
-    for batch in batches:
-        new = [np.asarray(batch.column(i)) for i in range(3)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        if len(held[0]) >= LANES:
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            done = int(last[-1]) + 1 if len(last) else 0
-            if done and (out := solve(*[x[:done] for x in held])) is not None:
-                yield out
-            held = [x[done:] for x in held]
-    if held is not None and len(held[0]) and (out := solve(*held)) is not None:
-        yield out
+        yield pa.RecordBatch.from_arrays([pa.array(some[moved]), pa.array(some[root[moved]])], names=["a", "b"])
 
 
 def _keys(value: Column, bits: int, number: int) -> list[tuple[int, Column, Column]]:
@@ -196,7 +208,10 @@ def fingerprint_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), key.alias("key"), rest.alias("rest")) for t, key, rest in _keys(F.col("fp"), 16, 4)])
     rows = distinct.select("fp", F.inline(tables))
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = rows.join(sizes, ["t", "key"])
+    # Joined by a turned key, for which alone both sides are shuffled, so that a bucket of very many rows can be split over tasks.
+    turned = F.col("key").bitwiseXOR(F.lit(1).cast("long"))
+    sizes = sizes.select(F.col("t").alias("_t"), turned.alias("_key"), "size")
+    rows = rows.join(sizes, (F.col("t") == F.col("_t")) & (turned == F.col("_key")))
     again = F.array(*[F.struct((F.col("t") * 6 + 6 + s).alias("t"), F.shiftleft("key", 16).bitwiseOR(sub).alias("key")) for s, sub, _ in _keys(F.col("rest"), 8, 4)])
     split = F.when(F.col("size") > hot, again).otherwise(F.array(F.struct("t", "key")))
     rows = rows.select("fp", F.inline(split)).repartition("t", "key").sortWithinPartitions("t", "key", "fp")
@@ -216,12 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(fingerprint_links(distinct.select("fp"), hot))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return each.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, columns unchanged; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["_gone"], "left_anti")
+    turned = F.col("root").bitwiseXOR(F.lit(1).cast("long"))  # as above, for a component of very many fingerprints
+    classes = rooted.join(least.select(turned.alias("_root"), "component_id"), turned == F.col("_root")).select(F.col("fp").bitwiseXOR(F.lit(1).cast("long")).alias("_fp"), "component_id")
+    same = each["fp"].bitwiseXOR(F.lit(1).cast("long")) == classes["_fp"]
+    return each.join(classes, same).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

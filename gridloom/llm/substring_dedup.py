@@ -6,12 +6,14 @@ what these bytes hold: the smallest hash of the GRAM-byte strings in them, their
 that have one anchor in a row are sent as one short piece of text:
 
 1. copies of a whole text become one (the others are removed altogether), and texts are dealt into blocks;
-2. blocks send five bytes of each distinct anchor to its bucket, which answers one bit: whether another text has it;
+2. blocks send five bytes of each distinct anchor to its bucket, which answers whether another text has it, and whether it is *hot*: in so
+   many pieces that these are dealt by more of their bytes than the anchor's (``GROUPS``), as a phrase that all documents have is;
 3. blocks send the pieces of shared anchors, each distinct piece once, with its smallest id; the buckets sort their suffixes in two
    stages, compare neighbours, and answer for each start whether its bytes are in a document with a smaller id;
 4. blocks put the answers together to spans.
 
-No step sends a row for each pair of documents; a piece that a third of all documents have is sent once by each block.
+No step sends a row for each pair of documents; a piece that a third of all documents have is sent once by each block. Rows go from
+blocks to buckets, so blocks grow with the root of the input, and the rows with the input itself.
 """
 
 from __future__ import annotations
@@ -26,15 +28,22 @@ from gridloom.llm.common import filled, shuffle_parts
 from gridloom.llm.suffix_sort import REPEAT, smallest_owner
 
 GRAM = 20
-#: Text of a block and of a bucket, on average.
-BLOCK_BYTES = 6 << 20
+#: Text of a block, and of a bucket, on average: at least, at most, and the bytes of input that a row between them stands for.
+BLOCK_BYTES, MOST_BYTES, ROW_BYTES = 6 << 20, 256 << 20, 64 << 10
+#: Pieces beyond which an anchor is hot, and of how many a block tells the number.
+HOT, TOLD = 1 << 16, 16
 #: Places whose anchors are sought in one go; bounds the memory that a very long text takes.
 SLAB = 1 << 22
-#: Stands for a null id, which is larger than all others.
-NO_ID = (1 << 63) - 1
+#: The starts of a hot anchor's pieces, by their distance from the anchor. Those of one group have all bytes in common that lie in each of their
+#: strings, 42 at least, and are dealt by these; strings that reach far into what surrounds a phrase fall apart by it.
+GROUPS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 14), (15, 22), (23, 26), (27, 28), (29, 29), (30, 30))
 EMPTY = sha256(b"").hexdigest()
 
 
+def block_bytes(total: int) -> int:
+    return min(max(BLOCK_BYTES, int((total * ROW_BYTES) ** 0.5)), MOST_BYTES)
+
+
 def _power(e: int):  # noqa: ANN202
     import numpy as np
 
@@ -61,7 +70,7 @@ def _hashes(raw):  # noqa: ANN001, ANN202
 
 
 def _slab_anchors(raw):  # noqa: ANN001, ANN202
-    """Of the places where REPEAT bytes start: where each run of one anchor begins, and the anchor's hash."""
+    """Of the places where REPEAT bytes start: where each run of one anchor begins, the anchor's place, and its hash."""
     import numpy as np
 
     h = _hashes(raw)
@@ -75,20 +84,20 @@ def _slab_anchors(raw):  # noqa: ANN001, ANN202
     least = np.minimum(least[: len(least) - last], least[last:]) if last else least
     at = (least & np.uint64((1 << 24) - 1)).astype("i8")
     begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return begins, h[at[begins]]
+    return begins, at[begins], h[at[begins]]
 
 
 def anchors(raw: bytes):  # noqa: ANN201
-    """(begins, ends, hashes) of the runs of starts with one anchor."""
+    """(begins, ends, places, hashes) of the runs of starts with one anchor."""
     import numpy as np
 
     starts = len(raw) - REPEAT + 1
     if starts <= 0:
-        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
+        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
     data = np.frombuffer(raw, "u1")
-    parts = [(a + b, h) for a in range(0, starts, SLAB) for b, h in [_slab_anchors(data[a : min(a + SLAB, starts) + REPEAT - 1])]]
-    begins, hashes = (np.concatenate(x) for x in zip(*parts))
-    return begins, np.r_[begins[1:], starts], hashes
+    parts = [(a + b, a + p, h) for a in range(0, starts, SLAB) for b, p, h in [_slab_anchors(data[a : min(a + SLAB, starts) + REPEAT - 1])]]
+    begins, places, hashes = (np.concatenate(x) for x in zip(*parts))
+    return begins, np.r_[begins[1:], starts], places, hashes
 
 
 def _five(x):  # noqa: ANN001, ANN202
@@ -112,14 +121,15 @@ class Block:
     def __init__(self, table: pa.Table, buckets: int):
         import numpy as np
 
-        rows = sorted(zip(table["id"].to_pylist(), table["sha"].to_pylist(), table["text"].to_pylist()))
+        rows = sorted(zip(table["id"].to_pylist(), table["sha"].to_pylist(), table["text"].to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.number = table["block"][0].as_py()
         self.ids, self.shas = [r[0] for r in rows], [r[1] for r in rows]
         self.raws = [r[2].encode("utf-8", "surrogatepass") for r in rows]
         found = [anchors(r) for r in self.raws]
-        self.begins, self.ends, hashes = (np.concatenate([f[k] for f in found]) for k in range(3))
+        self.begins, self.ends, self.places, hashes = (np.concatenate([f[k] for f in found]) for k in range(4))
         self.doc = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
-        self.distinct, first, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        self.distinct, first, self.inverse, self.counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.buckets = buckets
         later = np.flatnonzero(self.doc != self.doc[first[self.inverse]]) if len(hashes) else np.zeros(0, "i8")
         self.twice = np.zeros(len(self.distinct), bool)  # anchors that two texts of this block have
         self.twice[self.inverse[later]] = True
@@ -128,36 +138,57 @@ class Block:
         cuts = np.flatnonzero(np.r_[True, self.bucket[order][1:] != self.bucket[order][:-1]]) if len(order) else np.zeros(0, "i8")
         self.by_bucket = {int(self.bucket[order[a]]): order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])}
 
-    def pieces(self, answers: dict[int, bytes]):  # noqa: ANN201
-        """Yield (bucket, places, pieces, ids, same) for each bucket, of the anchors that ``answers`` has a bit for.
+    def _marked(self, answers: dict[int, bytes]):  # noqa: ANN202
+        """Of each run, whether its anchor has its bit set."""
+        import numpy as np
+
+        out = np.zeros(len(self.distinct), bool)
+        for bucket, bits in answers.items():
+            at = self.by_bucket[bucket]
+            out[at] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(at)).astype(bool)
+        return out[self.inverse]
+
+    def pieces(self, shared: dict[int, bytes], hot: dict[int, bytes]):  # noqa: ANN201
+        """By bucket (places, pieces, ids) of the anchors that are shared, those of hot ones cut by GROUPS.
 
         ``places`` are (doc, begin, end, piece), piece being -1 where a smaller document of this block has the same one.
         """
         import numpy as np
+        from xxhash import xxh64_intdigest
 
-        shared = np.zeros(len(self.distinct), bool)
-        for bucket, bits in answers.items():
-            at = self.by_bucket[bucket]
-            shared[at] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(at)).astype(bool)
-        rows = np.flatnonzero(shared[self.inverse])
-        bucket_of = self.bucket[self.inverse[rows]]
         out: dict[int, tuple[list, list, list]] = {}
-        known: dict[bytes, tuple[int, int]] = {}
-        for doc, begin, end, bucket in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), bucket_of.tolist()):
-            piece = self.raws[doc][begin : end + REPEAT - 1]
+        known: dict[object, tuple[int, int]] = {}
+
+        def put(bucket: int, key: object, piece: bytes, doc: int, begin: int, end: int) -> None:
             places, pieces, ids = out.setdefault(bucket, ([], [], []))
-            had = known.get(piece)
+            had = known.get(key)
             if had is None:
-                had = known[piece] = (len(pieces), doc)
+                had = known[key] = (len(pieces), doc)
                 pieces.append(piece)
                 ids.append(self.ids[doc])
             places.append((doc, begin, end, had[0] if self.ids[had[1]] == self.ids[doc] else -1))
+
+        hot_runs = self._marked(hot)
+        rows = np.flatnonzero(self._marked(shared) & ~hot_runs)
+        bucket_of = self.bucket[self.inverse[rows]]
+        for doc, begin, end, bucket in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), bucket_of.tolist()):
+            piece = self.raws[doc][begin : end + REPEAT - 1]
+            put(bucket, piece, piece, doc, begin, end)
+        rows = np.flatnonzero(hot_runs)
+        for doc, begin, end, place in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), self.places[rows].tolist()):
+            raw = self.raws[doc]
+            for number, (least, most) in enumerate(GROUPS):
+                first, last = max(begin, place - most), min(end, place - least + 1)
+                if first < last:
+                    bucket = xxh64_intdigest(raw[place - least : place - most + REPEAT], number) % self.buckets
+                    piece = raw[first : last + REPEAT - 1]
+                    put(bucket, (number, piece), piece, doc, first, last)
         return out
 
 
-A = "bucket int, block int, hashes binary, twice binary"
+A = "bucket int, block int, hashes binary, twice binary, many binary"
 S = "block int, kind int, bucket int, data binary"
-G = "bucket int, block int, pieces binary, lengths binary, ids binary"
+G = "bucket int, block int, pieces binary, lengths binary, ids binary, none binary"
 R = "sha string, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -173,18 +204,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), filled(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(text_col).alias("text")).withColumn("sha", F.sha2("text", 256))
     if blocks is None:
         total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-        blocks = max(shuffle_parts(spark), -(-total // BLOCK_BYTES))
+        blocks = max(shuffle_parts(spark), -(-total // block_bytes(total)))
     texts = rows.groupBy("sha", "text").agg(F.min("id").alias("id")).select(F.pmod(F.xxhash64("sha"), F.lit(blocks)).cast("int").alias("block"), "id", "sha", "text")
 
     def offer(table: pa.Table) -> pa.Table:
         import numpy as np
 
         b = Block(table, blocks)
-        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes()) for bucket, at in b.by_bucket.items()]
-        return _table(out, ["bucket", "block", "hashes", "twice"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        told = lambda at: np.array([(k, b.counts[x]) for k, x in enumerate(at) if b.counts[x] > TOLD], "<u4").tobytes()
+        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes(), told(at)) for bucket, at in b.by_bucket.items()]
+        return _table(out, ["bucket", "block", "hashes", "twice", "many"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     def answer(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -192,13 +224,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         hashes = [_unfive(x.as_py()) for x in table["hashes"]]
         sizes = [len(h) for h in hashes]
         alone = ~np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=n).astype(bool) for x, n in zip(table["twice"], sizes)])
+        many = np.ones(len(alone))
+        for start, raw in zip(np.cumsum(sizes) - sizes, table["many"].to_pylist()):
+            k, n = np.frombuffer(raw, "<u4").reshape(-1, 2).T
+            many[start + k] = n
         _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         shared = ~alone | (counts[inverse] > 1)
         shared |= np.bincount(inverse, weights=~alone, minlength=len(counts))[inverse] > 0
+        hot = shared & (np.bincount(inverse, weights=many, minlength=len(counts))[inverse] > HOT)
         out, at = [], 0
         for block, n in zip(table["block"].to_pylist(), sizes):
-            if shared[at : at + n].any():
-                out.append((block, 0, table["bucket"][0].as_py(), np.packbits(shared[at : at + n]).tobytes()))
+            for kind, flags in ((0, shared[at : at + n]), (2, hot[at : at + n])):
+                if flags.any():
+                    out.append((block, kind, table["bucket"][0].as_py(), np.packbits(flags).tobytes()))
             at += n
         return _table(out, ["block", "kind", "bucket", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
 
@@ -211,9 +249,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         out = []
         if texts_.num_rows and answers.num_rows:
             b = Block(texts_, blocks)
-            for bucket, (_, pieces, ids) in b.pieces(bits(answers, 0)).items():
-                out.append((bucket, b.number, b"".join(pieces), np.array([len(p) for p in pieces], "u1").tobytes(), np.array(ids, "<i8").tobytes()))
-        return _table(out, ["bucket", "block", "pieces", "lengths", "ids"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+            for bucket, (_, pieces, ids) in b.pieces(bits(answers, 0), bits(answers, 2)).items():
+                none = np.packbits([i is None for i in ids]).tobytes()
+                out.append((bucket, b.number, b"".join(pieces), np.array([len(p) for p in pieces], "u1").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), none))
+        return _table(out, ["bucket", "block", "pieces", "lengths", "ids", "none"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
 
     def sort(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -221,6 +260,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         lengths = [np.frombuffer(x.as_py(), "u1").astype("i8") for x in table["lengths"]]
         each = np.concatenate(lengths)
         ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["ids"]])
+        none = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(n)) for x, n in zip(table["none"], lengths)])
+        if int(each.sum()) + len(each) >= (1 << 31) - 256:
+            raise OverflowError("a bucket's pieces exceed what its places can be numbered by; more blocks are needed")
+        order = np.lexsort((ids, none))  # null ids are larger than all others, and equal to each other
+        rank = np.zeros(len(ids), "i8")
+        rank[order] = np.cumsum(np.r_[False, (ids[order][1:] != ids[order][:-1]) | (none[order][1:] != none[order][:-1])])
+        ids = rank
         least = smallest_owner(b"".join(table["pieces"].to_pylist()), each, ids)
         of = np.repeat(np.arange(len(each)), each)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
@@ -240,7 +286,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
             b = Block(texts_, blocks)
             gone: dict[int, list[np.ndarray]] = {}
             masks = bits(answers, 1)
-            for bucket, (places, _, _) in b.pieces(bits(answers, 0)).items():
+            for bucket, (places, _, _) in b.pieces(bits(answers, 0), bits(answers, 2)).items():
                 doc, begin, end, piece = np.array(places, "i8").T
                 mask = np.where(piece < 0, (1 << 31) - 1, np.frombuffer(masks[bucket], "<u4").astype("i8")[piece])
                 long = end - begin
@@ -273,10 +319,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     sent = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, G)
     replies = shared.unionByName(sent.groupBy("bucket").applyInArrow(sort, S))
     each = by_block.cogroup(replies.groupBy("block")).applyInArrow(finish, R)
-    copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= REPEAT)
-    joined = rows.select("id", "sha").join(each.withColumnRenamed("id", "first"), "sha")
+    copy = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))) & (F.col("n_bytes") >= REPEAT)
+    # Joined by the turned digest, for which alone both sides are shuffled, so that a text of very many copies can be split over tasks.
+    turned = each.select(F.reverse("sha").alias("_sha"), F.col("id").alias("first"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    joined = rows.select("id", "sha").join(turned, F.reverse("sha") == F.col("_sha"))
     return joined.select(
-        F.nullif("id", F.lit(NO_ID)).alias(id_col),
+        F.col("id").alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
