@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, names and units become typed placeholders, everything else lower-cased words; punctuation is not looked at.
-Windows of the canonical words are hash-joined between documents and benchmark items. Every hit is then verified on the words themselves,
-and its slots are checked for consistency: the slots of the item's window that hold one value hold one value in the document too,
-and different ones differ, so ``Anna gave Ben 3 km of rope and left`` meets ``Eva gave Tom 7 miles of rope and left`` and not ``Eva gave Eva 7 miles of rope and left``.
-Windows with few literal words are found by their very values, and with other values by a longer window that has enough literal words.
+Numbers (in digits or words), names and units become typed placeholders, a run of names or number words one of them, everything else lower-cased words;
+punctuation is not looked at. That is done by a chain of replacements on whole texts. Windows of the canonical words are hash-joined
+between documents and benchmark items. Every hit is then verified on the words themselves, and its slots are checked for consistency: the
+slots of the item's window that hold one value hold one value in the document too, and different ones differ, so
+``Anna gave Ben 3 km of rope and left`` meets ``Mary Ann gave Tom seven miles of rope and left`` and not ``Eva gave Eva 7 miles of rope and left``.
+
+Windows of few literal words would meet too much; in their place stand longer windows about them that have enough, and the item's very words, without
+placeholders. So no item is without a window, but those without any word or number, which ``unsearchable`` lists.
 """
 
 from __future__ import annotations
@@ -15,138 +18,204 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut, filled
 
 WINDOW = 8
-#: Words that must be literal in a window of WINDOW words; shorter windows need min(LITERALS, words).
+#: Words that must be literal in a window of canonical words; windows of fewer words need all of theirs.
 LITERALS = 5
 #: Items of fewer words than this are found only where their very words are a whole sentence or line, or anywhere if of a script without spaces.
 SHORTEST = 5
-#: Benchmark windows of at most so many rows are broadcast; beyond that both sides are shuffled by the window's hash.
-BROADCAST_ROWS = 1_000_000
-
-#: A word or number, with the sentence end before it, if there is one: a capital after that says nothing.
-TOKEN = r"(?:[.!?\n][^\p{L}0-9]*)?(?:[0-9]+(?:[.,:][0-9]+)*|[\p{L}\p{M}]+)"
-#: What may stand before the word itself in a token is all that is neither letter nor digit.
-LEAD = r"^[^\p{L}0-9]+"
-START = r"^[.!?\n]"
+#: Bytes of benchmark windows, and of pairs of an id and a hash, that are broadcast at most; beyond that both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+#: Marks within a text that is worked on: sentence start, the openings of name, number and unit, their end, and a point within a number; and for a
+#: while, the opening of a number word and the end of a name.
+START, NAME, NUMBER, UNIT, END, POINT, NUMBER_WORD, NAME_END = (chr(i) for i in range(1, 9))
+OPENINGS = NAME + NUMBER + UNIT
 #: Scripts that don't part words, whose tokens are clauses.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_UNSPACED_JAVA = UNSPACED.replace("\\p{", "\\p{Is")
 #: Unit words that count as units straight after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz pound pounds ounce ounces ton tons "
     "ml cl l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "usd eur gbp dollar dollars euro euros cent cents percent kb mb gb tb hz khz mhz ghz w kw v mph kmh degrees"
 ).split()
+#: Number words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
+
+
+def _either(words: list[str]) -> str:
+    """A pattern for the words in any case of their letters."""
+    return "(?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in words) + ")"
+
 
+_ONE_NAME = r"[\p{Lu}\p{Lt}][\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
+_ONE_NUMBER = _either(NUMBERS)
+#: First the text in parts: (pattern, what it becomes, times). Nothing in them looks around, so any engine reads them alike.
+BLANKED = ("".join(map(chr, range(1, 9))) + "!?\n", " " * 8 + "...")
+PARTED = ((r"([0-9])[.,:]([0-9])", rf"\1{POINT}\2", 2), (rf"[^\p{{L}}\p{{M}}0-9.{POINT}]+", " ", 1), (r"\.[ .]*", f" {START}", 1))
+#: Then the slots, in a text in which each token has a space of its own on both sides. Runs are put together slot by slot, as an engine that
+#: matched a run at once would need a stack as long.
+SLOTTED = (
+    (rf" {START}?({_ONE_NUMBER}) ", rf" {NUMBER_WORD}\1{END} "),
+    (f"{END}  {NUMBER_WORD}", "  "),
+    (NUMBER_WORD, NUMBER),
+    (rf"{END}  ({_either(UNITS)}) ", rf"{END}  {UNIT}\1{END} "),
+    (rf" ({_ONE_NAME}) ", rf" {NAME}\1{NAME_END} "),
+    (f"{NAME_END}  {NAME}", "  "),
+    (NAME_END, END),
+)
+DIGITS = (rf"([0-9][0-9{POINT}]*)", rf"  {NUMBER}\1{END}  ")
+#: A token of a text with slots, the same with placeholders for slots, and a token of a text in parts.
+TOKEN, EMPTIED, PLAIN = rf"[{OPENINGS}][^{END}]*{END}|[^ {OPENINGS}{END}]+", (rf"([{OPENINGS}])[^{END}]*{END}", r"\1"), rf"{START}?(?:[0-9][0-9{POINT}]*|[\p{{L}}\p{{M}}]+)"
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
+def _replaced(text: Column, pattern: str, by: str) -> Column:
+    return F.regexp_replace(text, F.lit(pattern), F.lit(by.replace("\\", "$")))
 
-def _bare(token: Column) -> Column:
-    """The token without the sentence end before it."""
-    return F.when(F.regexp_like(token, F.lit(r"^[.!?\n]")), F.regexp_replace(token, LEAD, "")).otherwise(token)
 
+def parted(text: Column, starts: bool = True) -> Column:
+    """Words, numbers and sentence starts of a text; whether its first word starts a sentence isn't known, and taken as told."""
+    text = F.translate(text, *BLANKED)
+    for pattern, by, times in PARTED:
+        for _ in range(times):
+            text = _replaced(text, pattern, by)
+    return _replaced(text, f"^[ {START}]*", START if starts else "")
 
-def _number(bare: Column) -> Column:
-    return (bare >= "0") & (bare < ":")
 
+def slotted(parts: Column) -> Column:
+    """A text in parts with its names, numbers and units as slots, in lower case."""
+    text = _replaced(F.concat(F.lit(" "), _replaced(parts, *DIGITS), F.lit(" ")), " +", "  ")
+    for pattern, by in SLOTTED:
+        text = _replaced(text, pattern, by)
+    return F.translate(F.lower(text), START, "")
 
-def canonical(toks: Column, first_is_start: bool = True) -> Column:
-    """Placeholders and lower-case words. Of a text's first word it isn't known whether it starts a sentence; it is taken to, if so told."""
 
-    def one(x: Column, i: Column) -> Column:
-        started = F.regexp_like(x, F.lit(r"^[.!?\n]"))
-        bare, first, rest = _bare(x), F.substring(x, 1, 1), F.substr(x, F.lit(2))
-        named = (F.char_length(x) > 1) & (first != F.lower(first)) & (rest == F.lower(rest)) & (F.lit(not first_is_start) | (i > 0))
-        unit = F.lower(x).isin(*UNITS) & (i > 0) & _number(_bare(F.get(toks, i - 1)))
-        return F.when(_number(bare), "<num>").when(started, F.lower(bare)).when(unit, "<unit>").when(named, "<name>").otherwise(F.lower(x))
+def _tokens(text: Column, pattern: str = TOKEN) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    return F.transform(toks, one)
 
+def _canonical(slots: Column) -> Column:
+    """Words, and placeholders for slots."""
+    return _tokens(_replaced(slots, *EMPTIED), "[^ ]+")
 
-def _windows(words: Column, length: int, toks: Column | None = None) -> Column:
-    """Of the words as they are (``exact``) if ``toks`` are given; ``whole`` then says that they are a sentence or line."""
+
+def _windows(words: Column, length: int, exact: bool) -> Column:
+    """The windows of a length: of canonical words, or (``exact``) of plain ones; ``is_whole`` says that these are a sentence or line."""
     starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
-    opens = lambda i: F.regexp_like(F.get(toks, i), F.lit(START))
-    whole = lambda i: F.lit(False) if toks is None or length >= SHORTEST else ((i == 1) | opens(i - 1)) & ((i + length > F.size(toks)) | opens(i + (length - 1)))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(toks is not None).alias("exact"), whole(i).alias("is_whole"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+    if not exact:
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+    opens = lambda i: F.startswith(F.get(words, i), F.lit(START))
+    whole = lambda i: F.lit(False) if length >= SHORTEST else opens(i - 1) & ((i + length > F.size(words)) | opens(i + (length - 1)))
+    plain = lambda i: _unmarked(F.slice(words, i, length))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(True).alias("exact"), whole(i).alias("is_whole"), F.xxhash64(plain(i)).alias("key")))
+
+
+def _unmarked(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(w, START, ""))
+
+
+def _slots(tokens: Column) -> Column:
+    """For each slot the place of the first slot that has its kind and value; two windows agree if these are the same."""
+    held = F.filter(tokens, lambda t: F.substring(t, 1, 1).isin(*OPENINGS))
+    return F.transform(held, lambda t: F.array_position(held, t))
 
 
-def _values(toks: Column) -> Column:
-    return F.transform(toks, lambda x: F.lower(_bare(x)))
+def _no_slots() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item, pos, length, exact, whole, key, words, slots for each distinct window; a first word that may be a name is taken both ways.
+    """item, pos, length, exact, whole, words, slots, key for each distinct window; an item's first word is taken as a sentence's start and not.
 
-    ``item`` is a structure of the id, as a null id too is to be joined by. Windows of too few literal words have their
-    very values (``exact``), and besides the first longer window about them that has enough literal words, if there is one.
+    ``item`` is a structure of the id, as a null id too is to be joined by. A window of canonical words that has too few literal ones gives way
+    to the first longer one about it that has enough, if there is one, and its item has all windows of plain words (``exact``) besides.
     """
-    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), tokens(filled(text_col)).alias("toks")).where(F.size("toks") > 0)
-    both = items.where(F.size("toks") >= SHORTEST).select("item", "toks", F.explode(F.array_distinct(F.array(canonical(F.col("toks")), canonical(F.col("toks"), False)))).alias("canon"))
-    length = F.least(F.size("canon"), F.lit(window))
-    starts = F.sequence(F.lit(1), F.size("canon") - length + 1)
-    rows = both.select("item", "toks", "canon", length.alias("length"), F.explode(starts).alias("pos"))
-    literal = lambda start, size: F.size(F.filter(F.slice("canon", start, size), lambda w: ~w.startswith("<")))
-    enough = literal(F.col("pos"), F.col("length")) >= F.least(F.col("length"), F.lit(LITERALS))
-    shape = lambda start, size, exact: F.struct(start.cast("int").alias("start"), size.alias("length"), F.lit(exact).alias("exact"))
+    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), F.explode(F.array(*[F.struct(parted(filled(text_col), s).alias("parts"), F.lit(s).alias("starts")) for s in (True, False)])).alias("v"))
+    items = items.select("item", "v.*").select("item", "parts", "starts", _tokens(F.lower("parts"), PLAIN).alias("plain"), slotted(F.col("parts")).alias("slotted"))
+    items = items.select("item", "parts", "starts", "plain", _tokens(F.col("slotted")).alias("tokens"), _canonical(F.col("slotted")).alias("words")).where(F.size("plain") > 0)
+    literal = lambda start, size: F.size(F.filter(F.slice("words", start, size), lambda w: ~w.isin(*OPENINGS)))
+    length = F.least(F.size("words"), F.lit(window))
+    rows = items.withColumn("length", length).withColumn("pos", F.explode_outer(F.when(F.size("words") >= SHORTEST, F.sequence(F.lit(1), F.size("words") - length + 1))))
+    few = F.col("pos").isNull() | (literal(F.col("pos"), F.col("length")) < F.least(F.col("length"), F.lit(LITERALS)))
+    shape = lambda start, size: F.struct(start.cast("int").alias("start"), size.alias("size"))
     longer = F.lit(None)
     for times in (4, 2):
-        size = F.least(F.size("canon"), F.lit(times * window))
-        start = F.least(F.col("pos"), F.size("canon") - size + 1)
-        longer = F.when((size > F.col("length")) & (literal(start, size) >= LITERALS), shape(start, size, False)).otherwise(longer)
-    own = lambda exact: shape(F.col("pos"), F.col("length"), exact)
-    shapes = F.when(enough, F.array(own(False))).otherwise(F.filter(F.array(own(True), longer), lambda x: x.isNotNull()))
-    rows = rows.select("item", "toks", "canon", "pos", F.inline(shapes)).withColumn("whole", F.lit(False))
-    short = items.where(F.size("toks") < SHORTEST).select("item", "toks", F.col("toks").alias("canon"), F.lit(1).alias("pos"), F.lit(1).alias("start"), F.size("toks").alias("length"), F.lit(True).alias("exact"), (~F.exists("toks", lambda x: F.regexp_like(x, F.lit(UNSPACED)))).alias("whole"))
-    rows = _taken(rows.unionByName(short), "start")
-    return rows.withColumn("key", F.xxhash64("words")).select("item", "pos", "length", "exact", "whole", "key", "words", "slots").dropDuplicates(["item", "pos", "exact", "words", "slots"])
+        size = F.least(F.size("words"), F.lit(times * window))
+        start = F.least(F.col("pos"), F.size("words") - size + 1)
+        longer = F.when((size > F.col("length")) & (literal(start, size) >= LITERALS), shape(start, size)).otherwise(longer)
+    rows = rows.withColumn("few", few).withColumn("shape", F.when(~few, shape(F.col("pos"), F.col("length"))).otherwise(F.when(F.col("pos").isNotNull(), longer)))
+    part = lambda c: F.slice(c, F.col("shape.start"), F.col("shape.size"))
+    templates = rows.where("shape is not null").select("item", "pos", F.col("shape.size").alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("whole"), part("words").alias("words"), _slots(part("tokens")).alias("slots"))
+    n = F.size("plain")
+    plain = rows.where("few").select("item", "parts", "plain", F.least(n, F.lit(window)).alias("length")).withColumn("pos", F.explode(F.sequence(F.lit(1), n - F.col("length") + 1)))
+    whole = (n < SHORTEST) & ~F.regexp_like("parts", F.lit(_UNSPACED_JAVA))
+    exact = plain.select("item", "pos", "length", F.lit(True).alias("exact"), whole.alias("whole"), _unmarked(F.slice("plain", F.col("pos"), F.col("length"))).alias("words"), _no_slots().alias("slots"))
+    return templates.unionByName(exact).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.xxhash64("words"))
 
 
-def _taken(rows: DataFrame, start: str) -> DataFrame:
-    """``rows`` with the words and slots of the window at ``start`` instead of their tokens: canonical ones, or the values if exact."""
-    part = lambda c: F.slice(c, F.col(start), F.col("length"))
-    rows = rows.withColumn("raw", part(F.col("toks"))).withColumn("words", F.when(F.col("exact"), _values(F.col("raw"))).otherwise(part(F.col("canon"))))
-    return rows.withColumn("slots", F.when(~F.col("exact"), _slots(F.col("words"), F.col("raw"))).otherwise(F.array().cast("array<bigint>"))).drop("toks", "canon", "raw")
+def unsearchable(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The items that no document can be searched for, as they have neither a word nor a number."""
+    return benchmark.where(F.size(_tokens(parted(filled(text_col)), PLAIN)) == 0).select(id_col)
 
 
-def _slots(words: Column, raw: Column) -> Column:
-    """For each slot the place of the first slot that has its kind and value; two windows agree if these are the same."""
-    pairs = F.filter(F.zip_with(words, raw, lambda w, r: F.when(w.startswith("<"), F.concat(w, F.lower(_bare(r))))), lambda p: p.isNotNull())
-    return F.transform(pairs, lambda p: F.array_position(pairs, p))
+def _small(rows: DataFrame, each: Column) -> DataFrame:
+    """``rows`` to be broadcast if they are of few bytes."""
+    return F.broadcast(rows) if (rows.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else rows
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, exact, words, slots) distinct: the benchmark's windows that documents hold, ``doc`` being a structure of an id and a hash of its text."""
+    kinds = sorted((r[0], r[1]) for r in bench.select("exact", "length").distinct().collect())  # exact ones of at most window lengths, others of at most 4 * window
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(filled(text_col)).alias("th")).alias("doc"), parted(filled(text_col)).alias("parts"))
+
+    def worded(rows: DataFrame, *more: Column) -> DataFrame:
+        exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
+        rows = rows.select("*", *([slotted(F.col("parts")).alias("slotted")] if template else []))
+        none = F.array().cast("array<string>")
+        return rows.select("*", (_canonical(F.col("slotted")) if template else none).alias("words"), (_tokens(F.lower("parts"), PLAIN) if exact else none).alias("plain"), *more)
+
+    each = [_windows(F.col("plain" if k else "words"), n, k) for k, n in kinds]
+    none = F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")
+    made = worded(rows).select("doc", F.inline(F.concat(*each, none)))
+    keys = bench.groupBy("length", "exact", "key").agg(F.min("whole").alias("whole"))  # one for each template, however many items have it
+    places = cut(made.join(_small(keys, F.lit(24)), ["length", "exact", "key"]).where(~F.col("whole") | F.col("is_whole")).select("doc", "pos", "length", "exact", "is_whole"))
+    suspects = places.select(F.col("doc").alias("_doc")).distinct()
+    again = rows.join(_small(suspects, F.lit(32)), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+    again = worded(again, (_tokens(F.col("slotted")) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens")).select("doc", "words", "plain", "tokens")
+    part = lambda c: F.slice(c, F.col("pos"), F.col("length"))
+    held = again.join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
+    words = F.when(F.col("exact"), _unmarked(part(F.col("plain")))).otherwise(part(F.col("words")))
+    slots = F.when(F.col("exact"), _no_slots()).otherwise(_slots(part(F.col("tokens"))))
+    return held.select("doc", "exact", "is_whole", words.alias("words"), slots.alias("slots")).distinct()
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, item, pos, exact) of every window found, and all windows."""
+    bench = cut(item_windows(benchmark, item_col, item_text, window))
+    found = _found(docs, bench, id_col, text_col)
+    right = bench.select("item", "pos", "exact", "whole", "words", "slots")
+    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("slots") + 64
+    sure = found.join(_small(right, size), ["exact", "words", "slots"]).where(~F.col("whole") | F.col("is_whole"))
+    return sure.select("doc", "item", "pos", "exact"), bench
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document id and item that share a window: id, item_id, n_windows (the item's windows found), coverage (of the item's windows).
 
-    Null texts are empty; texts without words match nothing; null
-    ids are carried; rows that repeat an id are one document with several texts. Empty tables give an empty result. Other
-    columns are not looked at.
+    Null texts are empty; texts without words match nothing; null ids are carried; rows that repeat an id are one document with several texts, and
+    items that share an id one item. Empty tables give an empty result. Other columns are not looked at.
     """
-    bench = cut(item_windows(benchmark, item_col, item_text, window))
-    kinds = sorted((r[0], r[1]) for r in bench.select("exact", "length").distinct().collect())  # exact ones of at most window lengths, others of at most 4 * window
-    few = bench.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(id_col).alias("id"), tokens(filled(text_col)).alias("toks"))
-    exact = any(k for k, _ in kinds)
-    words = rows.select("id", canonical(F.col("toks")).alias("words"), *([F.col("toks"), _values(F.col("toks")).alias("said")] if exact else []))
-    side = bench.select("item", F.col("pos").alias("ipos"), "length", "exact", "whole", "key")
-    each = [_windows(F.col("said"), n, F.col("toks")) if k else _windows(F.col("words"), n) for k, n in kinds]
-    made = words.select("id", F.inline(F.concat(*each or [F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")])))
-    hits = made.join(F.broadcast(side) if few else side, ["length", "exact", "key"]).where(~F.col("whole") | F.col("is_whole"))
-    hits = cut(hits.select("id", "pos", "item", "ipos", "length", "exact"))
-    suspects = docs.select(F.col(id_col).alias("id"), filled(text_col).alias("text")).join(hits.select("id").distinct().withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    suspects = suspects.select("id", tokens(F.col("text")).alias("toks")).select("id", "toks", canonical(F.col("toks")).alias("canon"))
-    found = suspects.join(hits.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")))
-    found = _taken(found.select("id", "item", "ipos", "pos", "length", "exact", "toks", "canon"), "pos").select("id", "item", "ipos", "exact", "words", "slots")
-    right = bench.select("item", F.col("pos").alias("ipos"), "exact", "words", "slots")
-    sure = found.join(F.broadcast(right) if few else right, ["item", "ipos", "exact", "words", "slots"])
-    totals = bench.groupBy("item").agg(F.countDistinct("pos").alias("_of"))
-    per = sure.groupBy("id", "item").agg(F.countDistinct("ipos").alias("n_windows"))
-    return per.join(F.broadcast(totals) if few else totals, "item").select(
-        F.col("id").alias(id_col), F.col("item.id").alias(item_col), "n_windows", (F.col("n_windows") / F.col("_of")).alias("coverage")
-    )
+    sure, bench = _leaks(docs, benchmark, id_col, text_col, item_col, item_text, window)
+    totals = bench.groupBy("item").agg(F.countDistinct("pos", "exact").alias("_of"))
+    per = sure.groupBy(F.col("doc.id").alias("id"), "item").agg(F.countDistinct("pos", "exact").alias("n_windows"))
+    return per.join(totals, "item").select(F.col("id").alias(id_col), F.col("item.id").alias(item_col), "n_windows", (F.col("n_windows") / F.col("_of")).alias("coverage"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id shares no window with the benchmark, columns unchanged."""
-    leaks = contamination(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[f"`{id_col}`"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The rows of ``docs`` whose text shares no window with the benchmark, columns unchanged; of texts that share an id each goes by itself."""
+    sure, _ = _leaks(docs, benchmark, id_col, text_col, "item_id", "text", WINDOW)
+    gone = cut(sure.select(F.col("doc.id").alias("_id"), F.col("doc.th").alias("_th")).distinct())
+    few = _small(gone, F.lit(24))
+    return docs.join(few, docs[f"`{id_col}`"].eqNullSafe(few["_id"]) & (F.xxhash64(filled(docs[f"`{text_col}`"])) == few["_th"]), "left_anti")

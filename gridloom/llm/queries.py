@@ -90,37 +90,58 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    from gridloom.llm.decontaminate import LITERALS, SHORTEST, TOKEN, UNITS, WINDOW
-
-    token = TOKEN.replace("\\n", "\n")
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    canon = f"""
-      CASE WHEN bare >= '0' AND bare < ':' THEN '<num>' WHEN started THEN lower(bare)
-           WHEN lower(tok) IN ({units}) AND prev >= '0' AND prev < ':' THEN '<unit>'
-           WHEN length(tok) > 1 AND tok[1:1] <> lower(tok[1:1]) AND tok[2:] = lower(tok[2:]) AND (i > 1 OR NOT first_start) THEN '<name>'
-           ELSE lower(tok) END"""
-    side = lambda name, key, table, starts: f"""
-    {name}_t AS (SELECT row_number() OVER () AS rn, {key} AS id, regexp_extract_all(coalesce(text, ''), '{token}') AS toks FROM {table}),
-    {name}_u AS (SELECT rn, id, len(toks) AS n, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM {name}_t),
-    {name}_b AS (SELECT *, regexp_matches(tok, '^[.!?\n]') AS started, CASE WHEN regexp_matches(tok, '^[.!?\n]') THEN regexp_replace(tok, '^[^\\p{{L}}0-9]+', '') ELSE tok END AS bare FROM {name}_u),
-    {name}_p AS (SELECT *, lag(bare) OVER (PARTITION BY rn ORDER BY i) AS prev FROM {name}_b),
-    {name}_c AS (SELECT rn, id, n, i, bare, first_start, {canon} AS w FROM {name}_p, (SELECT unnest({starts}) AS first_start)),
-    {name}_l AS (SELECT rn, id, n, first_start, list(w ORDER BY i) AS ws, list(lower(bare) ORDER BY i) AS vs FROM {name}_c GROUP BY ALL)"""
-    slots = "list_filter(list_transform(range(1, len(words) + 1), lambda k: CASE WHEN words[k][1:1] = '<' THEN words[k] || vals[k] END), lambda v: v IS NOT NULL)"
-    window = lambda name: f"""
-    SELECT DISTINCT id, pos, words, list_transform(pairs, lambda v: list_position(pairs, v)) AS slots FROM (
-      SELECT id, pos, words, {slots} AS pairs FROM (
-        SELECT id, pos, ws[pos:pos + length - 1] AS words, vs[pos:pos + length - 1] AS vals
-        FROM (SELECT id, ws, vs, length, unnest(range(1, n - length + 2)) AS pos FROM {name})))"""
+    from gridloom.llm import decontaminate as d
+
+    said = lambda x: "'" + x.replace("'", "''") + "'"
+    replaced = lambda e, pattern, by: f"regexp_replace({e}, {said(pattern)}, {said(by)}, 'g')"
+    parted = f"translate(coalesce(text, ''), {said(d.BLANKED[0])}, {said(d.BLANKED[1])})"
+    for pattern, by, times in d.PARTED:
+        for _ in range(times):
+            parted = replaced(parted, pattern, by)
+    first = f"^[ {d.START}]*"
+    slotted = replaced(f"' ' || {replaced('parts', *d.DIGITS)} || ' '", " +", "  ")
+    for pattern, by in d.SLOTTED:
+        slotted = replaced(slotted, pattern, by)
+    slotted = f"translate(lower({slotted}), {said(d.START)}, '')"
+    tokens = lambda e, pattern: f"regexp_extract_all({e}, {said(pattern)})"
+    opening = lambda e: f"{e} IN ({', '.join(map(said, d.OPENINGS))})"
+    plainly = lambda e: f"list_transform({e}, lambda w: translate(w, {said(d.START)}, ''))"
+    literal = lambda start, size: f"len(list_filter(words[{start}:{start} + {size} - 1], lambda w: NOT ({opening('w')})))"
+    held = lambda e: f"list_filter({e}, lambda v: {opening('v[1:1]')})"
+    slots = lambda e: f"list_transform({held(e)}, lambda v: list_position({held(e)}, v))"
+    side = lambda name, key, table, parts, more: f"""
+    {name}_p AS (SELECT row_number() OVER () AS rn, {key} AS id, {parts} FROM {table}),
+    {name}_m AS (SELECT *, {slotted} AS m FROM {name}_p),
+    {name} AS (SELECT rn, id, parts, {tokens("lower(parts)", d.PLAIN)} AS plain, {tokens("m", d.TOKEN)} AS tokens, {tokens(replaced("m", *d.EMPTIED), "[^ ]+")} AS words FROM {name}_m{more})"""
+    longer = " ".join(
+        f"WHEN least(n, {times * d.WINDOW}) > length AND {literal(start, f'least(n, {times * d.WINDOW})')} >= {d.LITERALS} THEN {{'start': {start}, 'size': least(n, {times * d.WINDOW})}}"
+        for times in (2, 4)
+        for start in [f"least(pos, n - least(n, {times * d.WINDOW}) + 1)"]
+    )
     return f"""
-    WITH {side("d", "doc_id", "documents", "[true]")}, {side("b", "item_id", "(SELECT * FROM benchmark)", "[true, false]")},
-    bl AS (SELECT *, least(n, {WINDOW}) AS length FROM b_l WHERE n >= {SHORTEST}),
-    bw AS (SELECT * FROM ({window("bl")}) WHERE len(list_filter(words, lambda w: w[1:1] <> '<')) >= least(len(words), {LITERALS})),
-    dl AS (SELECT d.*, length FROM d_l d, (SELECT DISTINCT length FROM bl) WHERE n >= length),
-    dw AS ({window("dl")}),
-    f AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.pos FROM dw JOIN bw ON dw.words = bw.words AND dw.slots = bw.slots),
-    t AS (SELECT id AS item_id, count(DISTINCT pos) AS total FROM bw GROUP BY 1)
-    SELECT doc_id, item_id, count(*) AS n_windows, count(*) / max(total) AS coverage FROM f JOIN t USING (item_id) GROUP BY doc_id, item_id
+    WITH {side("d", "doc_id", "documents", f"{replaced(parted, first, d.START)} AS parts", "")},
+    {side("b", "item_id", "benchmark, (SELECT unnest([true, false]) AS starts)", f"CASE WHEN starts THEN {replaced(parted, first, d.START)} ELSE {replaced(parted, first, '')} END AS parts", "")},
+    bn AS (SELECT *, len(words) AS n, least(len(words), {d.WINDOW}) AS length FROM b WHERE len(plain) > 0),
+    bp AS (SELECT *, unnest(CASE WHEN n >= {d.SHORTEST} THEN range(1, n - length + 2) ELSE [NULL::BIGINT] END) AS pos FROM bn),
+    bf AS (SELECT *, pos IS NULL OR {literal("pos", "length")} < least(length, {d.LITERALS}) AS few FROM bp),
+    bs AS (SELECT *, CASE WHEN NOT few THEN {{'start': pos, 'size': length}} WHEN pos IS NULL THEN NULL {longer} END AS shape FROM bf),
+    bx AS (SELECT DISTINCT id, parts, plain, least(len(plain), {d.WINDOW}) AS length FROM bs WHERE few),
+    bw AS (
+      SELECT DISTINCT id, pos, shape['size'] AS length, false AS exact, false AS whole, words[shape['start']:shape['start'] + shape['size'] - 1] AS words,
+             {slots("tokens[shape['start']:shape['start'] + shape['size'] - 1]")} AS slots FROM bs WHERE shape IS NOT NULL
+      UNION
+      SELECT id, pos, length, true, len(plain) < {d.SHORTEST} AND NOT regexp_matches(parts, {said(d.UNSPACED)}), {plainly("plain[pos:pos + length - 1]")}, []
+      FROM (SELECT *, unnest(range(1, len(plain) - length + 2)) AS pos FROM bx)),
+    dk AS (SELECT d.*, exact, length, CASE WHEN exact THEN plain ELSE words END AS held FROM d, (SELECT DISTINCT exact, length FROM bw)),
+    dp AS (SELECT *, unnest(range(1, len(held) - length + 2)) AS pos FROM dk WHERE len(held) >= length),
+    dw AS (
+      SELECT DISTINCT id, exact, CASE WHEN exact THEN {plainly("held[pos:pos + length - 1]")} ELSE held[pos:pos + length - 1] END AS words,
+             CASE WHEN exact THEN [] ELSE {slots("tokens[pos:pos + length - 1]")} END AS slots,
+             exact AND length < {d.SHORTEST} AND starts_with(held[pos], {said(d.START)}) AND (pos + length > len(held) OR starts_with(held[pos + length], {said(d.START)})) AS is_whole
+      FROM dp),
+    f AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.pos, bw.exact FROM dw JOIN bw ON dw.exact = bw.exact AND dw.words = bw.words AND dw.slots = bw.slots WHERE NOT whole OR is_whole),
+    t AS (SELECT id AS item_id, count(*) AS total FROM (SELECT DISTINCT id, pos, exact FROM bw) GROUP BY 1)
+    SELECT doc_id, f.item_id, count(*) AS n_windows, count(*) / max(total) AS coverage FROM f JOIN t ON f.item_id IS NOT DISTINCT FROM t.item_id GROUP BY 1, 2
     """
 
 

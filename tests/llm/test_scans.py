@@ -119,7 +119,7 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {(1, 1), (3, 2), (7, 3), (None, 2), (8, 2), (9, None)}
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect())) == [2, 4, 5, 6]
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect())) == [2, 4, 5, 6, 8]  # one of the two texts of 8 stays
     assert decontaminate.contamination(docs.limit(0), bench).count() == decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
