@@ -152,23 +152,18 @@ class Bpe:
 
 
 @lru_cache(maxsize=4)
-def _bpe(rank_file: str, pattern: str) -> Bpe:
-    """One for each worker process."""
-    return Bpe(rank_file, pattern)
-
-
-def _tokenizer(rank_file: str | None, pattern: str | None) -> tuple[str, str]:
+def _bpe(rank_file: str | None, pattern: str | None) -> Bpe:
+    """One for each worker process. Without a file or pattern given, those of this worker's own machine: the driver's paths may not be there."""
     if rank_file is None or pattern is None:
         import public_tokenizers
 
-        return rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    return rank_file, pattern
+        rank_file, pattern = rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    return Bpe(rank_file, pattern)
 
 
 def encode(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """``docs`` with an array of token ids added; a column of that name is replaced. Null texts have no tokens."""
     short_batches(docs.sparkSession)
-    rank_file, pattern = _tokenizer(rank_file, pattern)
     names = [c for c in docs.columns if c.lower() != ids_col.lower()]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
@@ -183,7 +178,7 @@ def encode(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
 
 def decode(docs: DataFrame, rank_file: str | None = None, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of the ids added; null ids decode to no bytes."""
-    rank_file, pattern = _tokenizer(rank_file, None)
+    pattern = None
     names = [c for c in docs.columns if c.lower() != bytes_col.lower()]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(bytes_col, T.BinaryType())])
 
@@ -203,7 +198,6 @@ def encoded_and_checked(docs: DataFrame, rank_file: str | None = None, pattern:
     columns other than the two named are not looked at. Both digests are taken where the ids are.
     """
     short_batches(docs.sparkSession)
-    rank_file, pattern = _tokenizer(rank_file, pattern)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))] * keep_ids)
 

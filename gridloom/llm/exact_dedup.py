@@ -69,11 +69,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Nulls, ties and repeats count as in ``exact_dedup``; of rows that repeat both id and text one stays. Rows are matched by id and
     text together, so an id that other texts have too loses nothing by it.
     """
-    sha = F.sha2(normalised(F.col(text_col)), 256)
     winners = _apart(classes(docs, id_col, text_col).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")), "_sha")
-    rows = docs.withColumn("_sha", sha)
-    kept = rows.join(winners, F.reverse("_sha") == F.col("_key")).where(F.col(id_col).eqNullSafe(F.col("_keep")))
+    # Whole rows in a structure, so that no column of theirs has the name of one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("_sha"))
+    kept = rows.join(winners, F.reverse("_sha") == F.col("_key")).where(F.col("_id").eqNullSafe(F.col("_keep")))
     # Where no id is repeated, which the ids alone tell, a text's winner is one row, and whole rows need no further shuffle.
     if not docs.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
         kept = kept.dropDuplicates(["_sha"])
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+    return kept.select("_row.*")

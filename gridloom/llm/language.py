@@ -7,7 +7,8 @@ Four kinds of evidence about a text are added as log probabilities:
 * the *address*: a language code in the path, a subdomain or a country ending, weighed alike;
 * the *host*: how the other texts of the host are distributed, smoothed towards the host's domain, and that towards the whole corpus.
 
-The weights of declarations and addresses, and the host and domain priors, are grouped aggregations over all rows. Only
+The weights of declarations and addresses, and the host and domain priors, are grouped aggregations over all rows; a row's own part in
+them is taken out again before they speak about it. Only
 the trigram model is fitted on a sample, of about FIT_ROWS labelled texts: of every language those with the smallest hashed ids, up to a number that is the same for all.
 """
 
@@ -32,6 +33,9 @@ STRENGTH = 8.0
 #: How often declarations and addresses are taken to be right before any are seen.
 AGREE = 0.9
 
+#: Hosts under a country's second level, as of co.uk, whose domains have three labels.
+REGISTRY = r"\.(?:co|com|org|net|ac|gov|edu|or|ne|go)\.[a-z]{2}$"
+
 _NO_TEXT = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 
 
@@ -128,7 +132,7 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     sub, path, end = (F.lower(F.regexp_extract("url", p, 1)) for p in (r"^\w+://([A-Za-z]{2,3})\.", r"^\w+://[^/]+/([A-Za-z]{2,3})(?:[-_][A-Za-z]+)?(?:/|$)", r"^\w+://[^/:?#]*\.([A-Za-z]{2,3})(?:[:/?#]|$)"))
     host = F.lower(F.coalesce(F.nullif(F.regexp_extract("url", r"^\w+://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")), F.col("host"), F.lit("")))
     rows = rows.select("id", "kind", "text", "markup", F.when(F.col("markup"), only(declared)).alias("declared"), F.coalesce(only(path), only(sub), only(end)).alias("address"), host.alias("host"))
-    rows = rows.withColumn("domain", F.substring_index("host", ".", -2))
+    rows = rows.withColumn("domain", F.when(F.regexp_like("host", F.lit(REGISTRY)), F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))
     return rows.mapInArrow(run, "id long, kind string, declared string, address string, host string, domain string, lik array<double>")
 
 
@@ -138,8 +142,16 @@ def _posterior(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(n: int) -> list[Column]:
-    return [F.sum(F.get("own", F.lit(k))).alias(f"n{k}") for k in range(n)]
+def _sums(n: int) -> Column:
+    """For each language the sum of the rows' posteriors, as an array."""
+    return F.array(*[F.sum(F.get("own", F.lit(k))) for k in range(n)])
+
+
+def _smoothed(counts: Column, above: Column) -> Column:
+    """Shares of the counts without this row's own, smoothed towards the shares above."""
+    others = F.zip_with(counts, F.col("own"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    total = F.aggregate(others, F.lit(0.0), lambda a, b: a + b) + STRENGTH
+    return F.zip_with(others, above, lambda a, b: (a + STRENGTH * b) / total)
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
@@ -150,29 +162,28 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     """
     n = len(model.languages)
     seen = cut(evidence(rows, model).select("*", _posterior(F.col("lik")).alias("own")))
-    corpus = seen.agg(*_sums(n)).first()
-    everywhere = [((corpus[k] or 0.0) + 1.0) / (sum(x or 0.0 for x in corpus) + n) for k in range(n)]
-    domains = seen.groupBy("domain").agg(*_sums(n))
-    hosts = seen.groupBy("host", "domain").agg(*_sums(n))
-
-    def smoothed(prefix: str, above: list[Column]) -> list[Column]:
-        total = sum((F.col(f"{prefix}n{k}") for k in range(n)), F.lit(0.0))
-        return [(F.col(f"{prefix}n{k}") + STRENGTH * above[k]) / (total + STRENGTH) for k in range(n)]
-
-    domains = domains.select("domain", *[c.alias(f"d{k}") for k, c in enumerate(smoothed("", [F.lit(x) for x in everywhere]))])
-    priors = hosts.join(domains, "domain").select("host", F.array(*[F.log(c) for c in smoothed("", [F.col(f"d{k}") for k in range(n)])]).alias("prior"))
+    corpus = seen.agg(_sums(n)).first()[0]
+    everywhere = [((x or 0.0) + 1.0) / (sum(y or 0.0 for y in corpus) + n) for x in corpus]
+    domains = seen.groupBy("domain").agg(_sums(n).alias("in_domain"))
+    # Joined by host, of which the other side has one row, so that a host of very many rows can be split over tasks.
+    hosts = seen.groupBy("host", "domain").agg(_sums(n).alias("in_host")).join(domains, "domain").select(F.reverse("host").alias("_host"), "in_host", "in_domain")
 
     def weighed(column: str) -> Column:
-        """log P(code | language): a matrix of languages by languages, from all rows that have such a code."""
-        met = {r[0]: r for r in seen.where(F.col(column).isNotNull()).groupBy(column).agg(*_sums(n)).collect()}
-        per = [sum((r[k + 1] or 0.0) for r in met.values()) for k in range(n)]
+        """log P(code | language) by all other rows that have such a code: an array over languages; zeros where the row has none."""
+        met = {r[0]: list(r[1]) for r in seen.where(F.col(column).isNotNull()).groupBy(column).agg(_sums(n)).collect()}
+        per = [sum(row[k] or 0.0 for row in met.values()) for k in range(n)]
         first = lambda code, k: AGREE if code == model.languages[k] else (1 - AGREE) / max(1, n - 1)
-        of = [[((met[code][k + 1] if code in met else 0.0) + STRENGTH * first(code, k)) / (per[k] + STRENGTH) for k in range(n)] for code in model.languages]
-        known = F.create_map(*[x for code, row in zip(model.languages, of) for x in (F.lit(code), F.array(*[F.log(F.lit(v)) for v in row]))])
-        return F.coalesce(known[F.col(column)], F.array_repeat(F.lit(0.0), n))
-
-    joined = seen.join(priors, "host").withColumn("said", weighed("declared")).withColumn("at", weighed("address"))
-    total = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("lik", k) + F.get("said", k) + F.get("at", k) + F.get("prior", k))
+        numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+        by_code = lambda made: F.create_map(*[x for code in model.languages for x in (F.lit(code), numbers(made(code)))])[F.col(column)]
+        agreed = by_code(lambda code: [(met[code][k] or 0.0) if code in met else 0.0 for k in range(n)])
+        taken = by_code(lambda code: [STRENGTH * first(code, k) for k in range(n)])
+        less = lambda a: F.zip_with(a, F.col("own"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        above = F.zip_with(less(agreed), taken, lambda a, b: a + b)
+        return F.when(F.col(column).isNotNull(), F.zip_with(above, less(numbers(per)), lambda a, b: F.log(a / (b + STRENGTH)))).otherwise(F.array_repeat(F.lit(0.0), n))
+
+    prior = _smoothed(F.col("in_host"), _smoothed(F.col("in_domain"), F.array(*[F.lit(x) for x in everywhere])))
+    joined = seen.join(hosts, F.reverse("host") == F.col("_host")).select("*", prior.alias("prior"), weighed("declared").alias("said"), weighed("address").alias("at"))
+    total = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("lik", k) + F.get("said", k) + F.get("at", k) + F.log(F.get("prior", k)))
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     fused = joined.withColumn("p", _posterior(total))

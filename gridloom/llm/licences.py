@@ -133,10 +133,7 @@ class Scanner:
             ws = words(text[a:b])
             if self.anchored(ws) and (found := self.best(ws)):
                 hits.append((-found[0], a - b, a, b, found[1]))
-        out: list[tuple[str, int, int, float]] = []
-        for score, _, a, b, name in sorted(hits):
-            if all(b <= x[1] or a >= x[2] for x in out):
-                out.append((name, a, b, -score))
+        out = _apart(sorted(hits))
         spots = [(w, m.start(), m.end()) for m in _WORD.finditer(text) for w in words(m[0])]
         while more := self.windows(spots, out):
             out += more
@@ -175,14 +172,19 @@ class Scanner:
                         best = (d, k)
                 if best:
                     hits.append((-best[0], first - best[1], spots[first][1], spots[best[1] + 1][2], name))
-        out: list[tuple[str, int, int, float]] = []
-        kept: list[tuple[int, int]] = []
-        for score, _, a, b, name in sorted(hits, key=lambda h: h[:2]):  # of equals the first template
-            spot = bisect.bisect(kept, (a, b))
-            if (spot == 0 or kept[spot - 1][1] <= a) and (spot == len(kept) or kept[spot][0] >= b):
-                kept.insert(spot, (a, b))
-                out.append((name, a, b, -score))
-        return out
+        return _apart(sorted(hits, key=lambda h: h[:2]))  # of equals the first template
+
+
+def _apart(hits: list[tuple[float, int, int, int, str]]) -> list[tuple[str, int, int, float]]:
+    """Of hits (-dice, .., start, end, licence) in order of preference those that overlap none before them."""
+    out: list[tuple[str, int, int, float]] = []
+    kept: list[tuple[int, int]] = []
+    for score, _, a, b, name in hits:
+        spot = bisect.bisect(kept, (a, b))
+        if (spot == 0 or kept[spot - 1][1] <= a) and (spot == len(kept) or kept[spot][0] >= b):
+            kept.insert(spot, (a, b))
+            out.append((name, a, b, -score))
+    return out
 
 
 def _cut(text: str, start: int, end: int, at: re.Pattern) -> Iterator[tuple[int, int]]:

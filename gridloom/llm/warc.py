@@ -8,6 +8,11 @@ that of the largest id; the others are ``revisit`` records that refer to it.
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +44,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     body = filled(body_col).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
-    # Equal digests with different payloads would give two rows here, and the reader's check would find the wrong one.
     rows.groupBy("digest", "payload").agg(F.max("id").alias("first_id")).write.parquet(f"{path}/payloads")
     stored = spark.read.schema("digest string, first_id bigint").parquet(f"{path}/payloads")
+    if not stored.groupBy("digest").count().where("count > 1").isEmpty():
+        raise ValueError("two payloads share a SHA-256 digest")
     light = rows.select("id", "url", "digest", F.octet_length("payload").alias("bytes"), base32(F.sha1("payload")).alias("sha1"))
     joined = light.join(stored, "digest").withColumn("first", F.col("id").eqNullSafe(F.col("first_id")) | (F.col("bytes") < min_bytes))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -60,17 +66,57 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record: id, header, record (its bytes as a WARC file holds them), payload (the full one, for revisits too).
+    """Every record: id, header, record (its bytes as a WARC file holds them), payload (the full one, for revisits too), its length and SHA-1.
 
-    A payload that is not what its digest says stops the job.
+    Length and SHA-1 are taken of the stored payload, once however many records have it. A payload that is not what its digest says stops the job.
     """
     headers = spark.read.schema("id bigint, digest string, header string").parquet(f"{path}/headers")
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     right = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("payload differs from its digest")).cast("binary"))
-    joined = headers.join(stored.select("digest", right.alias("payload")), "digest")
+    stored = stored.select("digest", right.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
+    joined = headers.join(stored, "digest")
     block = F.when(F.contains("header", F.lit("WARC-Type: response\r\n")), F.col("payload")).otherwise(F.lit("").cast("binary"))
     record = F.concat(F.concat(F.col("header"), F.lit(f"\r\n{HTTP}")).cast("binary"), block, F.lit(END).cast("binary"))
-    return joined.select("id", "header", record.alias("record"), "payload")
+    return joined.select("id", "header", record.alias("record"), "payload", "payload_bytes", "payload_digest")
+
+
+def write_files(records: DataFrame, path: str, compression: str = "none") -> None:
+    """The records' bytes one after the other in files of a new folder, as other readers of WARC take them.
+
+    Bodies come from text and are UTF-8, so a record is text too; the line ends after it are what parts the lines of the sink.
+    """
+    text = F.col("record").cast("string")
+    records.select(F.substr(text, F.lit(1), F.char_length(text) - len(END)).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, ours or others': id (null if not ours), header, record, payload (the body, which revisits lack).
+
+    A file is read whole by one task. Lengths are taken from the headers; a file that ends within a record stops the job.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                content = raw.as_buffer().to_pybytes()
+                if content[:2] == b"\x1f\x8b":
+                    content = gzip.decompress(content)
+                at = 0
+                while at < len(content):
+                    head = content.find(END.encode(), at)
+                    length = re.search(rb"\r\nContent-Length: *([0-9]+)", content[at : max(at, head) + 2], re.I)
+                    if head < 0 or not length or head + 4 + int(length[1]) > len(content):
+                        raise ValueError("a file ends within a record")
+                    end = head + 4 + int(length[1])
+                    own = re.search(rb"\r\nWARC-Record-ID: <urn:x-page:(-?[0-9]+)>", content[at:head])
+                    body = content[head + 4 : end]
+                    if b"application/http" in content[at:head]:
+                        body = body.partition(END.encode())[2]
+                    columns = [pa.array([own and int(own[1])], pa.int64()), pa.array([content[at : head + 2].decode()]), pa.array([content[at : end + 4]], pa.binary()), pa.array([body], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "header", "record", "payload"])
+                    at = end + 4
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, header string, record binary, payload binary")
 
 
 def parsed(records: DataFrame) -> DataFrame:
@@ -80,7 +126,7 @@ def parsed(records: DataFrame) -> DataFrame:
     page = lambda name: F.nullif(F.regexp_extract(F.col("head"), rf"\r\n{name}: <urn:x-page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
     return records.withColumn("head", head).select(
         page("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target"),
-        F.regexp_extract("head", "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)", 1).alias("digest"), field("Content-Length").cast("long").alias("content_length"), "record", "payload",
+        F.regexp_extract("head", "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)", 1).alias("digest"), field("Content-Length").cast("long").alias("content_length"), "record", "payload", "payload_bytes", "payload_digest",
     )
 
 
@@ -90,5 +136,5 @@ def warc_round_trip(pages: DataFrame, path: str | None = None, min_bytes: int =
     path = path or scratch(spark, "warc")
     write_archive(pages, path, min_bytes=min_bytes)
     return parsed(read_archive(spark, path)).select(
-        F.col("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )

@@ -124,7 +124,7 @@ def test_leaks(spark):
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     test_leaks(spark)
 
 
