@@ -46,15 +46,25 @@ NUMBERS = (
 
 
 def _either(words: list[str]) -> str:
-    """A pattern for the words in any case of their letters."""
-    return "(?:" + "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in words) + ")"
+    """A pattern for the words in any case of their letters, parted letter by letter, so that a word that is none of them fails at once."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        rest.setdefault(w[:1], []).append(w[1:])
+    parts = [f"[{c}{c.upper()}]{_either(more)}" for c, more in rest.items() if c]
+    if "" in rest:
+        return f"(?:{'|'.join(parts)})?" if parts else ""
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
 _ONE_NAME = r"[\p{Lu}\p{Lt}][\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
 _ONE_NUMBER = _either(NUMBERS)
-#: First the text in parts: (pattern, what it becomes, times). Nothing in them looks around, so any engine reads them alike.
-BLANKED = ("".join(map(chr, range(1, 9))) + "!?\n", " " * 8 + "...")
-PARTED = ((r"([0-9])[.,:]([0-9])", rf"\1{POINT}\2", 2), (rf"[^\p{{L}}\p{{M}}0-9.{POINT}]+", " ", 1), (r"\.[ .]*", f" {START}", 1))
+#: First the text in parts: (pattern, what it becomes). Nothing in them looks around, so any engine reads them alike.
+PARTED = (
+    *[(r"([0-9])[.,:]([0-9])", rf"\1{POINT}\2")] * 2,  # again for the points on both sides of a single digit
+    (rf"[^\p{{L}}\p{{M}}0-9.!?\n{POINT}]+", " "),
+    (r"[.!?\n][ .!?\n]*", f" {START}"),
+)
+DIGITS = (rf"([0-9][0-9{POINT}]*)", rf"  {NUMBER}\1{END}  ")
 #: Then the slots, in a text in which each token has a space of its own on both sides. Runs are put together slot by slot, as an engine that
 #: matched a run at once would need a stack as long.
 SLOTTED = (
@@ -66,22 +76,27 @@ SLOTTED = (
     (f"{NAME_END}  {NAME}", "  "),
     (NAME_END, END),
 )
-DIGITS = (rf"([0-9][0-9{POINT}]*)", rf"  {NUMBER}\1{END}  ")
 #: A token of a text with slots, the same with placeholders for slots, and a token of a text in parts.
 TOKEN, EMPTIED, PLAIN = rf"[{OPENINGS}][^{END}]*{END}|[^ {OPENINGS}{END}]+", (rf"([{OPENINGS}])[^{END}]*{END}", r"\1"), rf"{START}?(?:[0-9][0-9{POINT}]*|[\p{{L}}\p{{M}}]+)"
 
 
+def is_pattern(pattern: str) -> bool:
+    """Whether there is more in it than characters that stand for themselves."""
+    return any(c in pattern for c in "[(+*\\")
+
+
 def _replaced(text: Column, pattern: str, by: str) -> Column:
+    if not is_pattern(pattern):
+        return F.replace(text, F.lit(pattern), F.lit(by))
     return F.regexp_replace(text, F.lit(pattern), F.lit(by.replace("\\", "$")))
 
 
 def parted(text: Column, starts: bool = True) -> Column:
     """Words, numbers and sentence starts of a text; whether its first word starts a sentence isn't known, and taken as told."""
-    text = F.translate(text, *BLANKED)
-    for pattern, by, times in PARTED:
-        for _ in range(times):
-            text = _replaced(text, pattern, by)
-    return _replaced(text, f"^[ {START}]*", START if starts else "")
+    text = F.replace(text, F.lit(POINT), F.lit(" "))
+    for pattern, by in PARTED:
+        text = _replaced(text, pattern, by)
+    return F.concat(F.lit(START if starts else ""), F.ltrim(text, F.lit(f" {START}")))
 
 
 def slotted(parts: Column) -> Column:
@@ -89,7 +104,7 @@ def slotted(parts: Column) -> Column:
     text = _replaced(F.concat(F.lit(" "), _replaced(parts, *DIGITS), F.lit(" ")), " +", "  ")
     for pattern, by in SLOTTED:
         text = _replaced(text, pattern, by)
-    return F.translate(F.lower(text), START, "")
+    return F.replace(F.lower(text), F.lit(START), F.lit(""))
 
 
 def _tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -98,7 +113,7 @@ def _tokens(text: Column, pattern: str = TOKEN) -> Column:
 
 def _canonical(slots: Column) -> Column:
     """Words, and placeholders for slots."""
-    return _tokens(_replaced(slots, *EMPTIED), "[^ ]+")
+    return F.split(F.trim(_replaced(slots, *EMPTIED)), " +")
 
 
 def _windows(words: Column, length: int, exact: bool) -> Column:
@@ -113,7 +128,7 @@ def _windows(words: Column, length: int, exact: bool) -> Column:
 
 
 def _unmarked(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, START, ""))
+    return F.transform(words, lambda w: F.replace(w, F.lit(START), F.lit("")))
 
 
 def _slots(tokens: Column) -> Column:

@@ -93,34 +93,33 @@ def _op10_sql() -> str:
     from gridloom.llm import decontaminate as d
 
     said = lambda x: "'" + x.replace("'", "''") + "'"
-    replaced = lambda e, pattern, by: f"regexp_replace({e}, {said(pattern)}, {said(by)}, 'g')"
-    parted = f"translate(coalesce(text, ''), {said(d.BLANKED[0])}, {said(d.BLANKED[1])})"
-    for pattern, by, times in d.PARTED:
-        for _ in range(times):
-            parted = replaced(parted, pattern, by)
-    first = f"^[ {d.START}]*"
+    replaced = lambda e, pattern, by: f"regexp_replace({e}, {said(pattern)}, {said(by)}, 'g')" if d.is_pattern(pattern) else f"replace({e}, {said(pattern)}, {said(by)})"
+    parted = f"replace(coalesce(text, ''), {said(d.POINT)}, ' ')"
+    for pattern, by in d.PARTED:
+        parted = replaced(parted, pattern, by)
+    parted = f"ltrim({parted}, {said(f' {d.START}')})"
     slotted = replaced(f"' ' || {replaced('parts', *d.DIGITS)} || ' '", " +", "  ")
     for pattern, by in d.SLOTTED:
         slotted = replaced(slotted, pattern, by)
-    slotted = f"translate(lower({slotted}), {said(d.START)}, '')"
+    slotted = f"replace(lower({slotted}), {said(d.START)}, '')"
     tokens = lambda e, pattern: f"regexp_extract_all({e}, {said(pattern)})"
     opening = lambda e: f"{e} IN ({', '.join(map(said, d.OPENINGS))})"
-    plainly = lambda e: f"list_transform({e}, lambda w: translate(w, {said(d.START)}, ''))"
+    plainly = lambda e: f"list_transform({e}, lambda w: replace(w, {said(d.START)}, ''))"
     literal = lambda start, size: f"len(list_filter(words[{start}:{start} + {size} - 1], lambda w: NOT ({opening('w')})))"
     held = lambda e: f"list_filter({e}, lambda v: {opening('v[1:1]')})"
     slots = lambda e: f"list_transform({held(e)}, lambda v: list_position({held(e)}, v))"
     side = lambda name, key, table, parts, more: f"""
     {name}_p AS (SELECT row_number() OVER () AS rn, {key} AS id, {parts} FROM {table}),
     {name}_m AS (SELECT *, {slotted} AS m FROM {name}_p),
-    {name} AS (SELECT rn, id, parts, {tokens("lower(parts)", d.PLAIN)} AS plain, {tokens("m", d.TOKEN)} AS tokens, {tokens(replaced("m", *d.EMPTIED), "[^ ]+")} AS words FROM {name}_m{more})"""
+    {name} AS (SELECT rn, id, parts, {tokens("lower(parts)", d.PLAIN)} AS plain, {tokens("m", d.TOKEN)} AS tokens, string_split_regex(trim({replaced("m", *d.EMPTIED)}), ' +') AS words FROM {name}_m{more})"""
     longer = " ".join(
         f"WHEN least(n, {times * d.WINDOW}) > length AND {literal(start, f'least(n, {times * d.WINDOW})')} >= {d.LITERALS} THEN {{'start': {start}, 'size': least(n, {times * d.WINDOW})}}"
         for times in (2, 4)
         for start in [f"least(pos, n - least(n, {times * d.WINDOW}) + 1)"]
     )
     return f"""
-    WITH {side("d", "doc_id", "documents", f"{replaced(parted, first, d.START)} AS parts", "")},
-    {side("b", "item_id", "benchmark, (SELECT unnest([true, false]) AS starts)", f"CASE WHEN starts THEN {replaced(parted, first, d.START)} ELSE {replaced(parted, first, '')} END AS parts", "")},
+    WITH {side("d", "doc_id", "documents", f"{said(d.START)} || {parted} AS parts", "")},
+    {side("b", "item_id", "benchmark, (SELECT unnest([true, false]) AS starts)", f"CASE WHEN starts THEN {said(d.START)} ELSE '' END || {parted} AS parts", "")},
     bn AS (SELECT *, len(words) AS n, least(len(words), {d.WINDOW}) AS length FROM b WHERE len(plain) > 0),
     bp AS (SELECT *, unnest(CASE WHEN n >= {d.SHORTEST} THEN range(1, n - length + 2) ELSE [NULL::BIGINT] END) AS pos FROM bn),
     bf AS (SELECT *, pos IS NULL OR {literal("pos", "length")} < least(length, {d.LITERALS}) AS few FROM bp),
