@@ -30,8 +30,8 @@ from gridloom.llm.suffix_sort import REPEAT, smallest_owner
 GRAM = 20
 #: Text of a block, and of a bucket, on average: at least, at most, and the bytes of input that a row between them stands for.
 BLOCK_BYTES, MOST_BYTES, ROW_BYTES = 6 << 20, 256 << 20, 64 << 10
-#: Pieces beyond which an anchor is hot, and of how many a block tells the number.
-HOT, TOLD = 1 << 16, 16
+#: Pieces, distinct within blocks, beyond which an anchor is hot (10 MB), and of how many a block tells the number.
+HOT, TOLD = 1 << 17, 16
 #: Places whose anchors are sought in one go; bounds the memory that a very long text takes.
 SLAB = 1 << 22
 #: The starts of a hot anchor's pieces, by their distance from the anchor. Those of one group have all bytes in common that lie in each of their
@@ -129,7 +129,7 @@ class Block:
         self.begins, self.ends, self.places, hashes = (np.concatenate([f[k] for f in found]) for k in range(4))
         self.doc = np.repeat(np.arange(len(rows)), [len(f[0]) for f in found])
         self.distinct, first, self.inverse, self.counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        self.buckets = buckets
+        self.buckets, self.frequent = buckets, None
         later = np.flatnonzero(self.doc != self.doc[first[self.inverse]]) if len(hashes) else np.zeros(0, "i8")
         self.twice = np.zeros(len(self.distinct), bool)  # anchors that two texts of this block have
         self.twice[self.inverse[later]] = True
@@ -138,6 +138,21 @@ class Block:
         cuts = np.flatnonzero(np.r_[True, self.bucket[order][1:] != self.bucket[order][:-1]]) if len(order) else np.zeros(0, "i8")
         self.by_bucket = {int(self.bucket[order[a]]): order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])}
 
+    def many(self, at) -> bytes:  # noqa: ANN001
+        """Of the anchors ``at`` that have over TOLD distinct pieces: their place in ``at``, and the number of pieces."""
+        import numpy as np
+
+        if self.frequent is None:
+            runs = np.flatnonzero(self.counts[self.inverse] > TOLD)
+            pieces: dict[int, set[bytes]] = {}
+            for anchor, doc, begin, end in zip(self.inverse[runs].tolist(), self.doc[runs].tolist(), self.begins[runs].tolist(), self.ends[runs].tolist()):
+                pieces.setdefault(anchor, set()).add(self.raws[doc][begin : end + REPEAT - 1])
+            self.frequent = np.zeros(len(self.distinct), "i8")
+            for anchor, found in pieces.items():
+                self.frequent[anchor] = len(found)
+        some = np.flatnonzero(self.frequent[at] > TOLD)
+        return np.stack([some, self.frequent[at[some]]], axis=1).astype("<u4").tobytes()
+
     def _marked(self, answers: dict[int, bytes]):  # noqa: ANN202
         """Of each run, whether its anchor has its bit set."""
         import numpy as np
@@ -214,8 +229,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         import numpy as np
 
         b = Block(table, blocks)
-        told = lambda at: np.array([(k, b.counts[x]) for k, x in enumerate(at) if b.counts[x] > TOLD], "<u4").tobytes()
-        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes(), told(at)) for bucket, at in b.by_bucket.items()]
+        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes(), b.many(at)) for bucket, at in b.by_bucket.items()]
         return _table(out, ["bucket", "block", "hashes", "twice", "many"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     def answer(table: pa.Table) -> pa.Table:
