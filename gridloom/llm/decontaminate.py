@@ -56,12 +56,13 @@ def _either(words: list[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
-_ONE_NAME = r"[\p{Lu}\p{Lt}][\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
+#: ASCII letters are named though they are among the others, as engines look them up at once.
+_ONE_NAME = r"[A-Z\p{Lu}\p{Lt}][a-z\p{Ll}\p{Lo}\p{Lm}\p{M}]+"
 _ONE_NUMBER = _either(NUMBERS)
 #: First the text in parts: (pattern, what it becomes). Nothing in them looks around, so any engine reads them alike.
 PARTED = (
     *[(r"([0-9])[.,:]([0-9])", rf"\1{POINT}\2")] * 2,  # again for the points on both sides of a single digit
-    (rf"[^\p{{L}}\p{{M}}0-9.!?\n{POINT}]+", " "),
+    (rf"[^a-zA-Z0-9.!?\n{POINT}\p{{L}}\p{{M}}]+", " "),
     (r"[.!?\n][ .!?\n]*", f" {START}"),
 )
 DIGITS = (rf"([0-9][0-9{POINT}]*)", rf"  {NUMBER}\1{END}  ")
@@ -77,7 +78,7 @@ SLOTTED = (
     (NAME_END, END),
 )
 #: A token of a text with slots, the same with placeholders for slots, and a token of a text in parts.
-TOKEN, EMPTIED, PLAIN = rf"[{OPENINGS}][^{END}]*{END}|[^ {OPENINGS}{END}]+", (rf"([{OPENINGS}])[^{END}]*{END}", r"\1"), rf"{START}?(?:[0-9][0-9{POINT}]*|[\p{{L}}\p{{M}}]+)"
+TOKEN, EMPTIED, PLAIN = rf"[{OPENINGS}][^{END}]*{END}|[^ {OPENINGS}{END}]+", (rf"([{OPENINGS}])[^{END}]*{END}", r"\1"), rf"{START}?(?:[0-9][0-9{POINT}]*|[a-zA-Z\p{{L}}\p{{M}}]+)"
 
 
 def is_pattern(pattern: str) -> bool:
