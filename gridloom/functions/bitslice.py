@@ -29,21 +29,39 @@ def pattern(width: int, run: int) -> int:
 
 
 class Word:
-    """Many 64-bit words in a NumPy array, with a column's names for bitwise operations, so that both compile alike."""
+    """Many 64-bit words in a NumPy array, with a column's names for bitwise operations, so that both compile alike.
+
+    A constant is a number; where it is all zeros or all ones nothing is computed.
+    """
 
     __slots__ = ("v",)
 
     def __init__(self, v: Any):
         self.v = v
 
+    def _parted(self, other: Word) -> tuple[int, Word, Word]:
+        """-1 or 0 if one of both is all ones or zeros, then that one and the other; else 1."""
+        for one, rest in ((self, other), (other, self)):
+            if one.v.ndim == 0:
+                value = int(one.v)
+                if value in (0, _FULL):
+                    return -(value & 1), one, rest
+        return 1, self, other
+
     def bitwiseAND(self, other: Word) -> Word:  # noqa: N802
-        return Word(self.v & other.v)
+        kind, one, rest = self._parted(other)
+        return rest if kind < 0 else one if kind == 0 else Word(one.v & rest.v)
 
     def bitwiseOR(self, other: Word) -> Word:  # noqa: N802
-        return Word(self.v | other.v)
+        kind, one, rest = self._parted(other)
+        return one if kind < 0 else rest if kind == 0 else Word(one.v | rest.v)
 
     def bitwiseXOR(self, other: Word) -> Word:  # noqa: N802
-        return Word(self.v ^ other.v)
+        kind, one, rest = self._parted(other)
+        return Word(~rest.v) if kind < 0 else rest if kind == 0 else Word(one.v ^ rest.v)
+
+
+_FULL = (1 << 64) - 1
 
 
 def column_word(word: int) -> Column:

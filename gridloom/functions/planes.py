@@ -10,7 +10,7 @@ import numpy as np
 
 from gridloom.functions import rules as R
 from gridloom.functions.bitslice import Lanes, Word, array_word
-from gridloom.plans.rewrite import optimised
+from gridloom.plans.rewrite import optimised, period
 
 
 class Compiler:
@@ -184,18 +184,16 @@ def advance_words(rule: R.Node, states, planes: list[np.ndarray], t: int, steps:
     across = planes[0].shape[1]
     x = (lane0 + np.arange(across * 64)) % width
     trees: dict[int, tuple[R.Node, dict[int, object]]] = {}
+    every = period(rule)
     even_x = {p: _packed(((x + p) % 2 == 0)[None, :]) for p in (0, 1)}
     for k in range(steps):
         rows = len(planes[0])
         y = (y0 - steps + 1 + k + np.arange(rows - 2)) % height
         even_y = np.where((y + t + k) % 2 == 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
-        step = (t + k) % 12  # a multiple of every number of alternating rules that is usual; others are resolved anew
-        tree = optimised(rule, t + k)
-        if step in trees and R.same(trees[step][0], tree):
-            tree, keys = trees[step]
-        else:
-            keys = {}
-            trees[step] = (tree, keys)
+        step = (t + k) % every
+        if step not in trees:
+            trees[step] = (optimised(rule, t + k), {})
+        tree, keys = trees[step]
         c = ArrayPlanes(planes, states, t + k, even_x[(t + k) % 2], even_y, keys)
         value, _ = c.lanes(tree)
         shape = (rows - 2, across)
