@@ -172,6 +172,45 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return round_trip(_table(spark, sf_dir, "documents"))
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.chat import chat_formatting
+
+    return chat_formatting(_table(spark, sf_dir, "conversations"))
+
+
+def _op11_sql() -> str:
+    """What reading back must give, from the table alone; the machine as a walk over the turns."""
+    from gridloom.llm.chat import PROBE, PROBE_ID, Template
+
+    t = Template()
+    said = lambda x: "'" + x.replace("'", "''") + "'"
+    escaped = "text"
+    for first, rest in t.patterns():
+        escaped = f"regexp_replace({escaped}, {said(rf'({first})(\\*{rest})')}, '\\1\\\\\\2', 'g')"
+    moves = ", ".join(f"({said(a)}, {said(role)}, {said(b)})" for a, takes in t.turns.items() for role, b in takes.items())
+    marks = sum(map(len, (t.opening, t.between, t.closing)))
+    return f"""
+    WITH RECURSIVE c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT {PROBE_ID}, unnest([0, 1]), unnest(['user', 'assistant']), {said(PROBE)}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM c),
+    moves(a, role, b) AS (VALUES {moves}),
+    w AS (
+      SELECT o.conv_id, nth, b AS state, CASE WHEN b IS NULL THEN nth END AS bad FROM o LEFT JOIN moves m ON m.a = {said(t.start)} AND m.role = o.role WHERE nth = 1
+      UNION ALL
+      SELECT o.conv_id, o.nth, m.b, coalesce(w.bad, CASE WHEN m.b IS NULL THEN o.nth END)
+      FROM w JOIN o ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND o.nth = w.nth + 1 LEFT JOIN moves m ON m.a = w.state AND m.role = o.role),
+    e AS (SELECT conv_id, arg_max(state, nth) AS state, arg_max(bad, nth) FILTER (bad IS NOT NULL) AS bad FROM w GROUP BY 1),
+    d AS (
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+             coalesce(string_agg(text, '' ORDER BY nth) FILTER (role IN ({", ".join(map(said, t.learnt))})), '') AS learnt,
+             CAST(sum(length(role) + length({escaped}) + {marks}) AS BIGINT) AS formatted_chars
+      FROM o GROUP BY 1)
+    SELECT d.conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars,
+           bad IS NULL AND coalesce(state, '') IN ({", ".join(map(said, t.ends))}) AS valid, CAST(bad - 1 AS INT) AS bad_turn
+    FROM d JOIN e ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+    """
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -184,10 +223,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_chat_formatting": op11_chat_formatting,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op5_secret_scan": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op10_decontaminate": _op10_sql(),
+    "op11_chat_formatting": _op11_sql(),
 }
