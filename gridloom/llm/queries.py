@@ -211,6 +211,46 @@ def _op11_sql() -> str:
     FROM d JOIN e ON d.conv_id IS NOT DISTINCT FROM e.conv_id
     """
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.merkle import tampered_manifest
+
+    return tampered_manifest(_table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Levels by recursion, siblings from the levels, and the tampered leaf folded up level by level."""
+    said = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(said, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    # The lowest bit of a checksum, digit by digit, by recursion: DuckDB has no crc32 of its own.
+    step = "xor(r, CAST(ascii(said[k + 1]) AS UBIGINT))"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS UBIGINT)) ELSE v // 2 END)[1]"
+    levels = lambda of: f"SELECT level + 1, tree, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {of} WHERE n > 1 GROUP BY level, tree, i // 3, n"
+    beside = lambda leaves, nodes: f"""
+      SELECT l.rn, v.level, coalesce(string_agg(v.h, '' ORDER BY v.i) FILTER (v.i < l.i // CAST(pow(3, v.level) AS BIGINT)), '') AS lefts,
+             coalesce(string_agg(v.h, '' ORDER BY v.i) FILTER (v.i > l.i // CAST(pow(3, v.level) AS BIGINT)), '') AS rights
+      FROM {leaves} l JOIN {nodes} v ON v.tree = l.tree AND v.n > 1 AND v.i // 3 = l.i // CAST(pow(3, v.level + 1) AS BIGINT) GROUP BY 1, 2"""
+    return f"""
+    WITH RECURSIVE d AS (
+      SELECT *, row_number() OVER () AS rn, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, CAST(doc_id AS VARCHAR) AS said, {leaf("text")} AS leaf, {leaf("replace(text, chr(10), '')")} AS less FROM documents),
+    crc AS (SELECT rn, said, 0 AS k, CAST(4294967295 AS UBIGINT) AS r FROM d WHERE said IS NOT NULL UNION ALL SELECT rn, said, k + 1, {step} FROM crc WHERE k < length(said)),
+    hit AS (SELECT rn, xor(r, CAST(4294967295 AS UBIGINT)) % 2 = 0 AS hit FROM crc WHERE k = length(said)),
+    l AS (SELECT rn, tree, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+    v(level, tree, i, n, h) AS (SELECT 0, tree, i, n, h FROM l UNION ALL {levels("v")}),
+    s AS (SELECT tree AS name, h AS subroot, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM v WHERE n = 1),
+    sl AS (SELECT name AS rn, tree, i, n, subroot AS h FROM s),
+    t(level, tree, i, n, h) AS (SELECT 0, tree, i, n, subroot FROM s UNION ALL {levels("t")}),
+    b1 AS ({beside("l", "v")}), b2 AS ({beside("sl", "t")}),
+    steps AS (SELECT rn, 0 AS part, level, lefts, rights FROM b1 UNION ALL SELECT d.rn, 1, level, lefts, rights FROM d JOIN b2 ON b2.rn = d.tree),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY part, level) AS k, count(*) OVER (PARTITION BY rn) AS many FROM steps),
+    f(rn, k, h) AS (
+      SELECT d.rn, 0, CASE WHEN hit THEN less ELSE leaf END FROM d LEFT JOIN hit USING (rn)
+      UNION ALL SELECT f.rn, o.k, sha256(lefts || f.h || rights) FROM f JOIN ordered o ON o.rn = f.rn AND o.k = f.k + 1),
+    p AS (SELECT rn, sha256(string_agg(lefts || rights, '' ORDER BY k)) AS proof_sha256 FROM ordered GROUP BY rn)
+    SELECT doc_id, leaf, subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+    FROM d JOIN s ON s.name = d.tree JOIN t ON t.n = 1 LEFT JOIN p USING (rn) JOIN f ON f.rn = d.rn AND f.k = coalesce((SELECT max(many) FROM ordered o WHERE o.rn = d.rn), 0)
+    """
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -224,6 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
@@ -231,4 +272,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": OP7_SQL,
     "op10_decontaminate": _op10_sql(),
     "op11_chat_formatting": _op11_sql(),
+    "op12_merkle_manifest": _op12_sql(),
 }
