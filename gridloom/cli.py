@@ -16,13 +16,14 @@ from gridloom.automata import AUTOMATA, automaton
 from gridloom.functions.planes import compiles
 from gridloom.operators import tables
 from gridloom.operators.results import SCHEMA
-from gridloom.plans import planes, words
+from gridloom.plans import bands, planes, tiles, words
 from gridloom.plans.lineage import cut
 from gridloom.plans.run import run
 from gridloom.sources.seeded import random_grid, random_words
 
 #: (layout, traverser) to strategy; what isn't here is refused. Names of devices and sizes of tiles are accepted and written to the results, and choose nothing.
-STRATEGY = {("standard", "simple"): "cells", ("bit_array", "simple"): "bit_array", ("bit_planes", "simple"): "planes", ("tiled_bit_planes", "simple"): "tiled", ("bit_planes", "temporal"): "strips"}
+STRATEGY = {("standard", "simple"): "cells", ("bit_array", "simple"): "bit_array", ("bit_planes", "simple"): "planes", ("tiled_bit_planes", "simple"): "tiled", ("bit_planes", "spatial"): "blocked",
+            ("bit_planes", "temporal"): "strips", ("tiled_bit_planes", "temporal"): "tiles"}
 FIELDS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gridloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--automaton", help=", ".join(AUTOMATA))
     p.add_argument("--device", default="CPU")
-    p.add_argument("--traverser", default=None, choices=("simple", "temporal"))
+    p.add_argument("--traverser", default=None, choices=("simple", "spatial", "temporal"))
     p.add_argument("--evaluator", default=None)
     p.add_argument("--layout", default=None, choices=("standard", "bit_array", "bit_planes", "tiled_bit_planes"))
     p.add_argument("--reference_impl", default="", choices=("", "baseline"), help="run cell by cell, whatever the layout")
@@ -81,6 +82,14 @@ def prepared(spark: SparkSession, args: argparse.Namespace):  # noqa: ANN201
         packed = planes.Packed(cut(packed.words), packed.kind, packed.width, packed.height, packed.states, packed.word)
         again = lambda rows: planes.Packed(rows, packed.kind, packed.width, packed.height, packed.states, packed.word)
         return packed, lambda: planes.run_packed(packed, a.rule, args.steps).words, lambda rows: again(rows).unpacked().checksum()
+    if strategy == "blocked":
+        start = bands.from_grid(grid, args.word_size)
+        start = start.with_rows(start.rows.persist())
+        return start, lambda: bands.run_bands(start, a.rule, args.steps).rows, lambda rows: start.with_rows(rows).unpacked().checksum()
+    if strategy == "tiles":
+        start = tiles.from_grid(grid, args.word_size)
+        start = start.with_rows(cut(start.rows))
+        return start, lambda: tiles.run(start, a.rule, args.steps, 0, args.temporal_steps).rows, lambda rows: start.with_rows(rows).grid().checksum()
     grid = grid.with_cells(cut(grid.cells))
     return grid, lambda: run(grid, a.rule, args.steps, strategy, temporal_steps=args.temporal_steps).cells, lambda rows: grid.with_cells(rows).checksum()
 

@@ -12,16 +12,14 @@ from gridloom.plans.rewrite import optimised
 
 
 class Arrays(Target):
-    """Views of a block into which one ring of neighbours is built; x and y are the interior cells' coordinates on the whole grid."""
+    """Views of a block into which ``reach`` rings of neighbours are built; x and y are the interior cells' coordinates on the whole grid."""
 
-    def __init__(self, block: np.ndarray, t: int, x: np.ndarray, y: np.ndarray):
-        self.block, self.x, self.y = block, (x + t) % 2 == 0, (y + t) % 2 == 0
+    def __init__(self, block: np.ndarray, t: int, x: np.ndarray, y: np.ndarray, reach: int = 1):
+        self.block, self.x, self.y, self.reach = block, (x + t) % 2 == 0, (y + t) % 2 == 0, reach
 
     def neighbor(self, dx: int, dy: int) -> np.ndarray:
-        h, w = self.block.shape
-        if max(abs(dx), abs(dy)) > 1:
-            raise ValueError("blocks hold neighbours at a distance of 1")
-        return self.block[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
+        (h, w), r = self.block.shape, self.reach
+        return self.block[r + dy : h - r + dy, r + dx : w - r + dx]
 
     def const(self, value: int) -> np.ndarray:
         return np.asarray(value, self.block.dtype)
@@ -52,16 +50,17 @@ class Arrays(Target):
 
 
 def advance(rule: R.Node, block: np.ndarray, t: int, steps: int, x0: int, y0: int, width: int, height: int) -> np.ndarray:
-    """``steps`` generations from step ``t`` of a block with ``steps`` rings around it; (x0, y0) is its first interior cell.
+    """``steps`` generations from step ``t`` of a block with ``steps`` times the rule's reach of rings around it; (x0, y0) is its first interior cell.
 
     Coordinates wrap on the whole grid, so parities are right in every block and on grids of odd size.
     """
-    ring = steps
+    r = R.reach(rule)
+    ring = steps * r
     for k in range(steps):
-        h, w = block.shape
-        ring -= 1
-        x = (x0 - ring + np.arange(w - 2)) % width
-        y = (y0 - ring + np.arange(h - 2)) % height
-        new = as_number(optimised(rule, t + k), Arrays(block, t + k, x, y))
-        block = np.ascontiguousarray(np.broadcast_to(new, (h - 2, w - 2)).astype(block.dtype))
+        h, w = block.shape[0] - 2 * r, block.shape[1] - 2 * r
+        ring -= r
+        x = (x0 - ring + np.arange(w)) % width
+        y = (y0 - ring + np.arange(h)) % height
+        new = as_number(optimised(rule, t + k), Arrays(block, t + k, x, y, r))
+        block = np.ascontiguousarray(np.broadcast_to(new, (h, w)).astype(block.dtype))
     return block

@@ -168,11 +168,31 @@ class Lanes:
         n = max(self.bits, other.bits) + 1
         return self.resized(n).plus(other.resized(n))
 
-    def modulo(self, power: int) -> Lanes:
-        """Remainder by a power of two."""
-        if power <= 0 or power & (power - 1):
-            raise ValueError("planes divide by powers of two only")
-        return self.resized(max(1, power.bit_length() - 1)) if power > 1 else self._with([self._zero()])
+    def divided_on(self, bit: Any, number: int) -> Lanes:
+        """One step of long division: what remains of twice these remainders of ``number`` and one more bit."""
+        size = number.bit_length()
+        twice = self._with([bit, *(self.plane(i) for i in range(size))])
+        less, borrow = [], self._zero()  # twice minus number, and where that is negative
+        for i, a in enumerate(twice.planes):
+            apart = a.bitwiseXOR(borrow)
+            if number >> i & 1:
+                less.append(self._not(apart))
+                borrow = self._not(a).bitwiseOR(borrow)
+            else:
+                less.append(apart)
+                borrow = self._not(a).bitwiseAND(borrow)
+        return twice.chosen(borrow, self._with(less)).resized(size)
+
+    def modulo(self, number: int) -> Lanes:
+        """Remainder by any number above 0, for powers of two without division."""
+        if number <= 0:
+            raise ValueError("planes divide by positive numbers only")
+        if number & (number - 1) == 0:
+            return self.resized(max(1, number.bit_length() - 1)) if number > 1 else self._with([self._zero()])
+        rest = self._with([self._zero()])
+        for bit in reversed(self.planes):
+            rest = rest.divided_on(bit, number)
+        return rest
 
     def ored(self, other: Lanes) -> Lanes:
         return self._with([self.plane(i).bitwiseOR(other.plane(i)) for i in range(max(self.bits, other.bits))])

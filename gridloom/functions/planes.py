@@ -32,6 +32,10 @@ class Compiler:
         self.known[key] = (value, flag)
         return self.known[key]
 
+    def keep_all(self, parts: list[tuple[object, Lanes, bool]]) -> list[Lanes]:
+        """As ``keep`` for parts that don't use each other."""
+        return [self.keep(*part)[0] for part in parts]
+
     def key(self, node: R.Node) -> object:
         """Keys are made once as long as the tree lives."""
         if id(node) not in self.keys:
@@ -87,12 +91,21 @@ class Compiler:
         return value.plane(0) if flag else value.differs(self.constant(0))
 
     def _counted(self, node: R.Count, key: object) -> Lanes:
-        ones = [self.keep((key, i), self.one_bit(self.equal(n, node.value)), True)[0] for i, n in enumerate(self.hood(node.hood))]
+        ones = self.keep_all([((key, i), self.one_bit(self.equal(n, node.value)), True) for i, n in enumerate(self.hood(node.hood))])
         while len(ones) > 1:  # in pairs, so that widths grow with the logarithm
             n = len(ones)
-            ones = [self.keep((key, n, i), ones[i].widened_plus(ones[i + 1]), False)[0] for i in range(0, n - 1, 2)] + ones[n // 2 * 2 :]
+            ones = self.keep_all([((key, n, i), ones[i].widened_plus(ones[i + 1]), False) for i in range(0, n - 1, 2)]) + ones[n // 2 * 2 :]
         return ones[0]
 
+    def _remainder(self, value: Lanes, number: int, key: object) -> Lanes:
+        """Long division bit by bit, each step kept, as the next one uses it many times."""
+        if number <= 0 or number & (number - 1) == 0:
+            return value.modulo(number)
+        rest = self.constant(0)
+        for i in reversed(range(value.bits)):
+            rest = self.keep((key, "rest", i), rest.divided_on(value.plane(i), number), False)[0]
+        return rest
+
     def _made(self, node: R.Node, key: object) -> tuple[Lanes, bool]:  # noqa: PLR0911
         match node:
             case R.Opposite():
@@ -116,8 +129,8 @@ class Compiler:
                 return self.one_bit(reduce(lambda a, b: a.bitwiseAND(b) if op == "and" else a.bitwiseOR(b), [self.mask(a) for a in args])), True
             case R.Arith("modulo", left, right):
                 if not isinstance(right, R.Const):
-                    raise ValueError("planes divide by constant powers of two only")
-                return self.lanes(left)[0].modulo(right.value), False
+                    raise ValueError("planes divide by constants only")
+                return self._remainder(self.lanes(left)[0], right.value, key), False
             case R.Arith(op, left, right):
                 (a, fa), (b, fb) = self.lanes(left), self.lanes(right)
                 # A sum of cells has no fixed width, so planes make room for the carry.
@@ -128,44 +141,55 @@ class Compiler:
         raise TypeError(f"{type(node).__name__} must be resolved before it is compiled")
 
 
+def across(words: np.ndarray, by: int, axis: int = 1) -> np.ndarray:
+    """The words ``by`` places further on along an axis; zeros where there are none."""
+    if not by:
+        return words
+    out, n = np.zeros_like(words), words.shape[axis]
+    if abs(by) < n:
+        to, of = [slice(None)] * words.ndim, [slice(None)] * words.ndim
+        to[axis], of[axis] = (slice(0, n - by), slice(by, n)) if by > 0 else (slice(-by, n), slice(0, n + by))
+        out[tuple(to)] = words[tuple(of)]
+    return out
+
+
 class ArrayPlanes(Compiler):
-    """Words of a block, rows by words, into which one ring is built in y; in x the outermost lanes become meaningless one by one."""
+    """Words of a block, rows by words, into which ``reach`` rows are built in y; in x as many of the outermost lanes become meaningless."""
 
-    def __init__(self, planes: list[np.ndarray], states, t: int, even_x: np.ndarray, even_y: np.ndarray, keys: dict[int, object]):  # noqa: ANN001
+    def __init__(self, planes: list[np.ndarray], states, t: int, even_x: np.ndarray, even_y: np.ndarray, keys: dict[int, object], reach: int = 1):  # noqa: ANN001
         super().__init__(states, t, 64, array_word, keys)
-        self.source, self.even = planes, {"x": even_x, "y": even_y}
+        self.source, self.even, self.reach = planes, {"x": even_x, "y": even_y}, reach
         self.moved: dict[int, list[np.ndarray]] = {0: planes}
 
     def _moved(self, dx: int) -> list[np.ndarray]:
         if dx not in self.moved:
-            one, rest = np.uint64(1), np.uint64(63)
+            words, lanes = divmod(dx, 64)
             out = []
             for p in self.source:
-                q = p >> one if dx == 1 else p << one
-                if dx == 1:
-                    q[:, :-1] |= p[:, 1:] << rest
-                else:
-                    q[:, 1:] |= p[:, :-1] >> rest
+                q = across(p, words)
+                if lanes:
+                    q = q >> np.uint64(lanes) | across(p, words + 1) << np.uint64(64 - lanes)
                 out.append(q)
             self.moved[dx] = out
         return self.moved[dx]
 
     def neighbor(self, dx: int, dy: int) -> Lanes:
-        h = len(self.source[0])
-        return Lanes(tuple(Word(p[1 + dy : h - 1 + dy]) for p in self._moved(dx)), 64, array_word)
+        h, r = len(self.source[0]), self.reach
+        return Lanes(tuple(Word(p[r + dy : h - r + dy]) for p in self._moved(dx)), 64, array_word)
 
     def toward(self, axis: str) -> Word:
         return Word(self.even[axis])
 
 
 def compiles(rule: R.Node, states) -> bool:  # noqa: ANN001
-    """Whether planes can hold all that a rule does: powers of two as divisors, and no neighbours further than 1."""
+    """Whether planes can hold all that a rule does in any of its steps."""
+    edge = 2 * R.reach(rule) + 1
     try:
-        advance_planes(rule, states, np.full((3, 3), states.ordinals[0], "i4"), 0, 1, 0, 0, 1, 1)
-        advance_planes(rule, states, np.full((3, 3), states.ordinals[0], "i4"), 1, 1, 0, 0, 1, 1)
+        for t in range(period(rule)):
+            advance_planes(rule, states, np.full((edge, edge), states.ordinals[0], "i4"), t, 1, 0, 0, 1, 1)
     except (ValueError, KeyError, TypeError):
         return False
-    return all(max(abs(n.dx), abs(n.dy)) <= 1 for n in rule.walk() if isinstance(n, R.Neighbor))
+    return True
 
 
 def _packed(flags: np.ndarray) -> np.ndarray:
@@ -176,30 +200,30 @@ def _packed(flags: np.ndarray) -> np.ndarray:
 
 
 def advance_words(rule: R.Node, states, planes: list[np.ndarray], t: int, steps: int, lane0: int, lanes: int, y0: int, width: int, height: int) -> list[np.ndarray]:  # noqa: ANN001
-    """``steps`` generations from step ``t`` of planes of words, 64 cells each, with ``steps`` rows of halo above and below, and as many lanes at least on both sides.
+    """``steps`` generations from step ``t`` of planes of words, 64 cells each, with ``steps`` times the rule's reach rows of halo above and below, and as many lanes at least on both sides.
 
-    Lane 0 is column ``lane0`` of the whole grid, and ``lanes`` are meaningful; row ``steps`` is row ``y0``. The rows of the halo go; in x the outermost
+    Lane 0 is column ``lane0`` of the whole grid, and ``lanes`` are meaningful; the first row that is no halo is row ``y0``. The rows of the halo go; in x the outermost
     lanes lose their meaning instead. A rule that gives something that is no state is an error.
     """
-    across = planes[0].shape[1]
-    x = (lane0 + np.arange(across * 64)) % width
+    wide, r = planes[0].shape[1], R.reach(rule)
+    x = (lane0 + np.arange(wide * 64)) % width
     trees: dict[int, tuple[R.Node, dict[int, object]]] = {}
     every = period(rule)
     even_x = {p: _packed(((x + p) % 2 == 0)[None, :]) for p in (0, 1)}
     for k in range(steps):
-        rows = len(planes[0])
-        y = (y0 - steps + 1 + k + np.arange(rows - 2)) % height
+        rows = len(planes[0]) - 2 * r
+        y = (y0 - (steps - 1 - k) * r + np.arange(rows)) % height
         even_y = np.where((y + t + k) % 2 == 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None]
         step = (t + k) % every
         if step not in trees:
             trees[step] = (optimised(rule, t + k), {})
         tree, keys = trees[step]
-        c = ArrayPlanes(planes, states, t + k, even_x[(t + k) % 2], even_y, keys)
+        c = ArrayPlanes(planes, states, t + k, even_x[(t + k) % 2], even_y, keys, r)
         value, _ = c.lanes(tree)
-        shape = (rows - 2, across)
+        shape = (rows, wide)
         if value.bits > states.bits:
-            side = np.zeros(across * 64, bool)
-            side[k + 1 : lanes - k - 1] = True
+            side = np.zeros(wide * 64, bool)
+            side[(k + 1) * r : lanes - (k + 1) * r] = True
             over = reduce(np.bitwise_or, [np.broadcast_to(p.v, shape) for p in value.planes[states.bits :]])
             if (over & _packed(side[None, :])).any():
                 raise ValueError("the rule gives numbers that are no states")
@@ -232,6 +256,6 @@ def unpacked_planes(states, planes: list[np.ndarray], left: int, width: int) ->
 
 def advance_planes(rule: R.Node, states, block: np.ndarray, t: int, steps: int, x0: int, y0: int, width: int, height: int) -> np.ndarray:  # noqa: ANN001
     """As ``arrays.advance``, 64 cells a word. A rule that gives something that is no state is an error."""
-    w = block.shape[1]
-    planes = advance_words(rule, states, packed_planes(states, block), t, steps, x0 - steps, w, y0, width, height)
-    return np.ascontiguousarray(unpacked_planes(states, planes, steps, w - 2 * steps).astype(block.dtype))
+    w, ring = block.shape[1], steps * R.reach(rule)
+    planes = advance_words(rule, states, packed_planes(states, block), t, steps, x0 - ring, w, y0, width, height)
+    return np.ascontiguousarray(unpacked_planes(states, planes, ring, w - 2 * ring).astype(block.dtype))

@@ -167,6 +167,24 @@ class Alternate(Node):
     rules: tuple[Node, ...]
 
 
+def offsets(node: Node) -> set[tuple[int, int]]:
+    """Where the cells lie that a rule reads, its own among them."""
+    out = {(0, 0)}
+    for n in node.walk():
+        if isinstance(n, Neighbor):
+            out.add((n.dx, n.dy))
+        elif isinstance(n, Opposite) or getattr(n, "hood", "") == MARGOLUS:
+            out.update(OFFSETS[MOORE])
+        elif hasattr(n, "hood"):
+            out.update(OFFSETS[n.hood])
+    return out
+
+
+def reach(node: Node) -> int:
+    """How far a rule reads, at least 1."""
+    return max(1, *(max(abs(dx), abs(dy)) for dx, dy in offsets(node)))
+
+
 HERE = Neighbor(0, 0)
 UP, DOWN, LEFT, RIGHT = Neighbor(0, -1), Neighbor(0, 1), Neighbor(-1, 0), Neighbor(1, 0)
 

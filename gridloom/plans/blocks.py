@@ -37,19 +37,20 @@ def edges(size: int, block: int) -> list[int]:
     return [size * i // n for i in range(n + 1)]
 
 
-def plan(grid: Grid, block: int, depth: int, steps: int) -> tuple[list[int], list[int], int]:
-    """Edges of the blocks in y and x, and the generations between exchanges, which no block may be shorter than."""
+def plan(grid: Grid, block: int, depth: int, steps: int, reach: int = 1) -> tuple[list[int], list[int], int]:
+    """Edges of the blocks in y and x, and the generations between exchanges, whose halo no block may be shorter than."""
     if block <= 0:
         # Enough blocks to keep a cluster's cores busy while they are large against their halos.
         block = EDGE
         cores = grid.cells.sparkSession.sparkContext.defaultParallelism
         while block > 128 and -(-grid.width // block) * -(-grid.height // block) < 2 * cores:
             block //= 2
+        block = max(block, 2 * reach)
     ys, xs = edges(grid.height, block), edges(grid.width, block)
     least = min(b - a for e in (ys, xs) for a, b in zip(e, e[1:]))
-    depth = min(depth or min(DEPTH, max(1, least // SHARE)), max(1, steps))
-    if depth > least:
-        depth = least
+    depth = min(depth or min(DEPTH, max(1, least // SHARE // reach)), max(1, steps), least // reach)
+    if not depth:
+        raise ValueError(f"the rule reads {reach} cells far, further than a block of {least}")
     return ys, xs, depth
 
 
@@ -62,7 +63,7 @@ def to_blocks(grid: Grid, ys: list[int], xs: list[int], dtype: str) -> DataFrame
 
     Tasks first pack their own cells by block, so that what is shuffled and sorted is a few binary rows instead of a row a cell.
     """
-    ny, nx = len(ys) - 1, len(xs) - 1
+    nx = len(xs) - 1
 
     def parts(batches):  # noqa: ANN001, ANN202
         import numpy as np
@@ -71,7 +72,7 @@ def to_blocks(grid: Grid, ys: list[int], xs: list[int], dtype: str) -> DataFrame
 
         def dealt(held: list) -> pa.RecordBatch:
             x, y, s = (np.concatenate(c).astype("i8") for c in zip(*held))
-            by, bx = ((y + 1) * ny - 1) // ys[-1], ((x + 1) * nx - 1) // xs[-1]  # block i begins at size * i div n
+            by, bx = np.searchsorted(low, y, "right") - 1, np.searchsorted(left, x, "right") - 1
             place = ((y - low[by]) * (left[bx + 1] - left[bx]) + x - left[bx]).astype("i4")
             block = by * nx + bx
             order = np.argsort(block, kind="stable")
@@ -156,7 +157,8 @@ def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, block: int = 0, de
     """``steps`` generations; blocks and depth as given or chosen by the grid's size."""
     if not steps:
         return grid
-    ys, xs, depth = plan(grid, block, depth, steps)
+    reach = R.reach(rule)
+    ys, xs, depth = plan(grid, block, depth, steps, reach)
     ny, nx, dtype = len(ys) - 1, len(xs) - 1, _dtype(grid.states.ordinals)
     width, height, states = grid.width, grid.height, grid.states
     planes = compiles(rule, states)
@@ -168,7 +170,7 @@ def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, block: int = 0, de
         for batch in batches:
             for by, bx, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 cells = np.frombuffer(raw, dtype).reshape(ys[by + 1] - ys[by], -1)
-                yield from _pieces(_split(cells, by, bx, ny, nx, lengths[0])).to_batches()
+                yield from _pieces(_split(cells, by, bx, ny, nx, lengths[0] * reach)).to_batches()
 
     def work(t: int, long: int, onward: int):  # noqa: ANN202
         def one(table: pa.Table) -> pa.Table:
@@ -181,7 +183,7 @@ def run(grid: Grid, rule: R.Node, steps: int, first: int = 0, block: int = 0, de
             cells = advance_planes(rule, states, whole, *at) if planes else advance(rule, whole, *at)
             if not onward:
                 return pa.table({"by": pa.array([by], pa.int32()), "bx": pa.array([bx], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())})
-            return _pieces(_split(cells, by, bx, ny, nx, onward))
+            return _pieces(_split(cells, by, bx, ny, nx, onward * reach))
 
         return one
 

@@ -4,6 +4,8 @@
 * ``bit_array``: the same on words that hold several cells, each cell by itself;
 * ``planes``: the same on bit planes, 32 or 64 cells a word, in bitwise column expressions;
 * ``tiled``: the same on planes of 8-wide tiles;
+* ``blocked``: planes in bands of rows, of which only edge rows are exchanged (spatial blocking), in column expressions;
+* ``tiles``: blocks of tiles with halos of tiles that advance several generations between shuffles, in NumPy;
 * ``strips``: blocks of cells with halos that advance several generations between shuffles (temporal blocking), in NumPy. On a ``WordGrid``, and
   where a grid's width and the rule allow it, blocks are bit planes from beginning to end;
 * ``auto``: strips where the rule allows it, else cells.
@@ -20,13 +22,13 @@ from gridloom.functions import rules as R
 from gridloom.functions.planes import compiles
 from gridloom.operators.grid import Grid
 from gridloom.operators.neighbors import evaluated
-from gridloom.plans import blocks, planes, words
+from gridloom.plans import bands, blocks, planes, tiles, words
 from gridloom.plans.lineage import cut
 from gridloom.plans.rewrite import optimised
 
 #: Generations between lineage cuts of plans that shuffle once a generation.
 CUT_EVERY = 4
-STRATEGIES = ("cells", "bit_array", "planes", "tiled", "strips")
+STRATEGIES = ("cells", "bit_array", "planes", "tiled", "blocked", "tiles", "strips")
 
 
 @dataclass(frozen=True)
@@ -55,13 +57,11 @@ def run(
     """
     if steps < 0:
         raise ValueError("the number of steps is negative")
-    far = max((max(abs(n.dx), abs(n.dy)) for n in rule.walk() if isinstance(n, R.Neighbor)), default=1) > 1
+    reach = R.reach(rule)
     if strategy == "auto":
-        strategy = "cells" if far else "strips"
+        strategy = "cells" if reach > min(grid.width, grid.height) else "strips"
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
-    if far and strategy != "cells":
-        raise ValueError(f"{strategy} reads neighbours at a distance of 1 only")
     if isinstance(grid, words.WordGrid):
         if strategy != "strips" or on_step or not compiles(rule, grid.states):
             raise ValueError("grids of words run as strips, by rules that planes can hold, without a callback")
@@ -73,9 +73,14 @@ def run(
             on_step(t, grid.cells)
         return grid
     if strategy == "strips":
-        if steps and grid.width % words.LANES == 0 and block % words.LANES == 0 and temporal_steps <= words.DEPTH and compiles(rule, grid.states):
+        fits = grid.width % words.LANES == 0 and block % words.LANES == 0 and max(temporal_steps, 1) * reach <= min(words.DEPTH, grid.height, block or words.DEPTH)
+        if steps and fits and compiles(rule, grid.states):
             return words.run(words.from_grid(grid, block), rule, steps, first, temporal_steps).grid()
         return blocks.run(grid, rule, steps, first, block, temporal_steps)
+    if strategy == "blocked":
+        return bands.run(grid, rule, steps, first, word, block)
+    if strategy == "tiles":
+        return tiles.run(tiles.from_grid(grid, word, block), rule, steps, first, temporal_steps).grid()
     if strategy in ("bit_array", "planes", "tiled"):
         return planes.run(grid, rule, steps, first, word, "bit_planes" if strategy == "planes" else strategy)
     for k in range(steps):

@@ -181,19 +181,42 @@ def run(grid: WordGrid, rule: R.Node, steps: int, first: int = 0, depth: int = 0
     """``steps`` generations, ``depth`` of them between exchanges."""
     if not steps:
         return grid
-    ys, xs, states, shape = grid.ys, grid.xs, grid.states, grid.shape
-    ny, nx, width, height = len(ys) - 1, len(xs) - 1, grid.width, grid.height
+    ys, xs, states, shape, reach = grid.ys, grid.xs, grid.states, grid.shape, R.reach(rule)
+    width, height = grid.width, grid.height
     least = min(b - a for a, b in zip(ys, ys[1:]))
-    depth = min(depth or DEPTH, DEPTH, least, steps)
-    # Rounds of nearly equal length.
+    most = min(DEPTH, least) // reach
+    if not most:
+        raise ValueError(f"the rule reads {reach} cells far, further than {LANES} or a block of {least} rows")
+
+    def advance(by: int, bx: int, whole, t: int, long: int):  # noqa: ANN001, ANN202
+        w = whole.shape[2] - 2
+        planes = advance_words(rule, states, list(whole), t, long, xs[bx] - LANES, (w + 2) * LANES, ys[by], width, height)
+        return np.stack(planes)[:, :, 1:-1]
+
+    sizes = len(ys) - 1, len(xs) - 1, grid.partitions
+    return grid.with_rows(in_rounds(grid.rows, sizes, shape, lambda long: (long * reach, 1), advance, lengths_of(steps, min(depth or most, most)), first))
+
+
+def lengths_of(steps: int, depth: int) -> list[int]:
+    """Generations of each round, nearly equally many, and at most ``depth``."""
     rounds = -(-steps // depth)
-    lengths = [steps * (k + 1) // rounds - steps * k // rounds for k in range(rounds)]
+    return [steps * (k + 1) // rounds - steps * k // rounds for k in range(rounds)]
+
+
+def in_rounds(rows: DataFrame, sizes: tuple[int, int, int], shape: Callable, halo: Callable[[int], tuple[int, int]], advance: Callable, lengths: list[int], first: int, dtype: str = "<u8") -> DataFrame:
+    """Blocks (by, bx, words) after rounds of ``lengths`` generations, one shuffle each.
+
+    ``sizes`` are the blocks in y and in x and the partitions, ``shape`` gives a block's planes, rows and words, ``halo`` the rows and words around a block that a round of so
+    many generations needs, and ``advance(by, bx, whole, t, generations)`` makes a block of it and its halo.
+    """
+    ny, nx, n = sizes
     kinds = [pa.int32()] * 4 + [pa.binary()]
 
-    def pieces(by: int, bx: int, planes, deep: int) -> pa.RecordBatch:  # noqa: ANN001
+    def pieces(by: int, bx: int, planes, long: int) -> pa.RecordBatch:  # noqa: ANN001
         """The block itself, and the edges that the eight blocks around it need."""
+        deep, wide = halo(long)
         down = {-1: slice(0, deep), 0: slice(None), 1: slice(-deep, None)}
-        side = {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}
+        side = {-1: slice(0, wide), 0: slice(None), 1: slice(-wide, None)}
         # What is on this block's dy side is on the -dy side of the block there.
         rows = [((by + dy) % ny, (bx + dx) % nx, -dy, -dx, planes[:, down[dy], side[dx]].tobytes()) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["by", "bx", "dy", "dx", "words"])
@@ -201,17 +224,16 @@ def run(grid: WordGrid, rule: R.Node, steps: int, first: int = 0, depth: int = 0
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for by, bx, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                yield pieces(by, bx, np.frombuffer(raw, "<u8").reshape(shape(by, bx)), lengths[0])
+                yield pieces(by, bx, np.frombuffer(raw, dtype).reshape(shape(by, bx)), lengths[0])
 
     def work(t: int, long: int, onward: int) -> Callable:
         def advanced(by: int, bx: int, part: dict) -> pa.RecordBatch:
             if len(part) != 9:
                 raise ValueError(f"block ({by}, {bx}) lacks a neighbour")
-            bits, h, w = shape(by, bx)
-            sized = lambda dy, dx: np.frombuffer(part[dy, dx], "<u8").reshape(bits, long if dy else h, 1 if dx else w)
+            (bits, h, w), (deep, wide) = shape(by, bx), halo(long)
+            sized = lambda dy, dx: np.frombuffer(part[dy, dx], dtype).reshape(bits, deep if dy else h, wide if dx else w)
             whole = np.concatenate([np.concatenate([sized(dy, dx) for dx in (-1, 0, 1)], axis=2) for dy in (-1, 0, 1)], axis=1)
-            planes = advance_words(rule, states, list(whole), t, long, xs[bx] - LANES, (w + 2) * LANES, ys[by], width, height)
-            planes = np.stack(planes)[:, :, 1:-1]
+            planes = advance(by, bx, whole, t, long)
             if onward:
                 return pieces(by, bx, planes, onward)
             return pa.RecordBatch.from_arrays([pa.array([by], pa.int32()), pa.array([bx], pa.int32()), pa.array([planes.tobytes()], pa.binary())], names=["by", "bx", "words"])
@@ -232,13 +254,12 @@ def run(grid: WordGrid, rule: R.Node, steps: int, first: int = 0, depth: int = 0
 
         return each
 
-    n = grid.partitions
-    dealt = F.expr(f"int((by * {nx} + bx) * {n}L div {grid.blocks})")
-    rows, t = grid.rows.mapInArrow(begin, PIECE), first
+    dealt = F.expr(f"int((by * {nx} + bx) * {n}L div {ny * nx})")
+    rows, t = rows.mapInArrow(begin, PIECE), first
     for k, long in enumerate(lengths):
-        onward = lengths[k + 1] if k + 1 < rounds else 0
+        onward = lengths[k + 1] if k + 1 < len(lengths) else 0
         rows = rows.repartitionById(n, dealt).sortWithinPartitions("by", "bx").mapInArrow(work(t, long, onward), PIECE if onward else BLOCK)
         t += long
         if onward and (k + 1) % CUT_EVERY == 0:
             rows = cut(rows)
-    return grid.with_rows(rows)
+    return rows

@@ -121,6 +121,8 @@ for _name, (_k, _rule) in _RULES.items():
     _add(f"{_short}_cells_t3", _automaton(_name, 3, "cells"), _run_sql(_rule, _k, 3))
     _add(f"{_short}_planes_t2", _automaton(_name, 2, "planes"), _run_sql(_rule, _k, 2))
     _add(f"{_short}_tiled_t2", _automaton(_name, 2, "tiled"), _run_sql(_rule, _k, 2))
+    _add(f"{_short}_blocked_t2", _automaton(_name, 2, "blocked"), _run_sql(_rule, _k, 2))
+    _add(f"{_short}_tiled_t8", _automaton(_name, 8, "tiles"), _run_sql(_rule, _k, 8))
     # 60 columns divide into words of any number of cells that 32 bits hold of 1 to 5 bits each but 32 and 16
     _wide = 64 if AUTOMATA[_name].states.bits in (1, 2, 4) else 60
     _add(f"{_short}_bit_array_t2", _automaton(_name, 2, "bit_array", _wide), _run_sql(_rule, _k, 2, _wide))
@@ -137,6 +139,29 @@ _add("ca_gol_tiny_t5", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].sta
 _add("ca_gol_strips_t64_512", lambda s, d: run(_grid(s, d, AUTOMATA["game-of-life"].states, 512, 512), AUTOMATA["game-of-life"].rule, 64, "strips").cells, _run_sql(_RULES["game-of-life"][1], 2, 64, 512, 512))
 
 
+# -- rules that read far
+
+#: Offsets of cells that are summed, by how far they lie, and the strategies that are run for each.
+_FAR = {
+    2: (((2, 0), (0, -2), (-1, 2)), ("bit_array", "planes", "strips", "tiles")),
+    5: (((5, -3), (-5, 5), (0, 4)), ("cells", "tiled", "blocked", "strips")),
+}
+
+
+def _far_sql(offsets: tuple[tuple[int, int], ...]) -> str:
+    joins = " ".join(f"JOIN g g{i} ON g{i}.x = (g.x + {dx + X}) % {X} AND g{i}.y = (g.y + {dy + Y}) % {Y}" for i, (dx, dy) in enumerate(offsets))
+    return f"WITH g AS ({_grid_sql(4)}) SELECT g.x, g.y, CAST((g.s + {' + '.join(f'g{i}.s' for i in range(len(offsets)))}) % 4 AS INT) AS s FROM g {joins}"
+
+
+def _far(offsets: tuple[tuple[int, int], ...], strategy: str) -> Query:
+    rule = sum((Neighbor(dx, dy) for dx, dy in offsets), HERE) % 4
+    return lambda s, d: run(_grid(s, d, States((0, 1, 2, 3))), rule, 1, strategy).cells
+
+
+for _reach, (_offsets, _strategies) in _FAR.items():
+    for _s in _strategies:
+        _add(f"far_{_reach}_{_s}", _far(_offsets, _s), _far_sql(_offsets))
+
 # -- one query for each operator of the rule language, on a grid of eight states
 
 
@@ -293,6 +318,9 @@ for _n, _f, _e, _bits in (
     ("vint_mask_const", lambda a, b: a.masked_constant(0xF0F0F0F5), "CASE WHEN (4042322165 >> (x % 32)) & 1 = 1 THEN p ELSE 0 END", 3),
     ("vint_resize", lambda a, b: a.resized(2), "p % 4", 2),
     ("vint_modulo", lambda a, b: a.modulo(4), "p % 4", 2),
+    ("vint_modulo_3", lambda a, b: a.modulo(3), "p % 3", 2),
+    ("vint_modulo_5", lambda a, b: a.modulo(5), "p % 5", 3),
+    ("vint_modulo_12", lambda a, b: a.widened_plus(b).modulo(12), "(p + q) % 12", 4),
     ("vint_eq", lambda a, b: _mask(a.equals(b)), "(p = q)::INT", 1),
     ("vint_ne", lambda a, b: _mask(a.differs(b)), "(p <> q)::INT", 1),
     ("vint_eq_const", lambda a, b: _mask(a.equals_constant(6)), "(p = 6)::INT", 1),

@@ -10,8 +10,10 @@ from gridloom.functions import rules as R
 from gridloom.functions.arrays import advance
 from gridloom.functions.columns import to_column
 from gridloom.operators.grid import Grid, States, from_values
+from gridloom.plans import bands, planes
+from gridloom.plans.lineage import cut
 from gridloom.plans.rewrite import optimised, period
-from gridloom.plans.run import run, step
+from gridloom.plans.run import STRATEGIES, run, step
 from gridloom.sources.seeded import circuit, from_array, hashed_grid, hashed_words, random_grid, random_values, random_words, thresholds, two_states
 
 X, Y = 96, 64
@@ -67,7 +69,7 @@ def test_golden_checksums(spark, name):
 def test_strategies_agree(spark, name):
     a = AUTOMATA[name]
     values = seed_values(len(a.states.ordinals))[:16, :64] if a.states.plain else np.array([a.states.ordinals])[0][seed_values(4)[:16, :64]]
-    for strategy, word in (("cells", 0), ("bit_array", 64), ("bit_array", 32), ("planes", 64), ("tiled", 64), ("tiled", 16), ("strips", 0)):
+    for strategy, word in (("cells", 0), ("bit_array", 64), ("bit_array", 32), ("planes", 64), ("tiled", 64), ("tiled", 16), ("blocked", 64), ("tiles", 64), ("tiles", 32), ("strips", 0)):
         cells = word // a.states.bits if strategy == "bit_array" else 1
         part = values[:, : 64 // cells * cells]
         assert (array(run(from_array(spark, part, a.states), a.rule, 2, strategy, word=word)) == evolve(a.rule, part, 2)).all(), (strategy, word)
@@ -101,13 +103,78 @@ def test_later_first_step_and_callback(spark):
     assert (array(step(out, a.rule, 8)) == evolve(a.rule, values, 4, 5)).all()
 
 
-def test_far_neighbours_run_as_cells_only(spark):
+@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("offsets", [((2, 0), (0, -2), (-1, 2)), ((5, -3), (-5, 5), (0, 4))])
+def test_far_neighbours(spark, strategy, offsets):
+    """Sums of cells at a distance of 2 and 5, modulo 4, by NumPy and by every strategy; on blocks, bands and tiles smaller than the grid."""
+    rule = sum((R.Neighbor(dx, dy) for dx, dy in offsets), R.HERE) % 4
+    values = seed_values(4)[:48, :64]
+    grid = from_array(spark, values, States((0, 1, 2, 3)))
+    want = values
+    for _ in range(3):
+        want = sum((np.roll(want, (-dy, -dx), (0, 1)) for dx, dy in offsets), want) % 4
+    kw = {"blocked": {"block": 11}, "tiles": {"block": 24, "temporal_steps": 2}, "strips": {"block": 16, "temporal_steps": 2}}.get(strategy, {})
+    assert (array(run(grid, rule, 3, strategy, **kw)) == want).all()
+
+
+def test_far_neighbours_on_grids_smaller_than_their_reach(spark):
     rule = R.Neighbor(3, -2)
     values = seed_values(2)[:7, :9]
     grid = from_array(spark, values, States((0, 1)))
     assert (array(run(grid, rule, 2)) == np.roll(np.roll(values, -6, 1), 4, 0)).all()
+    tiny = from_array(spark, values[:2], States((0, 1)))
+    assert (array(run(tiny, R.Neighbor(12, -5), 1)) == np.roll(np.roll(values[:2], -12, 1), 5, 0)).all()
     with pytest.raises(ValueError):
-        run(grid, rule, 1, "strips")
+        run(tiny, R.Neighbor(12, -5), 1, "strips")
+
+
+@pytest.mark.parametrize("number", [3, 5, 7, 12])
+def test_remainders_by_any_number(spark, number):
+    rule = (R.HERE + R.Neighbor(1, 0) + R.Neighbor(0, 1) + 9) % number
+    values = seed_values(min(number, 16))[:8, :64]
+    states = States(tuple(range(number)))
+    want = (values + np.roll(values, -1, 1) + np.roll(values, -1, 0) + 9) % number
+    for strategy in ("planes", "strips", "tiles", "blocked", "tiled"):
+        assert (array(run(from_array(spark, values, states), rule, 1, strategy)) == want).all(), strategy
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    nothing = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), nothing).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+def test_bands_exchange_edges_only(spark):
+    """Of four generations on bands at most a third is shuffled of what words send to each place that reads them."""
+    a = AUTOMATA["wire"]
+    grid = hashed_grid(spark, a, 512, 256)
+    grid = grid.with_cells(cut(grid.cells))
+    b = bands.from_grid(grid, 64, 32)
+    b = b.with_rows(b.rows.persist())
+    p = planes.to_bit_planes(grid, 64)
+    p = planes.Packed(cut(p.words), p.kind, p.width, p.height, p.states, p.word)
+    assert b.rows.count() == b.bands == 8
+    written = []
+    for rows in (lambda: bands.run_bands(b, a.rule, 4).rows, lambda: planes.run_packed(p, a.rule, 4).words):
+        before = shuffled(spark)
+        rows().write.format("noop").mode("overwrite").save()
+        written.append(shuffled(spark) - before)
+    assert 0 < written[0] < written[1] / 3
+    b.rows.unpersist()
+
+
+@pytest.mark.parametrize(("x", "y", "word"), [(24, 20, 32), (72, 8, 64), (8, 8, 64), (200, 36, 32)])
+def test_tiles_of_odd_numbers(spark, x, y, word):
+    """Blocks of unequal numbers of tiles, grids of one tile, and halos of several tiles."""
+    for name in ("critters", "traffic", "cyclic"):
+        a = AUTOMATA[name]
+        values = np.tile(seed_values(len(a.states.ordinals)), (1, 3))[:y, :x]
+        grid = from_array(spark, values, a.states)
+        assert (array(run(grid, a.rule, 7, "tiles", first=3, word=word, block=16)) == evolve(a.rule, values, 7, 3)).all(), name
 
 
 def test_bad_runs(spark):

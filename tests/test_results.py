@@ -88,16 +88,19 @@ def test_command_line(spark, capsys):
     assert cli.measure(spark, base)["reference_impl"] == "baseline"
 
 
-@pytest.mark.parametrize("plan", ["standard simple", "bit_array simple", "bit_planes simple", "tiled_bit_planes simple", "bit_planes temporal"])
+@pytest.mark.parametrize("plan", ["standard simple", "bit_array simple", "bit_planes simple", "tiled_bit_planes simple", "bit_planes spatial", "bit_planes temporal", "tiled_bit_planes temporal"])
 def test_each_plan_is_run_and_verified(spark, capsys, monkeypatch, plan):
     layout, traverser = plan.split()
     ran = []
-    for module, name in ((cli.planes, "run_packed"), (cli.words, "run"), (cli, "run")):
+    for module, name in ((cli.planes, "run_packed"), (cli.bands, "run_bands"), (cli.words, "run"), (cli.tiles, "run"), (cli, "run")):
         real = getattr(module, name)
         monkeypatch.setattr(module, name, lambda grid, *a, _real=real, _name=name, **kw: (ran.append((_name, getattr(grid, "kind", type(grid).__name__))), _real(grid, *a, **kw))[1])
     args = cli.checked(cli.parser().parse_args(f"--automaton brian --traverser {traverser} --layout {layout} --x_size 64 --y_size 16 --steps 4 --word_size 64 --temporal_steps 2 --report".split()))
     line = cli.measure(spark, args)
-    want = {"standard": ("run", "Grid"), "bit_array": ("run_packed", "bit_array"), "tiled_bit_planes": ("run_packed", "tiled")}.get(layout, ("run_packed", "bit_planes") if traverser == "simple" else ("run", "WordGrid"))
+    want = {
+        "standard simple": ("run", "Grid"), "bit_array simple": ("run_packed", "bit_array"), "tiled_bit_planes simple": ("run_packed", "tiled"), "bit_planes simple": ("run_packed", "bit_planes"),
+        "bit_planes spatial": ("run_bands", "Bands"), "bit_planes temporal": ("run", "WordGrid"), "tiled_bit_planes temporal": ("run", "TileGrid"),
+    }[plan]
     assert ran == [want]
     assert cli.verified(spark, args, line) and not cli.verified(spark, args, line | {"checksum": "0"})
     said = capsys.readouterr().err
@@ -106,7 +109,7 @@ def test_each_plan_is_run_and_verified(spark, capsys, monkeypatch, plan):
 
 def test_plans_that_do_not_exist_are_refused():
     with pytest.raises(SystemExit):
-        cli.checked(cli.parser().parse_args("--automaton maze --traverser temporal --layout tiled_bit_planes --x_size 64 --y_size 16 --steps 2 --word_size 64 --temporal_steps 2".split()))
+        cli.checked(cli.parser().parse_args("--automaton maze --traverser spatial --layout tiled_bit_planes --x_size 64 --y_size 16 --steps 2 --word_size 64 --temporal_steps 2".split()))
 
 
 def test_tables(spark):
