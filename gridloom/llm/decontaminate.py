@@ -6,8 +6,12 @@ between documents and benchmark items. Every hit is then verified on the words t
 slots of the item's window that hold one value hold one value in the document too, and different ones differ, so
 ``Anna gave Ben 3 km of rope and left`` meets ``Mary Ann gave Tom seven miles of rope and left`` and not ``Eva gave Eva 7 miles of rope and left``.
 
+A capital is read as a name's in documents, at the start of a sentence too, where no text tells names from other words. Items have three readings: the same, one with their first
+word, and one with all words at starts as words, so they meet documents that write these small.
+
 Windows of few literal words would meet too much; in their place stand longer windows about them that have enough, and the item's very words, without
-placeholders. So no item is without a window, but those without any word or number, which ``unsearchable`` lists.
+placeholders. Where no longer one has enough, each of the item's clauses, of five tokens and a literal word at least, is a template too, which only a whole clause of a document meets.
+So no item is without a window, but those without any word or number, which ``unsearchable`` lists.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ SHORTEST = 5
 #: Bytes of benchmark windows, and of pairs of an id and a hash, that are broadcast at most; beyond that both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
 
-#: Marks within a text that is worked on: sentence start, the openings of name, number and unit, their end, and a point within a number; and for a
+#: Marks within a text that is worked on: start of a clause, the openings of name, number and unit, their end, and a point within a number; and for a
 #: while, the opening of a number word and the end of a name.
 START, NAME, NUMBER, UNIT, END, POINT, NUMBER_WORD, NAME_END = (chr(i) for i in range(1, 9))
+#: Before a word that is to be read as one, and what parts runs of names and numbers: signs of arithmetic.
+WORD, BREAK = chr(11), chr(14)
 OPENINGS = NAME + NUMBER + UNIT
 #: Scripts that don't part words, whose tokens are clauses.
 UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
@@ -62,17 +68,21 @@ _ONE_NUMBER = _either(NUMBERS)
 #: First the text in parts: (pattern, what it becomes). Nothing in them looks around, so any engine reads them alike.
 PARTED = (
     *[(r"([0-9])[.,:]([0-9])", rf"\1{POINT}\2")] * 2,  # again for the points on both sides of a single digit
-    (rf"[^a-zA-Z0-9.!?\n{POINT}\p{{L}}\p{{M}}]+", " "),
-    (r"[.!?\n][ .!?\n]*", f" {START}"),
+    (r"[+*/=]", f" {BREAK} "),
+    (" - ", f" {BREAK} "),
+    (rf"[^a-zA-Z0-9.!?:;\n{POINT}{BREAK}\p{{L}}\p{{M}}]+", " "),
+    (r"[.!?:;\n][ .!?:;\n]*", f" {START}"),
 )
 DIGITS = (rf"([0-9][0-9{POINT}]*)", rf"  {NUMBER}\1{END}  ")
 #: Then the slots, in a text in which each token has a space of its own on both sides. Runs are put together slot by slot, as an engine that
 #: matched a run at once would need a stack as long.
-SLOTTED = (
-    (rf" {START}?({_ONE_NUMBER}) ", rf" {NUMBER_WORD}\1{END} "),
+NUMBERED = (
+    (rf" ({_ONE_NUMBER}) ", rf" {NUMBER_WORD}\1{END} "),
     (f"{END}  {NUMBER_WORD}", "  "),
     (NUMBER_WORD, NUMBER),
     (rf"{END}  ({_either(UNITS)}) ", rf"{END}  {UNIT}\1{END} "),
+)
+NAMED = (
     (rf" ({_ONE_NAME}) ", rf" {NAME}\1{NAME_END} "),
     (f"{NAME_END}  {NAME}", "  "),
     (NAME_END, END),
@@ -92,20 +102,48 @@ def _replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by.replace("\\", "$")))
 
 
-def parted(text: Column, starts: bool = True) -> Column:
-    """Words, numbers and sentence starts of a text; whether its first word starts a sentence isn't known, and taken as told."""
-    text = F.replace(text, F.lit(POINT), F.lit(" "))
+#: Readings of words at the starts of clauses: names by their capitals, the text's first one a word, all of them words.
+READINGS = ("names", "first", "words")
+#: What a text with slots begins with.
+OPENED = f"  {START}  "
+
+
+def parted(text: Column) -> Column:
+    """Words, numbers and starts of clauses of a text."""
+    text = F.translate(text, POINT + WORD + BREAK, "   ")
     for pattern, by in PARTED:
         text = _replaced(text, pattern, by)
-    return F.concat(F.lit(START if starts else ""), F.ltrim(text, F.lit(f" {START}")))
+    return F.concat(F.lit(START), F.ltrim(text, F.lit(f" {START}")))
 
 
-def slotted(parts: Column) -> Column:
-    """A text in parts with its names, numbers and units as slots, in lower case."""
-    text = _replaced(F.concat(F.lit(" "), _replaced(parts, *DIGITS), F.lit(" ")), " +", "  ")
-    for pattern, by in SLOTTED:
+def with_starts(parts: Column, reading: str = "names") -> Column:
+    """A text in parts with its names, numbers and units as slots, in lower case; starts of clauses are tokens of their own."""
+    apart = F.replace(parts, F.lit(START), F.lit(f"{START} "))
+    text = _replaced(F.concat(F.lit(" "), _replaced(apart, *DIGITS), F.lit(" ")), " +", "  ")
+    for pattern, by in NUMBERED:
+        text = _replaced(text, pattern, by)
+    if reading == "words":
+        text = F.replace(text, F.lit(f"{START}  "), F.lit(f"{START}  {WORD}"))
+    elif reading == "first":
+        text = F.concat(F.lit(OPENED + WORD), F.substr(text, F.lit(len(OPENED) + 1)))
+    for pattern, by in NAMED:
         text = _replaced(text, pattern, by)
-    return F.replace(F.lower(text), F.lit(START), F.lit(""))
+    return F.translate(F.lower(text), WORD + BREAK, "")
+
+
+def slotted(parts: Column) -> Column:
+    """As ``with_starts``, without the starts of clauses."""
+    return _flat(with_starts(parts))
+
+
+def _flat(slots: Column) -> Column:
+    """A text with slots without the starts of clauses."""
+    return F.replace(slots, F.lit(START), F.lit(""))
+
+
+def _clauses(slots: Column) -> Column:
+    """The clauses of a text with slots, from the second place on; what stands at the first is blank."""
+    return F.split(slots, START)
 
 
 def _tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -143,14 +181,15 @@ def _no_slots() -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item, pos, length, exact, whole, words, slots, key for each distinct window; an item's first word is taken as a sentence's start and not.
+    """item, pos, length, exact, whole, words, slots, key for each distinct window, of all readings of the item.
 
     ``item`` is a structure of the id, as a null id too is to be joined by. A window of canonical words that has too few literal ones gives way
-    to the first longer one about it that has enough, if there is one, and its item has all windows of plain words (``exact``) besides.
+    to the first longer one about it that has enough, if there is one, and its item has all windows of plain words (``exact``) besides. If there is none, its item's clauses
+    are templates as wholes, of length 0 and negative places.
     """
-    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), F.explode(F.array(*[F.struct(parted(filled(text_col), s).alias("parts"), F.lit(s).alias("starts")) for s in (True, False)])).alias("v"))
-    items = items.select("item", "v.*").select("item", "parts", "starts", _tokens(F.lower("parts"), PLAIN).alias("plain"), slotted(F.col("parts")).alias("slotted"))
-    items = items.select("item", "parts", "starts", "plain", _tokens(F.col("slotted")).alias("tokens"), _canonical(F.col("slotted")).alias("words")).where(F.size("plain") > 0)
+    items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), parted(filled(text_col)).alias("parts"))
+    items = items.select("item", "parts", _tokens(F.lower("parts"), PLAIN).alias("plain"), F.explode(F.array(*[with_starts(F.col("parts"), r) for r in READINGS])).alias("slotted"))
+    items = items.select("item", "parts", "plain", "slotted", _tokens(_flat(F.col("slotted"))).alias("tokens"), _canonical(_flat(F.col("slotted"))).alias("words")).where(F.size("plain") > 0)
     literal = lambda start, size: F.size(F.filter(F.slice("words", start, size), lambda w: ~w.isin(*OPENINGS)))
     length = F.least(F.size("words"), F.lit(window))
     rows = items.withColumn("length", length).withColumn("pos", F.explode_outer(F.when(F.size("words") >= SHORTEST, F.sequence(F.lit(1), F.size("words") - length + 1))))
@@ -168,7 +207,10 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     plain = rows.where("few").select("item", "parts", "plain", F.least(n, F.lit(window)).alias("length")).withColumn("pos", F.explode(F.sequence(F.lit(1), n - F.col("length") + 1)))
     whole = (n < SHORTEST) & ~F.regexp_like("parts", F.lit(_UNSPACED_JAVA))
     exact = plain.select("item", "pos", "length", F.lit(True).alias("exact"), whole.alias("whole"), _unmarked(F.slice("plain", F.col("pos"), F.col("length"))).alias("words"), _no_slots().alias("slots"))
-    return templates.unionByName(exact).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.xxhash64("words"))
+    clauses = rows.where("few and shape is null").select("item", F.posexplode(_clauses(F.col("slotted"))).alias("nth", "clause"))
+    clauses = clauses.select("item", (-F.col("nth")).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("whole"), _canonical(F.col("clause")).alias("words"), _slots(_tokens(F.col("clause"))).alias("slots"))
+    clauses = clauses.where((F.size("words") >= SHORTEST) & (literal(F.lit(1), F.size("words")) > 0))
+    return templates.unionByName(exact).unionByName(clauses).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.xxhash64("words"))
 
 
 def unsearchable(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -186,47 +228,55 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> Dat
     kinds = sorted((r[0], r[1]) for r in bench.select("exact", "length").distinct().collect())  # exact ones of at most window lengths, others of at most 4 * window
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(filled(text_col)).alias("th")).alias("doc"), parted(filled(text_col)).alias("parts"))
 
+    whole_clauses = (False, 0) in kinds
+
     def worded(rows: DataFrame, *more: Column) -> DataFrame:
         exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
-        rows = rows.select("*", *([slotted(F.col("parts")).alias("slotted")] if template else []))
+        rows = rows.select("*", *([with_starts(F.col("parts")).alias("slotted")] if template else []))
         none = F.array().cast("array<string>")
-        return rows.select("*", (_canonical(F.col("slotted")) if template else none).alias("words"), (_tokens(F.lower("parts"), PLAIN) if exact else none).alias("plain"), *more)
+        return rows.select("*", (_canonical(_flat(F.col("slotted"))) if template else none).alias("words"), (_clauses(F.col("slotted")) if whole_clauses else none).alias("clauses"), (_tokens(F.lower("parts"), PLAIN) if exact else none).alias("plain"), *more)
 
-    each = [_windows(F.col("plain" if k else "words"), n, k) for k, n in kinds]
+    each = [_windows(F.col("plain" if k else "words"), n, k) for k, n in kinds if n]
+    if whole_clauses:
+        each.append(F.transform("clauses", lambda c, i: F.struct((-i).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(_canonical(c)).alias("key"))))
     none = F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")
     made = worded(rows).select("doc", F.inline(F.concat(*each, none)))
     keys = bench.groupBy("length", "exact", "key").agg(F.min("whole").alias("whole"))  # one for each template, however many items have it
     places = cut(made.join(_small(keys, F.lit(24)), ["length", "exact", "key"]).where(~F.col("whole") | F.col("is_whole")).select("doc", "pos", "length", "exact", "is_whole"))
     suspects = places.select(F.col("doc").alias("_doc")).distinct()
     again = rows.join(_small(suspects, F.lit(32)), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
-    again = worded(again, (_tokens(F.col("slotted")) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens")).select("doc", "words", "plain", "tokens")
+    again = worded(again, (_tokens(_flat(F.col("slotted"))) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens")).select("doc", "words", "plain", "tokens", "clauses")
     part = lambda c: F.slice(c, F.col("pos"), F.col("length"))
     held = again.join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
-    words = F.when(F.col("exact"), _unmarked(part(F.col("plain")))).otherwise(part(F.col("words")))
-    slots = F.when(F.col("exact"), _no_slots()).otherwise(_slots(part(F.col("tokens"))))
-    return held.select("doc", "exact", "is_whole", words.alias("words"), slots.alias("slots")).distinct()
+    clause, in_clause = F.get("clauses", -F.col("pos")), F.col("length") == 0
+    words = F.when(in_clause, _canonical(clause)).when(F.col("exact"), _unmarked(part(F.col("plain")))).otherwise(part(F.col("words")))
+    slots = F.when(F.col("exact"), _no_slots()).otherwise(_slots(F.when(in_clause, _tokens(clause)).otherwise(part(F.col("tokens")))))
+    return held.select("doc", "exact", "is_whole", in_clause.alias("clause"), words.alias("words"), slots.alias("slots")).distinct()
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(doc, item, pos, exact) of every window found, and all windows."""
     bench = cut(item_windows(benchmark, item_col, item_text, window))
     found = _found(docs, bench, id_col, text_col)
-    right = bench.select("item", "pos", "exact", "whole", "words", "slots")
-    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("slots") + 64
-    sure = found.join(_small(right, size), ["exact", "words", "slots"]).where(~F.col("whole") | F.col("is_whole"))
+    right = bench.select("item", "pos", "exact", "whole", (F.col("length") == 0).alias("clause"), "words", "slots")
+    size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("slots") + 65
+    sure = found.join(_small(right, size), ["exact", "clause", "words", "slots"]).where(~F.col("whole") | F.col("is_whole"))
     return sure.select("doc", "item", "pos", "exact"), bench
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document id and item that share a window: id, item_id, n_windows (the item's windows found), coverage (of the item's windows).
+    """One row per document id and item that share a window: id, item_id, n_windows (the item's windows and clauses found), coverage (of the item's windows, or of its clauses if that is more).
 
     Null texts are empty; texts without words match nothing; null ids are carried; rows that repeat an id are one document with several texts, and
     items that share an id one item. Empty tables give an empty result. Other columns are not looked at.
     """
     sure, bench = _leaks(docs, benchmark, id_col, text_col, item_col, item_text, window)
-    totals = bench.groupBy("item").agg(F.countDistinct("pos", "exact").alias("_of"))
-    per = sure.groupBy(F.col("doc.id").alias("id"), "item").agg(F.countDistinct("pos", "exact").alias("n_windows"))
-    return per.join(totals, "item").select(F.col("id").alias(id_col), F.col("item.id").alias(item_col), "n_windows", (F.col("n_windows") / F.col("_of")).alias("coverage"))
+    inside = F.when(F.col("pos") > 0, F.struct("pos", "exact"))
+    clauses = F.when(F.col("pos") < 0, F.col("pos"))
+    totals = bench.groupBy("item").agg(F.countDistinct(inside).alias("_of"), F.countDistinct(clauses).alias("_of_clauses"))
+    per = sure.groupBy(F.col("doc.id").alias("id"), "item").agg(F.countDistinct(inside).alias("_n"), F.countDistinct(clauses).alias("_n_clauses"))
+    coverage = F.greatest(F.try_divide("_n", "_of"), F.try_divide("_n_clauses", "_of_clauses"))
+    return per.join(totals, "item").select(F.col("id").alias(id_col), F.col("item.id").alias(item_col), (F.col("_n") + F.col("_n_clauses")).alias("n_windows"), coverage.alias("coverage"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

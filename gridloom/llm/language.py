@@ -79,12 +79,17 @@ class TextModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_rows: int = FIT_ROWS) -> TextModel | None:
-    """The trigram model of the labelled rows; None if there are none."""
+    """The trigram model of the labelled rows; None if there are none.
+
+    ``fit_rows`` bounds the rows that are learnt from, dealt over all languages by distinct ids: rows that repeat an id and a label are one, the one whose text sorts first.
+    Rows without an id aren't learnt from.
+    """
     import numpy as np
 
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    labelled = labelled.withColumn("_label", F.lower(label_col)).withColumn("_id", F.col(id_col))
-    of = {r[0]: r[1] for r in labelled.groupBy("_label").count().collect()}
+    labelled = labelled.select(F.lower(label_col).alias("_label"), F.col(id_col).alias("_id"), filled(text_col).alias("_text"))
+    known = labelled.select("_label", "_id").distinct()
+    of = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     counts = sorted(of.values())
     most, left = 1, fit_rows
     for k, n in enumerate(counts):  # the languages with few rows leave their places to the others
@@ -92,12 +97,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         left -= min(n, most)
     if of:  # no task is to sort all rows of a language: over twice the rows wanted are left, by hash
         share = F.create_map(*[x for label, n in of.items() for x in (F.lit(label), F.lit(min(1.0, (2 * most + 50) / n)))])
-        thinned = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share[F.col("_label")] * F.lit(float(1 << 40)))
+        thinned = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < share[F.col("_label")] * F.lit(float(1 << 40)))
     else:
-        thinned = labelled
+        thinned = known
     order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), F.col("_id"))
-    ids = thinned.select("_label", "_id", F.row_number().over(order).alias("_nth")).where(F.col("_nth") <= most).select("_label", "_id").distinct()
-    sample = labelled.join(F.broadcast(ids), ["_label", "_id"]).select(F.col("_label").alias("label"), filled(text_col).alias("text"))
+    ids = thinned.select("_label", "_id", F.row_number().over(order).alias("_nth")).where(F.col("_nth") <= most).select("_label", "_id")
+    sample = labelled.join(F.broadcast(ids), ["_label", "_id"]).groupBy("_label", "_id").agg(F.min("_text").alias("text")).select(F.col("_label").alias("label"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, object] = {}
@@ -202,6 +207,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def language_id(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents and pages, one row each: doc_id (null for pages), page_id (null for documents), lang, probability, text_lang, declared, address.
 
+    Ids are numbers; others stop the job. Rows that repeat an id are rows of their own, each with its answer.
     Without any labelled document there is no language to tell: every ``lang`` is null.
     """
     short_batches(docs.sparkSession)

@@ -94,32 +94,45 @@ def _op10_sql() -> str:
 
     said = lambda x: "'" + x.replace("'", "''") + "'"
     replaced = lambda e, pattern, by: f"regexp_replace({e}, {said(pattern)}, {said(by)}, 'g')" if d.is_pattern(pattern) else f"replace({e}, {said(pattern)}, {said(by)})"
-    parted = f"replace(coalesce(text, ''), {said(d.POINT)}, ' ')"
+    parted = f"translate(coalesce(text, ''), {said(d.POINT + d.WORD + d.BREAK)}, '   ')"
     for pattern, by in d.PARTED:
         parted = replaced(parted, pattern, by)
     parted = f"ltrim({parted}, {said(f' {d.START}')})"
-    slotted = replaced(f"' ' || {replaced('parts', *d.DIGITS)} || ' '", " +", "  ")
-    for pattern, by in d.SLOTTED:
-        slotted = replaced(slotted, pattern, by)
-    slotted = f"replace(lower({slotted}), {said(d.START)}, '')"
+
+    def slotted(reading: str) -> str:
+        apart = f"replace(parts, {said(d.START)}, {said(d.START + ' ')})"
+        out = replaced(f"' ' || {replaced(apart, *d.DIGITS)} || ' '", " +", "  ")
+        for pattern, by in d.NUMBERED:
+            out = replaced(out, pattern, by)
+        if reading == "words":
+            out = f"replace({out}, {said(d.START + '  ')}, {said(d.START + '  ' + d.WORD)})"
+        elif reading == "first":
+            out = f"({said(d.OPENED + d.WORD)} || substr({out}, {len(d.OPENED) + 1}))"
+        for pattern, by in d.NAMED:
+            out = replaced(out, pattern, by)
+        return f"translate(lower({out}), {said(d.WORD + d.BREAK)}, '')"
+
+    canonical = lambda e: f"string_split_regex(trim({replaced(e, *d.EMPTIED)}), ' +')"
     tokens = lambda e, pattern: f"regexp_extract_all({e}, {said(pattern)})"
     opening = lambda e: f"{e} IN ({', '.join(map(said, d.OPENINGS))})"
     plainly = lambda e: f"list_transform({e}, lambda w: replace(w, {said(d.START)}, ''))"
     literal = lambda start, size: f"len(list_filter(words[{start}:{start} + {size} - 1], lambda w: NOT ({opening('w')})))"
     held = lambda e: f"list_filter({e}, lambda v: {opening('v[1:1]')})"
     slots = lambda e: f"list_transform({held(e)}, lambda v: list_position({held(e)}, v))"
-    side = lambda name, key, table, parts, more: f"""
-    {name}_p AS (SELECT row_number() OVER () AS rn, {key} AS id, {parts} FROM {table}),
-    {name}_m AS (SELECT *, {slotted} AS m FROM {name}_p),
-    {name} AS (SELECT rn, id, parts, {tokens("lower(parts)", d.PLAIN)} AS plain, {tokens("m", d.TOKEN)} AS tokens, string_split_regex(trim({replaced("m", *d.EMPTIED)}), ' +') AS words FROM {name}_m{more})"""
+    side = lambda name, key, table, readings: f"""
+    {name}_p AS (SELECT row_number() OVER () AS rn, {key} AS id, {said(d.START)} || {parted} AS parts FROM {table}),
+    {name}_s AS (SELECT *, unnest([{", ".join(map(slotted, readings))}]) AS s FROM {name}_p),
+    {name}_m AS (SELECT *, replace(s, {said(d.START)}, '') AS m FROM {name}_s),
+    {name} AS (SELECT rn, id, parts, s, {tokens("lower(parts)", d.PLAIN)} AS plain, {tokens("m", d.TOKEN)} AS tokens, {canonical("m")} AS words FROM {name}_m),
+    {name}_c AS (SELECT *, {canonical("clause")} AS held, {tokens("clause", d.TOKEN)} AS held_tokens FROM (SELECT *, unnest(string_split(s, {said(d.START)})) AS clause, unnest(range(len(string_split(s, {said(d.START)})))) AS nth FROM {name}))"""
     longer = " ".join(
         f"WHEN least(n, {times * d.WINDOW}) > length AND {literal(start, f'least(n, {times * d.WINDOW})')} >= {d.LITERALS} THEN {{'start': {start}, 'size': least(n, {times * d.WINDOW})}}"
         for times in (2, 4)
         for start in [f"least(pos, n - least(n, {times * d.WINDOW}) + 1)"]
     )
     return f"""
-    WITH {side("d", "doc_id", "documents", f"{said(d.START)} || {parted} AS parts", "")},
-    {side("b", "item_id", "benchmark, (SELECT unnest([true, false]) AS starts)", f"CASE WHEN starts THEN {said(d.START)} ELSE '' END || {parted} AS parts", "")},
+    WITH {side("d", "doc_id", "documents", d.READINGS[:1])},
+    {side("b", "item_id", "benchmark", d.READINGS)},
     bn AS (SELECT *, len(words) AS n, least(len(words), {d.WINDOW}) AS length FROM b WHERE len(plain) > 0),
     bp AS (SELECT *, unnest(CASE WHEN n >= {d.SHORTEST} THEN range(1, n - length + 2) ELSE [NULL::BIGINT] END) AS pos FROM bn),
     bf AS (SELECT *, pos IS NULL OR {literal("pos", "length")} < least(length, {d.LITERALS}) AS few FROM bp),
@@ -131,6 +144,10 @@ def _op10_sql() -> str:
       UNION
       SELECT id, pos, length, true, len(plain) < {d.SHORTEST} AND NOT regexp_matches(parts, {said(d.UNSPACED)}), {plainly("plain[pos:pos + length - 1]")}, []
       FROM (SELECT *, unnest(range(1, len(plain) - length + 2)) AS pos FROM bx)),
+    bc AS (
+      SELECT DISTINCT b_c.id, -nth AS pos, held AS words, {slots("held_tokens")} AS slots FROM b_c
+      WHERE s IN (SELECT s FROM bs WHERE few AND shape IS NULL AND bs.id IS NOT DISTINCT FROM b_c.id) AND len(held) >= {d.SHORTEST} AND len(list_filter(held, lambda w: NOT ({opening("w")}))) > 0),
+    dc AS (SELECT DISTINCT id, held AS words, {slots("held_tokens")} AS slots FROM d_c WHERE len(held) >= {d.SHORTEST}),
     dk AS (SELECT d.*, exact, length, CASE WHEN exact THEN plain ELSE words END AS held FROM d, (SELECT DISTINCT exact, length FROM bw)),
     dp AS (SELECT *, unnest(range(1, len(held) - length + 2)) AS pos FROM dk WHERE len(held) >= length),
     dw AS (
@@ -138,9 +155,14 @@ def _op10_sql() -> str:
              CASE WHEN exact THEN [] ELSE {slots("tokens[pos:pos + length - 1]")} END AS slots,
              exact AND length < {d.SHORTEST} AND starts_with(held[pos], {said(d.START)}) AND (pos + length > len(held) OR starts_with(held[pos + length], {said(d.START)})) AS is_whole
       FROM dp),
-    f AS (SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.pos, bw.exact FROM dw JOIN bw ON dw.exact = bw.exact AND dw.words = bw.words AND dw.slots = bw.slots WHERE NOT whole OR is_whole),
-    t AS (SELECT id AS item_id, count(*) AS total FROM (SELECT DISTINCT id, pos, exact FROM bw) GROUP BY 1)
-    SELECT doc_id, f.item_id, count(*) AS n_windows, count(*) / max(total) AS coverage FROM f JOIN t ON f.item_id IS NOT DISTINCT FROM t.item_id GROUP BY 1, 2
+    f AS (
+      SELECT DISTINCT dw.id AS doc_id, bw.id AS item_id, bw.pos, bw.exact FROM dw JOIN bw ON dw.exact = bw.exact AND dw.words = bw.words AND dw.slots = bw.slots WHERE NOT whole OR is_whole
+      UNION SELECT dc.id, bc.id, bc.pos, false FROM dc JOIN bc ON dc.words = bc.words AND dc.slots = bc.slots),
+    t AS (
+      SELECT id AS item_id, count(*) FILTER (pos > 0) AS total, count(*) FILTER (pos < 0) AS clauses
+      FROM (SELECT DISTINCT id, pos, exact FROM bw UNION SELECT id, pos, false FROM bc) GROUP BY 1)
+    SELECT doc_id, f.item_id, count(*) AS n_windows, greatest(count(*) FILTER (pos > 0) / nullif(max(total), 0), count(*) FILTER (pos < 0) / nullif(max(clauses), 0)) AS coverage
+    FROM f JOIN t ON f.item_id IS NOT DISTINCT FROM t.item_id GROUP BY 1, 2
     """
 
 

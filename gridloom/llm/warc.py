@@ -1,7 +1,7 @@
 """A content-addressed WARC archive.
 
 An archive is a folder of two Parquet tables. ``payloads`` holds each distinct payload once, under its SHA-256;
-``headers`` holds the exact header block of every record and the digest of its payload. Records are put together again by a join,
+``headers`` holds the exact header block of every record, its type and the digest of its payload. Records are put together again by a join,
 and every payload is checked against its digest as it is read. Equal payloads are written once as a ``response`` record,
 that of the largest id; the others are ``revisit`` records that refer to it.
 """
@@ -39,7 +39,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     Null bodies are empty payloads; null addresses leave the record without a target; null ids sort below all others.
     Rows that repeat id and payload are records of the same type. Payloads of fewer than ``min_bytes`` bytes are never
-    revisited. Columns other than the three named are not looked at.
+    revisited. Ids are numbers; others stop the job. Columns other than the three named are not looked at.
     """
     spark = pages.sparkSession
     body = filled(body_col).cast("binary")
@@ -62,7 +62,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.when(F.col("first"), F.col("bytes")).otherwise(0) + len(HTTP)).cast("string")),
     )
-    joined.select("id", "digest", header.alias("header")).write.parquet(f"{path}/headers")
+    joined.select("id", "digest", F.when(F.col("first"), "response").otherwise("revisit").alias("kind"), header.alias("header")).write.parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -70,12 +70,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Length and SHA-1 are taken of the stored payload, once however many records have it. A payload that is not what its digest says stops the job.
     """
-    headers = spark.read.schema("id bigint, digest string, header string").parquet(f"{path}/headers")
+    headers = spark.read.schema("id bigint, digest string, kind string, header string").parquet(f"{path}/headers")
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     right = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("payload differs from its digest")).cast("binary"))
     stored = stored.select("digest", right.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
     joined = headers.join(stored, "digest")
-    block = F.when(F.contains("header", F.lit("WARC-Type: response\r\n")), F.col("payload")).otherwise(F.lit("").cast("binary"))
+    block = F.when(F.col("kind") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     record = F.concat(F.concat(F.col("header"), F.lit(f"\r\n{HTTP}")).cast("binary"), block, F.lit(END).cast("binary"))
     return joined.select("id", "header", record.alias("record"), "payload", "payload_bytes", "payload_digest")
 
@@ -92,7 +92,8 @@ def write_files(records: DataFrame, path: str, compression: str = "none") -> Non
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files, ours or others': id (null if not ours), header, record, payload (the body, which revisits lack).
 
-    A file is read whole by one task. Lengths are taken from the headers; a file that ends within a record stops the job.
+    A file is read whole by one task. Lengths are taken from the headers; a file that ends within a record stops the job. Header bytes that are
+    no UTF-8 are replaced in ``header``; ``record`` has them as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +111,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     end = head + 4 + int(length[1])
                     own = re.search(rb"\r\nWARC-Record-ID: <urn:x-page:(-?[0-9]+)>", content[at:head])
                     body = content[head + 4 : end]
-                    if b"application/http" in content[at:head]:
+                    if re.search(rb"\r\nContent-Type: *application/http\b", content[at:head], re.I):
                         body = body.partition(END.encode())[2]
-                    columns = [pa.array([own and int(own[1])], pa.int64()), pa.array([content[at : head + 2].decode()]), pa.array([content[at : end + 4]], pa.binary()), pa.array([body], pa.binary())]
+                    columns = [pa.array([own and int(own[1])], pa.int64()), pa.array([content[at : head + 2].decode(errors="replace")]), pa.array([content[at : end + 4]], pa.binary()), pa.array([body], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "header", "record", "payload"])
                     at = end + 4
 

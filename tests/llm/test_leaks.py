@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate
@@ -52,7 +53,7 @@ def test_short_and_slot_heavy_items(spark, monkeypatch):
         rows = decontaminate.contamination(docs, bench).collect()
         got = {(r.doc_id, r.item_id): r.coverage for r in rows}
         assert sorted(map(tuple, rows), key=repr) == duck_leaks(DOCS, BENCH)
-        assert set(got) == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5), (10, 6)}
+        assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 4), (8, 5), (10, 6)}
         assert got[1, 1] == got[3, 2] == 1 and got[10, 6] == 0.5
 
 
@@ -102,8 +103,53 @@ def test_questions_asked_with_other_values_are_found(spark):
     assert len(found & want) >= 0.9 * len(want) and not any(d >= 1000 for d, _ in found)
 
 
+#: Benchmark items of four kinds, each as a pattern for values.
+KINDS = {
+    "names at starts": [
+        "{n} has {a} apples. {m} has {b} pears. {o} has {c} plums. {r} has {d} figs.",
+        "{n} lives in {p}. {m} went to {q} with {o} for {a} days. {r} stayed at home.",
+        "{n} sold {a} boats to {m}. {o} sold {b} boats to {r}.",
+    ],
+    "short questions": ["What is the capital of {p}?", "How far is it from {p} to {q}?", "Who was the mother of {n}?", "How many days has {n} worked?"],
+    "pure arithmetic": ["What is {a} + {b} - {c} * {d}?", "Compute {a} * {b} + {c} / {d} and {b} - {d}.", "Is {a} + {b} more than {c} - {d}?"],
+    "mixed": [*QUESTIONS[:4], "{n} pays {a} euros. How much is {b} times {a} euros for {m}?"],
+}
+VALUES = [
+    dict(n="Anna", m="Ben", o="Carl", r="Dora", a="345", b="678", c="12", d="7", p="Peru", q="Chile"),
+    dict(n="Max", m="Lena", o="Udo", r="Ida", a="911", b="222", c="10", d="3", p="France", q="Spain"),
+    dict(n="Mary Ann", m="Tom", o="Zoe", r="Olaf", a="4,500", b="twenty one", c="six", d="3.5", p="New Zealand", q="Oslo"),
+]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_recall_by_kind(spark, kind):
+    """Items asked with other values, each a clause or sentences of its own within other text; the same items with two values made one are no match for it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    around = lambda: " ".join(word() for _ in range(30))
+    bench = [(i, q.format(**VALUES[0])) for i, q in enumerate(KINDS[kind])]
+    planted = [(100 * k + i, f"{around()}. {q.format(**v)} {around()}") for k, v in enumerate(VALUES) for i, q in enumerate(KINDS[kind])]
+    confused = [(1000 + i, f"{around()}. {q.format(**VALUES[1] | {'m': 'Max', 'o': 'Max', 'r': 'Max', 'b': '911', 'q': 'France'})} {around()}") for i, q in enumerate(KINDS[kind]) if sum(x in q for x in ("{n}", "{m}", "{o}", "{r}")) > 1 or "{b}" in q or "{q}" in q]
+    docs = planted + confused + [(2000 + i, around()) for i in range(10)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"))
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == duck_leaks(docs, bench)
+    found, want = {(d, i) for d, i, *_ in rows}, {(d, d % 100) for d, _ in planted}
+    print(f"{kind}: {len(found & want)} of {len(want)} found, {sum(1000 <= d < 2000 for d, _ in found)} of {len(confused)} confused ones")
+    assert len(found & want) >= 0.9 * len(want)
+    assert not any(d >= (2000 if kind == "mixed" else 1000) for d, _ in found)  # of long items windows without the confused values still match
+
+
+def test_a_template_clause_is_met_by_whole_clauses_only(spark):
+    bench = [(1, "What is 345 + 678 - 12 * 7?")]
+    docs = [(1, "So: what is 1 + 2 - 3 * 4; well"), (2, "So what is 1 + 2 - 3 * 4"), (3, "What is 1 + 2 - 3 * 4 then?"), (4, "What is 1 + 2 - 1 * 4?"), (5, "What is 11 + 22 - 33 * 44"), (6, "x\nWhat is 1 2 3 4\ny")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 5, 6]
+    assert sorted(map(tuple, got), key=repr) == duck_leaks(docs, bench)
+
+
 def test_runs_of_names_and_number_words_are_one_slot(spark):
-    row = spark.createDataFrame([("We saw New York City and 3,000.5 km of it. Twenty-five miles, THREE feet, one İnch; McX 12:30pm",)], "t string").select(decontaminate.slotted(decontaminate.parted(F.col("t"))).alias("s")).select(decontaminate._tokens(F.col("s")).alias("k"), decontaminate._canonical(F.col("s")).alias("w")).first()
+    row = spark.createDataFrame([("We saw New York City and 3,000.5 km of it. Twenty-five miles, THREE feet, one İnch; McX 12:30pm",)], "t string").select(decontaminate._flat(decontaminate.with_starts(decontaminate.parted(F.col("t")), "words")).alias("s")).select(decontaminate._tokens(F.col("s")).alias("k"), decontaminate._canonical(F.col("s")).alias("w")).first()
     name, number, unit, end, point = (getattr(decontaminate, n) for n in ("NAME", "NUMBER", "UNIT", "END", "POINT"))
     assert row.k[2] == f"{name}new  york  city{end}" and row.k[4] == f"{number}3{point}000{point}5{end}" and f"{number}twenty  five{end}" in row.k
     assert row.w[:8] == ["we", "saw", name, "and", number, unit, "of", "it"] and row.w[8:12] == [number, unit, number, unit] and "mcx" in row.w

@@ -65,3 +65,16 @@ def test_fusion_equals_brute_force(spark, sf_dir):
     want = fused_brute([(r.id + (10**6 if r.kind == "page" else 0), *r[1:]) for r in rows.collect()], model)
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-6)
+
+
+def test_repeated_ids_are_one_row(spark):
+    """A language whose rows all have one id is neither lost to the thinning by ids nor above the bound because of them."""
+    many = [(7, "der hund und die katze", "de")] * 6000
+    few = [(1000 + i, "the cat and the dog", "en") for i in range(300)]
+    once = [(7, "der hund und die katze", "de"), *few]
+    schema = "doc_id long, text string, lang string"
+    for shift in range(3):
+        moved = [(i + 100_000 * shift, t, x) for i, t, x in many + few]
+        a = language.train(spark.createDataFrame(moved, schema).repartition(4), fit_rows=100)
+        b = language.train(spark.createDataFrame([(i + 100_000 * shift, t, x) for i, t, x in once], schema), fit_rows=100)
+        assert a.languages == ["de", "en"] and (a.table == b.table).all()
