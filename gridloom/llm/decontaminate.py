@@ -9,7 +9,8 @@ slots of the item's window that hold one value hold one value in the document to
 A capital is read as a name's in documents, at the start of a sentence too, where no text tells names from other words. Items have three readings: the same, one with their first
 word, and one with all words at starts as words, so they meet documents that write these small.
 
-Windows of few literal words would meet too much; in their place stand longer windows about them that have enough, and the item's very words, without
+Windows of few literal words would meet too much. Where none of enough begins within half a window of them, so that 12 words of an item always hold one, there stand in their place
+longer windows about them that have enough, and the item's very words, without
 placeholders. Where no longer one has enough, each of the item's clauses, of five tokens and a literal word at least, is a template too, which only a whole clause of a document meets.
 So no item is without a window, but those without any word or number, which ``unsearchable`` lists.
 """
@@ -102,6 +103,13 @@ def _replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by.replace("\\", "$")))
 
 
+def _without(text: Column, marks: str, by: str = "") -> Column:
+    """Mark by mark, which is quick where there are none."""
+    for mark in marks:
+        text = F.replace(text, F.lit(mark), F.lit(by))
+    return text
+
+
 #: Readings of words at the starts of clauses: names by their capitals, the text's first one a word, all of them words.
 READINGS = ("names", "first", "words")
 #: What a text with slots begins with.
@@ -110,7 +118,7 @@ OPENED = f"  {START}  "
 
 def parted(text: Column) -> Column:
     """Words, numbers and starts of clauses of a text."""
-    text = F.translate(text, POINT + WORD + BREAK, "   ")
+    text = _without(text, POINT + WORD + BREAK, " ")
     for pattern, by in PARTED:
         text = _replaced(text, pattern, by)
     return F.concat(F.lit(START), F.ltrim(text, F.lit(f" {START}")))
@@ -128,7 +136,7 @@ def with_starts(parts: Column, reading: str = "names") -> Column:
         text = F.concat(F.lit(OPENED + WORD), F.substr(text, F.lit(len(OPENED) + 1)))
     for pattern, by in NAMED:
         text = _replaced(text, pattern, by)
-    return F.translate(F.lower(text), WORD + BREAK, "")
+    return _without(F.lower(text), WORD + BREAK)
 
 
 def slotted(parts: Column) -> Column:
@@ -155,6 +163,11 @@ def _canonical(slots: Column) -> Column:
     return F.split(F.trim(_replaced(slots, *EMPTIED)), " +")
 
 
+def _emptied(slots: Column) -> Column:
+    """A text with slots as words and placeholders with a space between them, starts of clauses among them."""
+    return _replaced(_replaced(slots, *EMPTIED), " +", " ")
+
+
 def _windows(words: Column, length: int, exact: bool) -> Column:
     """The windows of a length: of canonical words, or (``exact``) of plain ones; ``is_whole`` says that these are a sentence or line."""
     starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
@@ -162,7 +175,7 @@ def _windows(words: Column, length: int, exact: bool) -> Column:
         return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(F.slice(words, i, length)).alias("key")))
     opens = lambda i: F.startswith(F.get(words, i), F.lit(START))
     whole = lambda i: F.lit(False) if length >= SHORTEST else opens(i - 1) & ((i + length > F.size(words)) | opens(i + (length - 1)))
-    plain = lambda i: _unmarked(F.slice(words, i, length))
+    plain = lambda i: F.slice(words, i, length) if length >= SHORTEST else _unmarked(F.slice(words, i, length))
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(True).alias("exact"), whole(i).alias("is_whole"), F.xxhash64(plain(i)).alias("key")))
 
 
@@ -183,7 +196,7 @@ def _no_slots() -> Column:
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """item, pos, length, exact, whole, words, slots, key for each distinct window, of all readings of the item.
 
-    ``item`` is a structure of the id, as a null id too is to be joined by. A window of canonical words that has too few literal ones gives way
+    ``item`` is a structure of the id, as a null id too is to be joined by. A window of canonical words that has too few literal ones, and none beside it that has enough, gives way
     to the first longer one about it that has enough, if there is one, and its item has all windows of plain words (``exact``) besides. If there is none, its item's clauses
     are templates as wholes, of length 0 and negative places.
     """
@@ -192,8 +205,11 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     items = items.select("item", "parts", "plain", "slotted", _tokens(_flat(F.col("slotted"))).alias("tokens"), _canonical(_flat(F.col("slotted"))).alias("words")).where(F.size("plain") > 0)
     literal = lambda start, size: F.size(F.filter(F.slice("words", start, size), lambda w: ~w.isin(*OPENINGS)))
     length = F.least(F.size("words"), F.lit(window))
-    rows = items.withColumn("length", length).withColumn("pos", F.explode_outer(F.when(F.size("words") >= SHORTEST, F.sequence(F.lit(1), F.size("words") - length + 1))))
-    few = F.col("pos").isNull() | (literal(F.col("pos"), F.col("length")) < F.least(F.col("length"), F.lit(LITERALS)))
+    rows = items.withColumn("length", length).withColumn("starts", F.when(F.size("words") >= SHORTEST, F.sequence(F.lit(1), F.size("words") - length + 1)))
+    poor = lambda at: literal(at, F.col("length")) < F.least(F.col("length"), F.lit(LITERALS))
+    rows = rows.withColumn("rich", F.filter("starts", lambda at: ~poor(at))).withColumn("pos", F.explode_outer("starts"))
+    few = F.col("pos").isNull() | poor(F.col("pos"))
+    rows = rows.where(~few | ~F.coalesce(F.exists("rich", lambda at: F.abs(at - F.col("pos")) <= window // 2), F.lit(False)))
     shape = lambda start, size: F.struct(start.cast("int").alias("start"), size.alias("size"))
     longer = F.lit(None)
     for times in (4, 2):
@@ -209,8 +225,8 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     exact = plain.select("item", "pos", "length", F.lit(True).alias("exact"), whole.alias("whole"), _unmarked(F.slice("plain", F.col("pos"), F.col("length"))).alias("words"), _no_slots().alias("slots"))
     clauses = rows.where("few and shape is null").select("item", F.posexplode(_clauses(F.col("slotted"))).alias("nth", "clause"))
     clauses = clauses.select("item", (-F.col("nth")).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("whole"), _canonical(F.col("clause")).alias("words"), _slots(_tokens(F.col("clause"))).alias("slots"))
-    clauses = clauses.where((F.size("words") >= SHORTEST) & (literal(F.lit(1), F.size("words")) > 0))
-    return templates.unionByName(exact).unionByName(clauses).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.xxhash64("words"))
+    clauses = clauses.where((F.size("words") >= SHORTEST) & (F.size(F.filter("words", lambda w: ~w.isin(*OPENINGS))) > 0))
+    return templates.unionByName(exact).unionByName(clauses).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.when(F.col("length") > 0, F.xxhash64("words")).otherwise(F.xxhash64(F.array_join("words", " "))))
 
 
 def unsearchable(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -230,25 +246,34 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> Dat
 
     whole_clauses = (False, 0) in kinds
 
-    def worded(rows: DataFrame, *more: Column) -> DataFrame:
+    def worded(rows: DataFrame, *more: Column, marks: bool = True) -> DataFrame:
         exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
         rows = rows.select("*", *([with_starts(F.col("parts")).alias("slotted")] if template else []))
+        rows = rows.select("*", *([_emptied(F.col("slotted")).alias("emptied")] if template else []))
         none = F.array().cast("array<string>")
-        return rows.select("*", (_canonical(_flat(F.col("slotted"))) if template else none).alias("words"), (_clauses(F.col("slotted")) if whole_clauses else none).alias("clauses"), (_tokens(F.lower("parts"), PLAIN) if exact else none).alias("plain"), *more)
-
-    each = [_windows(F.col("plain" if k else "words"), n, k) for k, n in kinds if n]
+        plainly = F.lower("parts") if marks else F.replace(F.lower("parts"), F.lit(START), F.lit(""))
+        words = F.split(F.trim(F.replace("emptied", F.lit(f"{START} "), F.lit(""))), " ") if template else none
+        return rows.select("*", words.alias("words"), (_clauses(F.col("emptied")) if whole_clauses else none).alias("clauses"), (_tokens(plainly, PLAIN) if exact else none).alias("plain"), *more)
+
+    # Marks of starts are only looked at in short windows; where there are none they go before the text is taken apart.
+    short = any(k and n < SHORTEST for k, n in kinds)
+    made = worded(rows, marks=short).withColumn("bare", _unmarked(F.col("plain")) if short else F.col("plain"))
+    each = [_windows(F.col(("plain" if n < SHORTEST else "bare") if k else "words"), n, k) for k, n in kinds if n]
     if whole_clauses:
-        each.append(F.transform("clauses", lambda c, i: F.struct((-i).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(_canonical(c)).alias("key"))))
+        each.append(F.transform("clauses", lambda c, i: F.struct((-i).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(F.trim(c)).alias("key"))))
     none = F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")
-    made = worded(rows).select("doc", F.inline(F.concat(*each, none)))
+    made = made.select("doc", F.inline(F.concat(*each, none)))
     keys = bench.groupBy("length", "exact", "key").agg(F.min("whole").alias("whole"))  # one for each template, however many items have it
-    places = cut(made.join(_small(keys, F.lit(24)), ["length", "exact", "key"]).where(~F.col("whole") | F.col("is_whole")).select("doc", "pos", "length", "exact", "is_whole"))
+    # Hashes alone are the key, which is looked up quickest; the kind of window is compared then.
+    keys = _small(keys.select(F.col("length").alias("_length"), F.col("exact").alias("_exact"), F.col("key").alias("_key"), "whole"), F.lit(24))
+    alike = (F.col("length") - F.col("_length") == 0) & (F.col("exact").cast("int") - F.col("_exact").cast("int") == 0)
+    places = cut(made.join(keys, (F.col("key") == F.col("_key")) & alike).where(~F.col("whole") | F.col("is_whole")).select("doc", "pos", "length", "exact", "is_whole"))
     suspects = places.select(F.col("doc").alias("_doc")).distinct()
     again = rows.join(_small(suspects, F.lit(32)), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
-    again = worded(again, (_tokens(_flat(F.col("slotted"))) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens")).select("doc", "words", "plain", "tokens", "clauses")
+    again = worded(again, (_tokens(_flat(F.col("slotted"))) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens"), (_clauses(F.col("slotted")) if whole_clauses else F.array().cast("array<string>")).alias("said")).select("doc", "words", "plain", "tokens", "said")
     part = lambda c: F.slice(c, F.col("pos"), F.col("length"))
     held = again.join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
-    clause, in_clause = F.get("clauses", -F.col("pos")), F.col("length") == 0
+    clause, in_clause = F.get("said", -F.col("pos")), F.col("length") == 0
     words = F.when(in_clause, _canonical(clause)).when(F.col("exact"), _unmarked(part(F.col("plain")))).otherwise(part(F.col("words")))
     slots = F.when(F.col("exact"), _no_slots()).otherwise(_slots(F.when(in_clause, _tokens(clause)).otherwise(part(F.col("tokens")))))
     return held.select("doc", "exact", "is_whole", in_clause.alias("clause"), words.alias("words"), slots.alias("slots")).distinct()

@@ -135,7 +135,8 @@ def _op10_sql() -> str:
     {side("b", "item_id", "benchmark", d.READINGS)},
     bn AS (SELECT *, len(words) AS n, least(len(words), {d.WINDOW}) AS length FROM b WHERE len(plain) > 0),
     bp AS (SELECT *, unnest(CASE WHEN n >= {d.SHORTEST} THEN range(1, n - length + 2) ELSE [NULL::BIGINT] END) AS pos FROM bn),
-    bf AS (SELECT *, pos IS NULL OR {literal("pos", "length")} < least(length, {d.LITERALS}) AS few FROM bp),
+    ba AS (SELECT *, pos IS NULL OR {literal("pos", "length")} < least(length, {d.LITERALS}) AS few FROM bp),
+    bf AS (SELECT * FROM ba WHERE NOT few OR NOT EXISTS (SELECT 1 FROM ba r WHERE r.rn = ba.rn AND r.s = ba.s AND NOT r.few AND abs(r.pos - ba.pos) <= {d.WINDOW // 2})),
     bs AS (SELECT *, CASE WHEN NOT few THEN {{'start': pos, 'size': length}} WHEN pos IS NULL THEN NULL {longer} END AS shape FROM bf),
     bx AS (SELECT DISTINCT id, parts, plain, least(len(plain), {d.WINDOW}) AS length FROM bs WHERE few),
     bw AS (
