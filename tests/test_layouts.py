@@ -135,4 +135,5 @@ def test_lane_constants(lanes, spark):
     with pytest.raises(IndexError):
         Lanes.constant(1, 8).get_at(8)
     with pytest.raises(ValueError):
-        Lanes.constant(1, 8).modulo(3)
+        Lanes.constant(1, 8).modulo(0)
+    assert lanes([7, 5, 3, 0, 1, 6, 2, 4], [0] * 8, lambda p, q: p.modulo(3)) == [1, 2, 0, 0, 1, 0, 2, 1]
