@@ -124,10 +124,14 @@ def parted(text: Column) -> Column:
     return F.concat(F.lit(START), F.ltrim(text, F.lit(f" {START}")))
 
 
-def with_starts(parts: Column, reading: str = "names") -> Column:
-    """A text in parts with its names, numbers and units as slots, in lower case; starts of clauses are tokens of their own."""
+def spaced(parts: Column) -> Column:
+    """A text in parts, each token of it with a space of its own on both sides, numbers in digits as slots."""
     apart = F.replace(parts, F.lit(START), F.lit(f"{START} "))
-    text = _replaced(F.concat(F.lit(" "), _replaced(apart, *DIGITS), F.lit(" ")), " +", "  ")
+    return _replaced(F.concat(F.lit(" "), _replaced(apart, *DIGITS), F.lit(" ")), " +", "  ")
+
+
+def with_starts(text: Column, reading: str = "names") -> Column:
+    """A spaced text with its names, numbers and units as slots, in lower case; starts of clauses are tokens of their own."""
     for pattern, by in NUMBERED:
         text = _replaced(text, pattern, by)
     if reading == "words":
@@ -141,7 +145,7 @@ def with_starts(parts: Column, reading: str = "names") -> Column:
 
 def slotted(parts: Column) -> Column:
     """As ``with_starts``, without the starts of clauses."""
-    return _flat(with_starts(parts))
+    return _flat(with_starts(spaced(parts)))
 
 
 def _flat(slots: Column) -> Column:
@@ -168,15 +172,47 @@ def _emptied(slots: Column) -> Column:
     return _replaced(_replaced(slots, *EMPTIED), " +", " ")
 
 
-def _windows(words: Column, length: int, exact: bool) -> Column:
-    """The windows of a length: of canonical words, or (``exact``) of plain ones; ``is_whole`` says that these are a sentence or line."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
-    if not exact:
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(F.slice(words, i, length)).alias("key")))
+def _plainly(text: Column) -> Column:
+    """The plain words of a spaced text, without starts of clauses."""
+    return F.split(F.trim(_without(F.lower(text), START + BREAK + NUMBER + END)), " +")
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _key(words: Column) -> Column:
+    """What a window is joined by. A text's words are hashed once for all windows they are in."""
+    return F.xxhash64(_hashed(words))
+
+
+_WINDOWS = "array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint,then:bigint>>"
+
+
+def _window(pos: Column, length: int, exact: bool, key: Column, is_whole: Column | None = None, then: Column | None = None) -> Column:
+    is_whole, then = F.lit(False) if is_whole is None else is_whole, F.lit(None).cast("bigint") if then is None else then
+    return F.struct(pos.alias("pos"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), is_whole.alias("is_whole"), key.alias("key"), then.alias("then"))
+
+
+def _starts(words: Column, length: int) -> Column:
+    return F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def _keys(hashes: Column, length: int) -> Column:
+    """The keys of all windows of a length, by the hashes of words."""
+    return F.transform(_starts(hashes, length), lambda i: F.xxhash64(F.slice(hashes, i, length)))
+
+
+def _windows(hashes: Column, length: int, exact: bool) -> Column:
+    """The windows of a length, by the hashes of words."""
+    return F.transform(_keys(hashes, length), lambda key, i: _window(i + 1, length, exact, key))
+
+
+def _whole_windows(words: Column, length: int) -> Column:
+    """The windows of fewer plain words than ``SHORTEST``, with marks of starts; ``is_whole`` says that these are a sentence or line."""
     opens = lambda i: F.startswith(F.get(words, i), F.lit(START))
-    whole = lambda i: F.lit(False) if length >= SHORTEST else opens(i - 1) & ((i + length > F.size(words)) | opens(i + (length - 1)))
-    plain = lambda i: F.slice(words, i, length) if length >= SHORTEST else _unmarked(F.slice(words, i, length))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.lit(True).alias("exact"), whole(i).alias("is_whole"), F.xxhash64(plain(i)).alias("key")))
+    whole = lambda i: opens(i - 1) & ((i + length > F.size(words)) | opens(i + (length - 1)))
+    return F.transform(_starts(words, length), lambda i: _window(i, length, True, _key(_unmarked(F.slice(words, i, length))), whole(i)))
 
 
 def _unmarked(words: Column) -> Column:
@@ -201,7 +237,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     are templates as wholes, of length 0 and negative places.
     """
     items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), parted(filled(text_col)).alias("parts"))
-    items = items.select("item", "parts", _tokens(F.lower("parts"), PLAIN).alias("plain"), F.explode(F.array(*[with_starts(F.col("parts"), r) for r in READINGS])).alias("slotted"))
+    items = items.select("item", "parts", _tokens(F.lower("parts"), PLAIN).alias("plain"), F.explode(F.array(*[with_starts(spaced(F.col("parts")), r) for r in READINGS])).alias("slotted"))
     items = items.select("item", "parts", "plain", "slotted", _tokens(_flat(F.col("slotted"))).alias("tokens"), _canonical(_flat(F.col("slotted"))).alias("words")).where(F.size("plain") > 0)
     literal = lambda start, size: F.size(F.filter(F.slice("words", start, size), lambda w: ~w.isin(*OPENINGS)))
     length = F.least(F.size("words"), F.lit(window))
@@ -226,7 +262,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     clauses = rows.where("few and shape is null").select("item", F.posexplode(_clauses(F.col("slotted"))).alias("nth", "clause"))
     clauses = clauses.select("item", (-F.col("nth")).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("whole"), _canonical(F.col("clause")).alias("words"), _slots(_tokens(F.col("clause"))).alias("slots"))
     clauses = clauses.where((F.size("words") >= SHORTEST) & (F.size(F.filter("words", lambda w: ~w.isin(*OPENINGS))) > 0))
-    return templates.unionByName(exact).unionByName(clauses).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.when(F.col("length") > 0, F.xxhash64("words")).otherwise(F.xxhash64(F.array_join("words", " "))))
+    return templates.unionByName(exact).unionByName(clauses).dropDuplicates(["item", "pos", "exact", "whole", "words", "slots"]).withColumn("key", F.when(F.col("length") > 0, _key(F.col("words"))).otherwise(F.xxhash64(F.array_join("words", " "))))
 
 
 def unsearchable(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -239,38 +275,66 @@ def _small(rows: DataFrame, each: Column) -> DataFrame:
     return F.broadcast(rows) if (rows.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
-def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _probes(bench: DataFrame, window: int) -> DataFrame:
+    """(_length, _exact, _key, _then, full, whole): what windows of documents are looked up in, one row for each template, however many items have it.
+
+    A template of two windows or more is found by its first window, whose place must have the second (``_then``) behind it; its length is ``full``.
+    """
+    two = ~F.col("exact") & (F.col("length") >= 2 * window)
+    nth = lambda k: _key(F.slice("words", k * window + 1, window))
+    rows = bench.select(F.when(two, F.lit(window)).otherwise(F.col("length")).alias("_length"), F.col("exact").alias("_exact"), F.when(two, nth(0)).otherwise(F.col("key")).alias("_key"), F.when(two, nth(1)).alias("_then"), F.col("length").alias("full"), "whole")
+    return rows.groupBy("_length", "_exact", "_key", "_then", "full").agg(F.min("whole").alias("whole"))
+
+
+def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(doc, exact, words, slots) distinct: the benchmark's windows that documents hold, ``doc`` being a structure of an id and a hash of its text."""
-    kinds = sorted((r[0], r[1]) for r in bench.select("exact", "length").distinct().collect())  # exact ones of at most window lengths, others of at most 4 * window
+    probes = _probes(bench, window)
+    kinds = sorted((r[0], r[1]) for r in probes.select("_exact", "_length").distinct().collect())  # exact ones of at most window lengths, others of less than 2 * window
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(filled(text_col)).alias("th")).alias("doc"), parted(filled(text_col)).alias("parts"))
-
+    exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
+    short, long = [n for _, n in exact if n < SHORTEST], [n for _, n in exact if n >= SHORTEST]
     whole_clauses = (False, 0) in kinds
-
-    def worded(rows: DataFrame, *more: Column, marks: bool = True) -> DataFrame:
-        exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
-        rows = rows.select("*", *([with_starts(F.col("parts")).alias("slotted")] if template else []))
-        rows = rows.select("*", *([_emptied(F.col("slotted")).alias("emptied")] if template else []))
-        none = F.array().cast("array<string>")
-        plainly = F.lower("parts") if marks else F.replace(F.lower("parts"), F.lit(START), F.lit(""))
-        words = F.split(F.trim(F.replace("emptied", F.lit(f"{START} "), F.lit(""))), " ") if template else none
-        return rows.select("*", words.alias("words"), (_clauses(F.col("emptied")) if whole_clauses else none).alias("clauses"), (_tokens(plainly, PLAIN) if exact else none).alias("plain"), *more)
-
-    # Marks of starts are only looked at in short windows; where there are none they go before the text is taken apart.
-    short = any(k and n < SHORTEST for k, n in kinds)
-    made = worded(rows, marks=short).withColumn("bare", _unmarked(F.col("plain")) if short else F.col("plain"))
-    each = [_windows(F.col(("plain" if n < SHORTEST else "bare") if k else "words"), n, k) for k, n in kinds if n]
+    none = F.array().cast("array<string>")
+
+    def worded(rows: DataFrame) -> DataFrame:
+        """The texts with slots, and their words and placeholders."""
+        rows = rows.withColumn("spaced", spaced(F.col("parts")))
+        if not template:
+            return rows.select("*", F.lit(None).cast("string").alias("slotted"), none.alias("words"), none.alias("clauses"))
+        rows = rows.withColumn("slotted", with_starts(F.col("spaced")))
+        rows = rows.withColumn("emptied", _emptied(F.col("slotted")))
+        words = F.split(F.trim(F.replace("emptied", F.lit(f"{START} "), F.lit(""))), " ")
+        return rows.select("*", words.alias("words"), (_clauses(F.col("emptied")) if whole_clauses else none).alias("clauses"))
+
+    made = worded(rows)
+    hashed = lambda on, words: _hashed(words) if on else F.array().cast("array<bigint>")
+    made = made.select("doc", "parts", "clauses", hashed(template, F.col("words")).alias("words"), hashed(long, _plainly(F.col("spaced"))).alias("plain"))
+    each = [_windows(F.col("plain"), n, True) for n in long]
+    if short:
+        made = made.withColumn("marked", _tokens(F.lower("parts"), PLAIN))
+        each += [_whole_windows(F.col("marked"), n) for n in short]
+    if (False, window) in kinds:
+        made = made.withColumn("keys", _keys(F.col("words"), window))
+        each.append(F.transform("keys", lambda key, i: _window(i + 1, window, False, key, then=F.get("keys", i + window))))
+    each += [_windows(F.col("words"), n, False) for _, n in template if n not in (0, window)]
     if whole_clauses:
-        each.append(F.transform("clauses", lambda c, i: F.struct((-i).alias("pos"), F.lit(0).alias("length"), F.lit(False).alias("exact"), F.lit(False).alias("is_whole"), F.xxhash64(F.trim(c)).alias("key"))))
-    none = F.array().cast("array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint>>")
-    made = made.select("doc", F.inline(F.concat(*each, none)))
-    keys = bench.groupBy("length", "exact", "key").agg(F.min("whole").alias("whole"))  # one for each template, however many items have it
+        each.append(F.transform("clauses", lambda c, i: _window(-i, 0, False, F.xxhash64(F.trim(c)))))
+    made = made.select("doc", F.inline(F.concat(*each, F.array().cast(_WINDOWS))))
     # Hashes alone are the key, which is looked up quickest; the kind of window is compared then.
-    keys = _small(keys.select(F.col("length").alias("_length"), F.col("exact").alias("_exact"), F.col("key").alias("_key"), "whole"), F.lit(24))
+    keys = _small(probes, F.lit(36))
     alike = (F.col("length") - F.col("_length") == 0) & (F.col("exact").cast("int") - F.col("_exact").cast("int") == 0)
-    places = cut(made.join(keys, (F.col("key") == F.col("_key")) & alike).where(~F.col("whole") | F.col("is_whole")).select("doc", "pos", "length", "exact", "is_whole"))
+    behind = F.coalesce(F.col("then") == F.col("_then"), F.col("_then").isNull())
+    places = made.join(keys, (F.col("key") == F.col("_key")) & alike & behind).where(~F.col("whole") | F.col("is_whole"))
+    places = cut(places.select("doc", "pos", F.col("full").alias("length"), "exact", "is_whole"))
     suspects = places.select(F.col("doc").alias("_doc")).distinct()
     again = rows.join(_small(suspects, F.lit(32)), F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
-    again = worded(again, (_tokens(_flat(F.col("slotted"))) if any(not k for k, _ in kinds) else F.array().cast("array<string>")).alias("tokens"), (_clauses(F.col("slotted")) if whole_clauses else F.array().cast("array<string>")).alias("said")).select("doc", "words", "plain", "tokens", "said")
+    again = worded(again).select(
+        "doc",
+        "words",
+        (_tokens(F.lower("parts"), PLAIN) if exact else none).alias("plain"),
+        (_tokens(_flat(F.col("slotted"))) if template else none).alias("tokens"),
+        (_clauses(F.col("slotted")) if whole_clauses else none).alias("said"),
+    )
     part = lambda c: F.slice(c, F.col("pos"), F.col("length"))
     held = again.join(places.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")))
     clause, in_clause = F.get("said", -F.col("pos")), F.col("length") == 0
@@ -282,7 +346,7 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> Dat
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
     """(doc, item, pos, exact) of every window found, and all windows."""
     bench = cut(item_windows(benchmark, item_col, item_text, window))
-    found = _found(docs, bench, id_col, text_col)
+    found = _found(docs, bench, id_col, text_col, window)
     right = bench.select("item", "pos", "exact", "whole", (F.col("length") == 0).alias("clause"), "words", "slots")
     size = F.octet_length(F.array_join("words", " ")) + 8 * F.size("slots") + 65
     sure = found.join(_small(right, size), ["exact", "clause", "words", "slots"]).where(~F.col("whole") | F.col("is_whole"))
