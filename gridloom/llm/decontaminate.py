@@ -130,8 +130,13 @@ def spaced(parts: Column) -> Column:
     return _replaced(F.concat(F.lit(" "), _replaced(apart, *DIGITS), F.lit(" ")), " +", "  ")
 
 
-def with_starts(text: Column, reading: str = "names") -> Column:
-    """A spaced text with its names, numbers and units as slots, in lower case; starts of clauses are tokens of their own."""
+def with_starts(parts: Column, reading: str = "names") -> Column:
+    """A text in parts with its names, numbers and units as slots, in lower case; starts of clauses are tokens of their own."""
+    return _with_slots(spaced(parts), reading)
+
+
+def _with_slots(text: Column, reading: str = "names") -> Column:
+    """As ``with_starts``, of a spaced text."""
     for pattern, by in NUMBERED:
         text = _replaced(text, pattern, by)
     if reading == "words":
@@ -145,7 +150,7 @@ def with_starts(text: Column, reading: str = "names") -> Column:
 
 def slotted(parts: Column) -> Column:
     """As ``with_starts``, without the starts of clauses."""
-    return _flat(with_starts(spaced(parts)))
+    return _flat(with_starts(parts))
 
 
 def _flat(slots: Column) -> Column:
@@ -181,38 +186,44 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _key(words: Column) -> Column:
-    """What a window is joined by. A text's words are hashed once for all windows they are in."""
-    return F.xxhash64(_hashed(words))
-
-
-_WINDOWS = "array<struct<pos:int,length:int,exact:boolean,is_whole:boolean,key:bigint,then:bigint>>"
+def _paired(hashes: Column, step: Column | int) -> Column:
+    """From the hashes of windows those of windows longer by ``step``. Too near the end for one there stands another hash, which is no window's.
 
-
-def _window(pos: Column, length: int, exact: bool, key: Column, is_whole: Column | None = None, then: Column | None = None) -> Column:
-    is_whole, then = F.lit(False) if is_whole is None else is_whole, F.lit(None).cast("bigint") if then is None else then
-    return F.struct(pos.alias("pos"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), is_whole.alias("is_whole"), key.alias("key"), then.alias("then"))
+    ``hashes`` must be a column that is there, as it is read again for each place.
+    """
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
 
-def _starts(words: Column, length: int) -> Column:
-    return F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - (length - 1))).otherwise(F.array().cast("array<int>"))
+def _key(words: Column) -> Column:
+    """What a window is joined by: the hashes of its words are paired, and these pairs again, until two of them, next to each other or overlapping, cover the window."""
+    n = F.size(words)
+    cut_pairs = lambda acc, step: F.slice(_paired(acc, step), F.lit(1), F.size(acc) - step)
+    steps = F.array(*[F.lit(1 << k) for k in range(16)])
+    acc = F.aggregate(steps, _hashed(words), lambda acc, step: F.when(2 * step <= n, cut_pairs(acc, step)).otherwise(acc))
+    return F.when(F.size(acc) == 1, F.get(acc, F.lit(0))).otherwise(F.xxhash64(F.get(acc, F.lit(0)), F.get(acc, F.size(acc) - 1)))
 
 
-def _keys(hashes: Column, length: int) -> Column:
-    """The keys of all windows of a length, by the hashes of words."""
-    return F.transform(_starts(hashes, length), lambda i: F.xxhash64(F.slice(hashes, i, length)))
+def _with_pairs(rows: DataFrame, hashes: str, lengths: list[int]) -> DataFrame:
+    """``rows`` with the hashes of windows of 2, 4, 8 .. words as columns, up to the longest of ``lengths``."""
+    span = 1
+    while 2 * span <= max(lengths, default=0):
+        rows = rows.withColumn(f"{hashes}_{2 * span}", _paired(F.col(hashes if span == 1 else f"{hashes}_{span}"), span))
+        span *= 2
+    return rows
 
 
-def _windows(hashes: Column, length: int, exact: bool) -> Column:
-    """The windows of a length, by the hashes of words."""
-    return F.transform(_keys(hashes, length), lambda key, i: _window(i + 1, length, exact, key))
+def _keys(hashes: str, length: int) -> Column:
+    """The keys (``_key``) of all windows of a length, by the columns of ``_with_pairs``; a word is hashed once for all windows it is in."""
+    span = 1 << length.bit_length() - 1
+    pairs = F.col(hashes if span == 1 else f"{hashes}_{span}")
+    return pairs if span == length else _paired(pairs, length - span)
 
 
-def _whole_windows(words: Column, length: int) -> Column:
-    """The windows of fewer plain words than ``SHORTEST``, with marks of starts; ``is_whole`` says that these are a sentence or line."""
+def _whole_keys(words: Column, keys: Column, length: int) -> Column:
+    """Of the keys of all windows of plain words those of windows that are a sentence or line, by the words with marks of starts; the rest is null."""
     opens = lambda i: F.startswith(F.get(words, i), F.lit(START))
-    whole = lambda i: opens(i - 1) & ((i + length > F.size(words)) | opens(i + (length - 1)))
-    return F.transform(_starts(words, length), lambda i: _window(i, length, True, _key(_unmarked(F.slice(words, i, length))), whole(i)))
+    whole = lambda i: opens(i) & ((i + length == F.size(words)) | opens(i + length))
+    return F.transform(keys, lambda key, i: F.when(whole(i), key))
 
 
 def _unmarked(words: Column) -> Column:
@@ -237,7 +248,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int)
     are templates as wholes, of length 0 and negative places.
     """
     items = benchmark.select(F.struct(F.col(id_col).alias("id")).alias("item"), parted(filled(text_col)).alias("parts"))
-    items = items.select("item", "parts", _tokens(F.lower("parts"), PLAIN).alias("plain"), F.explode(F.array(*[with_starts(spaced(F.col("parts")), r) for r in READINGS])).alias("slotted"))
+    items = items.select("item", "parts", _tokens(F.lower("parts"), PLAIN).alias("plain"), F.explode(F.array(*[with_starts(F.col("parts"), r) for r in READINGS])).alias("slotted"))
     items = items.select("item", "parts", "plain", "slotted", _tokens(_flat(F.col("slotted"))).alias("tokens"), _canonical(_flat(F.col("slotted"))).alias("words")).where(F.size("plain") > 0)
     literal = lambda start, size: F.size(F.filter(F.slice("words", start, size), lambda w: ~w.isin(*OPENINGS)))
     length = F.least(F.size("words"), F.lit(window))
@@ -292,7 +303,7 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window
     kinds = sorted((r[0], r[1]) for r in probes.select("_exact", "_length").distinct().collect())  # exact ones of at most window lengths, others of less than 2 * window
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(filled(text_col)).alias("th")).alias("doc"), parted(filled(text_col)).alias("parts"))
     exact, template = ([k for k in kinds if k[0] == flag] for flag in (True, False))
-    short, long = [n for _, n in exact if n < SHORTEST], [n for _, n in exact if n >= SHORTEST]
+    short = [n for _, n in exact if n < SHORTEST]
     whole_clauses = (False, 0) in kinds
     none = F.array().cast("array<string>")
 
@@ -301,25 +312,45 @@ def _found(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, window
         rows = rows.withColumn("spaced", spaced(F.col("parts")))
         if not template:
             return rows.select("*", F.lit(None).cast("string").alias("slotted"), none.alias("words"), none.alias("clauses"))
-        rows = rows.withColumn("slotted", with_starts(F.col("spaced")))
+        rows = rows.withColumn("slotted", _with_slots(F.col("spaced")))
         rows = rows.withColumn("emptied", _emptied(F.col("slotted")))
         words = F.split(F.trim(F.replace("emptied", F.lit(f"{START} "), F.lit(""))), " ")
         return rows.select("*", words.alias("words"), (_clauses(F.col("emptied")) if whole_clauses else none).alias("clauses"))
 
     made = worded(rows)
     hashed = lambda on, words: _hashed(words) if on else F.array().cast("array<bigint>")
-    made = made.select("doc", "parts", "clauses", hashed(template, F.col("words")).alias("words"), hashed(long, _plainly(F.col("spaced"))).alias("plain"))
-    each = [_windows(F.col("plain"), n, True) for n in long]
-    if short:
-        made = made.withColumn("marked", _tokens(F.lower("parts"), PLAIN))
-        each += [_whole_windows(F.col("marked"), n) for n in short]
-    if (False, window) in kinds:
-        made = made.withColumn("keys", _keys(F.col("words"), window))
-        each.append(F.transform("keys", lambda key, i: _window(i + 1, window, False, key, then=F.get("keys", i + window))))
-    each += [_windows(F.col("words"), n, False) for _, n in template if n not in (0, window)]
-    if whole_clauses:
-        each.append(F.transform("clauses", lambda c, i: _window(-i, 0, False, F.xxhash64(F.trim(c)))))
-    made = made.select("doc", F.inline(F.concat(*each, F.array().cast(_WINDOWS))))
+    made = made.select("doc", "parts", "clauses", hashed(template, F.col("words")).alias("words"), hashed(exact, _plainly(F.col("spaced"))).alias("plain"))
+    # (length, exact, is_whole, keys) of each kind of window; a text's are put in a row, and told apart by where they stand.
+    made = made.select("doc", "words", "plain", "clauses", (_tokens(F.lower("parts"), PLAIN) if short else none).alias("marked"))
+    made = _with_pairs(_with_pairs(made, "plain", [n for _, n in exact]), "words", [n for _, n in template])
+    each = [(n, True, False, _keys("plain", n)) for _, n in exact]
+    each += [(n, True, True, _whole_keys(F.col("marked"), _keys("plain", n), n)) for n in short]
+    each += [(n, False, False, _keys("words", n)) for _, n in template if n]
+    each += [(0, False, False, F.transform("clauses", lambda c: F.xxhash64(F.trim(c))))] if whole_clauses else []
+    if not each:
+        each = [(1, True, False, F.array().cast("array<bigint>"))]
+    made = made.select("doc", *[keys.alias(f"keys{k}") for k, (*_, keys) in enumerate(each)])
+    sizes = [F.size(f"keys{k}") for k in range(len(each))]
+    made = made.select("doc", *[f"keys{k}" for k in range(len(each))], *[sum(sizes[:k], F.lit(0)).alias(f"from{k}") for k in range(len(each))])
+    made = made.select("*", F.posexplode(F.concat(*[F.col(f"keys{k}") for k in range(len(each))])).alias("nth", "key"))
+
+    def told(value) -> Column:  # noqa: ANN001
+        """A value by the kind of window that a place is of."""
+        out = value(0, *each[0][:3])
+        for k in range(1, len(each)):
+            out = F.when(F.col("nth") >= F.col(f"from{k}"), value(k, *each[k][:3])).otherwise(out)
+        return out
+
+    at = lambda k: F.col("nth") - F.col(f"from{k}")
+    made = made.select(
+        "doc",
+        "key",
+        told(lambda k, n, *_: at(k) + 1 if n else -at(k)).alias("pos"),
+        told(lambda k, n, *_: F.lit(n)).alias("length"),
+        told(lambda k, n, exact, _: F.lit(exact)).alias("exact"),
+        told(lambda k, n, exact, whole: F.lit(whole)).alias("is_whole"),
+        told(lambda k, n, exact, _: F.get(f"keys{k}", at(k) + window) if n == window and not exact else F.lit(None).cast("bigint")).alias("then"),
+    )
     # Hashes alone are the key, which is looked up quickest; the kind of window is compared then.
     keys = _small(probes, F.lit(36))
     alike = (F.col("length") - F.col("_length") == 0) & (F.col("exact").cast("int") - F.col("_exact").cast("int") == 0)
