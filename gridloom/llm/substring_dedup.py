@@ -7,9 +7,12 @@ that have one anchor in a row are sent as one short piece of text:
 
 1. copies of a whole text become one (the others are removed altogether), and texts are dealt into blocks;
 2. blocks send five bytes of each distinct anchor to its bucket, which answers whether another text has it, and whether it is *hot*: in so
-   many pieces that these are dealt by more of their bytes than the anchor's (``GROUPS``), as a phrase that all documents have is;
+   many pieces that these are dealt by more of their bytes than the anchor's (``GROUPS``), as a phrase that all documents have is. Blocks also
+   tell how many pieces each key of ``GROUPS`` has; where these are too many still, as for a phrase a little longer than the key in
+   surroundings that differ, each start goes by its own REPEAT bytes, of which a block has one piece;
 3. blocks send the pieces of shared anchors, each distinct piece once, with its smallest id; the buckets sort their suffixes in two
-   stages, compare neighbours, and answer for each start whether its bytes are in a document with a smaller id;
+   stages, compare neighbours, and answer for each start whether its bytes are in a document with a smaller id. Pieces of different keys
+   can't be equal, so a large bucket is sorted in turns of whole keys;
 4. blocks put the answers together to spans.
 
 No step sends a row for each pair of documents; a piece that a third of all documents have is sent once by each block. Rows go from
@@ -32,6 +35,8 @@ GRAM = 20
 BLOCK_BYTES, MOST_BYTES, ROW_BYTES = 6 << 20, 256 << 20, 64 << 10
 #: Pieces, distinct within blocks, beyond which an anchor is hot (10 MB), and of how many a block tells the number.
 HOT, TOLD = 1 << 17, 16
+#: Pieces in bytes that a bucket sorts in one turn, on average; one key adds at most HOT pieces and TOLD a block to it.
+SORTED = 1 << 28
 #: Places whose anchors are sought in one go; bounds the memory that a very long text takes.
 SLAB = 1 << 22
 #: The starts of a hot anchor's pieces, by their distance from the anchor. Those of one group have all bytes in common that lie in each of their
@@ -115,6 +120,19 @@ def _unfive(packed: bytes):  # noqa: ANN202
     return wide.reshape(-1).view("<u8")
 
 
+def _grouped(raw: bytes, begin: int, end: int, place: int):  # noqa: ANN202
+    """(number, key, first, last) of the groups that the starts of a run fall into, the key being a hash of what all strings of the group share.
+
+    These bytes hold the anchor, so a key belongs to one anchor.
+    """
+    from xxhash import xxh64_intdigest
+
+    for number, (least, most) in enumerate(GROUPS):
+        first, last = max(begin, place - most), min(end, place - least + 1)
+        if first < last:
+            yield number, xxh64_intdigest(raw[place - least : place - most + REPEAT], number), first, last
+
+
 class Block:
     """The texts of a block in order of id, with their anchors."""
 
@@ -138,20 +156,34 @@ class Block:
         cuts = np.flatnonzero(np.r_[True, self.bucket[order][1:] != self.bucket[order][:-1]]) if len(order) else np.zeros(0, "i8")
         self.by_bucket = {int(self.bucket[order[a]]): order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])}
 
-    def many(self, at) -> bytes:  # noqa: ANN001
-        """Of the anchors ``at`` that have over TOLD distinct pieces: their place in ``at``, and the number of pieces."""
+    def _runs(self, rows):  # noqa: ANN001, ANN202
+        """(anchor, text, begin, end, place) of runs."""
+        columns = (self.inverse, self.doc, self.begins, self.ends, self.places)
+        return ((anchor, self.raws[doc], begin, end, place) for anchor, doc, begin, end, place in zip(*[c[rows].tolist() for c in columns]))
+
+    def many(self, at) -> tuple[bytes, bytes]:  # noqa: ANN001
+        """Of the anchors ``at`` that have over TOLD distinct pieces: their place in ``at``, and the number of pieces; and their keys with over TOLD pieces."""
         import numpy as np
 
         if self.frequent is None:
-            runs = np.flatnonzero(self.counts[self.inverse] > TOLD)
             pieces: dict[int, set[bytes]] = {}
-            for anchor, doc, begin, end in zip(self.inverse[runs].tolist(), self.doc[runs].tolist(), self.begins[runs].tolist(), self.ends[runs].tolist()):
-                pieces.setdefault(anchor, set()).add(self.raws[doc][begin : end + REPEAT - 1])
+            for anchor, raw, begin, end, _ in self._runs(np.flatnonzero(self.counts[self.inverse] > TOLD)):
+                pieces.setdefault(anchor, set()).add(raw[begin : end + REPEAT - 1])
             self.frequent = np.zeros(len(self.distinct), "i8")
             for anchor, found in pieces.items():
                 self.frequent[anchor] = len(found)
+            del pieces
+            keys: dict[tuple[int, int], set[int]] = {}
+            for anchor, raw, begin, end, place in self._runs(np.flatnonzero(self.frequent[self.inverse] > TOLD)):
+                for _, key, first, last in _grouped(raw, begin, end, place):
+                    keys.setdefault((anchor, key), set()).add(hash(raw[first : last + REPEAT - 1]))
+            self.keyed: dict[int, list[tuple[int, int]]] = {}
+            for (anchor, key), found in keys.items():
+                if len(found) > TOLD:
+                    self.keyed.setdefault(anchor, []).append((key, len(found)))
         some = np.flatnonzero(self.frequent[at] > TOLD)
-        return np.stack([some, self.frequent[at[some]]], axis=1).astype("<u4").tobytes()
+        told = [pair for anchor in at[some].tolist() for pair in self.keyed.get(anchor, [])]
+        return np.stack([some, self.frequent[at[some]]], axis=1).astype("<u4").tobytes(), np.array(told, "<u8").tobytes()
 
     def _marked(self, answers: dict[int, bytes]):  # noqa: ANN202
         """Of each run, whether its anchor has its bit set."""
@@ -163,47 +195,52 @@ class Block:
             out[at] = np.unpackbits(np.frombuffer(bits, "u1"), count=len(at)).astype(bool)
         return out[self.inverse]
 
-    def pieces(self, shared: dict[int, bytes], hot: dict[int, bytes]):  # noqa: ANN201
-        """By bucket (places, pieces, ids) of the anchors that are shared, those of hot ones cut by GROUPS.
+    def pieces(self, shared: dict[int, bytes], hot: dict[int, bytes], finer: dict[int, bytes]):  # noqa: ANN201
+        """By bucket (places, pieces, ids, parts) of the anchors that are shared, those of hot ones cut by GROUPS, and those of ``finer`` keys to single starts.
 
-        ``places`` are (doc, begin, end, piece), piece being -1 where a smaller document of this block has the same one.
+        ``places`` are (doc, begin, end, piece), piece being -1 where a smaller document of this block has the same one; a part is a byte of the key's hash.
         """
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        out: dict[int, tuple[list, list, list]] = {}
+        out: dict[int, tuple[list, list, list, list]] = {}
         known: dict[object, tuple[int, int]] = {}
 
-        def put(bucket: int, key: object, piece: bytes, doc: int, begin: int, end: int) -> None:
-            places, pieces, ids = out.setdefault(bucket, ([], [], []))
+        def put(bucket: int, part: int, key: object, piece: bytes, doc: int, begin: int, end: int) -> None:
+            places, pieces, ids, parts = out.setdefault(bucket, ([], [], [], []))
             had = known.get(key)
             if had is None:
                 had = known[key] = (len(pieces), doc)
                 pieces.append(piece)
                 ids.append(self.ids[doc])
+                parts.append(part)
             places.append((doc, begin, end, had[0] if self.ids[had[1]] == self.ids[doc] else -1))
 
         hot_runs = self._marked(hot)
         rows = np.flatnonzero(self._marked(shared) & ~hot_runs)
-        bucket_of = self.bucket[self.inverse[rows]]
-        for doc, begin, end, bucket in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), bucket_of.tolist()):
+        bucket_of, part_of = self.bucket[self.inverse[rows]], (self.distinct[self.inverse[rows]] >> np.uint64(32)) & np.uint64(255)
+        for doc, begin, end, bucket, part in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), bucket_of.tolist(), part_of.tolist()):
             piece = self.raws[doc][begin : end + REPEAT - 1]
-            put(bucket, piece, piece, doc, begin, end)
+            put(bucket, part, piece, piece, doc, begin, end)
         rows = np.flatnonzero(hot_runs)
+        fine = {key for found in finer.values() for key in np.frombuffer(found, "<u8").tolist()}
         for doc, begin, end, place in zip(self.doc[rows].tolist(), self.begins[rows].tolist(), self.ends[rows].tolist(), self.places[rows].tolist()):
             raw = self.raws[doc]
-            for number, (least, most) in enumerate(GROUPS):
-                first, last = max(begin, place - most), min(end, place - least + 1)
-                if first < last:
-                    bucket = xxh64_intdigest(raw[place - least : place - most + REPEAT], number) % self.buckets
+            for number, key, first, last in _grouped(raw, begin, end, place):
+                if key not in fine:
                     piece = raw[first : last + REPEAT - 1]
-                    put(bucket, (number, piece), piece, doc, first, last)
+                    put(key % self.buckets, key >> 56, (number, piece), piece, doc, first, last)
+                    continue
+                for start in range(first, last):
+                    piece = raw[start : start + REPEAT]
+                    own = xxh64_intdigest(piece, len(GROUPS))
+                    put(own % self.buckets, own >> 56, (len(GROUPS), piece), piece, doc, start, start + 1)
         return out
 
 
-A = "bucket int, block int, hashes binary, twice binary, many binary"
+A = "bucket int, block int, hashes binary, twice binary, many binary, keys binary"
 S = "block int, kind int, bucket int, data binary"
-G = "bucket int, block int, pieces binary, lengths binary, ids binary, none binary"
+G = "bucket int, block int, pieces binary, lengths binary, ids binary, none binary, parts binary"
 R = "sha string, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -229,8 +266,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         import numpy as np
 
         b = Block(table, blocks)
-        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes(), b.many(at)) for bucket, at in b.by_bucket.items()]
-        return _table(out, ["bucket", "block", "hashes", "twice", "many"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        out = [(bucket, b.number, _five(b.distinct[at]), np.packbits(b.twice[at]).tobytes(), *b.many(at)) for bucket, at in b.by_bucket.items()]
+        return _table(out, ["bucket", "block", "hashes", "twice", "many", "keys"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
 
     def answer(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -246,8 +283,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         shared = ~alone | (counts[inverse] > 1)
         shared |= np.bincount(inverse, weights=~alone, minlength=len(counts))[inverse] > 0
         hot = shared & (np.bincount(inverse, weights=many, minlength=len(counts))[inverse] > HOT)
+        keys, times = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8").reshape(-1, 2).T
+        keys, at = np.unique(keys, return_inverse=True)
+        finer = keys[np.bincount(at, weights=times, minlength=len(keys)) > HOT].astype("<u8").tobytes()
         out, at = [], 0
         for block, n in zip(table["block"].to_pylist(), sizes):
+            if finer and hot[at : at + n].any():
+                out.append((block, 3, table["bucket"][0].as_py(), finer))
             for kind, flags in ((0, shared[at : at + n]), (2, hot[at : at + n])):
                 if flags.any():
                     out.append((block, kind, table["bucket"][0].as_py(), np.packbits(flags).tobytes()))
@@ -263,10 +305,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         out = []
         if texts_.num_rows and answers.num_rows:
             b = Block(texts_, blocks)
-            for bucket, (_, pieces, ids) in b.pieces(bits(answers, 0), bits(answers, 2)).items():
+            for bucket, (_, pieces, ids, parts) in b.pieces(bits(answers, 0), bits(answers, 2), bits(answers, 3)).items():
                 none = np.packbits([i is None for i in ids]).tobytes()
-                out.append((bucket, b.number, b"".join(pieces), np.array([len(p) for p in pieces], "u1").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), none))
-        return _table(out, ["bucket", "block", "pieces", "lengths", "ids", "none"], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
+                out.append((bucket, b.number, b"".join(pieces), np.array([len(p) for p in pieces], "u1").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), none, bytes(parts)))
+        return _table(out, ["bucket", "block", "pieces", "lengths", "ids", "none", "parts"], [pa.int32(), pa.int32(), *[pa.binary()] * 5])
 
     def sort(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -275,17 +317,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
         each = np.concatenate(lengths)
         ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["ids"]])
         none = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), "u1"), count=len(n)) for x, n in zip(table["none"], lengths)])
-        if int(each.sum()) + len(each) >= (1 << 31) - 256:
-            raise OverflowError("a bucket's pieces exceed what its places can be numbered by; more blocks are needed")
         order = np.lexsort((ids, none))  # null ids are larger than all others, and equal to each other
         rank = np.zeros(len(ids), "i8")
         rank[order] = np.cumsum(np.r_[False, (ids[order][1:] != ids[order][:-1]) | (none[order][1:] != none[order][:-1])])
         ids = rank
-        least = smallest_owner(b"".join(table["pieces"].to_pylist()), each, ids)
-        of = np.repeat(np.arange(len(each)), each)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-        hit = np.flatnonzero((least >= 0) & (least < ids[of]))
-        masks = np.bincount(of[hit], weights=(1 << offset[hit]).astype("f8"), minlength=len(each)).astype("<u4")
+        part = np.concatenate([np.frombuffer(x.as_py(), "u1") for x in table["parts"]])
+        turn = (np.cumsum(np.bincount(part, weights=each, minlength=256)) // SORTED)[part]
+        text = b"".join(table["pieces"].to_pylist())
+        masks = np.zeros(len(each), "<u4")
+        for t in np.unique(turn):
+            now = np.flatnonzero(turn == t)
+            long = each[now]
+            some = text if len(now) == len(each) else np.frombuffer(text, "u1")[np.repeat(turn == t, each)].tobytes()
+            least = smallest_owner(some, long, ids[now])
+            of = np.repeat(np.arange(len(now)), long)
+            offset = np.arange(len(of)) - np.repeat(np.cumsum(long) - long, long)
+            hit = np.flatnonzero((least >= 0) & (least < ids[now][of]))
+            masks[now] = np.bincount(of[hit], weights=(1 << offset[hit]).astype("f8"), minlength=len(now)).astype("<u4")
         out, at = [], 0
         for block, n in zip(table["block"].to_pylist(), map(len, lengths)):
             out.append((block, 1, table["bucket"][0].as_py(), masks[at : at + n].tobytes()))
@@ -300,7 +348,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
             b = Block(texts_, blocks)
             gone: dict[int, list[np.ndarray]] = {}
             masks = bits(answers, 1)
-            for bucket, (places, _, _) in b.pieces(bits(answers, 0), bits(answers, 2)).items():
+            for bucket, (places, *_) in b.pieces(bits(answers, 0), bits(answers, 2), bits(answers, 3)).items():
                 doc, begin, end, piece = np.array(places, "i8").T
                 mask = np.where(piece < 0, (1 << 31) - 1, np.frombuffer(masks[bucket], "<u4").astype("i8")[piece])
                 long = end - begin

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import exact_dedup, simhash, substring_dedup, suffix_sort
@@ -263,6 +264,28 @@ def test_a_phrase_that_all_texts_have(spark, monkeypatch, hot):
     assert sorted(map(tuple, got.collect()), key=repr) == repeats_brute(rows)
 
 
+@pytest.mark.parametrize("size", [43, 48, 50, 56])
+def test_no_key_keeps_more_pieces_than_are_hot(spark, monkeypatch, size):
+    """A phrase about as long as a key in each text, with other bytes around it: pieces of one key are at most HOT, or one a block."""
+    rng = random.Random(size)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = word(size)
+    rows = [(i, word(rng.randint(40, 60)) + phrase + word(rng.randint(40, 60))) for i in range(400)]
+    monkeypatch.setattr(substring_dedup, "HOT", 60)
+    monkeypatch.setattr(substring_dedup, "TOLD", 2)
+    monkeypatch.setattr(substring_dedup, "SORTED", 2000)
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), blocks=3)
+    assert sorted(map(tuple, got.collect()), key=repr) == repeats_brute(rows)
+
+    table = pa.table({"block": [0] * 400, "id": [r[0] for r in rows], "sha": [str(r[0]) for r in rows], "text": [r[1] for r in rows]})
+    block = substring_dedup.Block(table, 1 << 30)  # a bucket a key
+    every = {b: np.packbits(np.ones(len(at), bool)).tobytes() for b, at in block.by_bucket.items()}
+    keys = np.frombuffer(b"".join(block.many(at)[1] for at in block.by_bucket.values()), "<u8").reshape(-1, 2)
+    finer = {0: np.ascontiguousarray(keys[keys[:, 1] > 60, 0]).tobytes()}
+    most = lambda fine: max(len(pieces) for _, pieces, _, _ in block.pieces(every, every, fine).values())
+    assert most(finer) <= 60 and (most({}) > 60 or size == 43)
+
+
 def test_largest_id_is_no_null(spark):
     text = "the same passage of more than fifty bytes stands in all of these texts, "
     rows = [((1 << 63) - 1, text + "one"), (None, text + "two"), (None, text + "three"), (-(1 << 63), "x" + text), ((1 << 63) - 1, text)]
