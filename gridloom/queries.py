@@ -21,6 +21,7 @@ from gridloom.operators.neighbors import evaluated, gather
 from gridloom.plans.rewrite import optimised
 from gridloom.plans.run import STRATEGIES, run
 from gridloom.sources.seeded import two_states
+from gridloom.sources.shapes import circle, rectangle, segment, shapes_grid
 from gridloom.sources.tables import rasterised
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -554,6 +555,34 @@ def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_values(spark, [[r for _, r in held[i : i + 5]] for i in range(0, len(held), 5)], States.integers(3)).checked().cells
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a segment, a rectangle or a circle on a wire grid."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    key, cust = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    x, y, w, h = key % 256, cust % 256, cust % 41 - 20, key % 23 - 11
+    state, layer = (cust % 3 + 1).cast("int"), key % 101
+    made = F.when(key % 3 == 0, segment(x, y, x + w, y + h, state, layer)).when(key % 3 == 1, rectangle(x, y, x + w, y + h, state, layer))
+    made = made.otherwise(circle(x, y, cust % 12, state, layer))
+    return shapes_grid(o.select(made.alias("shape")).select("shape.*"), 256, 256, AUTOMATA["wire"].states).cells
+
+
+_SHAPES_SQL = """
+WITH o AS (SELECT o_orderkey % 256 AS x, o_custkey % 256 AS y, o_custkey % 41 - 20 AS w, o_orderkey % 23 - 11 AS h, o_custkey % 12 AS r,
+           o_custkey % 3 + 1 AS state, o_orderkey % 101 AS layer, o_orderkey % 3 AS kind FROM orders),
+sides AS (SELECT x, y, w AS dx, h AS dy, state, layer FROM o WHERE kind = 0
+          UNION ALL SELECT x, y, w, 0, state, layer FROM o WHERE kind = 1
+          UNION ALL SELECT x + w, y, 0, h, state, layer FROM o WHERE kind = 1
+          UNION ALL SELECT x + w, y + h, -w, 0, state, layer FROM o WHERE kind = 1
+          UNION ALL SELECT x, y + h, 0, -h, state, layer FROM o WHERE kind = 1),
+steps AS (SELECT *, greatest(abs(dx), abs(dy)) AS n FROM sides),
+cells AS (SELECT x + CAST(floor(dx * i / greatest(n, 1)::DOUBLE + 0.5) AS BIGINT) AS x, y + CAST(floor(dy * i / greatest(n, 1)::DOUBLE + 0.5) AS BIGINT) AS y, state, layer
+          FROM steps JOIN range(21) AS t(i) ON i <= n
+          UNION ALL
+          SELECT x + a, y + b, state, layer FROM o, range(-11, 12) AS p(a), range(-11, 12) AS q(b)
+          WHERE kind = 2 AND floor(sqrt(a * a + b * b) + 0.5) = r),
+seen AS (SELECT (x % 256 + 256) % 256 AS x, (y % 256 + 256) % 256 AS y, max(layer * 4 + state) % 4 AS s FROM cells GROUP BY 1, 2)
+SELECT CAST(i % 256 AS INT) AS x, CAST(i // 256 AS INT) AS y, CAST(coalesce(s, 0) AS INT) AS s FROM range(65536) AS g(i) LEFT JOIN seen ON i % 256 = x AND i // 256 = y"""
+_add("source_shapes", _shapes, _SHAPES_SQL)
 _add("source_explicit", _explicit, "SELECT CAST(i % 5 AS INT) AS x, CAST(i // 5 AS INT) AS y, CAST(n_regionkey AS INT) AS s FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_regionkey FROM nation)")
 
 
