@@ -525,6 +525,40 @@ def _words_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("words_histogram", _words_histogram, f"SELECT s, count(*) AS cells FROM ({_grid_sql(8, 192, 70)}) GROUP BY s")
 
+# -- stored grids
+
+
+def _stored(spark: SparkSession, sf_dir: str, *steps: int) -> list[str]:
+    """New folders with the game of life after each number of steps."""
+    from uuid import uuid4
+
+    from gridloom.plans import words
+    from gridloom.plans.lineage import shared_dir
+    from gridloom.sources import stored
+
+    a, paths = AUTOMATA["game-of-life"], []
+    for k in steps:
+        paths.append(f"{shared_dir(spark)}/grids-{uuid4().hex}")
+        stored.write(run(words.from_grid(_grid(spark, sf_dir, a.states, 192, 70), 64), a.rule, k), paths[-1])
+    return paths
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.sources import stored
+
+    return stored.changed_cells(spark, *_stored(spark, sf_dir, 3, 5))
+
+
+def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.sources import stored
+
+    return stored.window(spark, *_stored(spark, sf_dir, 3), 60, 10, 140, 66)
+
+
+_LIFE3, _LIFE5 = (_run_sql(_RULES["game-of-life"][1], 2, k, 192, 70) for k in (3, 5))
+_add("stored_changed_cells", _changed, f'SELECT a.x, a.y, a.s AS "left", b.s AS "right" FROM ({_LIFE3}) AS a JOIN ({_LIFE5}) AS b ON a.x = b.x AND a.y = b.y AND a.s <> b.s')
+_add("stored_window", _window, f"SELECT x, y, s FROM ({_LIFE3}) WHERE x >= 60 AND x < 140 AND y >= 10 AND y < 66")
+
 # -- what is left of the engine that SQL can say: rendering, sizes, explicit cells, sweeps' arithmetic, files
 
 _add(
