@@ -9,8 +9,9 @@ do, are candidates without a comparison, and no bucket holds them. So no result
 
 Every candidate component is then decided on the sets themselves. Those of up to SMALL_TEXTS texts and SMALL_BYTES bytes are dealt whole to tasks. In
 larger ones, round after round, all texts are compared with one head, the open text nearest to the majority of the open texts'
-fingerprints, until each is within reach of a head; as 1 - Jaccard is a metric, what is left after ROUNDS is compared with
-those texts only that are far enough from the heads to be near one of them.
+fingerprints, until each is within reach of a head or ROUNDS are over. What heads join is one label; as 1 - Jaccard is a metric, only texts that
+are about as far from every head as some text of another label can be near one. These are compared with all such texts of other labels, in blocks
+that are dealt over tasks by pairs. So both ways join the same texts, whatever the size.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ SAMPLE, COMMON, HOT, TOLD = 8_000, 6, 64, 20_000
 BUCKET = 1024
 #: Texts and bytes of a component that one task decides.
 SMALL_TEXTS, SMALL_BYTES = 4096, 8 << 20
-#: Heads that the texts of a larger component are compared with at most before the rest is decided in one task.
+#: Heads that the texts of a larger component are compared with at most before the rest is decided in pairs of blocks.
 ROUNDS = 12
+#: Steps in which distances from heads are told apart.
+STEP = 0.01
 #: Rows of two numbers that are broadcast at most (64 MB); beyond that both sides are shuffled.
 BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 16 << 20
@@ -223,12 +226,16 @@ def candidate_links(each: DataFrame, similarity: float = SIMILARITY, radius: int
     return rows.mapInArrow(run, "a long, b long").union(each.select(F.inline(F.arrays_zip("a", "b"))))
 
 
-def linked_sets(sets: list, similarity: float = SIMILARITY, joined: int = 0) -> list[tuple[int, int]]:
-    """Links of the same components as all pairs of at least ``similarity``; ``sets`` are arrays of distinct hashes, the first ``joined`` of which are known to be joined."""
+def linked_sets(sets: list, similarity: float = SIMILARITY, labels: list | None = None) -> list[tuple[int, int]]:
+    """Links of the same components as all pairs of at least ``similarity``; ``sets`` are arrays of distinct hashes, and those of one label are known to be joined."""
     import numpy as np
 
     sizes = np.array([len(s) for s in sets])
     free, out = np.ones(len(sets), bool), []
+    labels = list(range(len(sets))) if labels is None else labels
+    members: dict = {}
+    for k, label in enumerate(labels):
+        members.setdefault(label, []).append(k)
 
     def index():  # noqa: ANN202
         at = np.flatnonzero(free)
@@ -241,7 +248,7 @@ def linked_sets(sets: list, similarity: float = SIMILARITY, joined: int = 0) ->
     for start in range(len(sets)):
         if not free[start]:
             continue
-        queue = list(range(max(start + 1, joined))) if start < joined else [start]
+        queue = list(members[labels[start]])
         free[queue], left = False, left - len(queue)
         while queue and left:
             if left < now / 2:
@@ -251,10 +258,11 @@ def linked_sets(sets: list, similarity: float = SIMILARITY, joined: int = 0) ->
             many = high - low
             places = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
             common = np.bincount(owners[places], minlength=len(sets))
-            new = np.flatnonzero(free & (common * (1 + similarity) >= similarity * (sizes[x] + sizes) - 1e-9))
-            free[new], left = False, left - len(new)
-            out.extend((x, k) for k in new.tolist())
-            queue.extend(new.tolist())
+            new = np.flatnonzero(free & (common * (1 + similarity) >= similarity * (sizes[x] + sizes) - 1e-9)).tolist()
+            out.extend((x, k) for k in new)
+            for label in dict.fromkeys(labels[k] for k in new):
+                free[members[label]], left = False, left - len(members[label])
+                queue.extend(members[label])
     return out
 
 
@@ -279,29 +287,34 @@ def _once(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
 
 
 def _decided(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """From (root, node, text), each component whole in one task, links (a, b): of every set to the first of its class."""
+    """From (part, node, label, text), each part whole in one task, links (a, b) that join what is similar in it; texts of one label are known to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, str] = {}
+        held: dict[str, tuple[str, str]] = {}
         now = None
 
         def solve() -> pa.RecordBatch:
-            names, first = list(held), list(range(len(held)))
-            for i, j in linked_sets([shingle_set(t, shingle) for t in held.values()], similarity):  # from the start of each tree on
-                first[j] = first[i]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([names[k] for k in first], pa.string())], names=["a", "b"])
+            names, labels = list(held), [label for label, _ in held.values()]
+            first: dict[str, int] = {}  # the start of each tree, by label
+            a, b = [], []
+            for i, j in linked_sets([shingle_set(t, shingle) for _, t in held.values()], similarity, labels):
+                to = first.setdefault(labels[i], i)
+                first[labels[j]] = to
+                a.append(names[j])
+                b.append(names[to])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
 
         for batch in batches:
-            for root, node, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                if root != now and held:
+            for part, node, label, text in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if part != now and held:
                     yield solve()
                     held = {}
-                now = root
-                held[node] = text
+                now = part
+                held[node] = (label, text)
         if held:
             yield solve()
 
-    return rows.select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a string, b string")
+    return rows.select("part", "node", "label", "text").repartition("part").sortWithinPartitions("part", "node").mapInArrow(run, "a string, b string")
 
 
 def _turned(column: str) -> Column:
@@ -322,7 +335,7 @@ def _heads(open_: DataFrame) -> DataFrame:
 
 
 def _by_heads(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) for components too large for a task: ``texts`` are (root, node, text), ``sets`` (root, node, fp)."""
+    """Links (a, b) for components too large for a task: ``texts`` are (root, node, text), ``sets`` (root, node, fp, n)."""
     near = 1 - similarity + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +349,8 @@ def _by_heads(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int
                     head, its = name, shingle_set(other, shingle)
                 s = shingle_set(text, shingle)
                 both = len(np.intersect1d(s, its, assume_unique=True))
-                out.append(1 - both / (len(s) + len(its) - both))
+                all_ = len(s) + len(its) - both
+                out.append((all_ - both) / max(1, all_))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.float64())], names=["root", "node", "head", "far"])
 
     seen, open_ = [], sets
@@ -355,15 +369,54 @@ def _by_heads(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int
     for more in seen[1:]:
         found = found.unionByName(more)
     links = found.where(F.col("far") <= near).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    if open_.isEmpty():
+    rest = cut(_unsettled(found, _labels(found, sets, near), near))
+    if rest.isEmpty():
         return links
-    # A set can be near an open one only if no head is nearer to it than to every open one by more than the distance that makes a link.
-    left = open_.select(F.col("root").alias("_r"), F.col("node").alias("_node"))
-    least = found.join(left, F.col("node") == F.col("_node"), "left_semi").groupBy("root", "head").agg((F.min("far") - near).alias("least"))
-    least = least.select(_turned("root").alias("_root"), F.col("head").alias("_head"), "least")
-    apart = found.join(least, (_turned("root") == F.col("_root")) & (F.col("head") == F.col("_head"))).groupBy("root", "node").agg(F.min(F.col("far") - F.col("least")).alias("room"))
-    rest = apart.where(F.col("room") >= -1e-9).select(F.col("node").alias("_node"))
-    return links.unionByName(_decided(texts.join(rest, F.col("node") == F.col("_node"), "left_semi"), similarity, shingle))
+    parts = _pairs_of_blocks(rest).withColumnRenamed("node", "_node")
+    return links.unionByName(_decided(texts.join(parts, F.col("node") == F.col("_node")), similarity, shingle))
+
+
+def _labels(found: DataFrame, sets: DataFrame, near: float) -> DataFrame:
+    """(root, node, n, label): the same label for all that links to heads join; an open text is its own."""
+    own = cut(found.where(F.col("far") <= near).groupBy("node").agg(F.sort_array(F.collect_set("head")).alias("heads")))  # at most ROUNDS
+    joined = components(own.select(F.explode("heads").alias("a"), F.col("heads")[0].alias("b"))).select(F.col("node").alias("_head"), F.col("root").alias("_label"))
+    own = own.select(F.col("node").alias("_node"), F.col("heads")[0].alias("_first"))
+    own = own.join(joined, F.reverse("_first") == F.reverse("_head"), "left").select("_node", F.coalesce("_label", "_first").alias("_label"))
+    return cut(sets.join(own, F.col("node") == F.col("_node"), "left").select("root", "node", "n", F.coalesce("_label", "node").alias("label")))
+
+
+def _unsettled(found: DataFrame, labelled: DataFrame, near: float) -> DataFrame:
+    """The rows of ``labelled`` that can be near a text of another label: similar texts are about as far as each other from every head."""
+    reach = int(near / STEP) + 2
+    far = found.select("node", "head", F.floor(F.col("far") / STEP).alias("step")).distinct().withColumnRenamed("node", "_node")
+    far = labelled.join(far, F.col("node") == F.col("_node")).select("root", "node", "label", "head", "step")
+    steps = far.groupBy("root", "head", "step").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    steps = steps.select("root", "head", F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach)).alias("step"), "low", "high")
+    steps = steps.groupBy("root", "head", "step").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    steps = steps.select(_turned("root").alias("_root"), F.col("head").alias("_head"), F.col("step").alias("_step"), (F.col("low") != F.col("high")).alias("mixed"))
+    same = (_turned("root") == F.col("_root")) & (F.col("head") == F.col("_head")) & (F.col("step") == F.col("_step"))
+    able = far.join(steps, same).groupBy("node").agg(F.bool_and("mixed").alias("able")).where("able").select(F.col("node").alias("_node"))
+    return labelled.join(able, F.col("node") == F.col("_node"), "left_semi")
+
+
+def _pairs_of_blocks(rest: DataFrame) -> DataFrame:
+    """(part, node, label): ``rest`` dealt to blocks of about half of what a task decides, and these by pairs, so that any two of a root and of different labels meet in a part.
+
+    A label that fills several blocks has blocks of its own, which don't meet each other; the others share blocks.
+    """
+    blocks = lambda: F.greatest(F.ceil(F.sum("_texts") / max(1, SMALL_TEXTS // 2)), F.ceil(F.sum("_bytes") / max(1, SMALL_BYTES // 2)))
+    labels = rest.groupBy("root", "label").agg(F.count(F.lit(1)).alias("_texts"), F.sum(F.col("n") * 8).alias("_bytes"))
+    labels = labels.groupBy("root", "label", "_texts", "_bytes").agg(blocks().alias("_many")).withColumn("own", F.when(F.col("_many") > 1, F.col("label")).otherwise(F.lit("")))
+    sizes = labels.groupBy("root", "own").agg(blocks().alias("many"))
+    labels = labels.select("root", "label", "own").join(sizes, ["root", "own"]).select(F.col("root").alias("_root"), F.col("label").alias("_label"), "own", "many")
+    turned = (F.col("root") == F.col("_root")) & (F.reverse("label") == F.reverse("_label"))
+    dealt = cut(rest.join(labels, turned).select("root", "node", "label", "own", F.concat_ws(":", "own", F.pmod(F.xxhash64("node"), "many").cast("string")).alias("block")))
+    one = cut(dealt.select("root", "own", "block").distinct())
+    two = one.select(F.col("root").alias("_root"), F.col("own").alias("_own"), F.col("block").alias("_block"))
+    pairs = one.join(two, (F.col("root") == F.col("_root")) & (F.col("block") <= F.col("_block")) & ((F.col("own") != F.col("_own")) | (F.col("own") == "")))
+    part = F.concat_ws("|", F.col("root").cast("string"), "block", "_block").alias("part")
+    pairs = pairs.select("_root", F.explode(F.array_distinct(F.array("block", "_block"))).alias("_block"), part)
+    return dealt.join(pairs, (F.col("root") == F.col("_root")) & (F.col("block") == F.col("_block"))).select("part", "node", "label")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -380,11 +433,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     large = (F.col("texts") > SMALL_TEXTS) | (F.col("words") * 8 > SMALL_BYTES)
     sets = sets.join(sizes.select(_turned("root").alias("_root"), large.alias("large")), _turned("root") == F.col("_root"))
     rows = each.select("th", F.col("node").alias("_node")).distinct()
-    wanted = cut(rows.join(sets, F.col("node") == F.col("_node")).select("th", "node", "fp", "root", "large"))
-    links = _decided(_once(docs, wanted.where("not large"), id_col, text_col, shingle), similarity, shingle)
+    wanted = cut(rows.join(sets, F.col("node") == F.col("_node")).select("th", "node", "fp", "n", "root", "large"))
+    small = _once(docs, wanted.where("not large"), id_col, text_col, shingle)
+    links = _decided(small.select(F.col("root").alias("part"), "node", F.col("node").alias("label"), "text"), similarity, shingle)
     if not wanted.where("large").isEmpty():
         texts, _ = written(_once(docs, wanted.where("large"), id_col, text_col, shingle), "texts")
-        links = links.unionByName(_by_heads(texts, wanted.where("large").select("root", "node", "fp").distinct(), similarity, shingle))
+        links = links.unionByName(_by_heads(texts, wanted.where("large").select("root", "node", "fp", "n").distinct(), similarity, shingle))
     labels = components(links).select(F.reverse("node").alias("_node"), F.col("root").alias("label"))
     labelled = each.select("id", "th", "node").join(labels, F.reverse("node") == F.col("_node"), "left").select("id", "th", F.coalesce("label", "node").alias("label"))
     winners = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best"))

@@ -78,6 +78,45 @@ def test_near_stage_equals_brute_force(spark, monkeypatch, how):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == firsts
 
 
+def chains():
+    """Chains of texts of which only neighbours are similar, so that no head is near two of another head's, and unlike texts with half of a chain's words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    out = []
+    for step in (1, 1, 2, 4):
+        text = [word() for _ in range(50 * step)]
+        for at in range(10):
+            out.append(" ".join(text))
+            for k in range(step):
+                text[4 + (at % 8 * step + k) * 5 + at // 8] = word()
+        out += [" ".join(text[: 25 * step] + [word() for _ in range(25 * step)]) for _ in range(3)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("texts", "size", "rounds"), [(4096, 8 << 20, 12), (2, 8 << 20, 12), (6, 8 << 20, 2), (4096, 1500, 3)])
+def test_links_between_the_reaches_of_heads(spark, monkeypatch, texts, size, rounds):
+    """The same components whether a task decides one whole or heads and blocks do."""
+    for name, value in {"SMALL_TEXTS": texts, "SMALL_BYTES": size, "ROUNDS": rounds}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = chains()
+    want, firsts = brute(rows)
+    assert len(firsts) == 4 * (1 + 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.near_copies(df).collect()), key=repr) == want
+
+
+def test_every_pair_of_blocks_meets(spark, monkeypatch):
+    """Any two texts of different labels of a component are in one part, and a part has no more of them than two blocks."""
+    monkeypatch.setattr(jaccard, "SMALL_TEXTS", 20)
+    rows = [(root, f"{root}n{k}", "big" if k < 60 else f"{root}l{k % 7}", 10) for root in (1, 2) for k in range(100)]
+    parts = {}
+    for part, node, label in jaccard._pairs_of_blocks(spark.createDataFrame(rows, "root long, node string, label string, n int")).collect():
+        parts.setdefault(part, {})[node] = label
+    met = {(a, b) for held in parts.values() for a in held for b in held if held[a] != held[b]}
+    assert met == {(a, b) for r, a, x, _ in rows for q, b, y, _ in rows if r == q and x != y}
+    assert max(map(len, parts.values())) < 50 and len(parts) > 20
+
+
 def test_rows_go_by_id_and_text(spark):
     long = "one two three four five six seven eight nine ten "
     rows = [(1, long), (5, long + "x"), (5, "wholly other words that no other text has"), (None, long), (7, long.upper() + "X"), (7, None), (None, "alone"), (None, "ALONE ")]
