@@ -28,19 +28,22 @@ def _fold(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to its root, and no root has any: then roots are the smallest of their components, as edges go down."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(F.col("up") + F.col("down") > 1).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b), numbers or strings, root being the smallest node that can be reached.
 
     Links may be repeated, in either direction or from a node to itself; nodes with no link to another are not in the
-    result. Rounds grow with the logarithm of the number of nodes; each is written to the shared folder, and the one before removed.
+    result. Rounds grow with the logarithm of the number of nodes, and links from every node to its root take none; each is written to
+    the shared folder, and the one before removed.
     """
     one_way = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    (edges, path), before = written(one_way.distinct(), "links"), None
-    while True:
+    edges, path = written(one_way.distinct(), "links")
+    while not _settled(edges):
         old, (edges, path) = path, written(_fold(_pull(edges)).distinct(), "links")
         remove(links.sparkSession, old)
-        # At the end each node has one edge, to its root: as many edges as nodes, and no root has an edge.
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

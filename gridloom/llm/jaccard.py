@@ -295,7 +295,7 @@ def _decided(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             names, labels = list(held), [label for label, _ in held.values()]
-            first: dict[str, int] = {}  # the start of each tree, by label
+            first: dict[str, int] = {}  # the start of each tree, by label; as nodes are in order, without labels it is the tree's smallest
             a, b = [], []
             for i, j in linked_sets([shingle_set(t, shingle) for _, t in held.values()], similarity, labels):
                 to = first.setdefault(labels[i], i)

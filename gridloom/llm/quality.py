@@ -13,6 +13,7 @@ as the views' surest labels of any large pool teach the other view alike; README
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -200,7 +201,7 @@ FEATURED = "id string, label int, words binary, shape binary, meta array<int>"
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """From (id, label, text, source, lang, n): the features of labelled and pool rows, to be fitted on the driver."""
+    """From (id, label, text, source, lang, n): the features of labelled and pool rows, to be fitted on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_class()
@@ -239,20 +240,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels of ids that ``docs`` lacks, null ids and null qualities teach nothing and take no places of the sample. Of rows that repeat an id one is
     fitted on, that with the smallest hash. Without labelled rows of both kinds there is no model.
     """
-    import numpy as np
-
     short_batches(docs.sparkSession)
     chosen = chosen_ids(docs, labels, id_col, fit_rows, pool_rows)
     rows = docs.select(F.col(id_col).alias("_id"), filled(text_col).alias("text"), *_meta_columns(docs)).join(F.broadcast(chosen), "_id")  # fit_rows + pool_rows rows of 12 bytes at most
     rows = rows.select("_id", "_label", F.struct(F.xxhash64("text", "_source", "_lang", "_n_chars").alias("h"), "text", "_source", "_lang", "_n_chars").alias("row"))
     rows = rows.groupBy("_id", "_label").agg(F.min("row").alias("row")).select(F.col("_id").cast("string").alias("id"), F.col("_label").alias("label"), "row.text", "row._source", "row._lang", "row._n_chars")
-    table = _featured(rows).toArrow()
-    if not table.num_rows:
-        return None
-    rows = sorted(zip(*[table[c].to_pylist() for c in ("id", "words", "shape", "meta", "label")]), key=lambda r: r[:2])
-    del table
+    # At most fit_rows + pool_rows rows are fitted on, in a task of their own: the driver gets the model alone.
+    found = _featured(rows).repartition(1).mapInArrow(_fitted, "model binary").toArrow()
+    return pickle.loads(found.column(0)[0].as_py()) if found.num_rows else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all featured rows, pickled; nothing if there is none."""
+    import numpy as np
+
+    rows = []
+    for batch in batches:
+        rows.extend(zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4, 1)]))
+    rows.sort(key=lambda r: r[:2])
     texts = [(np.frombuffer(r[1], "u4"), np.frombuffer(r[2], "f4")) for r in rows]
-    return co_train(texts, [r[3] for r in rows], [r[4] for r in rows])
+    model = co_train(texts, [r[3] for r in rows], [r[4] for r in rows]) if rows else None
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -170,6 +170,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_to_roots_take_no_round(spark, monkeypatch):
+    """Links from every node to the smallest of its component are written once, others as often as they change."""
+    from gridloom.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "written", lambda df, name, write=module.written: rounds.append(name) or write(df, name))
+    stars = [(f"{x:03}", f"{x % 7:03}") for x in range(100)]
+    for links, most in ((stars, 1), ([(b, a) for a, b in stars] * 2, 1), ([("b", "a"), ("c", "b")], 2), ([("c", "a"), ("c", "b")], 2)):
+        rounds.clear()
+        got = dict(map(tuple, components(spark.createDataFrame(links, "a string, b string")).collect()))
+        assert got == ({a: b for a, b in stars} if len(links) > 2 else dict.fromkeys("abc", "a")) and len(rounds) == most
+
+
 def repeats_brute(rows):
     """By the definition, over all pairs of places."""
     first, out = {}, []

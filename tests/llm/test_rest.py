@@ -46,6 +46,16 @@ def test_views_teach_each_other():
     assert quality.co_train(texts, metas, [1] * 900) is None
 
 
+def test_the_fit_is_not_the_drivers(spark, monkeypatch):
+    """A task fits the model; the driver holds no features."""
+    docs = spark.createDataFrame([(i, "fine words " * 9 if i % 2 else "!! ## " * 9, "src", "en", 90) for i in range(80)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "co_train", None)
+    model = quality.train(docs, labels)
+    assert all(r.kept == bool(r.doc_id % 2) for r in quality.score(docs, model).collect())
+    assert quality.train(docs, labels.where("quality = 1")) is None and quality.train(docs, labels.limit(0)) is None
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(i, ("fine words in a row " * 9 if i % 2 else "!!! ### $$$ " * 9), "src", "en", 90) for i in range(200)] + [(500, None, None, None, None), (501, "", "src", "en", 0), (None, "fine words", "src", "en", 10), (7, "x " * 100_000, "src", "en", -5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
