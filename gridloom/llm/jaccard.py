@@ -2,7 +2,8 @@
 
 Two sets of n and m shingles of similarity s or more share at least one of the first n - ceil(s n) + 1 of the one and the first
 m - ceil(s m) + 1 of the other, in any order that all sets use. These are the buckets in which fingerprints of 128 bits are compared, on bit
-planes as in ``simhash``: those within RADIUS bits become candidate links, if their sizes allow the similarity. The fingerprint of a small set is
+planes as in ``simhash``: those within RADIUS bits, and within FULL_RADIUS of 256, become candidate links, if their sizes allow the similarity. So few
+unlike texts are linked that components of candidates don't grow together as the table grows. The fingerprint of a small set is
 the parity of its hashes at each of 128 places instead: sets that differ in k hashes differ in k places at most. Shingles that are common in a
 sample come last in the order, so few texts meet at a shingle; texts that meet at one of the commonest of all, as large groups of near copies
 do, are candidates without a comparison, and no bucket holds them. So no result depends on the sample.
@@ -34,12 +35,16 @@ SIMILARITY = 0.8
 #: Bits by which fingerprints of candidates may differ. At a similarity of 0.8 they differ by 19 on average, and 107,940 pairs of at least that similarity
 #: in the check table by 36 at most. One of 4,000 unrelated pairs differs by 44 or less.
 RADIUS = 44
+#: The same for 256 bits, of which the first 128 are these. At a similarity of 0.8 they differ by 39 on average with a deviation of 5.7, those of unrelated texts by
+#: 128 with one of 8; both are 6.5 deviations away.
+FULL_RADIUS = 76
 #: Sets of fewer shingles are compared by parities.
 SMALL = 64
 #: Texts that are looked at for common shingles; in how many of them a shingle is common, and in how many no bucket is made for it; how many are told.
 SAMPLE, COMMON, HOT, TOLD = 8_000, 6, 64, 20_000
-#: Fingerprints beyond which a bucket's are all candidates of each other.
-BUCKET = 1024
+#: Fingerprints beyond which a bucket is compared by itself, one fingerprint after the other, and beyond which a bucket's are all candidates of each other. The
+#: sample grows with the table so that a shingle of so many texts is told as common.
+BUCKET, WHOLE = 1024, 65_536
 #: Texts and bytes of a component that one task decides.
 SMALL_TEXTS, SMALL_BYTES = 4096, 8 << 20
 #: Heads that the texts of a larger component are compared with at most before the rest is decided in pairs of blocks.
@@ -73,7 +78,9 @@ def _common(docs: DataFrame, text_col: str, shingle: int):  # noqa: ANN202
     """The hashes of the sample's common shingles, their ranks, and whether they are hot, sorted by hash."""
     import numpy as np
 
-    every = max(1, docs.count() // SAMPLE)
+    rows = docs.count()
+    sample = max(SAMPLE, 3 * COMMON * rows // WHOLE)
+    every = max(1, rows // sample)
     texts = docs.select(filled(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +91,7 @@ def _common(docs: DataFrame, text_col: str, shingle: int):  # noqa: ANN202
         some = [(h, n) for h, n in counts.items() if n > 1]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], names=["h", "n"])
 
-    found = texts.repartition(4).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(TOLD).toArrow()
+    found = texts.repartition(max(4, min(sample, rows) // 2000)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(TOLD).toArrow()
     hashes = np.ascontiguousarray(found.column("h").to_numpy()[::-1]).astype("i8").view("u8")
     order = np.argsort(hashes)
     return hashes[order], order, found.column("n").to_numpy()[::-1][order] >= HOT
@@ -118,12 +125,15 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def wide_fingerprint(hashes) -> tuple[int, int]:  # noqa: ANN001
-    """Two SimHash fingerprints, of the hashes and of the same mixed again."""
+def wide_fingerprint(hashes) -> tuple[int, int, int, int]:  # noqa: ANN001
+    """Four SimHash fingerprints, of the hashes and of the same mixed again and again."""
     import numpy as np
 
-    again = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return _signed(majority(hashes)), _signed(majority(again ^ again >> np.uint64(29)))
+    out = [majority(hashes)]
+    for times in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
+        again = (hashes ^ hashes >> np.uint64(31)) * np.uint64(times)
+        out.append(majority(again ^ again >> np.uint64(29)))
+    return tuple(map(_signed, out))
 
 
 #: A bucket key: 39 bits of a shingle's hash, 1 for parities, and 24 for the size of the set.
@@ -132,9 +142,9 @@ _MIX = 0x9E3779B97F4A7C15 - (1 << 64)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, th, node, n, m1, m2, s1, s2, name, keys, a, b) of every row; th is a hash of the text and ``node`` the set's digest.
+    """(id, th, node, n, m1, m2, m3, m4, s1, s2, name, keys, a, b) of every row; th is a hash of the text and ``node`` the set's digest.
 
-    m1 and m2 are the fingerprint, s1 and s2 the parities of a small set, ``name`` its node in the candidate graph. ``keys`` are its buckets, a and b candidate links
+    m1 to m4 are the fingerprint, s1 and s2 the parities of a small set, ``name`` its node in the candidate graph. ``keys`` are its buckets, a and b candidate links
     by hot shingles; both are given once for a set in a task.
     """
     common, ranks, hot = _common(docs, text_col, shingle)
@@ -151,6 +161,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
                 s = shingle_set(x.as_py(), shingle)
                 node = _node(s)
                 wide, odd = wide_fingerprint(s), parities(s) if len(s) < most else (None, None)
+                own = name(*(wide[:2] if len(s) >= SMALL else odd))
                 plain, hots = _prefix(s, common, ranks, hot, similarity) if node not in seen else (s[:0], s[:0])
                 seen.add(node)
                 keys = (plain >> np.uint64(25) << np.uint64(25) | np.uint64(min(len(s), _SIZE))).view("i8")
@@ -158,17 +169,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
                 hots = hots.view("i8").tolist()
                 new = {(hots[0], h) for h in hots[1:]} - met
                 met |= new
-                links = [(name(*(wide if len(s) >= SMALL else odd)), hots[0]), *new] if hots else []
+                links = [(own, hots[0]), *new] if hots else []
                 if len(s) and SMALL <= len(s) < most:
-                    links.append((name(*wide), name(*odd)))
-                rows.append((node, len(s), *wide, *odd, name(*(wide if len(s) >= SMALL else odd)), keys, [a for a, _ in links], [b for _, b in links]))
+                    links.append((own, name(*odd)))
+                rows.append((node, len(s), *wide, *odd, own, keys, [a for a, _ in links], [b for _, b in links]))
             longs = pa.list_(pa.int64())
-            kinds = [pa.string(), *[pa.int64()] * 6, longs, longs, longs]
+            kinds = [pa.string(), *[pa.int64()] * 8, longs, longs, longs]
             made = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "th", *names])
 
-    names = ["node", "n", "m1", "m2", "s1", "s2", "name", "keys", "a", "b"]
-    kinds = [T.StringType(), *[T.LongType()] * 6, *[T.ArrayType(T.LongType())] * 3]
+    names = ["node", "n", "m1", "m2", "m3", "m4", "s1", "s2", "name", "keys", "a", "b"]
+    kinds = [T.StringType(), *[T.LongType()] * 8, *[T.ArrayType(T.LongType())] * 3]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), *[T.StructField(c, t) for c, t in zip(names, kinds)]])
     return docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("th"), filled(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -178,34 +189,63 @@ def name(one: int, two: int) -> int:
     return _signed((one * _MIX + two) & (1 << 64) - 1)
 
 
-def candidate_links(each: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def _reached(size: int, near) -> list[int]:  # noqa: ANN001
+    """For each of ``size`` places the first of those that ``near`` joins it to, over any number of links; near(i, js) tells which of js are near i."""
+    import numpy as np
+
+    root, left = np.arange(size), np.arange(size)
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [int(first)]
+        while queue and len(left):
+            hit = near(queue.pop(), left)
+            root[left[hit]] = first
+            queue.extend(left[hit].tolist())
+            left = left[~hit]
+    return root
+
+
+def candidate_links(each: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, full_radius: int = FULL_RADIUS) -> DataFrame:
     """Links (a, b) that join the fingerprints of all texts that may be similar, over any number of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for key, n, one, two in whole_buckets(split(batches)):
-            new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in (key, n, one, two)], axis=0)])
-            key, n, fp = key[new], n[new], np.stack([one[new], two[new]], axis=1)
+        for key, n, *words in whole_buckets(split(batches)):
+            new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in (key, n, *words)], axis=0)])
+            key, n, fp = key[new], n[new], np.stack([w[new] for w in words], axis=1)
             names = fp[:, 0] * np.int64(_MIX) + fp[:, 1]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[first, len(key)])
             bucket = np.repeat(np.arange(len(first)), sizes)
-            large = np.flatnonzero(sizes[bucket] > BUCKET)
-            links = [(names[large], names[first[bucket[large]]])]
+            whole = np.flatnonzero(sizes[bucket] > WHOLE)
+            links = [(names[whole], names[first[bucket[whole]]])]
+
+            def fit(a, b, n, m, odd):  # noqa: ANN001, ANN202
+                """Within a bucket sets come by size, so n are no larger than m. Of similar small sets no more hashes than this differ."""
+                apart, rest = (np.bitwise_count(a[..., k] ^ b[..., k]).sum(axis=-1, dtype="i8") for k in (slice(2), slice(2, 4)))
+                alike = (apart <= radius) & (apart + rest <= full_radius) & (n >= similarity * m - 1e-9)
+                return alike & (~odd | (apart * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-9))
+
+            for k in np.flatnonzero((sizes > BUCKET) & (sizes <= WHOLE)):
+                at = slice(first[k], first[k] + sizes[k])
+                some, many, odd = np.ascontiguousarray(fp[at]).view("u8"), n[at], bool(key[first[k]] & 1)
+                one, two = np.ascontiguousarray(some[:, 0]), np.ascontiguousarray(some[:, 1])
+
+                def near(i, js):  # noqa: ANN001, ANN202
+                    hit = np.bitwise_count(one[js] ^ one[i]) + np.bitwise_count(two[js] ^ two[i]) <= radius  # noqa: B023
+                    at = js[hit]
+                    hit[hit] = fit(some[i], some[at], np.minimum(many[i], many[at]), np.maximum(many[i], many[at]), odd)  # noqa: B023
+                    return hit
+
+                links.append((names[at], names[at][_reached(len(some), near)]))
             order = np.argsort(-sizes, kind="stable")
             order = order[(sizes[order] > 1) & (sizes[order] <= BUCKET)]
             if len(order):
                 first, sizes = first[order], sizes[order]
                 place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 some, many, odd = np.ascontiguousarray(fp[place]).view("u8"), n[place], (key[place] & 1).astype(bool)
-
-                def allowed(i, j):  # noqa: ANN001, ANN202
-                    """Within a bucket sets come by size. Of similar small sets no more hashes than this differ."""
-                    apart = np.bitwise_count(some[i] ^ some[j]).sum(axis=1, dtype="i8")  # noqa: B023
-                    return (many[i] >= similarity * many[j] - 1e-9) & (~odd[i] | (apart * (1 + similarity) <= (1 - similarity) * (many[i] + many[j]) + 1e-9))  # noqa: B023
-
-                root = linked(some, sizes, radius, allowed)
+                root = linked(np.ascontiguousarray(some[:, :2]), sizes, radius, lambda i, j: fit(some[i], some[j], many[i], many[j], odd[i]))  # noqa: B023
                 links.append((names[place], names[place][root]))
             pairs = np.concatenate([np.stack(x, axis=1) for x in links])
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
@@ -217,10 +257,11 @@ def candidate_links(each: DataFrame, similarity: float = SIMILARITY, radius: int
         for batch in batches:
             k = np.asarray(batch.column(0))
             n = k & _SIZE
-            yield pa.RecordBatch.from_arrays([pa.array(k >> 24), pa.array(np.where(n == _SIZE, np.int64(1 << 40), n)), batch.column(1), batch.column(2)], names=["key", "n", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 24), pa.array(np.where(n == _SIZE, np.int64(1 << 40), n)), *batch.columns[1:]], names=["key", "n", *words])
 
-    rows = each.where(F.col("n") >= SMALL).select(F.explode("keys").alias("k"), F.col("m1").alias("one"), F.col("m2").alias("two"))
-    small = each.where(F.col("s1").isNotNull()).select(F.explode("keys").alias("k"), F.col("s1").alias("one"), F.col("s2").alias("two"))
+    words, none = ["one", "two", "three", "four"], F.lit(0).cast("long")
+    rows = each.where(F.col("n") >= SMALL).select(F.explode("keys").alias("k"), *[F.col(f"m{i + 1}").alias(w) for i, w in enumerate(words)])
+    small = each.where(F.col("s1").isNotNull()).select(F.explode("keys").alias("k"), F.col("s1").alias("one"), F.col("s2").alias("two"), none.alias("three"), none.alias("four"))
     rows = rows.union(small.withColumn("k", F.col("k").bitwiseOR(F.lit(_KIND).cast("long"))))
     rows = rows.repartition(F.shiftright("k", 24)).sortWithinPartitions("k", "one", "two")
     return rows.mapInArrow(run, "a long, b long").union(each.select(F.inline(F.arrays_zip("a", "b"))))
@@ -355,8 +396,8 @@ def _by_heads(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int
 
     seen, open_ = [], sets
     for _ in range(ROUNDS):
-        heads = _heads(open_).select(F.col("root").alias("_of"), "head")
-        told = texts.join(heads, (F.col("root") == F.col("_of")) & (F.col("node") == F.col("head")))
+        heads = cut(_heads(open_).select(F.col("root").alias("_of"), "head"))
+        told = texts.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, (F.col("root") == F.col("_of")) & (F.col("node") == F.col("head")))
         told = cut(told.groupBy("root", "head").agg(F.first("text").alias("other")).select(_turned("root").alias("_root"), "head", "other"))
         size = told.agg(F.sum(F.octet_length("other"))).first()[0]
         if size is None:

@@ -150,3 +150,44 @@ def test_links_of_sets():
         for b in range(a):
             if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
                 assert root[a] == root[b]
+
+
+def fingerprints_with(flips, rng):
+    """Fingerprints of 256 bits as four longs: one, and for each of ``flips`` (in the first 128 bits, in the others) one that differs from it by so many."""
+    base = rng.integers(0, 2, 256)
+    out = [base]
+    for a, b in flips:
+        bits = base.copy()
+        bits[np.r_[rng.choice(128, a, replace=False), 128 + rng.choice(128, b, replace=False)]] ^= 1
+        out.append(bits)
+    return [[int(x) for x in np.packbits(bits.astype("u1"), bitorder="little").view("<i8")] for bits in out]
+
+
+def links_in_one_bucket(spark, fps):
+    """The places of ``fps`` by what candidate links join, if all are of a bucket."""
+    rows = [(str(i), 100, *fp, None, None, jaccard.name(*fp[:2]), [(12345 << 25) + 100], [], []) for i, fp in enumerate(fps)]
+    kinds = "node string, n long, m1 long, m2 long, m3 long, m4 long, s1 long, s2 long, name long, keys array<long>, a array<long>, b array<long>"
+    links = jaccard.candidate_links(spark.createDataFrame(rows, kinds)).collect()
+    at, root = {r[8]: i for i, r in enumerate(rows)}, list(range(len(fps)))
+    for a, b in links:
+        new, old = sorted((root[at[a]], root[at[b]]))
+        root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("bucket", [1024, 2])
+def test_candidates_agree_in_all_their_bits(spark, monkeypatch, bucket):
+    """Unlike texts that agree in the first 128 bits by chance are no candidates, whatever the size of their bucket."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    fps = fingerprints_with([(44, 64), (44, 32), (45, 0), (20, 57), (44, 33)], np.random.default_rng(5))
+    root = links_in_one_bucket(spark, fps)
+    assert root[2] == 0 and [root[k] == 0 for k in (1, 3, 4, 5)] == [False] * 4
+
+
+def test_a_large_bucket_is_compared(spark):
+    """A shingle of very many unlike texts that the sample doesn't tell as common joins none of them, and near copies among them meet."""
+    rng = np.random.default_rng(4)
+    fps = [[int(x) for x in rng.integers(-(1 << 63), 1 << 63, 4)] for _ in range(1500)]
+    fps += fingerprints_with([(20, 20)] * 30, rng)
+    root = links_in_one_bucket(spark, fps)
+    assert root == [*range(1500), *[1500] * 31]
